@@ -27,6 +27,8 @@ from .series import BUCKET, initial_value
 
 # Rows stepped together in one numpy block.
 BLOCK_ROWS = 64
+# Rates per day beyond this are too fast for the one-day step.
+FASTEST_RATE = 2.5
 FIT_COLUMNS = ("beta", "rate", "sse")
 
 
@@ -59,14 +61,16 @@ def squared_error(observed, n, e0, i0, beta, sigma, gamma):
     infect = beta / n
     total = np.zeros(infect.shape)
     s, e, i = (np.broadcast_to(y, total.shape) for y in (n - e0 - i0, e0, i0))
-    for day in range(observed.shape[1]):
-        if day:
-            s, e, i = step_day(s, e, i, infect, sigma, gamma)
-        level = observed[:, day]
-        if not np.isnan(level).all():
-            gap = (n - s) - level[:, None]
-            total += np.where(np.isnan(gap), 0.0, gap * gap)
-    return total
+    seen = ~np.isnan(observed)
+    with np.errstate(over="ignore", invalid="ignore"):
+        for day in range(observed.shape[1]):
+            if day:
+                s, e, i = step_day(s, e, i, infect, sigma, gamma)
+            if seen[:, day].any():
+                gap = (n - s) - observed[:, day, None]
+                total += np.where(seen[:, day, None], gap * gap, 0.0)
+    # A candidate whose curve leaves the numbers never wins.
+    return np.where(np.isfinite(total), total, np.inf)
 
 
 def _rates(rate, spec: CurveSpec):
@@ -126,9 +130,8 @@ def _refine(spec: CurveSpec, keys: Sequence[str]) -> Callable:
             beta, rate, best = score(pdf[["beta0"]].to_numpy(float), pdf[["rate0"]].to_numpy(float))
             reach = np.ones((len(pdf), 1))
             for _ in range(spec.refine_rounds):
-                found = score(
-                    beta[:, None] * np.exp(reach * span[0] * du), rate[:, None] * np.exp(reach * span[1] * dv)
-                )
+                near = (x[:, None] * np.exp(reach * h * u) for x, h, u in ((beta, span[0], du), (rate, span[1], dv)))
+                found = score(*(np.minimum(x, FASTEST_RATE) for x in near))
                 better = found[2] < best
                 beta, rate, best = (np.where(better, new, old) for new, old in zip(found, (beta, rate, best)))
                 reach = np.where(better[:, None], reach * 0.5, reach * 0.2)

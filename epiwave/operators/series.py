@@ -93,12 +93,12 @@ def fill_gaps(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     calendar table nor a join is needed.
     """
     step = F.expr(f"interval {spec.bucket_days} days")
-    upto = F.lead(BUCKET).over(order_window(spec, BUCKET))
-    stop = F.coalesce(F.date_sub(upto, spec.bucket_days), F.col(BUCKET))
-    grown = df.withColumn("_bucket", F.explode(F.sequence(F.col(BUCKET), stop, step)))
+    ahead = df.withColumn("_next", F.lead(BUCKET).over(order_window(spec, BUCKET)))
+    stop = F.coalesce(F.date_sub("_next", spec.bucket_days), F.col(BUCKET))
+    grown = ahead.withColumn("_bucket", F.explode(F.sequence(F.col(BUCKET), stop, step)))
     observed = F.col("_bucket") == F.col(BUCKET)
     zeroed = {c: F.when(observed, F.col(c)).otherwise(F.lit(0)).cast("long") for c in spec.increments}
-    return grown.withColumns(zeroed).withColumn(BUCKET, F.col("_bucket")).drop("_bucket")
+    return grown.withColumns(zeroed).withColumn(BUCKET, F.col("_bucket")).drop("_bucket", "_next")
 
 
 def weekly_table(df: DataFrame, spec: SeriesSpec) -> DataFrame:

@@ -10,7 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..spec import FeatureSpec, SeriesSpec
+from ..operators.curves import curve_table
+from ..operators.evaluate import melt_predictions, union_metrics, with_subset
+from ..operators.features import feature_matrix, value_counts
+from ..operators.phases import phase_from_curve
+from ..operators.series import initial_value, order_window, weekly_table
+from ..operators.splits import split_by_fraction, split_flag
+from ..session import cut_lineage
+from ..sources import coerce_numeric
+from ..spec import MULTI_COUNTRY_FEATURES, FeatureSpec, SeriesSpec
 
 ORDERS = SeriesSpec()
 EVENTS = SeriesSpec(
@@ -111,3 +119,91 @@ def populations(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(F.col("n_name").alias("country"))
         .agg((F.count(F.lit(1)) * 1000).cast("double").alias("population"))
     )
+
+
+COUNTERS = ("cum_cases", "cum_deaths", "survivors", "probable", "suspected", "in_treatment")
+
+
+def event_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detailed reports with numbers, NULL where nothing was reported."""
+    return coerce_numeric(event_text_reports(spark, sf_dir), COUNTERS)
+
+
+def order_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weekly_table(order_reports(spark, sf_dir), ORDERS)
+
+
+def event_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weekly_table(event_reports(spark, sf_dir), EVENTS)
+
+
+def order_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature rows with the date split."""
+    matrix = feature_matrix(order_weekly(spark, sf_dir), ORDERS, MULTI_COUNTRY_FEATURES)
+    return matrix.withColumn("split", split_flag("week", CUT))
+
+
+def event_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature rows with the positional split inside every series."""
+    return split_by_fraction(feature_matrix(event_weekly(spark, sf_dir), EVENTS, EVENT_FEATURES), ["week"], EVENTS.keys)
+
+
+def curve_params(weekly: DataFrame, people: DataFrame) -> DataFrame:
+    """Stated curve parameters of every country: rates follow from its share of deaths."""
+    share = weekly.groupBy("country").agg(
+        (F.max("cum_deaths").cast("double") / F.max("cum_cases").cast("double")).alias("share")
+    )
+    return (
+        initial_value(weekly, ORDERS)
+        .join(share, "country")
+        .join(people, "country")
+        .withColumns({
+            "beta": F.when(F.col("share") < 1.0 / 3.0, F.lit(0.3)).otherwise(0.1 + 0.1 * F.col("share")),
+            "sigma": F.lit(1.0 / 11.5),
+            "gamma": 0.05 + 0.05 * F.col("share"),
+            "horizon": F.col("t_max") + 7,
+        })
+    )
+
+
+def known_fits(params: DataFrame) -> DataFrame:
+    """Parameters of the countries with at least the average population."""
+    mean = params.agg(F.avg("population").alias("_mean"))
+    # One average; a single-row lookup on a constant key.
+    keyed = params.withColumn("_one", F.lit(1)).join(F.broadcast(mean.withColumn("_one", F.lit(1))), "_one")
+    return keyed.where(F.col("population") >= F.col("_mean")).drop("_one", "_mean")
+
+
+def with_curve_phase(rows: DataFrame, weekly: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``curve_phase``, and the parameters of the countries that have a curve."""
+    params = cut_lineage(known_fits(curve_params(weekly, people)))
+    curves = curve_table(params, ORDERS.keys)
+    return phase_from_curve(rows, curves, params, ORDERS.keys, "week"), params
+
+
+def majority_phase(matrix: DataFrame) -> DataFrame:
+    """The most frequent phase of the training rows on every row; ties go to the first name."""
+    counts = value_counts(matrix.where(F.col("split") == "train"), "phase").limit(1)
+    top = counts.select(F.lit(1).alias("_one"), F.col("phase").alias("top_phase"))
+    return matrix.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one").drop("_one")
+
+
+def persistence_phase(matrix: DataFrame) -> DataFrame:
+    """The phase of the previous row of the series as a prediction."""
+    return matrix.withColumn("last_phase", F.lag("phase").over(order_window(ORDERS, "week")))
+
+
+def naive_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long test predictions of rule-based models on both data sets."""
+    weekly = cut_lineage(order_weekly(spark, sf_dir))
+    matrix = feature_matrix(weekly, ORDERS, MULTI_COUNTRY_FEATURES).withColumn("split", split_flag("week", CUT))
+    coded, params = with_curve_phase(matrix, weekly, populations(spark, sf_dir))
+    coded, detailed = cut_lineage(coded), cut_lineage(event_matrix(spark, sf_dir))
+    keep = ["country", "week"]
+    rows_a = majority_phase(persistence_phase(coded)).where(F.col("split") == "test")
+    rows_b = majority_phase(persistence_phase(detailed)).where(F.col("split") == "test")
+    naive = {"Persistence": "last_phase", "Majority": "top_phase"}
+    a = melt_predictions(rows_a, "A", {"SEIR": "curve_phase", **naive}, keep)
+    known = params.select("country", F.lit(True).alias("_known"))
+    a = with_subset(a.join(known, "country", "left"), F.coalesce("_known", F.lit(False)), "SEIR", "TOP-3").drop("_known")
+    return union_metrics([a, melt_predictions(rows_b, "B", naive, keep)])
