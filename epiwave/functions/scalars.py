@@ -1,4 +1,8 @@
-"""Column -> Column helpers. Everything stays a native expression.
+"""Scalar building blocks as Spark SQL expressions.
+
+Every function takes SQL text (a column name or any expression) and returns SQL
+text, so blocks nest freely and a whole projection reaches the JVM as a few
+strings. ``columns`` turns a mapping of such texts into DataFrame columns.
 
 A missing value is always NULL, never NaN: Spark orders NaN above every number
 and treats it as equal to itself, which would break the comparisons below.
@@ -6,91 +10,96 @@ and treats it as equal to itself, which would break the comparisons below.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NUMBER_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+NUMBER_TEXT = r"^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$"
+
 
+def columns(texts: Mapping[str, str]) -> dict[str, Column]:
+    return {name: F.expr(text) for name, text in texts.items()}
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
 
+def quoted(value: str) -> str:
+    """A string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def parse_date(text: Column | str, formats: Sequence[str] = ("M/d/yyyy", "yyyy-MM-dd")) -> Column:
+
+def parse_date(x: str, formats: Sequence[str] = ("M/d/yyyy", "yyyy-MM-dd")) -> str:
     """Text -> date by the first matching format, NULL when none matches."""
-    trimmed = F.trim(_col(text))
-    return F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(f)) for f in formats]).cast("date")
+    tries = ", ".join(f"try_to_timestamp(trim({x}), {quoted(f)})" for f in formats)
+    return f"CAST(coalesce({tries}) AS DATE)"
+
+
+def scrub_nonfinite(x: str) -> str:
+    """NaN and both infinities -> NULL."""
+    return f"CASE WHEN abs({x}) < double('Infinity') THEN {x} END"
 
 
-def parse_number(text: Column | str) -> Column:
+def parse_number(x: str) -> str:
     """Text -> double; anything that is not a plain decimal number becomes NULL."""
-    c = _col(text).cast("string")
-    return F.when(c.rlike(NUMBER_TEXT), scrub_nonfinite(F.trim(c).try_cast("double")))
+    number = f"try_cast(trim({x}) AS DOUBLE)"
+    return f"CASE WHEN CAST({x} AS STRING) RLIKE '{NUMBER_TEXT}' THEN {scrub_nonfinite(number)} END"
+
+
+def fill_zero(x: str) -> str:
+    """NULL -> 0, truncated towards zero into a long."""
+    return f"CAST(coalesce({x}, 0) AS BIGINT)"
 
 
-def week_start(t: Column | str) -> Column:
+def week_start(t: str) -> str:
     """Monday of the week that holds ``t``."""
-    return F.date_trunc("week", _col(t)).cast("date")
+    return f"CAST(date_trunc('week', {t}) AS DATE)"
 
 
-def bucket_start(t: Column | str, bucket: str) -> Column:
-    return week_start(t) if bucket == "week" else _col(t).cast("date")
+def bucket_start(t: str, bucket: str) -> str:
+    return week_start(t) if bucket == "week" else f"CAST({t} AS DATE)"
 
 
-def days_between(later: Column | str, earlier: Column | str) -> Column:
-    return F.datediff(_col(later), _col(earlier))
+def days_between(later: str, earlier: str) -> str:
+    return f"datediff({later}, {earlier})"
 
 
-def next_week(d: Column | str) -> Column:
-    return F.date_add(_col(d), 7)
+def next_week(d: str) -> str:
+    return f"date_add({d}, 7)"
 
 
-def round_half_even(x: Column | str, digits: int = 2) -> Column:
+def round_half_even(x: str, digits: int = 2) -> str:
     """Half-even rounding of the scaled double (not of its decimal expansion)."""
-    scale = float(10**digits)
-    return F.rint(_col(x) * scale) / scale
+    return f"(rint({x} * 1e{digits}D) / 1e{digits}D)"
 
 
-def ratio(a: Column | str, b: Column | str) -> Column:
+def null_if_zero(x: str) -> str:
+    return f"nullif({x}, 0)"
+
+
+def ratio(a: str, b: str) -> str:
     """a / b, NULL when b is 0 or either side is missing."""
-    return _col(a) / F.nullif(_col(b), F.lit(0))
+    return f"({a} / {null_if_zero(b)})"
 
 
-def case_fatality(cases: Column | str, deaths: Column | str) -> Column:
+def case_fatality(cases: str, deaths: str) -> str:
     """Deaths per hundred cases with two digits; 0.0 without cases."""
-    c, d = _col(cases), _col(deaths)
-    return F.when(c > 0, round_half_even(d / c * 100.0)).otherwise(F.lit(0.0))
+    return f"CASE WHEN {cases} > 0 THEN {round_half_even(f'{deaths} / {cases} * 100D')} ELSE 0D END"
 
 
-def clip_lower(x: Column | str, low=0) -> Column:
-    c = _col(x)
-    return F.when(c.isNotNull(), F.greatest(c, F.lit(low)))
+def clip_lower(x: str, low: str = "0") -> str:
+    return f"CASE WHEN {x} IS NOT NULL THEN greatest({x}, {low}) END"
 
 
-def clip_range(x: Column | str, low: float, high: float) -> Column:
+def clip_range(x: str, low: str, high: str) -> str:
     """Clamp into [low, high]; NULL stays NULL although least/greatest skip NULLs."""
-    c = _col(x)
-    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
-
-
-def null_if_zero(x: Column | str) -> Column:
-    return F.nullif(_col(x), F.lit(0))
-
-
-def scrub_nonfinite(x: Column | str) -> Column:
-    """NaN and both infinities -> NULL."""
-    c = _col(x)
-    return F.when(~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), c)
+    return f"CASE WHEN {x} IS NOT NULL THEN least(greatest({x}, {low}), {high}) END"
 
 
-def fixed_decimals(x: Column | str, digits: int) -> Column:
+def fixed_decimals(x: str, digits: int) -> str:
     """Number -> text with a fixed number of decimals."""
-    return F.format_string(f"%.{digits}f", _col(x).cast("double"))
+    return f"format_string('%.{digits}f', CAST({x} AS DOUBLE))"
 
 
-def argmax_label(scores: Column | str, labels: Sequence[str]) -> Column:
+def argmax_label(scores: str, labels: Sequence[str]) -> str:
     """Label at the (first) largest entry of an array of class scores."""
-    arr = _col(scores)
-    return F.element_at(F.array(*map(F.lit, labels)), F.array_position(arr, F.array_max(arr)).cast("int"))
+    names = ", ".join(map(quoted, labels))
+    return f"element_at(array({names}), CAST(array_position({scores}, array_max({scores})) AS INT))"

@@ -149,9 +149,9 @@ def series_arrays(weekly: DataFrame, populations: DataFrame, spec: SeriesSpec, l
     one entry per calendar bucket.
     """
     seeds = initial_value(weekly, spec, BUCKET, level)
-    dated = weekly.join(seeds, list(spec.keys)).select(
+    dated = weekly.join(seeds, list(spec.keys)).selectExpr(
         *spec.keys, "t0", "y0", "t_max", "e0", "i0",
-        F.struct(days_between(BUCKET, "t0").alias("day"), F.col(level).cast("double").alias("level")).alias("_obs"),
+        f"named_struct('day', {days_between(BUCKET, 't0')}, 'level', CAST({level} AS DOUBLE)) AS _obs",
     )
     packed = dated.groupBy(*spec.keys, "t0", "y0", "t_max", "e0", "i0").agg(
         F.sort_array(F.collect_list("_obs")).alias("_obs")
@@ -218,7 +218,7 @@ def sweep_fit(
 
 def reproduction_number(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """R0 as beta over the swept rate."""
-    return fits.select(*keys, "beta", F.col("rate").alias("gamma"), ratio("beta", "rate").alias("r0"))
+    return fits.selectExpr(*keys, "beta", "rate AS gamma", f"{ratio('beta', 'rate')} AS r0")
 
 
 def _trace(keys: Sequence[str]) -> Callable:
@@ -271,11 +271,9 @@ def fitted_curves(fits: DataFrame, keys: Sequence[str], curve: CurveSpec = Curve
 def fit_vs_observed(weekly: DataFrame, fits: DataFrame, curves: DataFrame, spec: SeriesSpec, level: str = "cum_cases") -> DataFrame:
     """Observed level and modelled N - S on every observation day."""
     starts = fits.select(*spec.keys, "t0", "population")
-    dated = weekly.join(starts, list(spec.keys)).withColumn("day", days_between(BUCKET, "t0"))
-    return dated.join(curves, [*spec.keys, "day"]).select(
-        *spec.keys, "day",
-        F.col(level).cast("double").alias("observed"),
-        (F.col("population") - F.col("susceptible")).alias("modelled"),
+    dated = weekly.join(starts, list(spec.keys)).selectExpr("*", f"{days_between(BUCKET, 't0')} AS day")
+    return dated.join(curves, [*spec.keys, "day"]).selectExpr(
+        *spec.keys, "day", f"CAST({level} AS DOUBLE) AS observed", "population - susceptible AS modelled"
     )
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scrub_nonfinite
+from ..functions import columns, scrub_nonfinite
 from ..spec import FeatureSpec, PhaseRule, SeriesSpec
 from .joins import size_checked
 from .phases import label_phases
@@ -33,7 +33,7 @@ def drop_incomplete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def scrub(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Non-finite and missing feature values -> 0.0."""
-    return df.withColumns({c: F.coalesce(scrub_nonfinite(F.col(c).cast("double")), F.lit(0.0)) for c in cols})
+    return df.withColumns(columns({c: f"coalesce({scrub_nonfinite(f'CAST({c} AS DOUBLE)')}, 0D)" for c in cols}))
 
 
 def select_features(df: DataFrame, features: FeatureSpec, keep: Sequence[str]) -> DataFrame:
@@ -71,16 +71,14 @@ class Standardizer:
     scales: tuple[float, ...]
 
     def apply(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({
-            c: (F.col(c) - F.lit(m)) / F.lit(s) for c, m, s in zip(self.cols, self.means, self.scales)
-        })
+        fits = zip(self.cols, self.means, self.scales)
+        return df.withColumns(columns({c: f"({c} - ({m!r}D)) / {s!r}D" for c, m, s in fits}))
 
 
 def column_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row per column: mean and population standard deviation, in a single pass."""
-    stats = df.agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in cols])
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c)["mean"].alias("mean"), F.col(c)["std"].alias("std")) for c in cols])
-    return stats.select(F.inline(pairs))
+    stats = df.agg(*[F.expr(f"named_struct('feature', '{c}', 'mean', avg({c}), 'std', stddev_pop({c})) AS {c}") for c in cols])
+    return stats.selectExpr(f"inline(array({', '.join(cols)}))")
 
 
 def fit_standardizer(train: DataFrame, cols: Sequence[str]) -> Standardizer:

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions import days_between
+from ..functions import columns, days_between
 from ..spec import CONTAINED, DECLINING, GROWING, STABLE, PhaseRule, SeriesSpec
 from .joins import join_at_offset
 from .series import BUCKET, future_mean, past_mean
@@ -16,16 +15,14 @@ LOOK_AHEAD_DAYS = 7
 PEOPLE_PER_CASE = 100_000
 
 
-def phase_expression(past: Column, future: Column, rule: PhaseRule = PhaseRule()) -> Column:
+def phase_expression(past: str, future: str, rule: PhaseRule = PhaseRule()) -> str:
     """The ordered rules; a later rule is reached only when the earlier ones fail."""
-    quiet = (past < rule.floor) & (future < rule.floor)
-    return (
-        F.when(future.isNull() | quiet, F.lit(CONTAINED))
-        .when(past == 0, F.lit(GROWING))
-        .when(future > past * rule.up, F.lit(GROWING))
-        .when(future < past * rule.down, F.lit(DECLINING))
-        .otherwise(F.lit(STABLE))
-    )
+    return f"""CASE
+        WHEN {future} IS NULL OR ({past} < {rule.floor}D AND {future} < {rule.floor}D) THEN '{CONTAINED}'
+        WHEN {past} = 0 THEN '{GROWING}'
+        WHEN {future} > {past} * {rule.up}D THEN '{GROWING}'
+        WHEN {future} < {past} * {rule.down}D THEN '{DECLINING}'
+        ELSE '{STABLE}' END"""
 
 
 def label_phases(
@@ -34,22 +31,21 @@ def label_phases(
     """Add ``phase``. It looks ahead, so it is a target and never a feature."""
     past = past_mean(col, rule.past_rows, spec, time)
     future = future_mean(col, rule.future_rows, spec, time)
-    return df.withColumn("phase", phase_expression(past, future, rule))
+    return df.withColumns(columns({"phase": phase_expression(past, future, rule)}))
 
 
-def phase_guard(has_fit: Column, day: Column, phase: Column) -> Column:
+def phase_guard(has_fit: str, day: str, phase: str) -> str:
     """Contained without a fitted curve or before the series starts, else ``phase``."""
-    return F.when(~F.coalesce(has_fit, F.lit(False)) | (day < 0), F.lit(CONTAINED)).otherwise(phase)
+    return f"CASE WHEN NOT ({has_fit}) OR {day} < 0 THEN '{CONTAINED}' ELSE {phase} END"
 
 
-def curve_phase_expression(now: Column, soon: Column, population: Column, rule: PhaseRule = PhaseRule()) -> Column:
-    growth = soon / F.greatest(now, F.lit(1e-6))
-    return (
-        F.when(now < population / PEOPLE_PER_CASE, F.lit(CONTAINED))
-        .when(growth > rule.up, F.lit(GROWING))
-        .when(growth < rule.down, F.lit(DECLINING))
-        .otherwise(F.lit(STABLE))
-    )
+def curve_phase_expression(now: str, soon: str, population: str, rule: PhaseRule = PhaseRule()) -> str:
+    growth = f"{soon} / greatest({now}, 1e-6D)"
+    return f"""CASE
+        WHEN {now} < {population} / {PEOPLE_PER_CASE} THEN '{CONTAINED}'
+        WHEN {growth} > {rule.up}D THEN '{GROWING}'
+        WHEN {growth} < {rule.down}D THEN '{DECLINING}'
+        ELSE '{STABLE}' END"""
 
 
 def phase_from_curve(
@@ -67,10 +63,9 @@ def phase_from_curve(
     ``params`` holds (key, t0, population) of the fitted series; ``curve`` holds
     (key, day, value). Both have at most one row per key, or per key and day.
     """
-    known = params.select(*keys, F.col("t0").alias("_t0"), F.col("population").cast("double").alias("_pop"))
-    dated = rows.join(known, list(keys), "left").withColumn("_day", days_between(time, "_t0"))
-    lines = curve.select(*keys, F.col("day").alias("_day"), F.col(value).alias("_i"))
+    known = params.selectExpr(*keys, "t0 AS _t0", "CAST(population AS DOUBLE) AS _pop")
+    dated = rows.join(known, list(keys), "left").selectExpr("*", f"{days_between(time, '_t0')} AS _day")
+    lines = curve.selectExpr(*keys, "day AS _day", f"{value} AS _i")
     both = join_at_offset(dated, lines, keys, "_day", "_i", LOOK_AHEAD_DAYS)
-    phase = curve_phase_expression(F.col("_i_now"), F.col("_i_soon"), F.col("_pop"), rule)
-    guarded = phase_guard(F.col("_pop").isNotNull(), F.col("_day"), phase)
-    return both.withColumn(out, guarded).drop("_t0", "_pop", "_day", "_i_now", "_i_soon")
+    phase = phase_guard("_pop IS NOT NULL", "_day", curve_phase_expression("_i_now", "_i_soon", "_pop", rule))
+    return both.selectExpr(*rows.columns, f"{phase} AS {out}")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import next_week
 from ..spec import MODEL_ORDER, PHASE_ORDER, SeriesSpec
 from .joins import join_dimension
-from .series import BUCKET, order_window
+from .series import BUCKET, over
 
 
 def phase_dimension(spark, order: Sequence[str] = PHASE_ORDER) -> DataFrame:
@@ -19,8 +19,8 @@ def phase_dimension(spark, order: Sequence[str] = PHASE_ORDER) -> DataFrame:
 
 def scaled_code(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], level: str = "new_cases") -> DataFrame:
     """Per phase column, its code times a quarter of the largest level of the series."""
-    peak = F.max(level).over(order_window(spec, BUCKET).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    out = df.withColumn("_peak", peak)
+    whole = over(spec, BUCKET, ("UNBOUNDED PRECEDING", "UNBOUNDED FOLLOWING"))
+    out = df.selectExpr("*", f"max({level}) {whole} AS _peak")
     codes = phase_dimension(df.sparkSession)
     for c in cols:
         dim = codes.select(F.col("phase").alias(c), F.col("code").alias("_code"))
@@ -43,7 +43,7 @@ def timeline(rows: DataFrame, spec: SeriesSpec, cut=None, phases: Sequence[str]
 
 
 def phase_spans(weekly: DataFrame, spec: SeriesSpec) -> DataFrame:
-    return weekly.select(*spec.keys, F.col(BUCKET).alias("span_start"), next_week(BUCKET).alias("span_end"), "phase")
+    return weekly.selectExpr(*spec.keys, f"{BUCKET} AS span_start", f"{next_week(BUCKET)} AS span_end", "phase")
 
 
 def metric_bars(metrics: DataFrame, order: Sequence[str] = MODEL_ORDER) -> DataFrame:

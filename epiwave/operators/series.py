@@ -6,23 +6,27 @@ large share of all rows is spread over many tasks. What is left is at most one
 row per key and calendar step, and only that is ever ordered inside a key. After
 the first window the frame is hash-partitioned by key; the rollup by
 (key, bucket) and all later windows reuse this partitioning without a shuffle.
+
+Window expressions are SQL text; ``over`` states the order inside a key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bucket_start, case_fatality, clip_lower, clip_range, days_between, ratio
+from ..functions import bucket_start, case_fatality, clip_lower, clip_range, columns, days_between, fill_zero, ratio
 from ..spec import FeatureSpec, SeriesSpec, new_name
 
 BUCKET = "week"
 
 
-def order_window(spec: SeriesSpec, time: str | None = None) -> WindowSpec:
-    return Window.partitionBy(*spec.keys).orderBy(time or spec.time)
+def over(spec: SeriesSpec, time: str | None = None, rows: tuple[str, str] | None = None) -> str:
+    """OVER clause of a series in time order, with an optional ROWS frame."""
+    frame = f" ROWS BETWEEN {rows[0]} AND {rows[1]}" if rows else ""
+    return f"OVER (PARTITION BY {', '.join(spec.keys)} ORDER BY {time or spec.time}{frame})"
 
 
 # ---------------------------------------------------------------- daily level
@@ -30,7 +34,7 @@ def order_window(spec: SeriesSpec, time: str | None = None) -> WindowSpec:
 
 def dedupe_sum(df: DataFrame, spec: SeriesSpec, cols: Iterable[str] | None = None) -> DataFrame:
     """One row per (key, time): numeric columns of duplicates are summed."""
-    cols = list(cols if cols is not None else (*spec.cumulative, *spec.gauges))
+    cols = cols if cols is not None else (*spec.cumulative, *spec.gauges)
     return df.groupBy(*spec.keys, spec.time).agg(*[F.sum(c).alias(c) for c in cols])
 
 
@@ -41,49 +45,49 @@ def sort_series(df: DataFrame, spec: SeriesSpec, time: str | None = None) -> Dat
 
 def fill_missing(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Missing counters and gauges become 0, or the last known value with fill='carry'."""
-    cols = (*spec.cumulative, *spec.gauges)
     if spec.fill == "carry":
-        upto = order_window(spec).rowsBetween(Window.unboundedPreceding, 0)
-        df = df.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in spec.cumulative})
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in cols})
+        known = over(spec, rows=("UNBOUNDED PRECEDING", "CURRENT ROW"))
+        df = df.withColumns(columns({c: f"last({c}, true) {known}" for c in spec.cumulative}))
+    return df.withColumns(columns({c: fill_zero(c) for c in (*spec.cumulative, *spec.gauges)}))
 
 
-def partition_start(spec: SeriesSpec, time: str | None = None) -> Column:
+def partition_start(spec: SeriesSpec, time: str | None = None) -> str:
     """True on the first row of a key."""
-    return F.row_number().over(order_window(spec, time)) == 1
+    return f"row_number() {over(spec, time)} = 1"
 
 
 def increments(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Level minus previous level inside a key; 0 on the first row."""
-    w = order_window(spec)
-    out = {}
+    steps = {}
     for c in spec.cumulative:
-        step = F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0)).cast("long")
-        out[new_name(c)] = clip_lower(step) if c in spec.clip_negative else step
-    return df.withColumns(out)
+        step = f"CAST(coalesce({c} - lag({c}) {over(spec)}, 0) AS BIGINT)"
+        steps[new_name(c)] = clip_lower(step) if c in spec.clip_negative else step
+    return df.withColumns(columns(steps))
 
 
 def daily_table(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Typed reports -> de-duplicated daily rows with increments and the fatality rate."""
-    counts = df.withColumns({c: F.col(c).cast("long") for c in (*spec.cumulative, *spec.gauges)})
+    counters = (*spec.cumulative, *spec.gauges)
+    counts = df.selectExpr(*spec.keys, spec.time, *[f"CAST({c} AS BIGINT) AS {c}" for c in counters])
     daily = increments(fill_missing(dedupe_sum(counts, spec), spec), spec)
-    return daily.withColumn("cfr", case_fatality(*spec.cumulative[:2]))
+    return daily.withColumns(columns({"cfr": case_fatality(*spec.cumulative[:2])}))
 
 
 # --------------------------------------------------------------- bucket level
 
 
-def last_in_bucket(col: str, time: str) -> Column:
+def last_in_bucket(col: str, time: str) -> str:
     """Last non-missing value by time within the group (missing values are skipped)."""
-    return F.max_by(F.col(col), F.when(F.col(col).isNotNull(), F.col(time)))
+    return f"max_by({col}, {time}) FILTER (WHERE {col} IS NOT NULL)"
 
 
 def rollup(df: DataFrame, spec: SeriesSpec, last: Sequence[str] = ("cfr",)) -> DataFrame:
     """Per key and bucket: maximum level, summed increments, last gauge values."""
-    aggs = [F.max(c).alias(c) for c in spec.cumulative]
-    aggs += [F.sum(c).cast("long").alias(c) for c in spec.increments]
-    aggs += [last_in_bucket(c, spec.time).alias(c) for c in (*last, *spec.gauges)]
-    return df.groupBy(*spec.keys, bucket_start(spec.time, spec.bucket).alias(BUCKET)).agg(*aggs)
+    aggs = [f"max({c}) AS {c}" for c in spec.cumulative]
+    aggs += [f"sum({c}) AS {c}" for c in spec.increments]
+    aggs += [f"{last_in_bucket(c, spec.time)} AS {c}" for c in (*last, *spec.gauges)]
+    bucket = F.expr(f"{bucket_start(spec.time, spec.bucket)} AS {BUCKET}")
+    return df.groupBy(*spec.keys, bucket).agg(*map(F.expr, aggs))
 
 
 def fill_gaps(df: DataFrame, spec: SeriesSpec) -> DataFrame:
@@ -92,13 +96,12 @@ def fill_gaps(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     Every row is repeated up to the bucket before its successor, so neither a
     calendar table nor a join is needed.
     """
-    step = F.expr(f"interval {spec.bucket_days} days")
-    ahead = df.withColumn("_next", F.lead(BUCKET).over(order_window(spec, BUCKET)))
-    stop = F.coalesce(F.date_sub("_next", spec.bucket_days), F.col(BUCKET))
-    grown = ahead.withColumn("_bucket", F.explode(F.sequence(F.col(BUCKET), stop, step)))
-    observed = F.col("_bucket") == F.col(BUCKET)
-    zeroed = {c: F.when(observed, F.col(c)).otherwise(F.lit(0)).cast("long") for c in spec.increments}
-    return grown.withColumns(zeroed).withColumn(BUCKET, F.col("_bucket")).drop("_bucket", "_next")
+    days = spec.bucket_days
+    ahead = df.selectExpr("*", f"lead({BUCKET}) {over(spec, BUCKET)} AS _next")
+    stop = f"coalesce(date_sub(_next, {days}), {BUCKET})"
+    grown = ahead.selectExpr("*", f"explode(sequence({BUCKET}, {stop}, interval {days} days)) AS _bucket")
+    steps = {c: f"CASE WHEN _bucket = {BUCKET} THEN {c} ELSE 0L END" for c in spec.increments}
+    return grown.withColumns(columns({**steps, BUCKET: "_bucket"})).drop("_bucket", "_next")
 
 
 def weekly_table(df: DataFrame, spec: SeriesSpec) -> DataFrame:
@@ -113,7 +116,7 @@ def series_extent(df: DataFrame, spec: SeriesSpec, time: str = BUCKET, level: st
         F.min(time).alias("first_time"),
         F.max(time).alias("last_time"),
         F.max(level).alias("max_level"),
-        F.count(F.lit(1)).alias("n_rows"),
+        F.count("*").alias("n_rows"),
     )
 
 
@@ -121,52 +124,48 @@ def initial_value(df: DataFrame, spec: SeriesSpec, time: str = BUCKET, level: st
     """First level of every series and the compartment seeds derived from it."""
     first = df.groupBy(*spec.keys).agg(
         F.min(time).alias("t0"),
-        F.min_by(level, time).cast("double").alias("y0"),
-        F.datediff(F.max(time), F.min(time)).alias("t_max"),
+        F.expr(f"CAST(min_by({level}, {time}) AS DOUBLE) AS y0"),
+        F.expr(f"{days_between(f'max({time})', f'min({time})')} AS t_max"),
     )
-    return first.withColumns({
-        "e0": F.greatest(F.col("y0") * 2.0, F.lit(1.0)),
-        "i0": F.greatest(F.col("y0"), F.lit(1.0)),
-    })
+    return first.selectExpr("*", "greatest(y0 * 2D, 1D) AS e0", "greatest(y0, 1D) AS i0")
 
 
 # ------------------------------------------------------------ ordered columns
 
 
-def lags(cols: Iterable[str], steps: Iterable[int], spec: SeriesSpec, time: str = BUCKET) -> dict[str, Column]:
-    w = order_window(spec, time)
+def lags(cols: Iterable[str], steps: Iterable[int], spec: SeriesSpec, time: str = BUCKET) -> dict[str, str]:
     steps = list(steps)
-    return {f"{c}_lag{k}": F.lag(c, k).over(w) for c in cols for k in steps}
+    return {f"{c}_lag{k}": f"lag({c}, {k}) {over(spec, time)}" for c in cols for k in steps}
 
 
-def level_lags(cols: Iterable[str], spec: SeriesSpec, time: str = BUCKET) -> dict[str, Column]:
+def level_lags(cols: Iterable[str], spec: SeriesSpec, time: str = BUCKET) -> dict[str, str]:
     return lags(cols, (1,), spec, time)
 
 
-def trailing_mean(col: str, rows: int, spec: SeriesSpec, time: str = BUCKET) -> Column:
+def trailing_mean(col: str, rows: int, spec: SeriesSpec, time: str = BUCKET) -> str:
     """Mean of the ``rows`` rows before the current one; partial windows count."""
-    return F.avg(col).over(order_window(spec, time).rowsBetween(-rows, -1))
+    return f"avg({col}) {over(spec, time, (f'{rows} PRECEDING', '1 PRECEDING'))}"
 
 
-def past_mean(col: str, rows: int, spec: SeriesSpec, time: str = BUCKET) -> Column:
+def past_mean(col: str, rows: int, spec: SeriesSpec, time: str = BUCKET) -> str:
     """Mean of the current row and the ``rows - 1`` before it."""
-    return F.avg(col).over(order_window(spec, time).rowsBetween(-(rows - 1), 0))
+    return f"avg({col}) {over(spec, time, (f'{rows - 1} PRECEDING', 'CURRENT ROW'))}"
 
 
-def future_mean(col: str, rows: int, spec: SeriesSpec, time: str = BUCKET) -> Column:
+def future_mean(col: str, rows: int, spec: SeriesSpec, time: str = BUCKET) -> str:
     """Mean of the next ``rows`` rows; NULL on the last row of a key."""
-    return F.avg(col).over(order_window(spec, time).rowsBetween(1, rows))
+    return f"avg({col}) {over(spec, time, ('1 FOLLOWING', f'{rows} FOLLOWING'))}"
 
 
-def growth_rate(new: str, level: str, limit: float, spec: SeriesSpec, time: str = BUCKET) -> Column:
+def growth_rate(new: str, level: str, limit: float, spec: SeriesSpec, time: str = BUCKET) -> str:
     """Previous increment over the level two rows back, clamped; NULL when that level is 0."""
-    w = order_window(spec, time)
-    return clip_range(ratio(F.lag(new, 1).over(w), F.lag(level, 2).over(w)), -limit, limit)
+    w = over(spec, time)
+    return clip_range(ratio(f"lag({new}, 1) {w}", f"lag({level}, 2) {w}"), f"-{limit}D", f"{limit}D")
 
 
-def elapsed_days(spec: SeriesSpec, time: str = BUCKET) -> Column:
+def elapsed_days(spec: SeriesSpec, time: str = BUCKET) -> str:
     """Days since the first row of the key, on the same ordered window as the lags."""
-    first = F.first(time).over(order_window(spec, time).rowsBetween(Window.unboundedPreceding, 0))
+    first = f"first({time}) {over(spec, time, ('UNBOUNDED PRECEDING', 'CURRENT ROW'))}"
     return days_between(time, first)
 
 
@@ -174,13 +173,13 @@ def window_features(df: DataFrame, spec: SeriesSpec, features: FeatureSpec) -> D
     """All past-only features in one projection, hence one sort and one window operator."""
     cases, deaths = spec.increments[:2]
     cum_cases, cum_deaths = spec.cumulative[:2]
-    cols = {
+    rows, limit = features.mean_rows, features.growth_limit
+    return df.withColumns(columns({
         "days_into_epidemic": elapsed_days(spec),
         **lags((cases, deaths), features.lags, spec),
-        f"cases_{features.mean_rows}w_avg": trailing_mean(cases, features.mean_rows, spec),
-        f"deaths_{features.mean_rows}w_avg": trailing_mean(deaths, features.mean_rows, spec),
-        "case_growth_rate": growth_rate(cases, cum_cases, features.growth_limit, spec),
-        "death_growth_rate": growth_rate(deaths, cum_deaths, features.growth_limit, spec),
+        f"cases_{rows}w_avg": trailing_mean(cases, rows, spec),
+        f"deaths_{rows}w_avg": trailing_mean(deaths, rows, spec),
+        "case_growth_rate": growth_rate(cases, cum_cases, limit, spec),
+        "death_growth_rate": growth_rate(deaths, cum_deaths, limit, spec),
         **level_lags(features.level_lags, spec),
-    }
-    return df.withColumns(cols)
+    }))

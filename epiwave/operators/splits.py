@@ -11,7 +11,7 @@ from ..session import cut_lineage
 
 
 def split_flag(time: str, cut) -> Column:
-    return F.when(F.col(time) < F.lit(cut).cast("date"), F.lit("train")).otherwise(F.lit("test"))
+    return F.expr(f"CASE WHEN {time} < DATE '{cut}' THEN 'train' ELSE 'test' END")
 
 
 def split_by_date(df: DataFrame, time: str, cut, embargo_days: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -36,8 +36,11 @@ def query(name: str, body: str | None = None):
     return register
 
 
+HOUR = "date_format(date, 'yyyy-MM-dd HH:mm:ss')"
+
+
 def rounded(cols, digits: int = 6):
-    return [F.round(F.col(c).cast("double"), digits).alias(c) for c in cols]
+    return [F.expr(f"round(CAST({c} AS DOUBLE), {digits}) AS {c}") for c in cols]
 
 
 def rounded_sql(cols, digits: int = 6) -> str:
@@ -106,14 +109,14 @@ def rename_map(spark, d):
 @query("coerce_numeric", """
     SELECT country, CAST(date AS VARCHAR) AS hour, cum_cases, cum_deaths, survivors, probable, suspected, in_treatment FROM num_b""")
 def coerce_numeric(spark, d):
-    return tb.event_reports(spark, d).withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss")).withColumnRenamed("date", "hour")
+    return tb.event_reports(spark, d).selectExpr("country", f"{HOUR} AS hour", *tb.COUNTERS)
 
 
 @query("fill_zero_int", """
     SELECT country, CAST(date AS VARCHAR) AS hour, cum_cases, cum_deaths, survivors, probable, suspected, in_treatment FROM rep_b""")
 def fill_zero_int(spark, d):
     typed = src.fill_zero_int(tb.event_reports(spark, d), tb.COUNTERS)
-    return typed.withColumn("date", F.date_format("date", "yyyy-MM-dd HH:mm:ss")).withColumnRenamed("date", "hour")
+    return typed.selectExpr("country", f"{HOUR} AS hour", *tb.COUNTERS)
 
 
 @query("dimension_table", """
@@ -138,32 +141,30 @@ def write_result(spark, d):
 
 @query("case_fatality", "SELECT country, date, cfr FROM inc_a")
 def case_fatality(spark, d):
-    return tb.order_reports(spark, d).select("country", "date", fn.case_fatality("cum_cases", "cum_deaths").alias("cfr"))
+    return tb.order_reports(spark, d).selectExpr("country", "date", f"{fn.case_fatality('cum_cases', 'cum_deaths')} AS cfr")
 
 
 @query("clip_lower", f"""
     SELECT country, CAST(date AS VARCHAR) AS hour, raw, greatest(raw, 0) AS clipped
     FROM (SELECT country, date, cum_cases - lag(cum_cases) OVER ({DAY}) AS raw FROM rep_b) WHERE raw IS NOT NULL""")
 def clip_lower(spark, d):
-    w = series.order_window(tb.EVENTS)
     typed = src.fill_zero_int(tb.event_reports(spark, d), ["cum_cases"])
-    steps = typed.withColumn("raw", F.col("cum_cases") - F.lag("cum_cases").over(w)).where("raw IS NOT NULL")
-    return steps.select("country", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("hour"), "raw", fn.clip_lower("raw").alias("clipped"))
+    steps = typed.selectExpr("*", f"cum_cases - lag(cum_cases) {series.over(tb.EVENTS)} AS raw").where("raw IS NOT NULL")
+    return steps.selectExpr("country", f"{HOUR} AS hour", "raw", f"{fn.clip_lower('raw')} AS clipped")
 
 
 @query("clip_range", f"""
     SELECT country, week, change, CASE WHEN change IS NOT NULL THEN greatest(least(change, 2), -2) END AS clipped
     FROM (SELECT country, week, new_cases - lag(new_cases) OVER ({WEEK}) AS change FROM wk_a)""")
 def clip_range(spark, d):
-    w = series.order_window(tb.ORDERS, "week")
-    rows = tb.order_weekly(spark, d).withColumn("change", F.col("new_cases") - F.lag("new_cases").over(w))
-    return rows.select("country", "week", "change", fn.clip_range("change", -2, 2).alias("clipped"))
+    rows = tb.order_weekly(spark, d).selectExpr("*", f"new_cases - lag(new_cases) {series.over(tb.ORDERS, 'week')} AS change")
+    return rows.selectExpr("country", "week", "change", f"{fn.clip_range('change', '-2', '2')} AS clipped")
 
 
 @query("null_if_zero", "SELECT country, week, nullif(new_deaths, 0) AS deaths, round(new_cases / nullif(new_deaths, 0), 6) AS per_death FROM wk_a")
 def null_if_zero(spark, d):
-    return tb.order_weekly(spark, d).select(
-        "country", "week", fn.null_if_zero("new_deaths").alias("deaths"), F.round(fn.ratio("new_cases", "new_deaths"), 6).alias("per_death")
+    return tb.order_weekly(spark, d).selectExpr(
+        "country", "week", f"{fn.null_if_zero('new_deaths')} AS deaths", f"round({fn.ratio('new_cases', 'new_deaths')}, 6) AS per_death"
     )
 
 
@@ -254,21 +255,22 @@ def feature_labels(spark, d):
     FROM rep_a""")
 def scalar_functions(spark, d):
     rows = tb.order_reports(spark, d)
-    scores = F.array((F.lit(3) * F.col("cum_deaths")).cast("double"), F.col("cum_cases").cast("double"))
-    return rows.select(
-        "country",
-        fn.parse_date(F.date_format("date", "M/d/yyyy")).alias("date"),
-        fn.week_start("date").alias("week"),
-        fn.days_between("date", F.lit("1995-01-01").cast("date")).alias("days"),
-        fn.next_week("date").alias("later"),
-        fn.round_half_even(F.col("cum_deaths") / F.col("cum_cases")).alias("half_even"),
-        F.greatest(F.col("cum_deaths") * 2, F.lit(1).cast("long")).alias("at_least_one"),
-        F.pow("cum_cases", F.lit(2)).alias("squared"),
-        fn.fixed_decimals(F.col("cum_cases") / 8.0, 3).alias("fixed"),
-        F.trim(F.concat(F.lit("  "), "country", F.lit(" "))).alias("trimmed"),
-        fn.argmax_label(scores, ["high", "low"]).alias("argmax"),
-        F.col("cum_deaths").isNull().alias("is_missing"),
-    )
+    scores = "array(CAST(3 * cum_deaths AS DOUBLE), CAST(cum_cases AS DOUBLE))"
+    texts = {
+        "country": "country",
+        "date": fn.parse_date("date_format(date, 'M/d/yyyy')"),
+        "week": fn.week_start("date"),
+        "days": fn.days_between("date", "DATE '1995-01-01'"),
+        "later": fn.next_week("date"),
+        "half_even": fn.round_half_even("cum_deaths / cum_cases"),
+        "at_least_one": "greatest(cum_deaths * 2, 1L)",
+        "squared": "pow(cum_cases, 2)",
+        "fixed": fn.fixed_decimals("cum_cases / 8D", 3),
+        "trimmed": "trim(concat('  ', country, ' '))",
+        "argmax": fn.argmax_label(scores, ["high", "low"]),
+        "is_missing": "cum_deaths IS NULL",
+    }
+    return rows.selectExpr(*[f"{text} AS {name}" for name, text in texts.items()])
 
 
 # ---------------------------------------------------------------------- joins
@@ -384,9 +386,8 @@ def weekly_rollup_filled(spark, d):
            arg_max(probable, date) FILTER (WHERE probable IS NOT NULL) AS probable
     FROM num_b GROUP BY country, CAST(date AS DATE)""")
 def last_in_bucket(spark, d):
-    return tb.event_reports(spark, d).groupBy("country", fn.bucket_start("date", "day").alias("week")).agg(
-        series.last_in_bucket("in_treatment", "date").alias("in_treatment"), series.last_in_bucket("probable", "date").alias("probable")
-    )
+    last = [F.expr(f"{series.last_in_bucket(c, 'date')} AS {c}") for c in ("in_treatment", "probable")]
+    return tb.event_reports(spark, d).groupBy("country", F.expr(f"{fn.bucket_start('date', 'day')} AS week")).agg(*last)
 
 
 @query("series_extent", """
@@ -443,7 +444,7 @@ def increments_single(spark, d):
 
 @query("partition_start", f"SELECT country, date, row_number() OVER ({DAY}) = 1 AS is_first FROM rep_a")
 def partition_start(spark, d):
-    return tb.order_reports(spark, d).select("country", "date", series.partition_start(tb.ORDERS).alias("is_first"))
+    return tb.order_reports(spark, d).selectExpr("country", "date", f"{series.partition_start(tb.ORDERS)} AS is_first")
 
 
 LAG_COLUMNS = [c for c in FEATURES if "_lag" in c and c.startswith("new")]
@@ -452,7 +453,7 @@ LAG_COLUMNS = [c for c in FEATURES if "_lag" in c and c.startswith("new")]
 @query("lags", f"SELECT country, week, {', '.join(LAG_COLUMNS)} FROM feat_a")
 def lags(spark, d):
     weekly = tb.order_weekly(spark, d)
-    return weekly.withColumns(series.lags(tb.ORDERS.increments, (1, 2, 3), tb.ORDERS)).select("country", "week", *LAG_COLUMNS)
+    return weekly.withColumns(fn.columns(series.lags(tb.ORDERS.increments, (1, 2, 3), tb.ORDERS))).select("country", "week", *LAG_COLUMNS)
 
 
 @query("level_lags", f"""
@@ -460,35 +461,35 @@ def lags(spark, d):
            lag(in_treatment) OVER ({WEEK}) AS in_treatment_lag1 FROM wk_b""")
 def level_lags(spark, d):
     cols = series.level_lags(["cum_cases", "survivors", "in_treatment"], tb.EVENTS)
-    return tb.event_weekly(spark, d).withColumns(cols).select("country", "week", *cols)
+    return tb.event_weekly(spark, d).withColumns(fn.columns(cols)).select("country", "week", *cols)
 
 
 @query("trailing_mean", "SELECT country, week, round(cases_3w_avg, 6) AS cases_3w_avg, round(deaths_3w_avg, 6) AS deaths_3w_avg FROM feat_a")
 def trailing_mean(spark, d):
     means = {f"{c}_3w_avg": series.trailing_mean(f"new_{c}", 3, tb.ORDERS) for c in ("cases", "deaths")}
-    return tb.order_weekly(spark, d).withColumns(means).select("country", "week", *rounded(means))
+    return tb.order_weekly(spark, d).withColumns(fn.columns(means)).select("country", "week", *rounded(means))
 
 
 @query("growth_rate", "SELECT country, week, round(case_growth_rate, 6) AS case_growth_rate, round(death_growth_rate, 6) AS death_growth_rate FROM feat_a WHERE case_growth_rate IS NOT NULL OR death_growth_rate IS NOT NULL")
 def growth_rate(spark, d):
     rates = {f"{c}_growth_rate": series.growth_rate(f"new_{c}s", f"cum_{c}s", 5.0, tb.ORDERS) for c in ("case", "death")}
-    rows = tb.order_weekly(spark, d).withColumns(rates).select("country", "week", *rounded(rates))
+    rows = tb.order_weekly(spark, d).withColumns(fn.columns(rates)).select("country", "week", *rounded(rates))
     return rows.where("case_growth_rate IS NOT NULL OR death_growth_rate IS NOT NULL")
 
 
 @query("past_mean", f"SELECT country, week, round(avg(new_cases) OVER ({WEEK} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS past FROM wk_a")
 def past_mean(spark, d):
-    return tb.order_weekly(spark, d).select("country", "week", F.round(series.past_mean("new_cases", 3, tb.ORDERS), 6).alias("past"))
+    return tb.order_weekly(spark, d).selectExpr("country", "week", f"round({series.past_mean('new_cases', 3, tb.ORDERS)}, 6) AS past")
 
 
 @query("future_mean", f"SELECT country, week, round(avg(new_cases) OVER ({WEEK} ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING), 6) AS future FROM wk_a")
 def future_mean(spark, d):
-    return tb.order_weekly(spark, d).select("country", "week", F.round(series.future_mean("new_cases", 3, tb.ORDERS), 6).alias("future"))
+    return tb.order_weekly(spark, d).selectExpr("country", "week", f"round({series.future_mean('new_cases', 3, tb.ORDERS)}, 6) AS future")
 
 
 @query("elapsed_days", "SELECT country, week, days_into_epidemic FROM feat_a")
 def elapsed_days(spark, d):
-    return tb.order_weekly(spark, d).select("country", "week", series.elapsed_days(tb.ORDERS).alias("days_into_epidemic"))
+    return tb.order_weekly(spark, d).selectExpr("country", "week", f"{series.elapsed_days(tb.ORDERS)} AS days_into_epidemic")
 
 
 @query("initial_value", "SELECT country, t0, t_max, y0, e0, i0 FROM seed_a")
@@ -827,7 +828,7 @@ def sweep_grid(spark, d):
 @query("sweep_fit")
 def sweep_fit(spark, d):
     fits = curves.sweep_fit(tb.order_weekly(spark, d), tb.populations(spark, d), tb.ORDERS, CurveSpec(grid=(24, 24), refine_rounds=6))
-    return fits.select("country", "beta", "rate", "sse", fn.ratio("beta", "rate").alias("r0"))
+    return fits.selectExpr("country", "beta", "rate", "sse", f"{fn.ratio('beta', 'rate')} AS r0")
 
 
 # -------------------------------------------------------------------- learning

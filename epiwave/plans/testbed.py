@@ -14,7 +14,7 @@ from ..operators.curves import curve_table
 from ..operators.evaluate import melt_predictions, union_metrics, with_subset
 from ..operators.features import feature_matrix, value_counts
 from ..operators.phases import phase_from_curve
-from ..operators.series import initial_value, order_window, weekly_table
+from ..operators.series import initial_value, over, weekly_table
 from ..operators.splits import split_by_fraction, split_flag
 from ..session import cut_lineage
 from ..sources import coerce_numeric
@@ -190,7 +190,7 @@ def majority_phase(matrix: DataFrame) -> DataFrame:
 
 def persistence_phase(matrix: DataFrame) -> DataFrame:
     """The phase of the previous row of the series as a prediction."""
-    return matrix.withColumn("last_phase", F.lag("phase").over(order_window(ORDERS, "week")))
+    return matrix.selectExpr("*", f"lag(phase) {over(ORDERS, 'week')} AS last_phase")
 
 
 def naive_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import parse_date, parse_number
+from .. import functions as fn
 from ..spec import DETAILED_REPORT_COLUMNS
 
 
@@ -34,7 +34,7 @@ def read_reports(
         .option("mode", "PERMISSIVE")
         .csv(path)
     )
-    return raw.withColumn(date_column, parse_date(date_column, date_formats))
+    return raw.withColumns(fn.columns({date_column: fn.parse_date(f"`{date_column}`", date_formats)}))
 
 
 def rename_positional(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -51,12 +51,12 @@ def rename_map(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
 def coerce_numeric(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """Text -> double, unreadable text -> NULL."""
-    return df.withColumns({c: parse_number(c) for c in cols})
+    return df.withColumns(fn.columns({c: fn.parse_number(c) for c in cols}))
 
 
 def fill_zero_int(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """NULL -> 0, then truncate towards zero into a long."""
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in cols})
+    return df.withColumns(fn.columns({c: fn.fill_zero(c) for c in cols}))
 
 
 def dimension_table(spark: SparkSession, rows: Mapping | Sequence, names: Sequence[str]) -> DataFrame:
