@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns, scrub_nonfinite
 from ..spec import FeatureSpec, PhaseRule, SeriesSpec
-from .joins import size_checked
+from .joins import join_dimension, size_checked
 from .phases import label_phases
 from .series import BUCKET, window_features
 from .splits import number_rows
@@ -22,9 +22,9 @@ def encode_key(df: DataFrame, key: str, out: str = "country_enc") -> DataFrame:
     The distinct values are numbered by a range-partitioned sort. The code table
     is broadcast only when it is small; a large one joins by shuffle.
     """
-    codes = number_rows(df.select(key).distinct(), [key], "_code", "_total")
-    codes = codes.select(key, (F.col("_code") - 1).cast("int").alias(out))
-    return df.join(size_checked(codes), key, "left")
+    codes, total = number_rows(df.select(key).distinct(), [key], "_code")
+    codes = codes.selectExpr(key, f"CAST(_code - 1 AS INT) AS {out}")
+    return join_dimension(df, codes, key, rows=total)
 
 
 def drop_incomplete(df: DataFrame, cols: Sequence[str]) -> DataFrame:

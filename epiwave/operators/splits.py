@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -24,42 +25,31 @@ def split_by_date(df: DataFrame, time: str, cut, embargo_days: int = 0) -> tuple
     return df.where(F.col(time) < F.date_sub(edge, embargo_days)), df.where(F.col(time) >= edge)
 
 
-def number_rows(df: DataFrame, order: Sequence[str], position: str = "position", total: str = "total") -> DataFrame:
-    """Number all rows 1..n in a global order without a single-task window.
+def number_rows(df: DataFrame, order: Sequence[str], position: str = "position") -> tuple[DataFrame, int]:
+    """Number all rows 1..n in a global order without a single-task window; also return n.
 
-    The frame is range-partitioned and sorted once and frozen, so that partition
-    numbers stay valid. Only one count per partition is then accumulated, and
-    each row adds its offset inside the partition.
+    The frame is range-partitioned and sorted, and stored with its partition
+    number and offset. The driver sees one count per partition; each row adds the
+    rows of the partitions before it to its own offset.
     """
-    frozen = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order))
-    tagged = frozen.withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33).alias("_part")
-    counts = tagged.groupBy(part).agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # One row per partition of the frozen frame, hence small by construction.
-    offsets = counts.select(
-        "_part",
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(everything).alias(total),
-    )
-    inside = F.col("_id") - F.shiftleft(F.col("_part"), 33)
-    return (
-        tagged.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(position, (F.col("_before") + inside + 1).cast("long"))
-        .drop("_id", "_part", "_before")
-    )
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    tagged = cut_lineage(ordered.withColumn("_id", F.monotonically_increasing_id()))
+    part = "CAST(shiftright(_id, 33) AS INT)"
+    sizes = {r["part"]: r["count"] for r in tagged.groupBy(F.expr(f"{part} AS part")).count().collect()}
+    before = [0, *accumulate(sizes.get(p, 0) for p in range(max(sizes, default=0) + 1))]
+    starts = ", ".join(f"{n}L" for n in before)
+    numbered = tagged.selectExpr("*", f"element_at(array({starts}), {part} + 1) + (_id & {2**33 - 1}L) + 1 AS {position}")
+    return numbered.drop("_id"), before[-1]
 
 
 def _positions(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add ``_pos`` and ``_n`` inside every series, or over the whole table without keys."""
     if not keys:
-        return number_rows(df, order, "_pos", "_n")
-    w = Window.partitionBy(*keys)
-    return df.withColumns({
-        "_pos": F.row_number().over(w.orderBy(*order)),
-        "_n": F.count(F.lit(1)).over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-    })
+        numbered, total = number_rows(df, order, "_pos")
+        return numbered.withColumn("_n", F.lit(total))
+    w = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)}"
+    whole = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    return df.selectExpr("*", f"row_number() {w}) AS _pos", f"count(*) {w} {whole}) AS _n")
 
 
 def split_by_fraction(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), fraction: float = 0.70) -> DataFrame:
@@ -69,8 +59,8 @@ def split_by_fraction(df: DataFrame, order: Sequence[str], keys: Sequence[str] =
     table in the given order.
     """
     numbered = _positions(df, keys, order)
-    flag = F.when(F.col("_pos") <= F.floor(F.col("_n") * fraction), F.lit("train")).otherwise(F.lit("test"))
-    return numbered.withColumn("split", flag).drop("_pos", "_n")
+    flag = f"CASE WHEN _pos <= floor(_n * {fraction!r}D) THEN 'train' ELSE 'test' END AS split"
+    return numbered.selectExpr(*df.columns, flag)
 
 
 def split_boundary(df: DataFrame, time: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -81,8 +71,8 @@ def split_boundary(df: DataFrame, time: str, keys: Sequence[str] = ()) -> DataFr
 def tail_holdout(train: DataFrame, order: Sequence[str], keys: Sequence[str] = (), holdout: float = 0.15) -> DataFrame:
     """Add ``part``: the last share of the ordered training rows is validation."""
     numbered = _positions(train, keys, order)
-    fit = F.col("_pos") <= F.floor(F.col("_n") * (1 - holdout))
-    return numbered.withColumn("part", F.when(fit, F.lit("fit")).otherwise(F.lit("validation"))).drop("_pos", "_n")
+    flag = f"CASE WHEN _pos <= floor(_n * {1 - holdout!r}D) THEN 'fit' ELSE 'validation' END AS part"
+    return numbered.selectExpr(*train.columns, flag)
 
 
 def split_sizes(df: DataFrame, flag: Column | None = None) -> DataFrame:
