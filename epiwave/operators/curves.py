@@ -12,7 +12,7 @@ by a partially aggregated ``min_by``.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from math import ceil, log
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -51,24 +51,30 @@ def step_day(s, e, i, infect, sigma, gamma):
     return s - ds, e + de, i + di
 
 
+def susceptible_days(days, n, e0, i0, beta, sigma, gamma):
+    """Yield (day, susceptible) for rows x candidates, one day at a time."""
+    n, e0, i0 = n[:, None], e0[:, None], i0[:, None]
+    infect = beta / n
+    s, e, i = (np.broadcast_to(y, infect.shape) for y in (n - e0 - i0, e0, i0))
+    for day in range(days):
+        if day:
+            s, e, i = step_day(s, e, i, infect, sigma, gamma)
+        yield day, s
+
+
 def squared_error(observed, n, e0, i0, beta, sigma, gamma):
     """Sum of (N - S - observed)^2 per row and candidate.
 
     ``observed`` is rows x days with NaN on days without an observation; the
     parameters are rows x candidates.
     """
-    n, e0, i0 = n[:, None], e0[:, None], i0[:, None]
-    infect = beta / n
-    total = np.zeros(infect.shape)
-    s, e, i = (np.broadcast_to(y, total.shape) for y in (n - e0 - i0, e0, i0))
-    seen = ~np.isnan(observed)
+    total = np.zeros(beta.shape)
     with np.errstate(over="ignore", invalid="ignore"):
-        for day in range(observed.shape[1]):
-            if day:
-                s, e, i = step_day(s, e, i, infect, sigma, gamma)
-            if seen[:, day].any():
-                gap = (n - s) - observed[:, day, None]
-                total += np.where(seen[:, day, None], gap * gap, 0.0)
+        for day, s in susceptible_days(observed.shape[1], n, e0, i0, beta, sigma, gamma):
+            seen = ~np.isnan(observed[:, day])
+            if seen.any():
+                gap = (n[:, None] - s) - observed[:, day, None]
+                total += np.where(seen[:, None], gap * gap, 0.0)
     # A candidate whose curve leaves the numbers never wins.
     return np.where(np.isfinite(total), total, np.inf)
 
@@ -84,20 +90,12 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pdf.iloc[at : at + BLOCK_ROWS].reset_index(drop=True)
 
 
-def _scorer(pdf: pd.DataFrame, spec: CurveSpec) -> Callable:
-    """Score function of (beta, rate), both rows x candidates, for one block of series."""
-    n, e0, i0 = (pdf[c].to_numpy(float) for c in ("population", "e0", "i0"))
+def _block_arrays(pdf: pd.DataFrame):
+    """Observations (rows x days, NaN where none), population and seeds of a block."""
     observed = np.full((len(pdf), int(pdf["t_max"].max()) + 1), np.nan)
     for row, (days, levels) in enumerate(zip(pdf["days"], pdf["levels"])):
         observed[row, np.asarray(days, dtype=int)] = levels
-
-    def score(beta, rate):
-        sigma, gamma = _rates(rate, spec)
-        errors = squared_error(observed, n, e0, i0, beta, sigma, gamma)
-        at = errors.argmin(axis=1)[:, None]
-        return tuple(np.take_along_axis(x, at, axis=1)[:, 0] for x in (beta, rate, errors))
-
-    return score
+    return observed, *(pdf[c].to_numpy(float) for c in ("population", "e0", "i0"))
 
 
 def grid_axes(spec: CurveSpec) -> tuple[np.ndarray, np.ndarray]:
@@ -113,31 +111,66 @@ def _score_stripes(spec: CurveSpec, keys: Sequence[str]) -> Callable:
         for pdf in _blocks(batches):
             beta = np.repeat(stripes[pdf["stripe"].to_numpy(int)], len(rates), axis=1)
             rate = np.broadcast_to(np.tile(rates, wide), beta.shape)
-            fit = _scorer(pdf, spec)(beta, rate)
+            sigma, gamma = _rates(rate, spec)
+            errors = squared_error(*_block_arrays(pdf), beta, sigma, gamma)
+            at = errors.argmin(axis=1)[:, None]
+            fit = [np.take_along_axis(x, at, axis=1)[:, 0] for x in (beta, rate, errors)]
             yield pdf[list(keys)].assign(**dict(zip(FIT_COLUMNS, fit)))
 
     return run
 
 
+def normal_equations(observed, n, e0, i0, beta, rate, spec: CurveSpec, nudge: float = 1e-5):
+    """Squared error and its Gauss-Newton sums by log beta and log rate, per row and candidate.
+
+    Returns (sse, j1.j1, j1.j2, j2.j2, j1.gap, j2.gap), each rows x candidates.
+    """
+    k = beta.shape[1]
+    betas = np.concatenate([beta, beta * (1 + nudge), beta], axis=1)
+    rates = np.concatenate([rate, rate, rate * (1 + nudge)], axis=1)
+    sigma, gamma = _rates(rates, spec)
+    sums = np.zeros((6, len(beta), k))
+    for day, s in susceptible_days(observed.shape[1], n, e0, i0, betas, sigma, gamma):
+        seen = ~np.isnan(observed[:, day])
+        if seen.any():
+            gap = (n[:, None] - s[:, :k]) - observed[:, day, None]
+            j1, j2 = (s[:, :k] - s[:, k : 2 * k]) / nudge, (s[:, :k] - s[:, 2 * k :]) / nudge
+            parts = np.stack([gap * gap, j1 * j1, j1 * j2, j2 * j2, j1 * gap, j2 * gap])
+            sums += np.where(seen[:, None], parts, 0.0)
+    sums[0] = np.where(np.isfinite(sums).all(axis=0), sums[0], np.inf)
+    return sums
+
+
 def _refine(spec: CurveSpec, keys: Sequence[str]) -> Callable:
-    """Search a small grid (on log axes) around the best point; move while it improves, else shrink."""
+    """Damped Gauss-Newton steps on log axes, all dampings of a block tried at once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        span = [log(hi / lo) / max(n - 1, 1) for (lo, hi), n in zip((spec.beta_range, spec.rate_range), spec.grid)]
-        du, dv = (x.ravel() for x in np.meshgrid(np.linspace(-1, 1, 9), np.linspace(-1, 1, 9)))
+        damping = np.geomspace(1e-6, 1e4, 11)
         for pdf in _blocks(batches):
-            score = _scorer(pdf, spec)
-            beta, rate, best = score(pdf[["beta0"]].to_numpy(float), pdf[["rate0"]].to_numpy(float))
-            reach = np.ones((len(pdf), 1))
-            for _ in range(spec.refine_rounds):
-                near = (x[:, None] * np.exp(reach * h * u) for x, h, u in ((beta, span[0], du), (rate, span[1], dv)))
-                found = score(*(np.minimum(x, FASTEST_RATE) for x in near))
-                better = found[2] < best
-                beta, rate, best = (np.where(better, new, old) for new, old in zip(found, (beta, rate, best)))
-                reach = np.where(better[:, None], reach * 0.5, reach * 0.2)
-                if (reach * max(span) < spec.tolerance).all():
-                    break
-            yield pdf[list(keys)].assign(beta=beta, rate=rate, sse=best)
+            observed, *start = _block_arrays(pdf)
+            beta, rate = pdf["beta0"].to_numpy(float), pdf["rate0"].to_numpy(float)
+            with np.errstate(all="ignore"):
+                best = normal_equations(observed, *start, beta[:, None], rate[:, None], spec)[:, :, 0]
+                for _ in range(spec.refine_rounds):
+                    a11, a12, a22 = best[1][:, None] * (1 + damping), best[2][:, None], best[3][:, None] * (1 + damping)
+                    b1, b2 = best[4][:, None], best[5][:, None]
+                    det = a11 * a22 - a12 * a12
+                    steps = (a12 * b2 - a22 * b1) / det, (a12 * b1 - a11 * b2) / det
+                    near = [
+                        np.minimum(x[:, None] * np.exp(np.clip(np.nan_to_num(d), -1, 1)), FASTEST_RATE)
+                        for x, d in zip((beta, rate), steps)
+                    ]
+                    found = normal_equations(observed, *start, *near, spec)
+                    at = found[0].argmin(axis=1)
+                    rows = np.arange(len(at))
+                    gain = best[0] - found[0, rows, at]
+                    better = gain > 0
+                    beta, rate = (np.where(better, x[rows, at], old) for x, old in zip(near, (beta, rate)))
+                    settled = gain <= spec.tolerance * best[0]
+                    best = np.where(better, found[:, rows, at], best)
+                    if settled.all():
+                        break
+            yield pdf[list(keys)].assign(beta=beta, rate=rate, sse=best[0])
 
     return run
 

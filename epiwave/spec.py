@@ -165,8 +165,8 @@ class CurveSpec:
     grid: tuple[int, int] = (40, 40)
     stripes: int = 4
     start: tuple[float, float] = (0.27, 0.10)
-    refine_rounds: int = 60
-    tolerance: float = 1e-6
+    refine_rounds: int = 30
+    tolerance: float = 1e-10
     horizon_pad: int = 7
 
 
