@@ -63,11 +63,13 @@ class PhaseModel:
         return scored.select(*df.columns, PRED)
 
 
-def training_rows(train: DataFrame, cols: Sequence[str], labels: Sequence[str], scaler: Standardizer | None = None) -> DataFrame:
-    """Features, label index and balanced weight of the training rows."""
-    scaled = scaler.apply(train) if scaler else train
-    weighted = balanced_weights(scaled, "phase", WEIGHT)
-    return label_indexer(labels).transform(assemble(weighted, cols)).select(FEATURES, LABEL, WEIGHT)
+def training_rows(
+    train: DataFrame, cols: Sequence[str], labels: Sequence[str], scaler: Standardizer | None = None, weighted: bool = False
+) -> DataFrame:
+    """Features, label index and, if asked for, the balanced weight of the training rows."""
+    rows = scaler.apply(train) if scaler else train
+    rows = balanced_weights(rows, "phase", WEIGHT) if weighted else rows
+    return label_indexer(labels).transform(assemble(rows, cols)).select(FEATURES, LABEL, *[WEIGHT] * weighted)
 
 
 def train_rf(train: DataFrame, cols: Sequence[str], labels: Sequence[str], s: ModelSettings = ModelSettings()) -> PhaseModel:
@@ -75,7 +77,7 @@ def train_rf(train: DataFrame, cols: Sequence[str], labels: Sequence[str], s: Mo
         featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, numTrees=s.rf_trees, maxDepth=s.rf_depth,
         featureSubsetStrategy="sqrt", seed=s.seed,
     )
-    return PhaseModel("Random Forest", rf.fit(training_rows(train, cols, labels)), tuple(cols), tuple(labels))
+    return PhaseModel("Random Forest", rf.fit(training_rows(train, cols, labels, weighted=True)), tuple(cols), tuple(labels))
 
 
 def train_gbt(train: DataFrame, cols: Sequence[str], labels: Sequence[str], s: ModelSettings = ModelSettings()) -> PhaseModel:
@@ -90,7 +92,7 @@ def train_gbt(train: DataFrame, cols: Sequence[str], labels: Sequence[str], s: M
 def train_lr(train: DataFrame, cols: Sequence[str], labels: Sequence[str], s: ModelSettings = ModelSettings()) -> PhaseModel:
     """Multinomial regression; balanced weights sum to the row count, hence the penalty 1 / (C n)."""
     scaler = fit_standardizer(train, cols)
-    rows = training_rows(train, cols, labels, scaler)
+    rows = training_rows(train, cols, labels, scaler, weighted=True)
     lr = LogisticRegression(
         featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, family="multinomial", elasticNetParam=0.0,
         regParam=1.0 / (s.lr_c * max(train.count(), 1)), standardization=False, maxIter=s.lr_iterations,
@@ -106,7 +108,7 @@ def _perceptron(n_features: int, n_classes: int, iterations: int, s: ModelSettin
 
 def train_mlp(train: DataFrame, cols: Sequence[str], labels: Sequence[str], s: ModelSettings = ModelSettings()) -> PhaseModel:
     scaler = fit_standardizer(train, cols)
-    rows = training_rows(train, cols, labels, scaler).select(FEATURES, LABEL)
+    rows = training_rows(train, cols, labels, scaler)
     model = _perceptron(len(cols), len(labels), s.mlp_iterations, s).fit(rows)
     return PhaseModel("MLP", model, tuple(cols), tuple(labels), scaler)
 

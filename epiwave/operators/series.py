@@ -68,7 +68,9 @@ def increments(df: DataFrame, spec: SeriesSpec) -> DataFrame:
 def daily_table(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Typed reports -> de-duplicated daily rows with increments and the fatality rate."""
     counters = (*spec.cumulative, *spec.gauges)
-    counts = df.selectExpr(*spec.keys, spec.time, *[f"CAST({c} AS BIGINT) AS {c}" for c in counters])
+    # Rows without a key or a readable date belong to no series.
+    placed = df.na.drop(subset=[*spec.keys, spec.time])
+    counts = placed.selectExpr(*spec.keys, spec.time, *[f"CAST({c} AS BIGINT) AS {c}" for c in counters])
     daily = increments(fill_missing(dedupe_sum(counts, spec), spec), spec)
     return daily.withColumns(columns({"cfr": case_fatality(*spec.cumulative[:2])}))
 

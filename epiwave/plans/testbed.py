@@ -150,9 +150,7 @@ def event_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def curve_params(weekly: DataFrame, people: DataFrame) -> DataFrame:
     """Stated curve parameters of every country: rates follow from its share of deaths."""
-    share = weekly.groupBy("country").agg(
-        (F.max("cum_deaths").cast("double") / F.max("cum_cases").cast("double")).alias("share")
-    )
+    share = weekly.groupBy("country").agg(F.expr("CAST(max(cum_deaths) AS DOUBLE) / CAST(max(cum_cases) AS DOUBLE) AS share"))
     return (
         initial_value(weekly, ORDERS)
         .join(share, "country")
@@ -168,10 +166,8 @@ def curve_params(weekly: DataFrame, people: DataFrame) -> DataFrame:
 
 def known_fits(params: DataFrame) -> DataFrame:
     """Parameters of the countries with at least the average population."""
-    mean = params.agg(F.avg("population").alias("_mean"))
-    # One average; a single-row lookup on a constant key.
-    keyed = params.withColumn("_one", F.lit(1)).join(F.broadcast(mean.withColumn("_one", F.lit(1))), "_one")
-    return keyed.where(F.col("population") >= F.col("_mean")).drop("_one", "_mean")
+    mean = params.agg(F.avg("population")).first()[0]
+    return params.where(F.col("population") >= F.lit(mean))
 
 
 def with_curve_phase(rows: DataFrame, weekly: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -181,11 +177,10 @@ def with_curve_phase(rows: DataFrame, weekly: DataFrame, people: DataFrame) -> t
     return phase_from_curve(rows, curves, params, ORDERS.keys, "week"), params
 
 
-def majority_phase(matrix: DataFrame) -> DataFrame:
-    """The most frequent phase of the training rows on every row; ties go to the first name."""
-    counts = value_counts(matrix.where(F.col("split") == "train"), "phase").limit(1)
-    top = counts.select(F.lit(1).alias("_one"), F.col("phase").alias("top_phase"))
-    return matrix.withColumn("_one", F.lit(1)).join(F.broadcast(top), "_one").drop("_one")
+def majority_phase(rows: DataFrame, matrix: DataFrame) -> DataFrame:
+    """The most frequent training phase of ``matrix`` on every row; ties go to the first name."""
+    top = value_counts(matrix.where(F.col("split") == "train"), "phase").first()["phase"]
+    return rows.withColumn("top_phase", F.lit(top))
 
 
 def persistence_phase(matrix: DataFrame) -> DataFrame:
@@ -198,10 +193,10 @@ def naive_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     weekly = cut_lineage(order_weekly(spark, sf_dir))
     matrix = feature_matrix(weekly, ORDERS, MULTI_COUNTRY_FEATURES).withColumn("split", split_flag("week", CUT))
     coded, params = with_curve_phase(matrix, weekly, populations(spark, sf_dir))
-    coded, detailed = cut_lineage(coded), cut_lineage(event_matrix(spark, sf_dir))
+    detailed = cut_lineage(event_matrix(spark, sf_dir))
     keep = ["country", "week"]
-    rows_a = majority_phase(persistence_phase(coded)).where(F.col("split") == "test")
-    rows_b = majority_phase(persistence_phase(detailed)).where(F.col("split") == "test")
+    rows_a = majority_phase(persistence_phase(coded), matrix).where(F.col("split") == "test")
+    rows_b = majority_phase(persistence_phase(detailed), detailed).where(F.col("split") == "test")
     naive = {"Persistence": "last_phase", "Majority": "top_phase"}
     a = melt_predictions(rows_a, "A", {"SEIR": "curve_phase", **naive}, keep)
     known = params.select("country", F.lit(True).alias("_known"))
