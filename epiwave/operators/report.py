@@ -11,34 +11,48 @@ from ..functions import next_week
 from ..spec import MODEL_ORDER, PHASE_ORDER, SeriesSpec
 from .joins import join_dimension
 from .series import BUCKET, over
+from .splits import split_flag
 
 
 def phase_dimension(spark, order: Sequence[str] = PHASE_ORDER) -> DataFrame:
     return spark.createDataFrame(list(zip(order, range(len(order)))), "phase string, code int")
 
 
-def scaled_code(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], level: str = "new_cases") -> DataFrame:
-    """Per phase column, its code times a quarter of the largest level of the series."""
-    whole = over(spec, BUCKET, ("UNBOUNDED PRECEDING", "UNBOUNDED FOLLOWING"))
-    out = df.selectExpr("*", f"max({level}) {whole} AS _peak")
+def series_peak(spec: SeriesSpec, level: str = "new_cases") -> str:
+    """Largest level of the series, on the ordered window of the other series columns."""
+    return f"max({level}) {over(spec, BUCKET, ('UNBOUNDED PRECEDING', 'UNBOUNDED FOLLOWING'))}"
+
+
+def scaled_code(df: DataFrame, spec: SeriesSpec, cols: Sequence[str], peak: str | None = None) -> DataFrame:
+    """Per phase column, its code times a quarter of the peak of the series.
+
+    ``peak`` is SQL text; by default the peak over the rows of ``df``.
+    """
+    out = df.selectExpr("*", f"{peak or series_peak(spec)} AS _top")
     codes = phase_dimension(df.sparkSession)
     for c in cols:
-        dim = codes.select(F.col("phase").alias(c), F.col("code").alias("_code"))
+        dim = codes.selectExpr(f"phase AS {c}", "code AS _code")
         out = join_dimension(out, dim, c, rows=len(PHASE_ORDER))
-        out = out.withColumn(f"{c}_scaled", F.col("_code") * F.col("_peak") / 4.0).drop("_code")
-    return out.drop("_peak")
+        out = out.selectExpr("*", f"_code * _top / 4D AS {c}_scaled").drop("_code")
+    return out.drop("_top")
 
 
-def timeline(rows: DataFrame, spec: SeriesSpec, cut=None, phases: Sequence[str] = ("phase", "curve_phase", "rf_phase")) -> DataFrame:
+def timeline(
+    rows: DataFrame,
+    weekly: DataFrame,
+    spec: SeriesSpec,
+    cut=None,
+    phases: Sequence[str] = ("phase", "curve_phase", "rf_phase"),
+) -> DataFrame:
     """Key, bucket, new cases, true and predicted phases, split and the scaled codes.
 
-    ``rows`` either has a ``split`` column or is split at ``cut``.
+    Counts and peaks come from the whole weekly table, of which ``rows`` may cover
+    a part. ``rows`` either has a ``split`` column or is split at ``cut``.
     """
-    if cut is not None:
-        from .splits import split_flag
-
-        rows = rows.withColumn("split", split_flag(BUCKET, cut))
-    coded = scaled_code(rows, spec, phases)
+    rows = rows.withColumn("split", split_flag(BUCKET, cut)) if cut is not None else rows
+    counts = weekly.selectExpr(*spec.keys, BUCKET, "new_cases", f"{series_peak(spec)} AS _peak")
+    dated = rows.select(*spec.keys, BUCKET, *phases, "split").join(counts, [*spec.keys, BUCKET])
+    coded = scaled_code(dated, spec, phases, "_peak")
     return coded.select(*spec.keys, BUCKET, "new_cases", *phases, "split", *[f"{c}_scaled" for c in phases])
 
 

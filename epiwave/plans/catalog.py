@@ -715,7 +715,7 @@ def subset_metrics(spark, d):
     SELECT n.country, n.week, w.new_cases, n.phase, curve_phase, last_phase, split,
            c1.code * peak / 4.0 AS phase_scaled, c2.code * peak / 4.0 AS curve_phase_scaled, c3.code * peak / 4.0 AS last_phase_scaled
     FROM naive_a n JOIN wk_a w ON n.country = w.country AND n.week = w.week
-    JOIN (SELECT country, max(new_cases) AS peak FROM naive_a GROUP BY country) p ON p.country = n.country
+    JOIN (SELECT country, max(new_cases) AS peak FROM wk_a GROUP BY country) p ON p.country = n.country
     JOIN (VALUES ('Growing', 0), ('Stable/Peak', 1), ('Declining', 2), ('Contained', 3)) AS c1(phase, code) ON c1.phase = n.phase
     JOIN (VALUES ('Growing', 0), ('Stable/Peak', 1), ('Declining', 2), ('Contained', 3)) AS c2(phase, code) ON c2.phase = curve_phase
     LEFT JOIN (VALUES ('Growing', 0), ('Stable/Peak', 1), ('Declining', 2), ('Contained', 3)) AS c3(phase, code) ON c3.phase = last_phase""")
@@ -723,8 +723,7 @@ def timeline(spark, d):
     weekly = cut_lineage(tb.order_weekly(spark, d))
     matrix = features.feature_matrix(weekly, tb.ORDERS, MULTI_COUNTRY_FEATURES)
     coded, _ = tb.with_curve_phase(matrix, weekly, tb.populations(spark, d))
-    rows = tb.persistence_phase(coded).join(weekly.select("country", "week", "new_cases"), ["country", "week"])
-    return report.timeline(rows, tb.ORDERS, tb.CUT, ["phase", "curve_phase", "last_phase"])
+    return report.timeline(tb.persistence_phase(coded), weekly, tb.ORDERS, tb.CUT, ["phase", "curve_phase", "last_phase"])
 
 
 @query("phase_spans", "SELECT country, week AS span_start, CAST(week + 7 AS DATE) AS span_end, phase FROM ph_a")

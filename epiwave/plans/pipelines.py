@@ -85,9 +85,9 @@ def _study(
     for name, model in fitted.items():
         wide = model.predict(wide).withColumnRenamed("pred", PRED_COLUMNS[name])
     used = {m: c for m, c in PRED_COLUMNS.items() if m == "SEIR" or m in fitted}
-    counts = weekly.select(*spec.keys, BUCKET, "new_cases")
-    dated = wide.join(counts, [*spec.keys, BUCKET])
-    line = timeline(dated, spec, phases=["phase", *used.values()])
+    # Every model is applied once; the timeline and the scores both read this table.
+    wide = cut_lineage(wide.select(*spec.keys, BUCKET, "split", "phase", *used.values()))
+    line = timeline(wide, weekly, spec, phases=["phase", *used.values()])
     test = wide.where(F.col("split") == "test")
     preds = melt_predictions(test, dataset, used, [*spec.keys, BUCKET, "split"])
     return Study(dataset, spec, features, weekly, matrix, fits, fitted, line, preds)
