@@ -20,7 +20,8 @@ def encode_key(df: DataFrame, key: str, out: str = "country_enc") -> DataFrame:
     """Codes 0..k-1 of a column's distinct values in lexicographic order.
 
     The distinct values are numbered by a range-partitioned sort. The code table
-    is broadcast only when it is small; a large one joins by shuffle.
+    is broadcast only when it is small; a large one joins by shuffle. ``df`` is
+    read twice, so cut its lineage first when it is costly to compute.
     """
     codes, total = number_rows(df.select(key).distinct(), [key], "_code")
     codes = codes.selectExpr(key, f"CAST(_code - 1 AS INT) AS {out}")

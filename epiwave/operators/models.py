@@ -18,6 +18,7 @@ from pyspark.ml.feature import IndexToString, StringIndexerModel, VectorAssemble
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from ..spec import ModelSettings
 from .features import Standardizer, balanced_weights, fit_standardizer
 from .splits import tail_holdout
@@ -82,6 +83,8 @@ def train_rf(train: DataFrame, cols: Sequence[str], labels: Sequence[str], s: Mo
 
 def train_gbt(train: DataFrame, cols: Sequence[str], labels: Sequence[str], s: ModelSettings = ModelSettings()) -> PhaseModel:
     """One boosted model per class; the class models train in parallel."""
+    # With a folder set, boosting cuts its growing lineage there every few rounds.
+    shared_dir(train.sparkSession)
     gbt = GBTClassifier(
         featuresCol=FEATURES, labelCol=LABEL, maxIter=s.gbt_rounds, maxDepth=s.gbt_depth, stepSize=s.gbt_rate, seed=s.seed
     )

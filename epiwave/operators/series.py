@@ -26,7 +26,8 @@ BUCKET = "week"
 def over(spec: SeriesSpec, time: str | None = None, rows: tuple[str, str] | None = None) -> str:
     """OVER clause of a series in time order, with an optional ROWS frame."""
     frame = f" ROWS BETWEEN {rows[0]} AND {rows[1]}" if rows else ""
-    return f"OVER (PARTITION BY {', '.join(spec.keys)} ORDER BY {time or spec.time}{frame})"
+    keys = ", ".join(f"`{k}`" for k in spec.keys)
+    return f"OVER (PARTITION BY {keys} ORDER BY `{time or spec.time}`{frame})"
 
 
 # ---------------------------------------------------------------- daily level

@@ -7,7 +7,7 @@ once, because the curve fit, the features and the reports all start from it.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,7 +113,7 @@ def multi_country_study(
     fitted = fits.select(*spec.keys, F.lit(True).alias("_fitted"))
     marked = study.predictions.join(fitted, list(spec.keys), "left")
     preds = with_subset(marked, F.coalesce(F.col("_fitted"), F.lit(False)), "SEIR", SUBSET_SUFFIX).drop("_fitted")
-    return Study(**{**study.__dict__, "predictions": preds})
+    return replace(study, predictions=preds)
 
 
 def single_country_study(
