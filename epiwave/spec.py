@@ -45,7 +45,8 @@ class SeriesSpec:
     """How a table of cumulative reports is read as keyed time series.
 
     keys           columns that identify one series
-    time           report time (date or timestamp), unique per series after de-duplication
+    time           report time at a calendar grain (a date, or a timestamp truncated to the hour),
+                   so that a de-duplicated series is no longer than its calendar
     bucket         rollup grain: 'week' (Monday start) or 'day'
     cumulative     monotone counters; each yields an increment column
     gauges         levels that are carried by their last value

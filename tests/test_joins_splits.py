@@ -96,3 +96,12 @@ def test_top_k_and_labels(spark):
     labels = MULTI_COUNTRY_FEATURES.labels()
     assert labels["cum_deaths_lag1"] == "Cumulative deaths (lag 1 wk)" and labels["cases_3w_avg"] == "3-week avg cases"
     assert len(labels) == 14
+
+
+def test_interpolation_with_one_hot_key(spark):
+    """Most queries fall on one key and one cell; each still meets one segment."""
+    samples = spark.createDataFrame([(k, float(t), float(t * t)) for k in ("hot", "cold") for t in range(5)], "k string, t double, y double")
+    queries = spark.range(20_000).selectExpr("IF(id % 10 = 0, 'cold', 'hot') AS k", "2D + (id % 4) / 4D AS t", "id")
+    out = joins.interp_join(queries, samples, ["k"], "t", "y", "v")
+    assert out.count() == 20_000 and out.select("id").distinct().count() == 20_000
+    assert out.where("v <> 5D * (t - 2D) + 4D").count() == 0
