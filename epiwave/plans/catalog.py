@@ -14,7 +14,7 @@ from ..session import cut_lineage, scratch_path
 from ..spec import MULTI_COUNTRY_FEATURES, PHASE_ORDER, PHASES, CurveSpec, ModelSettings
 from . import pipelines
 from . import testbed as tb
-from .reference_sql import DAY, WEEK, sql
+from .plain_sql import DAY, WEEK, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
