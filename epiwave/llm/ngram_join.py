@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epiwave import session
+from epiwave.llm.common import arrow_rows
 from epiwave.llm.components import components
 
 SLOTS = 512
@@ -213,7 +214,8 @@ def links_of(pairs: DataFrame, docs: DataFrame, reps: DataFrame, how: JaccardJoi
     partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", F.arrow_udf(common, "long")("ga", "gb").alias("shared"))
     overlap = partial.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
     enough = F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * how.percent
-    return session.cut_lineage(overlap.filter(enough).select("a", "b"))
+    with arrow_rows(docs.sparkSession, 500):
+        return session.cut_lineage(overlap.filter(enough).select("a", "b"))
 
 
 def leader_pairs(shared: DataFrame, percent: int) -> DataFrame:

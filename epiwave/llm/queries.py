@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epiwave.llm import bpe, line_dedup, ngram_join, packing, quality, url_filter
+from epiwave.llm import bpe, embedding_dedup, license_scan, line_dedup, ngram_join, packing, quality, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op2_vector_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_epsilon_grid_join(spark, sf_dir):
+    return embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+def op6_template_automata(spark, sf_dir):
+    return license_scan.scan_table(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_vertical_jaccard(spark, sf_dir):
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), ngram_join.JaccardJoin(words=3, percent=90))
 
@@ -40,7 +48,7 @@ def op8_levelled_line_runs(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_packing, op3_compression_bands, op4_trie_bpe, op7_vertical_jaccard, op8_levelled_line_runs, op10_url_regression)}
+QUERIES = {f.__name__: f for f in (op2_vector_packing, op3_compression_bands, op4_trie_bpe, op5_epsilon_grid_join, op6_template_automata, op7_vertical_jaccard, op8_levelled_line_runs, op10_url_regression)}
 
 
 ORACLES: dict[str, str] = {
@@ -59,6 +67,16 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op5_epsilon_grid_join": """
+WITH RECURSIVE l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.93
+), r(vec_id, c) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.c
+)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, m.c AS component_id, e.vec_id = m.c AS kept
+FROM embeddings e JOIN (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id) m USING (vec_id)
 """,
     "op7_vertical_jaccard": r"""
 WITH RECURSIVE w AS (
