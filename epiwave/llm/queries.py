@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epiwave.llm import bpe, embedding_dedup, license_scan, line_dedup, ngram_join, packing, quality, url_filter
+from epiwave.llm import bpe, embedding_dedup, html_extract, license_scan, line_dedup, ngram_join, packing, quality, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op4_trie_bpe(spark, sf_dir):
     return bpe.encode_table(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
 
 
+def op9_template_slots(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages")).drop("blocks")
+
+
 def op10_url_regression(spark, sf_dir):
     model = url_filter.train_url_model(url_filter.labelled_urls(spark))
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), model)
@@ -48,7 +52,7 @@ def op8_levelled_line_runs(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_packing, op3_compression_bands, op4_trie_bpe, op5_epsilon_grid_join, op6_template_automata, op7_vertical_jaccard, op8_levelled_line_runs, op10_url_regression)}
+QUERIES = {f.__name__: f for f in (op2_vector_packing, op3_compression_bands, op4_trie_bpe, op5_epsilon_grid_join, op6_template_automata, op7_vertical_jaccard, op8_levelled_line_runs, op9_template_slots, op10_url_regression)}
 
 
 ORACLES: dict[str, str] = {
