@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epiwave.llm import bpe, embedding_dedup, html_extract, license_scan, line_dedup, ngram_join, packing, quality, url_filter
+from epiwave.llm import bpe, chat_format, embedding_dedup, html_extract, license_scan, line_dedup, ngram_join, packing, quality, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op10_url_regression(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), model)
 
 
+def op1_viterbi_roles(spark, sf_dir):
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op2_vector_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -52,7 +56,7 @@ def op8_levelled_line_runs(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_vector_packing, op3_compression_bands, op4_trie_bpe, op5_epsilon_grid_join, op6_template_automata, op7_vertical_jaccard, op8_levelled_line_runs, op9_template_slots, op10_url_regression)}
+QUERIES = {f.__name__: f for f in (op1_viterbi_roles, op2_vector_packing, op3_compression_bands, op4_trie_bpe, op5_epsilon_grid_join, op6_template_automata, op7_vertical_jaccard, op8_levelled_line_runs, op9_template_slots, op10_url_regression)}
 
 
 ORACLES: dict[str, str] = {
