@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from epiwave import session
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -19,3 +21,21 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(BATCH_ROWS, before)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table of the shared folder; the shuffle files of its job go at once.
+
+    Spark drops shuffle files when the driver's collector finds their plan gone, which may be long after the job.
+    """
+    out = session.cut_lineage(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Removes a table that ``stored`` made and that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

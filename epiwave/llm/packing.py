@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from epiwave import session
+from epiwave.llm.common import stored
 
 #: Words whose ids a worker keeps; beyond it the store starts anew.
 KEPT_WORDS = 1_000_000
@@ -42,26 +42,56 @@ class Capacities:
 
 
 class WordEncoder:
-    """Ids of texts whose tokens never cross a space or line end; keeps the ids of the words it has seen."""
+    """Ids of texts whose tokens never cross a space or line end; keeps the ids of the words it has seen.
+
+    New words go to the tokenizer many at once, as one text with a private-use character as a word between them; its
+    bytes end no other word, so its ids part the result.
+    """
+
+    MARK = "\ue000"
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > KEPT_WORDS:
-                known = self.known = {"": b""}
-            new = [w for w in set(words) if w not in known]
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(known.__getitem__, words))
+        self.mark = np.array(self.ids(self.MARK), np.uint32)
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def learn(self, words: list[str]) -> None:
+        plain = [w for w in words if self.MARK not in w]
+        texts = [plain[k : k + 500] for k in range(0, len(plain), 500)]
+        encoded = self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(t) + f" {self.MARK}" for t in texts], add_special_tokens=False)
+        for part, e in zip(texts, encoded, strict=True):
+            ids, n = np.array(e.ids, "<u4"), len(self.mark)
+            ends = np.flatnonzero(np.logical_and.reduce([ids[k : len(ids) - n + 1 + k] == m for k, m in enumerate(self.mark)]))
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(part, ends.tolist(), strict=True):
+                self.known[w] = raw[4 * start : 4 * end]
+                start = end + n
+        for w in words:
+            if self.MARK in w:
+                self.known[w] = np.array(self.ids(w), "<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; new words are learnt for many texts at once."""
+        group, size = [], 0
+        for k, text in enumerate(texts):
+            group.append(text.replace("\n", " ").split(" "))
+            size += len(text)
+            if size < 1_000_000 and k + 1 < len(texts):
+                continue
+            words = set().union(*group)
+            new = [w for w in words if w not in self.known]
+            if len(self.known) + len(new) > KEPT_WORDS:
+                self.known, new = {"": b""}, [w for w in words if w]
+            self.learn(new)
+            known = self.known
+            for parts in group:
+                yield b"".join(map(known.__getitem__, parts))
+            group, size = [], 0
 
 
 @lru_cache(maxsize=2)
@@ -82,8 +112,8 @@ def token_pieces(docs: DataFrame, path: str, tokens: int = 2048, end_id: int = 0
         enc = word_encoder(path)
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []
-            for row, text in enumerate(batch.column(1)):
-                raw = enc.encode(text.as_py() or "") + end
+            for row, raw in enumerate(enc.encode([t or "" for t in batch.column(1).to_pylist()])):
+                raw += end
                 for k, at in enumerate(range(0, len(raw), 4 * tokens)):
                     part = raw[at : at + 4 * tokens]
                     doc.append(row)
@@ -172,7 +202,7 @@ def pack(pieces: DataFrame, caps: Capacities = Capacities(), length_col="length"
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(nth), pa.int32()), pa.array(nth, pa.int64())], names=[*others, "__part", "__nth"])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__nth", T.LongType())])
-    numbered = session.cut_lineage(kept.mapInArrow(number, schema))
+    numbered = stored(kept.mapInArrow(number, schema))
     by_part = numbered.groupBy("__part", length_col).agg(F.count("*").alias("__n"))
     before = Window.partitionBy(length_col).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_part.select("__part", length_col, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
