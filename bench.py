@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -16,7 +17,7 @@ from epiwave.plans import catalog
 HEADLINE = (
     "phase_distribution", "phase_distribution_suppliers", "weekly_rollup", "weekly_rollup_gauges", "label_phases",
     "select_features", "standardize", "balanced_weights", "tail_holdout", "interp_join", "join_at_offset",
-    "phase_curve_full", "class_report", "compare_models", "curve_table", "sweep_grid", "sweep_fit",
+    "phase_curve_full", "class_report", "compare_models",
     "train_rf", "train_gbt", "train_lr", "train_mlp",
 )
 
@@ -31,6 +32,7 @@ def main():
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")

@@ -45,8 +45,8 @@ def parse_number(x: str) -> str:
 
 
 def fill_zero(x: str) -> str:
-    """NULL -> 0, truncated towards zero into a long."""
-    return f"CAST(coalesce({x}, 0) AS BIGINT)"
+    """Truncated towards zero into a long; missing and beyond the range of a long -> 0."""
+    return f"coalesce(try_cast({x} AS BIGINT), 0L)"
 
 
 def week_start(t: str) -> str:

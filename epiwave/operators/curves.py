@@ -1,312 +1,44 @@
-"""Compartment curves: distributed parameter sweep and daily trajectories.
+"""Tables around epidemic curves: observed curves, their fit to reports, reproduction numbers.
 
-The sweep runs in two Spark steps. First every (series, stripe of the candidate
-grid) is scored; then the grid winner of each series, next to the customary
-starting point, is refined. A row carries its series as an array of at most one
-observation per bucket, so its size is bounded by the calendar. Tasks step all
-candidates of a block of rows together as numpy arrays and keep running sums
-only; losing candidates never leave the task, and the winner per series is found
-by a partially aggregated ``min_by``.
+A curve is a table of (key, day, value), day 0 being the start of its series. Curves fitted elsewhere are read in as
+such tables; ``observed_curve`` makes one of daily counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from math import ceil
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import days_between, ratio
-from ..session import cut_lineage
-from ..spec import CurveSpec, SeriesSpec
-from .series import BUCKET, initial_value
+from ..spec import SeriesSpec
+from .series import BUCKET
 
-# Rows stepped together in one numpy block.
-BLOCK_ROWS = 64
-# Rates per day beyond this are too fast for the one-day step.
-FASTEST_RATE = 2.5
-FIT_COLUMNS = ("beta", "rate", "sse")
 
+def observed_curve(counts: DataFrame, spans: DataFrame, keys: Sequence[str], time: str, value: str, out: str = "infectious") -> DataFrame:
+    """(key, day, ``out``): the daily counts from t0 to t_end of each span (key, t0, t_end), 0 on silent days.
 
-def _slopes(s, e, i, infect, sigma, gamma):
-    infection = infect * s * i
-    onset = sigma * e
-    return infection, infection - onset, onset - gamma * i
-
-
-def step_day(s, e, i, infect, sigma, gamma):
-    """Advance susceptible, exposed and infectious by one day (classic fourth-order step).
-
-    ``infect`` is beta / N; the removed are N minus the other three.
-    """
-    a = _slopes(s, e, i, infect, sigma, gamma)
-    b = _slopes(s - 0.5 * a[0], e + 0.5 * a[1], i + 0.5 * a[2], infect, sigma, gamma)
-    c = _slopes(s - 0.5 * b[0], e + 0.5 * b[1], i + 0.5 * b[2], infect, sigma, gamma)
-    d = _slopes(s - c[0], e + c[1], i + c[2], infect, sigma, gamma)
-    ds, de, di = (((q + r) * 2.0 + p + t) / 6.0 for p, q, r, t in zip(a, b, c, d))
-    return s - ds, e + de, i + di
-
-
-def susceptible_days(days, n, e0, i0, beta, sigma, gamma):
-    """Yield (day, susceptible) for rows x candidates, one day at a time."""
-    n, e0, i0 = n[:, None], e0[:, None], i0[:, None]
-    infect = beta / n
-    s, e, i = (np.broadcast_to(y, infect.shape) for y in (n - e0 - i0, e0, i0))
-    for day in range(days):
-        if day:
-            s, e, i = step_day(s, e, i, infect, sigma, gamma)
-        yield day, s
-
-
-def squared_error(observed, n, e0, i0, beta, sigma, gamma):
-    """Sum of (N - S - observed)^2 per row and candidate.
-
-    ``observed`` is rows x days with NaN on days without an observation; the
-    parameters are rows x candidates.
-    """
-    total = np.zeros(beta.shape)
-    with np.errstate(over="ignore", invalid="ignore"):
-        for day, s in susceptible_days(observed.shape[1], n, e0, i0, beta, sigma, gamma):
-            seen = ~np.isnan(observed[:, day])
-            if seen.any():
-                gap = (n[:, None] - s) - observed[:, day, None]
-                total += np.where(seen[:, None], gap * gap, 0.0)
-    # A candidate whose curve leaves the numbers never wins.
-    return np.where(np.isfinite(total), total, np.inf)
-
-
-def _rates(rate, spec: CurveSpec):
-    """(sigma, gamma) for the swept rate."""
-    return (rate, spec.fixed_rate) if spec.compat_swap else (spec.fixed_rate, rate)
-
-
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for at in range(0, len(pdf), BLOCK_ROWS):
-            yield pdf.iloc[at : at + BLOCK_ROWS].reset_index(drop=True)
-
-
-def _block_arrays(pdf: pd.DataFrame):
-    """Observations (rows x days, NaN where none), population and seeds of a block."""
-    observed = np.full((len(pdf), int(pdf["t_max"].max()) + 1), np.nan)
-    for row, (days, levels) in enumerate(zip(pdf["days"], pdf["levels"])):
-        observed[row, np.asarray(days, dtype=int)] = levels
-    return observed, *(pdf[c].to_numpy(float) for c in ("population", "e0", "i0"))
-
-
-def grid_axes(spec: CurveSpec) -> tuple[np.ndarray, np.ndarray]:
-    return np.geomspace(*spec.beta_range, spec.grid[0]), np.geomspace(*spec.rate_range, spec.grid[1])
-
-
-def _score_stripes(spec: CurveSpec, keys: Sequence[str]) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        betas, rates = grid_axes(spec)
-        wide = -(-len(betas) // spec.stripes)
-        # Every stripe gets the same number of betas; the last repeats its final one.
-        stripes = np.array([betas[np.minimum(np.arange(k * wide, (k + 1) * wide), len(betas) - 1)] for k in range(spec.stripes)])
-        for pdf in _blocks(batches):
-            beta = np.repeat(stripes[pdf["stripe"].to_numpy(int)], len(rates), axis=1)
-            rate = np.broadcast_to(np.tile(rates, wide), beta.shape)
-            sigma, gamma = _rates(rate, spec)
-            errors = squared_error(*_block_arrays(pdf), beta, sigma, gamma)
-            at = errors.argmin(axis=1)[:, None]
-            fit = [np.take_along_axis(x, at, axis=1)[:, 0] for x in (beta, rate, errors)]
-            yield pdf[list(keys)].assign(**dict(zip(FIT_COLUMNS, fit)))
-
-    return run
-
-
-def normal_equations(observed, n, e0, i0, beta, rate, spec: CurveSpec, nudge: float = 1e-5):
-    """Squared error and its Gauss-Newton sums by log beta and log rate, per row and candidate.
-
-    Returns (sse, j1.j1, j1.j2, j2.j2, j1.gap, j2.gap), each rows x candidates.
-    """
-    k = beta.shape[1]
-    betas = np.concatenate([beta, beta * (1 + nudge), beta], axis=1)
-    rates = np.concatenate([rate, rate, rate * (1 + nudge)], axis=1)
-    sigma, gamma = _rates(rates, spec)
-    sums = np.zeros((6, len(beta), k))
-    for day, s in susceptible_days(observed.shape[1], n, e0, i0, betas, sigma, gamma):
-        seen = ~np.isnan(observed[:, day])
-        if seen.any():
-            gap = (n[:, None] - s[:, :k]) - observed[:, day, None]
-            j1, j2 = (s[:, :k] - s[:, k : 2 * k]) / nudge, (s[:, :k] - s[:, 2 * k :]) / nudge
-            parts = np.stack([gap * gap, j1 * j1, j1 * j2, j2 * j2, j1 * gap, j2 * gap])
-            sums += np.where(seen[:, None], parts, 0.0)
-    sums[0] = np.where(np.isfinite(sums).all(axis=0), sums[0], np.inf)
-    return sums
-
-
-def _refine(spec: CurveSpec, keys: Sequence[str]) -> Callable:
-    """Damped Gauss-Newton steps on log axes, all dampings of a block tried at once."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        damping = np.geomspace(1e-6, 1e4, 11)
-        for pdf in _blocks(batches):
-            observed, *start = _block_arrays(pdf)
-            beta, rate = pdf["beta0"].to_numpy(float), pdf["rate0"].to_numpy(float)
-            with np.errstate(all="ignore"):
-                best = normal_equations(observed, *start, beta[:, None], rate[:, None], spec)[:, :, 0]
-                for _ in range(spec.refine_rounds):
-                    a11, a12, a22 = best[1][:, None] * (1 + damping), best[2][:, None], best[3][:, None] * (1 + damping)
-                    b1, b2 = best[4][:, None], best[5][:, None]
-                    det = a11 * a22 - a12 * a12
-                    steps = (a12 * b2 - a22 * b1) / det, (a12 * b1 - a11 * b2) / det
-                    near = [
-                        np.minimum(x[:, None] * np.exp(np.clip(np.nan_to_num(d), -1, 1)), FASTEST_RATE)
-                        for x, d in zip((beta, rate), steps)
-                    ]
-                    found = normal_equations(observed, *start, *near, spec)
-                    at = found[0].argmin(axis=1)
-                    rows = np.arange(len(at))
-                    gain = best[0] - found[0, rows, at]
-                    better = gain > 0
-                    beta, rate = (np.where(better, x[rows, at], old) for x, old in zip(near, (beta, rate)))
-                    settled = gain <= spec.tolerance * best[0]
-                    best = np.where(better, found[:, rows, at], best)
-                    if settled.all():
-                        break
-            yield pdf[list(keys)].assign(beta=beta, rate=rate, sse=best[0])
-
-    return run
-
-
-def series_arrays(weekly: DataFrame, populations: DataFrame, spec: SeriesSpec, level: str = "cum_cases") -> DataFrame:
-    """One row per series with its seeds, population and observations.
-
-    The weekly table has one row per key and bucket, so an array holds at most
-    one entry per calendar bucket.
-    """
-    seeds = initial_value(weekly, spec, BUCKET, level)
-    dated = weekly.join(seeds, list(spec.keys)).selectExpr(
-        *spec.keys, "t0", "y0", "t_max", "e0", "i0",
-        f"named_struct('day', {days_between(BUCKET, 't0')}, 'level', CAST({level} AS DOUBLE)) AS _obs",
-    )
-    packed = dated.groupBy(*spec.keys, "t0", "y0", "t_max", "e0", "i0").agg(
-        F.sort_array(F.collect_list("_obs")).alias("_obs")
-    )
-    named = packed.select(
-        *spec.keys, "t0", "y0", "t_max", "e0", "i0",
-        F.col("_obs.day").alias("days"), F.col("_obs.level").alias("levels"),
-    )
-    people = populations.select(*spec.keys, F.col("population").cast("double").alias("population"))
-    return named.join(people, list(spec.keys), "inner")
-
-
-def _spread(df: DataFrame, by: Sequence[str], rows: int) -> DataFrame:
-    """Spread rows over enough tasks to use the cluster while tasks still fill their blocks."""
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, ceil(rows / (4 * BLOCK_ROWS)))
-    return df.repartition(tasks, *by)
-
-
-def _fit_schema(df: DataFrame, keys: Sequence[str]) -> T.StructType:
-    return T.StructType([df.schema[k] for k in keys] + [T.StructField(c, T.DoubleType()) for c in FIT_COLUMNS])
-
-
-def _best(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    pick = F.min_by(F.struct(*FIT_COLUMNS), F.struct("sse", "beta", "rate")).alias("_fit")
-    return scored.groupBy(*keys).agg(pick).select(*keys, "_fit.*")
-
-
-def grid_fit(series: DataFrame, keys: Sequence[str], curve: CurveSpec, rows: int) -> DataFrame:
-    """Best grid candidate per series; ``rows`` is the number of series."""
-    spread = series.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(curve.stripes - 1))))
-    spread = _spread(spread, [*keys, "stripe"], rows * curve.stripes)
-    return _best(spread.mapInPandas(_score_stripes(curve, keys), _fit_schema(series, keys)), keys)
-
-
-def refine_fit(series: DataFrame, coarse: DataFrame, keys: Sequence[str], curve: CurveSpec, rows: int) -> DataFrame:
-    """Refine the grid winner and the customary starting point of each series; the better one stays."""
-    starts = F.array(
-        F.struct(F.col("beta").alias("beta0"), F.col("rate").alias("rate0")),
-        F.struct(F.lit(curve.start[0]).alias("beta0"), F.lit(curve.start[1]).alias("rate0")),
-    )
-    begun = coarse.select(*keys, F.inline(starts))
-    spread = _spread(series.join(begun, list(keys)), [*keys, "beta0"], rows * 2)
-    return _best(spread.mapInPandas(_refine(curve, keys), _fit_schema(series, keys)), keys)
-
-
-def sweep_fit(
-    weekly: DataFrame, populations: DataFrame, spec: SeriesSpec, curve: CurveSpec = CurveSpec(), level: str = "cum_cases"
-) -> DataFrame:
-    """Least-squares (beta, rate) for every series that has a population.
-
-    The packed series are computed once and read by both steps; the result, one row
-    per series, is frozen too because curves, phases and reports all start from it.
+    ``counts`` has one row per key and day. A curve is as long as its calendar.
     """
-    keys = spec.keys
-    series = cut_lineage(series_arrays(weekly, populations, spec, level))
-    rows = series.count()
-    fit = grid_fit(series, keys, curve, rows)
-    if curve.refine_rounds:
-        fit = refine_fit(series, fit, keys, curve, rows)
-    sigma, gamma = (r if isinstance(r, Column) else F.lit(r) for r in _rates(F.col("rate"), curve))
-    facts = series.drop("days", "levels")
-    return cut_lineage(fit.join(facts, list(keys)).withColumns({"sigma": sigma, "gamma": gamma}))
+    days = F.explode(F.sequence("t0", "t_end", F.expr("interval 1 day")))
+    dated = spans.where("t0 <= t_end").select(*keys, "t0", days.alias(time))
+    seen = counts.select(*keys, F.col(time).cast("date").alias(time), F.col(value).cast("double").alias(out))
+    full = dated.join(seen, [*keys, time], "left")
+    return full.select(*keys, F.expr(days_between(f"`{time}`", "t0")).alias("day"), F.coalesce(out, F.lit(0.0)).alias(out))
 
 
-def reproduction_number(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """R0 as beta over the swept rate."""
-    return fits.selectExpr(*keys, "beta", "rate AS gamma", f"{ratio('beta', 'rate')} AS r0")
-
-
-def _trace(keys: Sequence[str]) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in _blocks(batches):
-            n, e0, i0, beta, sigma, gamma = (
-                pdf[c].to_numpy(float) for c in ("population", "e0", "i0", "beta", "sigma", "gamma")
-            )
-            horizon = pdf["horizon"].to_numpy(int)
-            infect = beta / n
-            days = [(n - e0 - i0, e0, i0)]
-            for _ in range(int(horizon.max())):
-                days.append(step_day(*days[-1], infect, sigma, gamma))
-            cube = np.asarray(days)
-            length = horizon + 1
-            row = np.repeat(np.arange(len(pdf)), length)
-            day = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-            s, e, i = (cube[day, at, row] for at in range(3))
-            out = pdf[list(keys)].iloc[row].reset_index(drop=True)
-            yield out.assign(day=day, susceptible=s, exposed=e, infectious=i, removed=n[row] - s - e - i)
-
-    return run
-
-
-def curve_table(params: DataFrame, keys: Sequence[str], horizon: str = "horizon", tasks: int | None = None) -> DataFrame:
-    """Daily S, E, I, R per parameter row as a long table.
-
-    ``params`` needs population, e0, i0, beta, sigma, gamma and the last day. Its
-    rows are small but expand to a row per day, so the number of tasks is stated
-    rather than derived from their size.
-    """
-    tasks = tasks or params.sparkSession.sparkContext.defaultParallelism
-    fields = [f for f in params.schema if f.name in keys]
-    schema = T.StructType(
-        fields
-        + [T.StructField("day", T.IntegerType())]
-        + [T.StructField(c, T.DoubleType()) for c in ("susceptible", "exposed", "infectious", "removed")]
-    )
-    rows = params.select(
-        *keys, "population", "e0", "i0", "beta", "sigma", "gamma", F.col(horizon).cast("int").alias("horizon")
-    ).repartition(tasks, *keys)
-    return rows.mapInPandas(_trace(keys), schema)
-
-
-def fitted_curves(fits: DataFrame, keys: Sequence[str], curve: CurveSpec = CurveSpec()) -> DataFrame:
-    """Curves of the fitted series up to their last observation plus the look-ahead."""
-    return curve_table(fits.withColumn("horizon", F.col("t_max") + curve.horizon_pad), keys)
+def cumulative_curve(curve: DataFrame, keys: Sequence[str], value: str = "infectious", out: str = "modelled") -> DataFrame:
+    """(key, day, ``out``): the running total of a curve."""
+    w = Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return curve.select(*keys, "day", F.sum(value).over(w).alias(out))
 
 
-def fit_vs_observed(weekly: DataFrame, fits: DataFrame, curves: DataFrame, spec: SeriesSpec, level: str = "cum_cases") -> DataFrame:
-    """Observed level and modelled N - S on every observation day."""
-    starts = fits.select(*spec.keys, "t0", "population")
-    dated = weekly.join(starts, list(spec.keys)).selectExpr("*", f"{days_between(BUCKET, 't0')} AS day")
-    return dated.join(curves, [*spec.keys, "day"]).selectExpr(
-        *spec.keys, "day", f"CAST({level} AS DOUBLE) AS observed", "population - susceptible AS modelled"
+def fit_vs_observed(weekly: DataFrame, starts: DataFrame, curve: DataFrame, spec: SeriesSpec, level: str = "cum_cases", value: str = "modelled") -> DataFrame:
+    """Observed level and the curve's value on every observation day that the curve has."""
+    dated = weekly.join(starts.select(*spec.keys, "t0"), list(spec.keys)).withColumn("day", F.expr(days_between(BUCKET, "t0")))
+    return dated.join(curve, [*spec.keys, "day"]).select(
+        *spec.keys, "day", F.col(level).cast("double").alias("observed"), F.col(value).alias("modelled")
     )
 
 
@@ -314,3 +46,8 @@ def sum_squared_error(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sum of (modelled - observed)^2 per series or per (series, candidate)."""
     gap = F.col("modelled") - F.col("observed")
     return pairs.groupBy(*keys).agg(F.sum(gap * gap).alias("sse"))
+
+
+def reproduction_number(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """R0 as beta over the other rate of a fit."""
+    return fits.selectExpr(*keys, "beta", "rate AS gamma", f"{ratio('beta', 'rate')} AS r0")

@@ -51,14 +51,17 @@ def confusion(preds: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
 
 
 def label_stats(counts: DataFrame, group: Sequence[str] = GROUP) -> DataFrame:
-    """Per label: true positives, predicted, support, precision, recall, F1 (0 on a zero denominator)."""
+    """Per label: true positives, predicted, support, precision, recall, F1 (0 on a zero denominator).
+
+    A missing prediction counts in the support of its true label and is no label itself.
+    """
     hit = F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(F.lit(0))
     zero = F.lit(0).cast("long")
     sides = F.array(
         F.struct(F.col("truth").alias("label"), F.col("n").alias("support"), zero.alias("predicted"), hit.cast("long").alias("tp")),
         F.struct(F.col("pred").alias("label"), zero.alias("support"), F.col("n").alias("predicted"), zero.alias("tp")),
     )
-    sums = counts.select(*group, F.inline(sides)).groupBy(*group, "label").agg(
+    sums = counts.select(*group, F.inline(sides)).where(F.col("label").isNotNull()).groupBy(*group, "label").agg(
         *[F.sum(c).alias(c) for c in ("tp", "predicted", "support")]
     )
     return sums.withColumns(_scores(F.col("tp"), F.col("predicted"), F.col("support")))
@@ -90,34 +93,39 @@ def class_report(preds: DataFrame, labels: Sequence[str], group: Sequence[str] =
 
     A label of the list without rows scores 0. When the list misses a label that
     occurs, the overall row is the micro average over the list instead of accuracy.
+    Accuracy is the share of all rows that were hit, rows without a prediction included.
     """
     stats = label_stats(confusion(preds, group), group)
-    listed = F.array(*map(F.lit, sorted(labels)))
-    present = stats.groupBy(*group).agg(F.collect_set("label").alias("_seen"))
-    covered = F.size(F.array_except("_seen", listed)) == 0
-    frame = present.select(*group, covered.alias("_covered"), F.explode(listed).alias("label"))
-    zeros = {c: F.coalesce(F.col(c), F.lit(0).cast("long")) for c in ("tp", "predicted", "support")}
-    zeros |= {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("precision", "recall", "f1")}
-    rows = frame.join(stats, [*group, "label"], "left").withColumns(zeros)
-
+    names = sorted(labels)
+    counts = ("tp", "predicted", "support")
+    by_label = F.map_from_entries(F.collect_list(F.struct("label", F.struct(*counts))))
+    found = stats.groupBy(*group).agg(by_label.alias("_of"))
+    listed = [F.struct(F.lit(n).alias("label"), *[F.coalesce(F.col("_of")[n][c], F.lit(0).cast("long")).alias(c) for c in counts]) for n in names]
+    covered = F.size(F.array_except(F.map_keys("_of"), F.array(*map(F.lit, names)))) == 0
+    rows = found.select(*group, covered.alias("_covered"), F.inline(F.array(*listed)))
+    rows = rows.withColumns(_scores(F.col("tp"), F.col("predicted"), F.col("support")))
+
+    measures = ("precision", "recall", "f1")
     support = F.sum("support")
-    overall = _scores(F.sum("tp"), F.sum("predicted"), support)
-    share = {
-        c: F.coalesce(F.sum(F.col(c) * F.col("support")) / F.nullif(support, F.lit(0)), F.lit(0.0))
-        for c in ("precision", "recall", "f1")
-    }
+    micro = _scores(F.sum("tp"), F.sum("predicted"), support)
+    overall = {c: F.when(F.col("_covered"), micro["recall"]).otherwise(micro[c]) for c in measures}
+    share = {c: F.coalesce(F.sum(F.col(c) * F.col("support")) / F.nullif(support, F.lit(0)), F.lit(0.0)) for c in measures}
 
     def line(name: Column, values: Mapping[str, Column]) -> Column:
-        return F.struct(name.alias("label"), *[values[c].alias(c) for c in ("precision", "recall", "f1")], support.alias("support"))
-
-    totals = rows.groupBy(*group, "_covered").agg(
-        F.array(
-            line(F.when(F.col("_covered"), F.lit("accuracy")).otherwise(F.lit("micro avg")), overall),
-            line(F.lit("macro avg"), {c: F.avg(c) for c in ("precision", "recall", "f1")}),
-            line(F.lit("weighted avg"), share),
+        return F.struct(name.alias("label"), *[values[c].alias(c) for c in measures], support.alias("support"))
+
+    # One pass: the lines of the labels and the averages leave the same aggregation.
+    lines = rows.groupBy(*group, "_covered").agg(
+        F.concat(
+            F.collect_list(F.struct("label", *measures, "support")),
+            F.array(
+                line(F.when(F.col("_covered"), F.lit("accuracy")).otherwise(F.lit("micro avg")), overall),
+                line(F.lit("macro avg"), {c: F.avg(c) for c in measures}),
+                line(F.lit("weighted avg"), share),
+            ),
         ).alias("_lines")
-    ).select(*group, F.inline("_lines"))
-    return rows.select(*group, "label", "precision", "recall", "f1", "support").unionByName(totals)
+    )
+    return lines.select(*group, F.inline("_lines"))
 
 
 def model_kind(model: Column | str, kinds: Mapping[str, str] = MODEL_KINDS, default: str = "Machine Learning") -> Column:

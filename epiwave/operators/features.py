@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns, scrub_nonfinite
-from ..spec import FeatureSpec, PhaseRule, SeriesSpec
-from .joins import join_dimension, size_checked
+from ..spec import PHASES, FeatureSpec, PhaseRule, SeriesSpec
+from .joins import BROADCAST_ROWS, join_dimension
 from .phases import label_phases
 from .series import BUCKET, window_features
 from .splits import number_rows
@@ -19,13 +20,19 @@ from .splits import number_rows
 def encode_key(df: DataFrame, key: str, out: str = "country_enc") -> DataFrame:
     """Codes 0..k-1 of a column's distinct values in lexicographic order.
 
-    The distinct values are numbered by a range-partitioned sort. The code table
-    is broadcast only when it is small; a large one joins by shuffle. ``df`` is
-    read twice, so cut its lineage first when it is costly to compute.
+    Up to ``BROADCAST_ROWS`` values are numbered from one short list and broadcast;
+    more by a range-partitioned sort and a shuffled join, with the same codes. ``df``
+    is read twice, so cut its lineage first when it is costly to compute.
     """
-    codes, total = number_rows(df.select(key).distinct(), [key], "_code")
-    codes = codes.selectExpr(key, f"CAST(_code - 1 AS INT) AS {out}")
-    return join_dimension(df, codes, key, rows=total)
+    values = df.select(key).distinct()
+    found = [r[0] for r in values.limit(BROADCAST_ROWS + 1).collect()]
+    if len(found) <= BROADCAST_ROWS:
+        known = sorted(v for v in found if v is not None)
+        rows = [(v, k) for k, v in enumerate(known, start=len(found) - len(known))]
+        codes = df.sparkSession.createDataFrame(rows, T.StructType([df.schema[key], T.StructField(out, T.IntegerType())]))
+        return join_dimension(df, codes, key, rows=len(rows))
+    codes, total = number_rows(values, [key], "_code")
+    return join_dimension(df, codes.select(key, (F.col("_code") - 1).cast("int").alias(out)), key, rows=total)
 
 
 def drop_incomplete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -34,7 +41,7 @@ def drop_incomplete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def scrub(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Non-finite and missing feature values -> 0.0."""
-    return df.withColumns(columns({c: f"coalesce({scrub_nonfinite(f'CAST({c} AS DOUBLE)')}, 0D)" for c in cols}))
+    return df.withColumns(columns({c: f"coalesce({scrub_nonfinite(f'CAST(`{c}` AS DOUBLE)')}, 0D)" for c in cols}))
 
 
 def select_features(df: DataFrame, features: FeatureSpec, keep: Sequence[str]) -> DataFrame:
@@ -73,13 +80,13 @@ class Standardizer:
 
     def apply(self, df: DataFrame) -> DataFrame:
         fits = zip(self.cols, self.means, self.scales)
-        return df.withColumns(columns({c: f"({c} - ({m!r}D)) / {s!r}D" for c, m, s in fits}))
+        return df.withColumns(columns({c: f"(`{c}` - ({m!r}D)) / {s!r}D" for c, m, s in fits}))
 
 
 def column_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row per column: mean and population standard deviation, in a single pass."""
-    stats = df.agg(*[F.expr(f"named_struct('feature', '{c}', 'mean', avg({c}), 'std', stddev_pop({c})) AS {c}") for c in cols])
-    return stats.selectExpr(f"inline(array({', '.join(cols)}))")
+    stats = df.agg(*[F.struct(F.lit(c).alias("feature"), F.avg(F.col(f"`{c}`")).alias("mean"), F.stddev_pop(F.col(f"`{c}`")).alias("std")).alias(c) for c in cols])
+    return stats.select(F.inline(F.array(*[F.col(f"`{c}`") for c in cols])))
 
 
 def fit_standardizer(train: DataFrame, cols: Sequence[str]) -> Standardizer:
@@ -101,6 +108,6 @@ def class_weights(train: DataFrame, label: str = "phase") -> DataFrame:
 
 
 def balanced_weights(train: DataFrame, label: str = "phase", out: str = "weight") -> DataFrame:
-    """Attach the class weight to every training row without shuffling by class."""
+    """Attach the class weight to every training row without shuffling by class; the classes are the phases."""
     weights = class_weights(train, label).select(label, F.col("weight").alias(out))
-    return train.join(size_checked(weights), label, "left")
+    return join_dimension(train, weights, label, rows=len(PHASES))

@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from ..spec import SeriesSpec
 
 # A lookup table is broadcast only up to this many rows; beyond it the join shuffles.
@@ -19,12 +18,6 @@ def join_increments(levels: DataFrame, steps: DataFrame, spec: SeriesSpec) -> Da
     return levels.join(steps, [*spec.keys, spec.time], "inner")
 
 
-def size_checked(dim: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Materialise a derived lookup table once; hint a broadcast if it has at most ``limit`` rows."""
-    frozen = cut_lineage(dim)
-    return F.broadcast(frozen) if frozen.limit(limit + 1).count() <= limit else frozen
-
-
 def join_dimension(
     df: DataFrame,
     dim: DataFrame,
@@ -62,22 +55,17 @@ def join_at_offset(
     return queries.join(both, [*keys, day], "left")
 
 
-def interp_join(
-    queries: DataFrame,
-    samples: DataFrame,
-    keys: Sequence[str],
-    t: str,
-    y: str,
-    out: str = "y",
-    cell: float = 1.0,
-) -> DataFrame:
+def interp_join(queries: DataFrame, samples: DataFrame, keys: Sequence[str], t: str, y: str, out: str = "y") -> DataFrame:
     """Linear interpolation of a sampled curve at the query points, clamped at both ends.
 
     ``samples`` hold one row per (key, t). Each pair of neighbouring samples is a
     segment, laid over the time cells it touches; a query meets only the segments
-    of its own cell. The join is thus an equi-join on (key, cell), which the
+    of its own cell. A cell is as wide as the mean spacing of the key's samples, so
+    all segments together touch at most two cells per sample, whatever the unit of
+    time and however long a gap. The join is an equi-join on (key, cell), which the
     adaptive planner can split when one key receives most queries, and no window
-    runs over the queries.
+    runs over the queries. Queries beyond either end, or of a key without samples,
+    go round the join.
     """
     w = Window.partitionBy(*keys).orderBy(t)
     whole = Window.partitionBy(*keys).orderBy(t).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -91,31 +79,30 @@ def interp_join(
         F.first(F.col(y).cast("double")).over(whole).alias("_ya"),
         F.last(F.col(t).cast("double")).over(whole).alias("_tb"),
         F.last(F.col(y).cast("double")).over(whole).alias("_yb"),
-    )
+        F.count("*").over(whole).alias("_n"),
+    ).withColumn("_width", (F.col("_tb") - F.col("_ta")) / (F.col("_n") - 1))
 
     def cell_of(c: Column) -> Column:
-        return F.floor(c / F.lit(float(cell)))
+        return F.floor((c - F.col("_ta")) / F.col("_width"))
 
     inner = seg.where(F.col("_t1").isNotNull()).select(
         *keys, "_t0", "_y0", "_t1", "_y1",
         F.explode(F.sequence(cell_of(F.col("_t0")), cell_of(F.col("_t1")))).alias("_cell"),
     )
-    ends = seg.where(F.col("_t1").isNull()).select(*keys, "_ta", "_ya", "_tb", "_yb")
-    # A query beyond either end belongs to no segment; its cell is left NULL so that it joins nothing.
+    ends = seg.where(F.col("_t1").isNull()).select(*keys, "_ta", "_ya", "_tb", "_yb", F.when(F.col("_n") > 1, F.col("_width")).alias("_width"))
     q = queries.join(ends, list(keys), "left").withColumn("_q", F.col(t).cast("double"))
-    q = q.withColumn("_cell", F.when((F.col("_q") >= F.col("_ta")) & (F.col("_q") < F.col("_tb")), cell_of(F.col("_q"))))
-    left, right = q.alias("l"), inner.alias("r")
+    between = F.coalesce((F.col("_q") > F.col("_ta")) & (F.col("_q") < F.col("_tb")), F.lit(False))
+    beyond = F.when(F.col("_q") <= F.col("_ta"), F.col("_ya")).when(F.col("_q") >= F.col("_tb"), F.col("_yb"))
+    clamped = q.where(~between).select(*queries.columns, beyond.alias(out))
+    left, right = q.where(between).withColumn("_cell", cell_of(F.col("_q"))).alias("l"), inner.alias("r")
     match = F.col("l._cell") == F.col("r._cell")
     for k in keys:
         match = match & (F.col(f"l.{k}") == F.col(f"r.{k}"))
     match = match & (F.col("l._q") >= F.col("r._t0")) & (F.col("l._q") < F.col("r._t1"))
     slope = (F.col("r._y1") - F.col("r._y0")) / (F.col("r._t1") - F.col("r._t0"))
-    value = (
-        F.when(F.col("l._q") <= F.col("l._ta"), F.col("l._ya"))
-        .when(F.col("l._q") >= F.col("l._tb"), F.col("l._yb"))
-        .otherwise(slope * (F.col("l._q") - F.col("r._t0")) + F.col("r._y0"))
-    )
-    return left.join(right, match, "left").select(*[F.col(f"l.{c}") for c in queries.columns], value.alias(out))
+    value = slope * (F.col("l._q") - F.col("r._t0")) + F.col("r._y0")
+    met = left.join(right, match, "left").select(*[F.col(f"l.{c}") for c in queries.columns], value.alias(out))
+    return met.unionByName(clamped)
 
 
 def attach_predictions(rows: DataFrame, predictions: DataFrame, on: Sequence[str]) -> DataFrame:

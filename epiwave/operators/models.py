@@ -15,6 +15,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from ..spec import ModelSettings
 from .features import Standardizer, balanced_weights, fit_standardizer
 from .splits import tail_holdout
 
+ROWS_PER_TASK = 20_000
 LABEL, FEATURES, WEIGHT, PRED = "label", "features", "weight", "pred"
 
 
@@ -70,13 +72,15 @@ def training_rows(
     """Features, label index and, if asked for, the balanced weight of the training rows."""
     rows = scaler.apply(train) if scaler else train
     rows = balanced_weights(rows, "phase", WEIGHT) if weighted else rows
+    # Tree and gradient passes run many short jobs: as few tasks as the rows fill.
+    rows = rows.coalesce(max(1, -(-train.count() // ROWS_PER_TASK)))
     return label_indexer(labels).transform(assemble(rows, cols)).select(FEATURES, LABEL, *[WEIGHT] * weighted)
 
 
 def train_rf(train: DataFrame, cols: Sequence[str], labels: Sequence[str], s: ModelSettings = ModelSettings()) -> PhaseModel:
     rf = RandomForestClassifier(
         featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, numTrees=s.rf_trees, maxDepth=s.rf_depth,
-        featureSubsetStrategy="sqrt", seed=s.seed,
+        featureSubsetStrategy="sqrt", seed=s.seed, maxMemoryInMB=1024,
     )
     return PhaseModel("Random Forest", rf.fit(training_rows(train, cols, labels, weighted=True)), tuple(cols), tuple(labels))
 
@@ -86,7 +90,7 @@ def train_gbt(train: DataFrame, cols: Sequence[str], labels: Sequence[str], s: M
     # With a folder set, boosting cuts its growing lineage there every few rounds.
     shared_dir(train.sparkSession)
     gbt = GBTClassifier(
-        featuresCol=FEATURES, labelCol=LABEL, maxIter=s.gbt_rounds, maxDepth=s.gbt_depth, stepSize=s.gbt_rate, seed=s.seed
+        featuresCol=FEATURES, labelCol=LABEL, maxIter=s.gbt_rounds, maxDepth=s.gbt_depth, stepSize=s.gbt_rate, seed=s.seed, maxMemoryInMB=512
     )
     ovr = OneVsRest(classifier=gbt, featuresCol=FEATURES, labelCol=LABEL, parallelism=len(labels))
     return PhaseModel("Gradient Boosting", ovr.fit(training_rows(train, cols, labels)), tuple(cols), tuple(labels))
@@ -109,10 +113,43 @@ def _perceptron(n_features: int, n_classes: int, iterations: int, s: ModelSettin
     )
 
 
-def train_mlp(train: DataFrame, cols: Sequence[str], labels: Sequence[str], s: ModelSettings = ModelSettings()) -> PhaseModel:
+def _perceptron_steps(train: DataFrame, cols: Sequence[str], labels: Sequence[str], order: Sequence[str], s: ModelSettings):
+    """(iterations so far, model, losses of its iterations, validation loss) at every documented step.
+
+    Validation rows are the tail of the training rows in the stated order. Each step goes on from the weights of the one
+    before; the optimiser's memory starts anew there, so the steps are part of the settings.
+    """
+    parts = tail_holdout(train, order, holdout=s.validation)
     scaler = fit_standardizer(train, cols)
-    rows = training_rows(train, cols, labels, scaler)
-    model = _perceptron(len(cols), len(labels), s.mlp_iterations, s).fit(rows)
+    index = PipelineModel([VectorAssembler(inputCols=list(cols), outputCol=FEATURES), label_indexer(labels)])
+    scaled = index.transform(scaler.apply(parts)).select(FEATURES, LABEL, "part")
+    scaled = scaled.coalesce(max(1, -(-train.count() // ROWS_PER_TASK))).persist()
+    fit, held = scaled.where("part = 'fit'"), scaled.where("part = 'validation'")
+    judge = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="logLoss")
+    done, weights = 0, None
+    try:
+        for n in sorted({n for n in s.loss_steps if n < s.mlp_iterations} | {s.mlp_iterations}):
+            learner = _perceptron(len(cols), len(labels), n - done, s)
+            if weights is not None:
+                learner = learner.setInitialWeights(weights)
+            model = learner.fit(fit)
+            weights, done = model.weights, n
+            yield n, model, [float(x) for x in model.summary().objectiveHistory], float(judge.evaluate(model.transform(held))), scaler
+    finally:
+        scaled.unpersist()
+
+
+def train_mlp(
+    train: DataFrame, cols: Sequence[str], labels: Sequence[str], s: ModelSettings = ModelSettings(), order: Sequence[str] | None = None
+) -> PhaseModel:
+    """Perceptron on standardised features. With ``order`` the last share of the rows is held out and the step with the
+    lowest validation loss is kept, else all rows train."""
+    if order:
+        steps = [(loss, n, model, scaler) for n, model, _, loss, scaler in _perceptron_steps(train, cols, labels, order, s)]
+        _, _, model, scaler = min(steps, key=lambda x: x[:2])
+    else:
+        scaler = fit_standardizer(train, cols)
+        model = _perceptron(len(cols), len(labels), s.mlp_iterations, s).fit(training_rows(train, cols, labels, scaler))
     return PhaseModel("MLP", model, tuple(cols), tuple(labels), scaler)
 
 
@@ -152,29 +189,31 @@ def coefficients(spark: SparkSession, model: PhaseModel, names: dict[str, str])
 def loss_curve(
     train: DataFrame, cols: Sequence[str], labels: Sequence[str], order: Sequence[str], s: ModelSettings = ModelSettings()
 ) -> DataFrame:
-    """Training loss per iteration and validation loss at chosen iterations.
-
-    Validation rows are the tail of the training rows in the stated order. The
-    optimiser is deterministic for a seed, so stopping after m iterations shows
-    the state of the longer run after m iterations.
-    """
-    spark = train.sparkSession
-    parts = tail_holdout(train, order, holdout=s.validation)
-    fit, held = parts.where(F.col("part") == "fit"), parts.where(F.col("part") == "validation")
-    scaler = fit_standardizer(train, cols)
-    index = PipelineModel([VectorAssembler(inputCols=list(cols), outputCol=FEATURES), label_indexer(labels)])
-    fit_rows = index.transform(scaler.apply(fit)).select(FEATURES, LABEL).persist()
-    held_rows = index.transform(scaler.apply(held)).select(FEATURES, LABEL).persist()
-    judge = MulticlassClassificationEvaluator(labelCol=LABEL, metricName="logLoss")
-    steps = sorted({n for n in s.loss_steps if n <= s.mlp_iterations} | {s.mlp_iterations})
-    losses, history = {}, []
-    try:
-        for n in steps:
-            model = _perceptron(len(cols), len(labels), n, s).fit(fit_rows)
-            losses[n] = float(judge.evaluate(model.transform(held_rows)))
-            history = [float(x) for x in model.summary().objectiveHistory]
-    finally:
-        fit_rows.unpersist()
-        held_rows.unpersist()
-    rows = [(i, x, losses.get(i)) for i, x in enumerate(history)]
-    return spark.createDataFrame(rows, "iteration int, train_loss double, validation_loss double")
+    """Training and validation loss of the perceptron at the documented steps; validation rows are the tail in ``order``."""
+    rows = []
+    for n, _, losses, held, _ in _perceptron_steps(train, cols, labels, order, s):
+        rows.append((n, losses[-1], held))
+    return train.sparkSession.createDataFrame(rows, "iteration int, train_loss double, validation_loss double")
+
+
+def mean_probabilities(model: PhaseModel, train: DataFrame) -> DataFrame:
+    """phase, mean_probability: of each class over the training rows with balanced weights."""
+    rows = _with_probabilities(model, train)
+    sums = rows.agg(*[(F.sum(F.col("_w") * F.col("_p")[k]) / F.sum("_w")).alias(p) for k, p in enumerate(sorted(model.labels))])
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(p).alias("phase"), F.col(f"`{p}`").alias("mean_probability")) for p in sorted(model.labels)])))
+
+
+def _with_probabilities(model: PhaseModel, train: DataFrame) -> DataFrame:
+    rows = model.model.transform(model.prepare(balanced_weights(train, "phase", "_w")))
+    return rows.withColumns({"_p": vector_to_array("probability"), "_x": vector_to_array(FEATURES)})
+
+
+def penalised_gradient(model: PhaseModel, train: DataFrame, s: ModelSettings = ModelSettings()) -> list[list[float]]:
+    """Derivative of the regression's penalised loss by every coefficient, near 0 at its optimum; one pass over the rows."""
+    rows, labels = _with_probabilities(model, train), sorted(model.labels)
+    miss = [F.col("_w") * (F.col("_p")[k] - (F.col("phase") == p).cast("double")) for k, p in enumerate(labels)]
+    sums = rows.agg(F.sum("_w"), F.count("*"), *[F.sum(m * F.col("_x")[j]) for m in miss for j in range(len(model.cols))]).first()
+    total, n, parts = sums[0], sums[1], sums[2:]
+    coef = model.model.coefficientMatrix.toArray()
+    d = len(model.cols)
+    return [[parts[k * d + j] / total + coef[k][j] / (s.lr_c * n) for j in range(d)] for k in range(len(labels))]

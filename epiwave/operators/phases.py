@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import columns, days_between
 from ..spec import CONTAINED, DECLINING, GROWING, STABLE, PhaseRule, SeriesSpec
@@ -42,6 +43,7 @@ def phase_guard(has_fit: str, day: str, phase: str) -> str:
 def curve_phase_expression(now: str, soon: str, population: str, rule: PhaseRule = PhaseRule()) -> str:
     growth = f"{soon} / greatest({now}, 1e-6D)"
     return f"""CASE
+        WHEN {now} IS NULL OR {soon} IS NULL THEN NULL
         WHEN {now} < {population} / {PEOPLE_PER_CASE} THEN '{CONTAINED}'
         WHEN {growth} > {rule.up}D THEN '{GROWING}'
         WHEN {growth} < {rule.down}D THEN '{DECLINING}'
@@ -60,12 +62,18 @@ def phase_from_curve(
 ) -> DataFrame:
     """Add the curve-derived phase to every row, for train and test rows alike.
 
-    ``params`` holds (key, t0, population) of the fitted series; ``curve`` holds
-    (key, day, value). Both have at most one row per key, or per key and day.
+    ``params`` holds (key, t0, population) of the series with a curve; ``curve`` holds
+    (key, day, value). Both have at most one row per key, or per key and day. Past
+    its last day a curve keeps its last value; a day inside without a value gives
+    no phase, a day before ``t0`` is Contained.
     """
-    known = params.selectExpr(*keys, "t0 AS _t0", "CAST(population AS DOUBLE) AS _pop")
-    dated = rows.join(known, list(keys), "left").selectExpr("*", f"{days_between(time, '_t0')} AS _day")
-    lines = curve.selectExpr(*keys, "day AS _day", f"{value} AS _i")
+    known = params.select(*keys, F.col("t0").alias("_t0"), F.col("population").cast("double").alias("_pop"))
+    ends = curve.groupBy(*keys).agg(F.max("day").alias("_end"), F.max_by(value, "day").alias("_last"))
+    dated = rows.join(known.join(ends, list(keys), "left"), list(keys), "left").selectExpr(
+        "*", f"{days_between(f'`{time}`', '_t0')} AS _seen"
+    ).selectExpr("*", "least(_seen, _end) AS _day")
+    lines = curve.select(*keys, F.col("day").alias("_day"), F.col(value).alias("_i"))
     both = join_at_offset(dated, lines, keys, "_day", "_i", LOOK_AHEAD_DAYS)
-    phase = phase_guard("_pop IS NOT NULL", "_day", curve_phase_expression("_i_now", "_i_soon", "_pop", rule))
-    return both.selectExpr(*rows.columns, f"{phase} AS {out}")
+    both = both.withColumn("_i_soon", F.when(F.col("_seen") + LOOK_AHEAD_DAYS > F.col("_end"), F.col("_last")).otherwise(F.col("_i_soon")))
+    phase = phase_guard("_pop IS NOT NULL AND _end IS NOT NULL", "_seen", curve_phase_expression("_i_now", "_i_soon", "_pop", rule))
+    return both.select(*rows.columns, F.expr(phase).alias(out))

@@ -48,8 +48,8 @@ def fill_missing(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Missing counters and gauges become 0, or the last known value with fill='carry'."""
     if spec.fill == "carry":
         known = over(spec, rows=("UNBOUNDED PRECEDING", "CURRENT ROW"))
-        df = df.withColumns(columns({c: f"last({c}, true) {known}" for c in spec.cumulative}))
-    return df.withColumns(columns({c: fill_zero(c) for c in (*spec.cumulative, *spec.gauges)}))
+        df = df.withColumns(columns({c: f"last(`{c}`, true) {known}" for c in (*spec.cumulative, *spec.gauges)}))
+    return df.withColumns(columns({c: fill_zero(f"`{c}`") for c in (*spec.cumulative, *spec.gauges)}))
 
 
 def partition_start(spec: SeriesSpec, time: str | None = None) -> str:
@@ -61,19 +61,26 @@ def increments(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Level minus previous level inside a key; 0 on the first row."""
     steps = {}
     for c in spec.cumulative:
-        step = f"CAST(coalesce({c} - lag({c}) {over(spec)}, 0) AS BIGINT)"
+        step = f"CAST(coalesce(`{c}` - lag(`{c}`) {over(spec)}, 0) AS BIGINT)"
         steps[new_name(c)] = clip_lower(step) if c in spec.clip_negative else step
     return df.withColumns(columns(steps))
 
 
 def daily_table(df: DataFrame, spec: SeriesSpec) -> DataFrame:
-    """Typed reports -> de-duplicated daily rows with increments and the fatality rate."""
+    """Typed reports -> de-duplicated daily rows with increments and, given two counters, the fatality rate.
+
+    Report times are cut to ``spec.grain`` first, so that a series is no longer than its calendar. A counter that no
+    long can hold is missing.
+    """
     counters = (*spec.cumulative, *spec.gauges)
     # Rows without a key or a readable date belong to no series.
     placed = df.na.drop(subset=[*spec.keys, spec.time])
-    counts = placed.selectExpr(*spec.keys, spec.time, *[f"CAST({c} AS BIGINT) AS {c}" for c in counters])
+    if spec.grain:
+        placed = placed.withColumn(spec.time, F.date_trunc(spec.grain, spec.time).cast(placed.schema[spec.time].dataType))
+    counts = placed.select(*spec.keys, spec.time, *[F.expr(f"try_cast(`{c}` AS BIGINT)").alias(c) for c in counters])
     daily = increments(fill_missing(dedupe_sum(counts, spec), spec), spec)
-    return daily.withColumns(columns({"cfr": case_fatality(*spec.cumulative[:2])}))
+    two = [f"`{c}`" for c in spec.cumulative[:2]]
+    return daily.withColumns(columns({"cfr": case_fatality(*two) if len(two) == 2 else "CAST(NULL AS DOUBLE)"}))
 
 
 # --------------------------------------------------------------- bucket level
@@ -81,15 +88,15 @@ def daily_table(df: DataFrame, spec: SeriesSpec) -> DataFrame:
 
 def last_in_bucket(col: str, time: str) -> str:
     """Last non-missing value by time within the group (missing values are skipped)."""
-    return f"max_by({col}, {time}) FILTER (WHERE {col} IS NOT NULL)"
+    return f"max_by(`{col}`, `{time}`) FILTER (WHERE `{col}` IS NOT NULL)"
 
 
 def rollup(df: DataFrame, spec: SeriesSpec, last: Sequence[str] = ("cfr",)) -> DataFrame:
     """Per key and bucket: maximum level, summed increments, last gauge values."""
-    aggs = [f"max({c}) AS {c}" for c in spec.cumulative]
-    aggs += [f"sum({c}) AS {c}" for c in spec.increments]
-    aggs += [f"{last_in_bucket(c, spec.time)} AS {c}" for c in (*last, *spec.gauges)]
-    bucket = F.expr(f"{bucket_start(spec.time, spec.bucket)} AS {BUCKET}")
+    aggs = [f"max(`{c}`) AS `{c}`" for c in spec.cumulative]
+    aggs += [f"sum(`{c}`) AS `{c}`" for c in spec.increments]
+    aggs += [f"{last_in_bucket(c, spec.time)} AS `{c}`" for c in (*last, *spec.gauges)]
+    bucket = F.expr(f"{bucket_start(f'`{spec.time}`', spec.bucket)} AS {BUCKET}")
     return df.groupBy(*spec.keys, bucket).agg(*map(F.expr, aggs))
 
 

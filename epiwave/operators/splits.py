@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 
+# Up to so many values of the leading order column are counted on the driver to find a split's boundary row.
+COUNTED_VALUES = 100_000
+
+
 def split_flag(time: str, cut) -> Column:
     return F.expr(f"CASE WHEN {time} < DATE '{cut}' THEN 'train' ELSE 'test' END")
 
@@ -42,14 +46,46 @@ def number_rows(df: DataFrame, order: Sequence[str], position: str = "position")
     return numbered.drop("_id"), before[-1]
 
 
-def _positions(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Add ``_pos`` and ``_n`` inside every series, or over the whole table without keys."""
+def _cut_in_order(df: DataFrame, order: Sequence[str], share: float) -> Column:
+    """Whether a row is among the first int(share * n) of the table in the given order, as a comparison with one row.
+
+    The rows are counted per value of the first order column; the boundary row is
+    then searched among the rows of one such value only. Nothing is sorted or
+    stored. Rows that tie in all order columns fall on one side together.
+    """
+    lead, rest = order[0], list(order[1:])
+    counts = df.groupBy(F.col(lead).alias("_lead")).agg(F.count("*").alias("_rows"))
+    numbered, total = number_rows(counts, ["_lead"], "_p") if counts.limit(COUNTED_VALUES + 1).count() > COUNTED_VALUES else (None, 0)
+    if numbered is not None:
+        # Too many values to look through: number the rows themselves.
+        ranked, total = number_rows(df.select(*order), order, "_pos")
+        edge = ranked.where(F.col("_pos") == int(total * share)).drop("_pos").first()
+    else:
+        by_value = sorted(((r["_lead"], r["_rows"]) for r in counts.collect()), key=lambda r: (r[0] is not None, r[0]))
+        left, edge = int(sum(n for _, n in by_value) * share), None
+        for value, n in by_value:
+            if 0 < left <= n:
+                inside = df.where(F.col(lead).eqNullSafe(F.lit(value)))
+                edge = inside.select(*order).orderBy(*order).limit(left).orderBy(*[F.desc(c) for c in order]).first()
+                break
+            left -= n
+    if edge is None:
+        return F.lit(False)
+    before, same = F.lit(False), F.lit(True)
+    for c in order:
+        v = F.lit(edge[c])
+        less = F.col(c).isNull() & v.isNotNull() | F.coalesce(F.col(c) < v, F.lit(False))
+        before, same = before | same & less, same & F.col(c).eqNullSafe(v)
+    return before | same
+
+
+def _first_share(df: DataFrame, order: Sequence[str], keys: Sequence[str], share: float) -> tuple[DataFrame, Column]:
+    """``df``, perhaps with helper columns, and whether a row is in the first share of its series or of the table."""
     if not keys:
-        numbered, total = number_rows(df, order, "_pos")
-        return numbered.withColumn("_n", F.lit(total))
-    w = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)}"
-    whole = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
-    return df.selectExpr("*", f"row_number() {w}) AS _pos", f"count(*) {w} {whole}) AS _n")
+        return df, _cut_in_order(df, order, share)
+    w = Window.partitionBy(*keys)
+    ranked = df.withColumns({"_pos": F.row_number().over(w.orderBy(*order)), "_n": F.count("*").over(w)})
+    return ranked, F.col("_pos") <= F.floor(F.col("_n") * share)
 
 
 def split_by_fraction(df: DataFrame, order: Sequence[str], keys: Sequence[str] = (), fraction: float = 0.70) -> DataFrame:
@@ -58,9 +94,8 @@ def split_by_fraction(df: DataFrame, order: Sequence[str], keys: Sequence[str] =
     With ``keys`` the rule holds inside every series, without them over the whole
     table in the given order.
     """
-    numbered = _positions(df, keys, order)
-    flag = f"CASE WHEN _pos <= floor(_n * {fraction!r}D) THEN 'train' ELSE 'test' END AS split"
-    return numbered.selectExpr(*df.columns, flag)
+    rows, first = _first_share(df, order, keys, fraction)
+    return rows.select(*df.columns, F.when(first, "train").otherwise("test").alias("split"))
 
 
 def split_boundary(df: DataFrame, time: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -70,9 +105,8 @@ def split_boundary(df: DataFrame, time: str, keys: Sequence[str] = ()) -> DataFr
 
 def tail_holdout(train: DataFrame, order: Sequence[str], keys: Sequence[str] = (), holdout: float = 0.15) -> DataFrame:
     """Add ``part``: the last share of the ordered training rows is validation."""
-    numbered = _positions(train, keys, order)
-    flag = f"CASE WHEN _pos <= floor(_n * {1 - holdout!r}D) THEN 'fit' ELSE 'validation' END AS part"
-    return numbered.selectExpr(*train.columns, flag)
+    rows, first = _first_share(train, order, keys, 1 - holdout)
+    return rows.select(*train.columns, F.when(first, "fit").otherwise("validation").alias("part"))
 
 
 def split_sizes(df: DataFrame, flag: Column | None = None) -> DataFrame:

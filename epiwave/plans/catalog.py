@@ -11,7 +11,7 @@ from .. import functions as fn
 from .. import sources as src
 from ..operators import curves, evaluate, features, joins, models, phases, report, series, splits
 from ..session import cut_lineage, scratch_path
-from ..spec import MULTI_COUNTRY_FEATURES, PHASE_ORDER, PHASES, CurveSpec, ModelSettings
+from ..spec import MULTI_COUNTRY_FEATURES, PHASE_ORDER, PHASES
 from . import pipelines
 from . import testbed as tb
 from .plain_sql import DAY, WEEK, sql
@@ -21,9 +21,7 @@ ORACLES: dict[str, str] = {}
 
 FEATURES = MULTI_COUNTRY_FEATURES.columns()
 NAIVE_KINDS = {"SEIR": "Mechanistic", "Persistence": "Naive", "Majority": "Naive"}
-# Small settings keep the training queries short; the data stays whole.
-QUICK = ModelSettings(rf_trees=20, rf_depth=5, gbt_rounds=4, gbt_depth=3, lr_iterations=50, mlp_hidden=(16, 8), mlp_iterations=20, loss_steps=(1, 5, 10))
-SWEEP = CurveSpec(grid=(5, 5), stripes=2, beta_range=(0.05, 0.8), rate_range=(0.02, 0.6), refine_rounds=0)
+EVENT_FEATURES = tb.EVENT_FEATURES.columns()
 
 
 def query(name: str, body: str | None = None):
@@ -145,11 +143,11 @@ def case_fatality(spark, d):
 
 
 @query("clip_lower", f"""
-    SELECT country, CAST(date AS VARCHAR) AS hour, raw, greatest(raw, 0) AS clipped
-    FROM (SELECT country, date, cum_cases - lag(cum_cases) OVER ({DAY}) AS raw FROM rep_b) WHERE raw IS NOT NULL""")
+    SELECT country, CAST(date AS VARCHAR) AS hour, raw, CASE WHEN raw IS NOT NULL THEN greatest(raw, 0) END AS clipped
+    FROM (SELECT country, date, cum_cases - lag(cum_cases) OVER ({DAY}) AS raw FROM rep_b)""")
 def clip_lower(spark, d):
     typed = src.fill_zero_int(tb.event_reports(spark, d), ["cum_cases"])
-    steps = typed.selectExpr("*", f"cum_cases - lag(cum_cases) {series.over(tb.EVENTS)} AS raw").where("raw IS NOT NULL")
+    steps = typed.selectExpr("*", f"cum_cases - lag(cum_cases) {series.over(tb.EVENTS)} AS raw")
     return steps.selectExpr("country", f"{HOUR} AS hour", "raw", f"{fn.clip_lower('raw')} AS clipped")
 
 
@@ -223,6 +221,11 @@ SCALED_SQL = """
       * max(new_cases) OVER (PARTITION BY country) / 4.0"""
 
 
+@query("select_features_gauges", f"SELECT country, week, phase, split, {rounded_sql(EVENT_FEATURES)} FROM mat_b")
+def select_features_gauges(spark, d):
+    return tb.event_matrix(spark, d).select("country", "week", "phase", "split", *rounded(EVENT_FEATURES))
+
+
 @query("scaled_code", f"SELECT country, week, phase, {SCALED_SQL.format(c='phase')} AS phase_scaled FROM ph_a")
 def scaled_code(spark, d):
     rows = phases.label_phases(tb.order_weekly(spark, d), tb.ORDERS)
@@ -323,7 +326,7 @@ def join_at_offset(spark, d):
 def interp_join(spark, d):
     points = tb.order_daily(spark, d).select("country", (_day_number("date") * 1.05 - 3.5).alias("t"))
     samples = tb.order_weekly(spark, d).select("country", _day_number("week").alias("t"), "cum_cases")
-    out = joins.interp_join(points, samples, ["country"], "t", "cum_cases", "level", cell=7.0)
+    out = joins.interp_join(points, samples, ["country"], "t", "cum_cases", "level")
     return out.withColumn("level", F.round("level", 6))
 
 
@@ -364,12 +367,14 @@ def weekly_rollup_gauges(spark, d):
 
 @query("weekly_rollup_carry", f"""
     SELECT country, CAST(date AS DATE) AS week, max(cum_cases) AS cum_cases, max(cum_deaths) AS cum_deaths,
-           CAST(sum(nc) AS BIGINT) AS new_cases, CAST(sum(nd) AS BIGINT) AS new_deaths
+           CAST(sum(nc) AS BIGINT) AS new_cases, CAST(sum(nd) AS BIGINT) AS new_deaths,
+           arg_max(survivors, date) AS survivors, arg_max(probable, date) AS probable,
+           arg_max(suspected, date) AS suspected, arg_max(in_treatment, date) AS in_treatment
     FROM (SELECT *, greatest(coalesce(cum_cases - lag(cum_cases) OVER ({DAY}), 0), 0) AS nc,
                  greatest(coalesce(cum_deaths - lag(cum_deaths) OVER ({DAY}), 0), 0) AS nd FROM carry_b)
     GROUP BY country, CAST(date AS DATE)""")
 def weekly_rollup_carry(spark, d):
-    spec = tb.EVENTS.with_(fill="carry", gauges=())
+    spec = tb.EVENTS.with_(fill="carry")
     return series.weekly_table(tb.event_reports(spark, d), spec).drop("cfr")
 
 
@@ -470,11 +475,10 @@ def trailing_mean(spark, d):
     return tb.order_weekly(spark, d).withColumns(fn.columns(means)).select("country", "week", *rounded(means))
 
 
-@query("growth_rate", "SELECT country, week, round(case_growth_rate, 6) AS case_growth_rate, round(death_growth_rate, 6) AS death_growth_rate FROM feat_a WHERE case_growth_rate IS NOT NULL OR death_growth_rate IS NOT NULL")
+@query("growth_rate", "SELECT country, week, round(case_growth_rate, 6) AS case_growth_rate, round(death_growth_rate, 6) AS death_growth_rate FROM feat_a")
 def growth_rate(spark, d):
     rates = {f"{c}_growth_rate": series.growth_rate(f"new_{c}s", f"cum_{c}s", 5.0, tb.ORDERS) for c in ("case", "death")}
-    rows = tb.order_weekly(spark, d).withColumns(fn.columns(rates)).select("country", "week", *rounded(rates))
-    return rows.where("case_growth_rate IS NOT NULL OR death_growth_rate IS NOT NULL")
+    return tb.order_weekly(spark, d).withColumns(fn.columns(rates)).select("country", "week", *rounded(rates))
 
 
 @query("past_mean", f"SELECT country, week, round(avg(new_cases) OVER ({WEEK} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS past FROM wk_a")
@@ -535,7 +539,7 @@ def label_phases_gauges(spark, d):
 def _coded(spark, d):
     weekly = cut_lineage(tb.order_weekly(spark, d))
     matrix = features.feature_matrix(weekly, tb.ORDERS, MULTI_COUNTRY_FEATURES).withColumn("split", splits.split_flag("week", tb.CUT))
-    return tb.with_curve_phase(matrix, weekly, tb.populations(spark, d))
+    return tb.with_curve_phase(spark, d, matrix, weekly)
 
 
 @query("phase_from_curve", "SELECT country, week, phase, curve_phase FROM cph_a WHERE split = 'test' AND country IN (SELECT country FROM fit_a)")
@@ -635,6 +639,28 @@ def standardize(spark, d):
     return scaler.apply(matrix).select("country", "week", "split", *rounded(FEATURES, 4))
 
 
+GAUGES_SQL = ", ".join(
+    f"round(({c} - (SELECT avg({c}) FROM mat_b WHERE split = 'train')) / coalesce(nullif((SELECT stddev_pop({c}) FROM mat_b WHERE split = 'train'), 0), 1), 4) AS {c}"
+    for c in EVENT_FEATURES
+)
+
+
+@query("standardize_gauges", f"SELECT country, week, split, {GAUGES_SQL} FROM mat_b")
+def standardize_gauges(spark, d):
+    matrix = cut_lineage(tb.event_matrix(spark, d))
+    scaler = features.fit_standardizer(matrix.where(F.col("split") == "train"), EVENT_FEATURES)
+    return scaler.apply(matrix).select("country", "week", "split", *rounded(EVENT_FEATURES, 4))
+
+
+@query("balanced_weights_gauges", """
+    SELECT country, week, phase, round(n / (k * n_class), 6) AS weight
+    FROM (SELECT *, count(*) OVER () AS n, count(*) OVER (PARTITION BY phase) AS n_class,
+                 (SELECT count(DISTINCT phase) FROM mat_b WHERE split = 'train') AS k FROM mat_b WHERE split = 'train')""")
+def balanced_weights_gauges(spark, d):
+    train = cut_lineage(tb.event_matrix(spark, d).where(F.col("split") == "train"))
+    return features.balanced_weights(train).select("country", "week", "phase", *rounded(["weight"]))
+
+
 @query("balanced_weights", """
     SELECT country, week, phase, round(n / (k * n_class), 6) AS weight
     FROM (SELECT *, count(*) OVER () AS n, count(*) OVER (PARTITION BY phase) AS n_class,
@@ -661,8 +687,8 @@ REPORT_SQL = """
     lines AS (
       SELECT dataset, model, subset, label, precision, recall, f1, support FROM filled
       UNION ALL SELECT dataset, model, subset, CASE WHEN n_extra = 0 THEN 'accuracy' ELSE 'micro avg' END,
-             coalesce(sum(tp) / nullif(sum(predicted), 0), 0.0), coalesce(sum(tp) / nullif(sum(support), 0), 0.0),
-             coalesce(2.0 * sum(tp) / nullif(sum(predicted) + sum(support), 0), 0.0), sum(support)
+             coalesce(sum(tp) / nullif(CASE WHEN n_extra = 0 THEN sum(support) ELSE sum(predicted) END, 0), 0.0), coalesce(sum(tp) / nullif(sum(support), 0), 0.0),
+             coalesce(2.0 * sum(tp) / nullif(CASE WHEN n_extra = 0 THEN sum(support) ELSE sum(predicted) END + sum(support), 0), 0.0), sum(support)
       FROM filled JOIN extra USING (dataset, model, subset) GROUP BY dataset, model, subset, n_extra
       UNION ALL SELECT dataset, model, subset, 'macro avg', avg(precision), avg(recall), avg(f1), sum(support)
       FROM filled GROUP BY dataset, model, subset
@@ -717,15 +743,27 @@ def subset_metrics(spark, d):
     FROM naive_a n JOIN wk_a w ON n.country = w.country AND n.week = w.week
     JOIN (SELECT country, max(new_cases) AS peak FROM wk_a GROUP BY country) p ON p.country = n.country
     JOIN (VALUES ('Growing', 0), ('Stable/Peak', 1), ('Declining', 2), ('Contained', 3)) AS c1(phase, code) ON c1.phase = n.phase
-    JOIN (VALUES ('Growing', 0), ('Stable/Peak', 1), ('Declining', 2), ('Contained', 3)) AS c2(phase, code) ON c2.phase = curve_phase
+    LEFT JOIN (VALUES ('Growing', 0), ('Stable/Peak', 1), ('Declining', 2), ('Contained', 3)) AS c2(phase, code) ON c2.phase = curve_phase
     LEFT JOIN (VALUES ('Growing', 0), ('Stable/Peak', 1), ('Declining', 2), ('Contained', 3)) AS c3(phase, code) ON c3.phase = last_phase""")
 def timeline(spark, d):
     weekly = cut_lineage(tb.order_weekly(spark, d))
     matrix = features.feature_matrix(weekly, tb.ORDERS, MULTI_COUNTRY_FEATURES)
-    coded, _ = tb.with_curve_phase(matrix, weekly, tb.populations(spark, d))
+    coded, _ = tb.with_curve_phase(spark, d, matrix, weekly)
     return report.timeline(tb.persistence_phase(coded), weekly, tb.ORDERS, tb.CUT, ["phase", "curve_phase", "last_phase"])
 
 
+@query("timeline_gauges", """
+    SELECT n.country, n.week, w.new_cases, n.phase, curve_phase, split, c1.code * peak / 4.0 AS phase_scaled, c2.code * peak / 4.0 AS curve_phase_scaled
+    FROM cph_b n JOIN wk_b w ON n.country = w.country AND n.week = w.week
+    JOIN (SELECT country, max(new_cases) AS peak FROM wk_b GROUP BY country) p ON p.country = n.country
+    JOIN (VALUES ('Growing', 0), ('Stable/Peak', 1), ('Declining', 2), ('Contained', 3)) AS c1(phase, code) ON c1.phase = n.phase
+    LEFT JOIN (VALUES ('Growing', 0), ('Stable/Peak', 1), ('Declining', 2), ('Contained', 3)) AS c2(phase, code) ON c2.phase = curve_phase""")
+def timeline_gauges(spark, d):
+    weekly = cut_lineage(tb.event_weekly(spark, d))
+    matrix = splits.split_by_fraction(features.feature_matrix(weekly, tb.EVENTS, tb.EVENT_FEATURES), ["week"], tb.EVENTS.keys)
+    return report.timeline(tb.with_event_curve_phase(matrix, weekly), weekly, tb.EVENTS, None, ["phase", "curve_phase"])
+
+
 @query("phase_spans", "SELECT country, week AS span_start, CAST(week + 7 AS DATE) AS span_end, phase FROM ph_a")
 def phase_spans(spark, d):
     return report.phase_spans(phases.label_phases(tb.order_weekly(spark, d), tb.ORDERS), tb.ORDERS)
@@ -754,34 +792,29 @@ def best_vs_baseline(spark, d):
 # ---------------------------------------------------------------------- curves
 
 
-@query("curve_table", """
-    SELECT country, CAST(day AS INTEGER) AS day, round(s, 4) AS susceptible, round(e, 4) AS exposed, round(i, 4) AS infectious,
-           round(n - s - e - i, 4) AS removed FROM curve_a""")
-def curve_table(spark, d):
+@query("observed_curve", "SELECT country, day, i AS infectious FROM curve_a")
+def observed_curve(spark, d):
     params = tb.curve_params(tb.order_weekly(spark, d), tb.populations(spark, d))
-    curve = curves.curve_table(params, ["country"])
-    return curve.select("country", "day", *rounded(["susceptible", "exposed", "infectious", "removed"], 4))
+    return tb.order_curves(spark, d, params)
 
 
-@query("fit_vs_observed", """
-    SELECT w.country, c.day, CAST(w.cum_cases AS DOUBLE) AS observed, round(c.n - c.s, 4) AS modelled
-    FROM wk_a w JOIN par_a p ON p.country = w.country JOIN curve_a c ON c.country = w.country AND c.day = w.week - p.t0""")
-def fit_vs_observed(spark, d):
-    return _pairs(spark, d).withColumn("modelled", F.round("modelled", 4))
+PAIRS_SQL = """
+    SELECT w.country, c.day, CAST(w.cum_cases AS DOUBLE) AS observed, c.total AS modelled
+    FROM wk_a w JOIN par_a p ON p.country = w.country JOIN total_a c ON c.country = w.country AND c.day = w.week - p.t0"""
 
 
-def _pairs(spark, d):
+@query("fit_vs_observed", PAIRS_SQL)
+def fit_vs_observed(spark, d):
     weekly = cut_lineage(tb.order_weekly(spark, d))
     params = cut_lineage(tb.curve_params(weekly, tb.populations(spark, d)))
-    return curves.fit_vs_observed(weekly, params, curves.curve_table(params, ["country"]), tb.ORDERS)
+    total = curves.cumulative_curve(tb.order_curves(spark, d, params), ["country"])
+    return curves.fit_vs_observed(weekly, params, total, tb.ORDERS)
 
 
-@query("sum_squared_error", """
-    SELECT w.country, round(ln(sum((c.n - c.s - w.cum_cases) * (c.n - c.s - w.cum_cases))), 6) AS log_sse
-    FROM wk_a w JOIN par_a p ON p.country = w.country JOIN curve_a c ON c.country = w.country AND c.day = w.week - p.t0
-    GROUP BY w.country""")
+@query("sum_squared_error", f"""
+    SELECT country, sum((modelled - observed) * (modelled - observed)) AS sse FROM ({PAIRS_SQL}) GROUP BY country""")
 def sum_squared_error(spark, d):
-    return curves.sum_squared_error(_pairs(spark, d), ["country"]).select("country", F.round(F.ln("sse"), 6).alias("log_sse"))
+    return curves.sum_squared_error(fit_vs_observed(spark, d), ["country"])
 
 
 @query("reproduction_number", "SELECT country, round(beta, 6) AS beta, round(gamma, 6) AS gamma, round(beta / gamma, 6) AS r0 FROM par_a")
@@ -790,120 +823,127 @@ def reproduction_number(spark, d):
     return curves.reproduction_number(params, ["country"]).select("country", *rounded(["beta", "gamma", "r0"]))
 
 
-def _sweep_sql() -> str:
-    """Every candidate of the small grid stepped day by day, then the least squared error per country."""
-    betas, rates = curves.grid_axes(SWEEP)
-    cands = ", ".join(f"({float(b)!r}e0, {float(r)!r}e0)" for b in betas for r in rates)
-    stages = """
-        (SELECT *, infect * ds * di AS d0, infect * ds * di - sigma * de AS d1, sigma * de - gamma * di AS d2
-        FROM (SELECT *, s - c0 AS ds, e + c1 AS de, i + c2 AS di
-        FROM (SELECT *, infect * cs * ci AS c0, infect * cs * ci - sigma * ce AS c1, sigma * ce - gamma * ci AS c2
-        FROM (SELECT *, s - 0.5e0 * b0 AS cs, e + 0.5e0 * b1 AS ce, i + 0.5e0 * b2 AS ci
-        FROM (SELECT *, infect * bs * bi AS b0, infect * bs * bi - sigma * be AS b1, sigma * be - gamma * bi AS b2
-        FROM (SELECT *, s - 0.5e0 * a0 AS bs, e + 0.5e0 * a1 AS be, i + 0.5e0 * a2 AS bi
-        FROM (SELECT *, infect * s * i AS a0, infect * s * i - sigma * e AS a1, sigma * e - gamma * i AS a2
-        FROM sweep WHERE day < t_max)))))))"""
-    return f"""
-    WITH RECURSIVE seed AS (SELECT * FROM seed_a JOIN pop_a USING (country)),
-    sweep AS (
-      SELECT country, beta, rate, 0 AS day, t_max, population AS n, beta / population AS infect, rate AS sigma, 1.0e0 / 11.5e0 AS gamma,
-             population - e0 - i0 AS s, e0 AS e, i0 AS i FROM seed JOIN (VALUES {cands}) AS c(beta, rate) ON true
-      UNION ALL
-      SELECT country, beta, rate, day + 1, t_max, n, infect, sigma, gamma, s - ((b0 + c0) * 2.0e0 + a0 + d0) / 6.0e0,
-             e + ((b1 + c1) * 2.0e0 + a1 + d1) / 6.0e0, i + ((b2 + c2) * 2.0e0 + a2 + d2) / 6.0e0 FROM {stages}),
-    scored AS (SELECT w.country, beta, rate, sum((n - s - w.cum_cases) * (n - s - w.cum_cases)) AS sse
-               FROM wk_a w JOIN seed p ON p.country = w.country JOIN sweep c ON c.country = w.country AND c.day = w.week - p.t0
-               GROUP BY w.country, beta, rate)
-    SELECT country, round(arg_min(beta, sse), 6) AS beta, round(arg_min(rate, sse), 6) AS rate, round(ln(min(sse)), 6) AS log_sse
-    FROM scored GROUP BY country"""
-
-
-@query("sweep_grid", _sweep_sql())
-def sweep_grid(spark, d):
-    fits = curves.sweep_fit(tb.order_weekly(spark, d), tb.populations(spark, d), tb.ORDERS, SWEEP)
-    return fits.select("country", *rounded(["beta", "rate"]), F.round(F.ln("sse"), 6).alias("log_sse"))
-
-
-@query("sweep_fit")
-def sweep_fit(spark, d):
-    fits = curves.sweep_fit(tb.order_weekly(spark, d), tb.populations(spark, d), tb.ORDERS, CurveSpec(grid=(24, 24), refine_rounds=6))
-    return fits.selectExpr("country", "beta", "rate", "sse", f"{fn.ratio('beta', 'rate')} AS r0")
+# -------------------------------------------------------------------- learning
 
 
-# -------------------------------------------------------------------- learning
+# All models are trained at the default settings of ``ModelSettings`` and each only once per session and directory.
+# Statements state what any correct training gives on the same tables; accuracy and repeatability are tested on fixtures.
+TREES = ("Random Forest", "Gradient Boosting")
+
+
+def _model(spark, d, name):
+    matrix = cut_lineage(tb.order_matrix(spark, d))
+    return tb.trained(spark, d, "A", matrix, FEATURES, PHASES, [name])[name], matrix
 
 
-def _train_rows(spark, d):
-    return cut_lineage(tb.order_matrix(spark, d))
+TRAIN_SQL = "SELECT country, week, split, phase, true AS pred_listed, true AS beats_majority FROM mat_a"
 
 
-def _scored(spark, d, trainer):
-    matrix = _train_rows(spark, d)
-    model = trainer(matrix.where(F.col("split") == "train"), FEATURES, PHASES, QUICK)
-    return model.predict(matrix.select("country", "week", "split", "phase", *FEATURES)).select("country", "week", "split", "phase", "pred")
+def _scored(spark, d, name):
+    """Every row with whether its prediction is a phase, and whether the model beats the most frequent training phase."""
+    model, matrix = _model(spark, d, name)
+    rows = cut_lineage(model.predict(matrix.select("country", "week", "split", "phase", *FEATURES)).select("country", "week", "split", "phase", "pred"))
+    train = rows.where(F.col("split") == "train")
+    hits = train.agg(F.avg((F.col("phase") == F.col("pred")).cast("double"))).first()[0]
+    majority = features.value_counts(train, "phase").first()["n_rows"] / train.count()
+    return rows.select("country", "week", "split", "phase", F.col("pred").isin(*PHASES).alias("pred_listed"), F.lit(hits >= majority).alias("beats_majority"))
 
 
-@query("train_rf")
+@query("train_rf", TRAIN_SQL)
 def train_rf(spark, d):
-    return _scored(spark, d, models.train_rf)
+    return _scored(spark, d, "Random Forest")
 
 
-@query("train_gbt")
+@query("train_gbt", TRAIN_SQL)
 def train_gbt(spark, d):
-    return _scored(spark, d, models.train_gbt)
+    return _scored(spark, d, "Gradient Boosting")
 
 
-@query("train_lr")
-def train_lr(spark, d):
-    return _scored(spark, d, models.train_lr)
+@query("train_mlp", TRAIN_SQL)
+def train_mlp(spark, d):
+    return _scored(spark, d, "MLP")
 
 
-@query("train_mlp")
-def train_mlp(spark, d):
-    return _scored(spark, d, models.train_mlp)
+@query("train_lr", """
+    SELECT phase, CASE WHEN phase IN (SELECT phase FROM mat_a WHERE split = 'train')
+                       THEN round(1.0e0 / (SELECT count(DISTINCT phase) FROM mat_a WHERE split = 'train'), 2) ELSE 0.0e0 END AS mean_probability
+    FROM (VALUES ('Contained'), ('Declining'), ('Growing'), ('Stable/Peak')) AS p(phase)""")
+def train_lr(spark, d):
+    """With balanced weights and a free intercept the optimum gives every trained class the same weighted mean."""
+    model, matrix = _model(spark, d, "Logistic Regression")
+    return models.mean_probabilities(model, matrix.where(F.col("split") == "train")).withColumn("mean_probability", F.round("mean_probability", 2))
 
 
-@query("predict")
+@query("predict", "SELECT split, count(*) AS n_rows FROM mat_a GROUP BY split")
 def predict(spark, d):
-    scored = _scored(spark, d, models.train_rf)
-    return scored.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("phase") == F.col("pred")).alias("n_hits"))
+    model, matrix = _model(spark, d, "Random Forest")
+    return model.predict(matrix).where(F.col("pred").isNotNull()).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+
 
+LABELS_SQL = ", ".join(f"('{c}', '{label}')" for c, label in MULTI_COUNTRY_FEATURES.labels().items())
 
-@query("feature_importances")
+
+@query("feature_importances", f"""
+    SELECT model, feature, feature_label, round(1.0e0 / {len(FEATURES)}, 6) AS baseline, true AS in_range, 1.0e0 AS model_total
+    FROM (VALUES ('Random Forest'), ('Gradient Boosting')) AS m(model), (VALUES {LABELS_SQL}) AS f(feature, feature_label)""")
 def feature_importances(spark, d):
-    train = _train_rows(spark, d).where(F.col("split") == "train")
-    fitted = [f(train, FEATURES, PHASES, QUICK) for f in (models.train_rf, models.train_gbt)]
-    return models.feature_importances(spark, fitted, MULTI_COUNTRY_FEATURES.labels())
+    fitted = [_model(spark, d, name)[0] for name in TREES]
+    table = models.feature_importances(spark, fitted, MULTI_COUNTRY_FEATURES.labels())
+    total = F.round(F.sum("importance").over(Window.partitionBy("model")), 6)
+    return table.select("model", "feature", "feature_label", F.round("baseline", 6).alias("baseline"), F.col("importance").between(0, 1).alias("in_range"), total.alias("model_total"))
 
 
-@query("coefficients")
+@query("coefficients", f"""
+    SELECT phase, feature, feature_label, true AS at_optimum
+    FROM (VALUES ('Contained'), ('Declining'), ('Growing'), ('Stable/Peak')) AS p(phase), (VALUES {LABELS_SQL}) AS f(feature, feature_label)""")
 def coefficients(spark, d):
-    train = _train_rows(spark, d).where(F.col("split") == "train")
-    return models.coefficients(spark, models.train_lr(train, FEATURES, PHASES, QUICK), MULTI_COUNTRY_FEATURES.labels())
+    """Each coefficient with whether the penalised loss is flat there, to 0.005."""
+    model, matrix = _model(spark, d, "Logistic Regression")
+    slopes = models.penalised_gradient(model, matrix.where(F.col("split") == "train"))
+    flat = {(p, c): bool(abs(slopes[k][j]) < 5e-3) for k, p in enumerate(sorted(PHASES)) for j, c in enumerate(model.cols)}
+    table = models.coefficients(spark, model, MULTI_COUNTRY_FEATURES.labels())
+    known = spark.createDataFrame([(p, c, f) for (p, c), f in flat.items()], "phase string, feature string, at_optimum boolean")
+    return table.join(F.broadcast(known), ["phase", "feature"]).select("phase", "feature", "feature_label", "at_optimum")
 
 
-@query("loss_curve")
+@query("loss_curve", "SELECT * FROM (VALUES (1, true), (2, true), (5, true), (10, true), (20, true), (50, true), (100, true), (200, true)) AS s(iteration, not_above_the_step_before)")
 def loss_curve(spark, d):
-    train = _train_rows(spark, d).where(F.col("split") == "train")
-    return models.loss_curve(train, FEATURES, PHASES, ["country", "week"], QUICK)
-
-
-@query("model_comparison")
+    train = cut_lineage(tb.order_matrix(spark, d).where(F.col("split") == "train"))
+    table = models.loss_curve(train, FEATURES, PHASES, ["country", "week"])
+    before = F.lag("train_loss").over(Window.orderBy("iteration"))  # one row per documented step
+    return table.select("iteration", F.coalesce(F.col("train_loss") <= before + 1e-9, F.lit(True)).alias("not_above_the_step_before"))
+
+
+@query("model_comparison", """
+    WITH names AS (SELECT * FROM (VALUES ('A', 'SEIR', 'Mechanistic'), ('A', 'SEIR (TOP-3)', 'Mechanistic'), ('B', 'SEIR', 'Mechanistic'),
+      ('A', 'Random Forest', 'Machine Learning'), ('A', 'Gradient Boosting', 'Machine Learning'), ('A', 'Logistic Regression', 'Machine Learning'), ('A', 'MLP', 'Deep Learning'),
+      ('B', 'Random Forest', 'Machine Learning'), ('B', 'Gradient Boosting', 'Machine Learning'), ('B', 'Logistic Regression', 'Machine Learning'), ('B', 'MLP', 'Deep Learning')) AS n(dataset, model, type))
+    SELECT dataset, model, type, CASE WHEN dataset = 'B' THEN (SELECT count(*) FROM mat_b WHERE split = 'test')
+             WHEN model = 'SEIR (TOP-3)' THEN (SELECT count(*) FROM mat_a WHERE split = 'test' AND country IN (SELECT country FROM fit_a))
+             ELSE (SELECT count(*) FROM mat_a WHERE split = 'test') END AS support, true AS scores_in_range
+    FROM names""")
 def model_comparison(spark, d):
-    """Both data sets end to end: fit, train, predict, compare."""
-    people = tb.populations(spark, d)
-    quick = CurveSpec(grid=(16, 16), refine_rounds=3)
-    a = pipelines.multi_country_study(
-        tb.order_reports(spark, d), people, tb.CUT, dataset="A", curve=quick, settings=QUICK, models=["Random Forest", "Logistic Regression"]
-    )
-    reports = tb.event_reports(spark, d)
-    weekly = cut_lineage(series.weekly_table(reports, tb.EVENTS))
-    crowd = weekly.groupBy("country").agg((F.max("cum_cases") * 50).alias("population"))
-    fits = curves.sweep_fit(weekly, crowd, tb.EVENTS, quick)
+    """Both data sets end to end: features, four models each, curves, predictions, comparison."""
+    weekly = cut_lineage(tb.order_weekly(spark, d))
+    params = cut_lineage(tb.known_fits(tb.curve_params(weekly, tb.populations(spark, d))))
+    names = list(models.TRAINERS)
+    own = tb.trained(spark, d, "A", tb.order_matrix(spark, d), FEATURES, PHASES, names)
+    a = pipelines.multi_country_study(tb.order_reports(spark, d), params, tb.order_curves(spark, d, params), tb.CUT, dataset="A", fitted=own)
+    days = cut_lineage(tb.event_weekly(spark, d))
+    spans = cut_lineage(tb.event_params(days))
+    matrix = cut_lineage(tb.event_matrix(spark, d))
+    detailed = tb.trained(spark, d, "B", matrix, EVENT_FEATURES, pipelines.phase_labels(matrix), names)
     b = pipelines.single_country_study(
-        reports, fits, dataset="B", spec=tb.EVENTS, features=tb.EVENT_FEATURES, curve=quick, settings=QUICK, models=["Random Forest", "Logistic Regression"]
+        tb.event_reports(spark, d), spans, tb.event_curves(days, spans), dataset="B", spec=tb.EVENTS, features=tb.EVENT_FEATURES, fitted=detailed
     )
-    return pipelines.compare_studies(a, b)
+    scores = pipelines.compare_studies(a, b)
+    fine = F.lit(True)
+    for c in SCORES:
+        fine = fine & F.col(c).between(0, 1)
+    preds = evaluate.union_metrics([x.predictions.select("dataset", "model", "subset") for x in (a, b)])
+    name = F.when(F.col("subset") == "all", F.col("model")).otherwise(F.format_string("%s (%s)", "model", "subset"))
+    support = preds.groupBy("dataset", name.alias("model")).agg(F.count(F.lit(1)).alias("support"))
+    return scores.join(support, ["dataset", "model"]).select("dataset", "model", "type", "support", F.coalesce(fine, F.lit(False)).alias("scores_in_range"))
 
 
 @query("phase_distribution", "SELECT phase, count(*) AS n_weeks FROM ph_a GROUP BY phase")

@@ -1,7 +1,7 @@
 """End-to-end studies: reports -> weekly phases -> features -> models -> comparison.
 
 The weekly table is the one place where the raw reports are read. It is frozen
-once, because the curve fit, the features and the reports all start from it.
+once, because the features and the reports all start from it. Curves come as tables.
 """
 
 from __future__ import annotations
@@ -12,13 +12,12 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.curves import curve_table, fitted_curves, sweep_fit
 from ..operators.evaluate import compare_models, melt_predictions, union_metrics, with_subset
 from ..operators.features import distinct_sorted, feature_matrix
 from ..operators.models import TRAINERS, PhaseModel
 from ..operators.phases import label_phases, phase_from_curve
 from ..operators.report import timeline
-from ..operators.series import BUCKET, initial_value, weekly_table
+from ..operators.series import BUCKET, weekly_table
 from ..operators.splits import split_by_fraction, split_flag
 from ..session import cut_lineage, persisted
 from ..spec import (
@@ -27,7 +26,6 @@ from ..spec import (
     SINGLE_COUNTRY,
     SINGLE_COUNTRY_FEATURES,
     SUBSET_SUFFIX,
-    CurveSpec,
     FeatureSpec,
     ModelSettings,
     SeriesSpec,
@@ -51,7 +49,7 @@ class Study:
     features: FeatureSpec
     weekly: DataFrame
     matrix: DataFrame
-    fits: DataFrame
+    params: DataFrame
     models: dict[str, PhaseModel]
     timeline: DataFrame
     predictions: DataFrame
@@ -62,9 +60,10 @@ def phase_labels(matrix: DataFrame) -> list[str]:
     return [r["phase"] for r in distinct_sorted(matrix, "phase").collect()]
 
 
-def train_all(train: DataFrame, cols: Sequence[str], labels: Sequence[str], settings: ModelSettings, models: Sequence[str]) -> dict[str, PhaseModel]:
+def train_all(train: DataFrame, cols: Sequence[str], labels: Sequence[str], settings: ModelSettings, models: Sequence[str], order: Sequence[str]) -> dict[str, PhaseModel]:
+    """All models on the same rows; the perceptron holds out the tail in (key, time) order."""
     with persisted(train) as kept:
-        return {name: TRAINERS[name](kept, cols, labels, settings) for name in models}
+        return {name: TRAINERS[name](kept, cols, labels, settings, **({"order": order} if name == "MLP" else {})) for name in models}
 
 
 def _study(
@@ -72,15 +71,16 @@ def _study(
     weekly: DataFrame,
     matrix: DataFrame,
     params: DataFrame,
-    fits: DataFrame,
     curves: DataFrame,
     spec: SeriesSpec,
     features: FeatureSpec,
     settings: ModelSettings,
     models: Sequence[str],
+    fitted: dict[str, PhaseModel] | None = None,
 ) -> Study:
     cols = features.columns()
-    fitted = train_all(matrix.where(F.col("split") == "train"), cols, phase_labels(matrix), settings, models)
+    train = matrix.where(F.col("split") == "train")
+    fitted = fitted or train_all(train, cols, phase_labels(matrix), settings, models, [*spec.keys, BUCKET])
     wide = phase_from_curve(matrix, curves, params, spec.keys, BUCKET)
     for name, model in fitted.items():
         wide = model.predict(wide).withColumnRenamed("pred", PRED_COLUMNS[name])
@@ -90,51 +90,51 @@ def _study(
     line = timeline(wide, weekly, spec, phases=["phase", *used.values()])
     test = wide.where(F.col("split") == "test")
     preds = melt_predictions(test, dataset, used, [*spec.keys, BUCKET, "split"])
-    return Study(dataset, spec, features, weekly, matrix, fits, fitted, line, preds)
+    return Study(dataset, spec, features, weekly, matrix, params, fitted, line, preds)
 
 
 def multi_country_study(
     reports: DataFrame,
-    populations: DataFrame,
+    params: DataFrame,
+    curves: DataFrame,
     cut,
     dataset: str = "A (Multi-country)",
     spec: SeriesSpec = MULTI_COUNTRY,
     features: FeatureSpec = MULTI_COUNTRY_FEATURES,
-    curve: CurveSpec = CurveSpec(),
     settings: ModelSettings = ModelSettings(),
     models: Sequence[str] = tuple(TRAINERS),
+    fitted: dict[str, PhaseModel] | None = None,
 ) -> Study:
-    """Many series, split at a date; curves are fitted where a population is known."""
+    """Many series, split at a date. ``params`` (key, t0, population) and ``curves`` (key, day, infectious) cover some of them.
+
+    ``fitted`` are models trained before on the same matrix.
+    """
     weekly = cut_lineage(weekly_table(reports, spec))
     matrix = cut_lineage(feature_matrix(weekly, spec, features).withColumn("split", split_flag(BUCKET, cut)))
-    fits = sweep_fit(weekly, populations, spec, curve)
-    curves = fitted_curves(fits, spec.keys, curve)
-    study = _study(dataset, weekly, matrix, fits, fits, curves, spec, features, settings, models)
-    fitted = fits.select(*spec.keys, F.lit(True).alias("_fitted"))
-    marked = study.predictions.join(fitted, list(spec.keys), "left")
+    study = _study(dataset, weekly, matrix, params, curves, spec, features, settings, models, fitted)
+    known = params.select(*spec.keys, F.lit(True).alias("_fitted"))
+    marked = study.predictions.join(known, list(spec.keys), "left")
     preds = with_subset(marked, F.coalesce(F.col("_fitted"), F.lit(False)), "SEIR", SUBSET_SUFFIX).drop("_fitted")
     return replace(study, predictions=preds)
 
 
 def single_country_study(
     reports: DataFrame,
-    fits: DataFrame,
+    params: DataFrame,
+    curves: DataFrame,
     dataset: str = "B (Sierra Leone)",
     spec: SeriesSpec = SINGLE_COUNTRY,
     features: FeatureSpec = SINGLE_COUNTRY_FEATURES,
-    curve: CurveSpec = CurveSpec(),
     settings: ModelSettings = ModelSettings(),
     models: Sequence[str] = tuple(TRAINERS),
     fraction: float = 0.70,
+    fitted: dict[str, PhaseModel] | None = None,
 ) -> Study:
-    """Detailed series, split by position; the curve reuses rates fitted elsewhere, seeded by this series."""
+    """Detailed series, split by position."""
     weekly = cut_lineage(weekly_table(reports, spec))
     full = feature_matrix(weekly, spec, features)
     matrix = cut_lineage(split_by_fraction(full, [BUCKET], spec.keys, fraction))
-    rates = fits.select(*spec.keys, "beta", "rate", "sigma", "gamma", "population")
-    params = initial_value(weekly, spec).join(rates, list(spec.keys))
-    curves = curve_table(params.withColumn("horizon", F.col("t_max") + curve.horizon_pad), spec.keys)
-    return _study(dataset, weekly, matrix, params, fits, curves, spec, features, settings, models)
+    return _study(dataset, weekly, matrix, params, curves, spec, features, settings, models, fitted)
 
 
 def compare_studies(*studies: Study) -> DataFrame:

@@ -78,35 +78,27 @@ CTES = {
               FROM wk_a GROUP BY country)""",
     # Curves of every country: rates follow from its share of deaths.
     "par_a": """
-        SELECT country, t0, t_max, y0, e0, i0, share, population, t_max + 7 AS horizon,
-               CASE WHEN share < 1.0e0 / 3.0e0 THEN 0.3e0 ELSE 0.1e0 + 0.1e0 * share END AS beta, 1.0e0 / 11.5e0 AS sigma, 0.05e0 + 0.05e0 * share AS gamma
+        SELECT country, CAST(t0 + 28 AS DATE) AS t0, CAST(t0 + (t_max - 56) AS DATE) AS t_end, share, population,
+               CASE WHEN share < 1.0e0 / 3.0e0 THEN 0.3e0 ELSE 0.1e0 + 0.1e0 * share END AS beta, 0.05e0 + 0.05e0 * share AS gamma
         FROM seed_a JOIN pop_a USING (country)""",
-    # A fit is known only where the population is at least the average.
+    # A curve is known only where the population is at least the average.
     "fit_a": "SELECT * FROM par_a WHERE population >= (SELECT avg(population) FROM pop_a)",
     "curve_a": """
-        SELECT country, 0 AS day, horizon, population AS n, beta / population AS infect, sigma, gamma,
-               population - e0 - i0 AS s, e0 AS e, i0 AS i FROM par_a
-        UNION ALL
-        SELECT country, day + 1, horizon, n, infect, sigma, gamma,
-               s - ((b0 + c0) * 2.0e0 + a0 + d0) / 6.0e0, e + ((b1 + c1) * 2.0e0 + a1 + d1) / 6.0e0,
-               i + ((b2 + c2) * 2.0e0 + a2 + d2) / 6.0e0
-        FROM (SELECT *, infect * ds * di AS d0, infect * ds * di - sigma * de AS d1, sigma * de - gamma * di AS d2
-        FROM (SELECT *, s - c0 AS ds, e + c1 AS de, i + c2 AS di
-        FROM (SELECT *, infect * cs * ci AS c0, infect * cs * ci - sigma * ce AS c1, sigma * ce - gamma * ci AS c2
-        FROM (SELECT *, s - 0.5e0 * b0 AS cs, e + 0.5e0 * b1 AS ce, i + 0.5e0 * b2 AS ci
-        FROM (SELECT *, infect * bs * bi AS b0, infect * bs * bi - sigma * be AS b1, sigma * be - gamma * bi AS b2
-        FROM (SELECT *, s - 0.5e0 * a0 AS bs, e + 0.5e0 * a1 AS be, i + 0.5e0 * a2 AS bi
-        FROM (SELECT *, infect * s * i AS a0, infect * s * i - sigma * e AS a1, sigma * e - gamma * i AS a2
-        FROM curve_a WHERE day < horizon)))))))""",
+        SELECT s.country, CAST(s.d - s.t0 AS INTEGER) AS day, CAST(coalesce(c.cases, 0) AS DOUBLE) AS i
+        FROM (SELECT country, t0, CAST(unnest(generate_series(t0, t_end, INTERVAL 1 DAY)) AS DATE) AS d FROM par_a) s
+        LEFT JOIN daily_a c ON c.country = s.country AND c.date = s.d""",
+    "total_a": "SELECT country, day, sum(i) OVER (PARTITION BY country ORDER BY day) AS total FROM curve_a",
     "cph_a": """
         SELECT m.*, CASE
                  WHEN f.country IS NULL OR m.week < f.t0 THEN 'Contained'
+                 WHEN now.i IS NULL OR CASE WHEN m.week - f.t0 + 7 > z.d1 THEN z.last ELSE soon.i END IS NULL THEN NULL
                  WHEN now.i < f.population / 100000 THEN 'Contained'
-                 WHEN soon.i / greatest(now.i, 0.000001e0) > 1.25 THEN 'Growing'
-                 WHEN soon.i / greatest(now.i, 0.000001e0) < 0.75 THEN 'Declining'
+                 WHEN CASE WHEN m.week - f.t0 + 7 > z.d1 THEN z.last ELSE soon.i END / greatest(now.i, 0.000001e0) > 1.25 THEN 'Growing'
+                 WHEN CASE WHEN m.week - f.t0 + 7 > z.d1 THEN z.last ELSE soon.i END / greatest(now.i, 0.000001e0) < 0.75 THEN 'Declining'
                  ELSE 'Stable/Peak' END AS curve_phase
         FROM mat_a m LEFT JOIN fit_a f ON m.country = f.country
-        LEFT JOIN curve_a now ON now.country = m.country AND now.day = CAST(m.week - f.t0 AS INTEGER)
+        LEFT JOIN (SELECT country, max(day) AS d1, arg_max(i, day) AS last FROM curve_a GROUP BY country) z ON z.country = m.country
+        LEFT JOIN curve_a now ON now.country = m.country AND now.day = least(CAST(m.week - f.t0 AS INTEGER), z.d1)
         LEFT JOIN curve_a soon ON soon.country = m.country AND soon.day = CAST(m.week - f.t0 AS INTEGER) + 7""",
     "naive_a": f"""
         SELECT *, lag(phase) OVER ({WEEK}) AS last_phase,
@@ -141,7 +133,11 @@ CTES = {
     "carry_b": f"""
         SELECT country, date,
                CAST(coalesce(last_value(cum_cases IGNORE NULLS) OVER w, 0) AS BIGINT) AS cum_cases,
-               CAST(coalesce(last_value(cum_deaths IGNORE NULLS) OVER w, 0) AS BIGINT) AS cum_deaths
+               CAST(coalesce(last_value(cum_deaths IGNORE NULLS) OVER w, 0) AS BIGINT) AS cum_deaths,
+               CAST(coalesce(last_value(survivors IGNORE NULLS) OVER w, 0) AS BIGINT) AS survivors,
+               CAST(coalesce(last_value(probable IGNORE NULLS) OVER w, 0) AS BIGINT) AS probable,
+               CAST(coalesce(last_value(suspected IGNORE NULLS) OVER w, 0) AS BIGINT) AS suspected,
+               CAST(coalesce(last_value(in_treatment IGNORE NULLS) OVER w, 0) AS BIGINT) AS in_treatment
         FROM num_b WINDOW w AS ({DAY} ROWS UNBOUNDED PRECEDING)""",
     "inc_b": f"""
         SELECT *, greatest(coalesce(cum_cases - lag(cum_cases) OVER ({DAY}), 0), 0) AS new_cases,
@@ -178,10 +174,28 @@ CTES = {
                CAST(lag(survivors, 1) OVER w AS DOUBLE) AS survivors_lag1, CAST(lag(in_treatment, 1) OVER w AS DOUBLE) AS in_treatment_lag1
               FROM ph_b WINDOW w AS ({WEEK}))
         WHERE new_cases_lag3 IS NOT NULL AND case_growth_rate IS NOT NULL AND death_growth_rate IS NOT NULL""",
+    "par_b": """
+        SELECT country, min(week) AS t0, CAST(max(week) - 3 AS DATE) AS t_end, CAST(max(cum_cases) * 50 AS DOUBLE) AS population
+        FROM wk_b GROUP BY country""",
+    "curve_b": """
+        SELECT s.country, CAST(s.d - s.t0 AS INTEGER) AS day, CAST(coalesce(c.new_cases, 0) AS DOUBLE) AS i
+        FROM (SELECT country, t0, CAST(unnest(generate_series(t0, t_end, INTERVAL 1 DAY)) AS DATE) AS d FROM par_b) s
+        LEFT JOIN wk_b c ON c.country = s.country AND c.week = s.d""",
+    "cph_b": """
+        SELECT m.*, CASE
+                 WHEN f.country IS NULL OR z.d1 IS NULL OR m.week < f.t0 THEN 'Contained'
+                 WHEN now.i < f.population / 100000 THEN 'Contained'
+                 WHEN CASE WHEN m.week - f.t0 + 7 > z.d1 THEN z.last ELSE soon.i END / greatest(now.i, 0.000001e0) > 1.25 THEN 'Growing'
+                 WHEN CASE WHEN m.week - f.t0 + 7 > z.d1 THEN z.last ELSE soon.i END / greatest(now.i, 0.000001e0) < 0.75 THEN 'Declining'
+                 ELSE 'Stable/Peak' END AS curve_phase
+        FROM mat_b m LEFT JOIN par_b f ON m.country = f.country
+        LEFT JOIN (SELECT country, max(day) AS d1, arg_max(i, day) AS last FROM curve_b GROUP BY country) z ON z.country = m.country
+        LEFT JOIN curve_b now ON now.country = m.country AND now.day = least(CAST(m.week - f.t0 AS INTEGER), z.d1)
+        LEFT JOIN curve_b soon ON soon.country = m.country AND soon.day = CAST(m.week - f.t0 AS INTEGER) + 7""",
     "naive_b": f"""
         SELECT *, lag(phase) OVER ({WEEK}) AS last_phase,
                (SELECT phase FROM mat_b WHERE split = 'train' GROUP BY phase ORDER BY count(*) DESC, phase LIMIT 1) AS top_phase
-        FROM mat_b""",
+        FROM cph_b""",
     "preds": """
         SELECT 'A' AS dataset, 'SEIR' AS model, 'all' AS subset, country, week, phase AS truth, curve_phase AS pred
         FROM naive_a WHERE split = 'test'
@@ -189,6 +203,7 @@ CTES = {
         FROM naive_a WHERE split = 'test' AND country IN (SELECT country FROM fit_a)
         UNION ALL SELECT 'A', 'Persistence', 'all', country, week, phase, last_phase FROM naive_a WHERE split = 'test'
         UNION ALL SELECT 'A', 'Majority', 'all', country, week, phase, top_phase FROM naive_a WHERE split = 'test'
+        UNION ALL SELECT 'B', 'SEIR', 'all', country, week, phase, curve_phase FROM naive_b WHERE split = 'test'
         UNION ALL SELECT 'B', 'Persistence', 'all', country, week, phase, last_phase FROM naive_b WHERE split = 'test'
         UNION ALL SELECT 'B', 'Majority', 'all', country, week, phase, top_phase FROM naive_b WHERE split = 'test'""",
     "stats": """
@@ -198,7 +213,7 @@ CTES = {
                      CAST(sum(support) AS BIGINT) AS support
               FROM (SELECT dataset, model, subset, truth AS label, CASE WHEN truth = pred THEN 1 ELSE 0 END AS tp,
                            0 AS predicted, 1 AS support FROM preds
-                    UNION ALL SELECT dataset, model, subset, pred, 0, 1, 0 FROM preds)
+                    UNION ALL SELECT dataset, model, subset, pred, 0, 1, 0 FROM preds WHERE pred IS NOT NULL)
               GROUP BY dataset, model, subset, label)""",
     "summary": """
         SELECT dataset, model, subset, CAST(sum(tp) AS DOUBLE) / sum(support) AS accuracy,
@@ -226,7 +241,7 @@ def sql(body: str) -> str:
 
     visit(body)
     parts = [f"{name} AS ({CTES[name]})" for name in need]
-    recursive = "curve_a" in need
+    recursive = False
     own = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", body)
     if own:
         recursive = recursive or bool(own.group(1))

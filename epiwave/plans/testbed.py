@@ -7,18 +7,21 @@ values and text: few series with a daily bucket.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.curves import curve_table
+from ..operators.curves import observed_curve
 from ..operators.evaluate import melt_predictions, union_metrics, with_subset
 from ..operators.features import feature_matrix, value_counts
+from ..operators.models import TRAINERS, PhaseModel
 from ..operators.phases import phase_from_curve
 from ..operators.series import initial_value, over, weekly_table
 from ..operators.splits import split_by_fraction, split_flag
-from ..session import cut_lineage
+from ..session import cut_lineage, persisted
 from ..sources import coerce_numeric
-from ..spec import MULTI_COUNTRY_FEATURES, FeatureSpec, SeriesSpec
+from ..spec import MULTI_COUNTRY_FEATURES, FeatureSpec, ModelSettings, SeriesSpec
 
 ORDERS = SeriesSpec()
 EVENTS = SeriesSpec(
@@ -159,7 +162,10 @@ def event_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def curve_params(weekly: DataFrame, people: DataFrame) -> DataFrame:
-    """Stated curve parameters of every country: rates follow from its share of deaths."""
+    """Stated curve parameters of every country: rates follow from its share of deaths.
+
+    The curve starts four weeks into the series and ends eight weeks before its end, so rows lie on both sides of it.
+    """
     share = weekly.groupBy("country").agg(F.expr("CAST(max(cum_deaths) AS DOUBLE) / CAST(max(cum_cases) AS DOUBLE) AS share"))
     return (
         initial_value(weekly, ORDERS)
@@ -167,9 +173,9 @@ def curve_params(weekly: DataFrame, people: DataFrame) -> DataFrame:
         .join(people, "country")
         .withColumns({
             "beta": F.when(F.col("share") < 1.0 / 3.0, F.lit(0.3)).otherwise(0.1 + 0.1 * F.col("share")),
-            "sigma": F.lit(1.0 / 11.5),
             "gamma": 0.05 + 0.05 * F.col("share"),
-            "horizon": F.col("t_max") + 7,
+            "t_end": F.expr("date_add(t0, t_max - 56)"),
+            "t0": F.expr("date_add(t0, 28)"),
         })
     )
 
@@ -180,11 +186,31 @@ def known_fits(params: DataFrame) -> DataFrame:
     return params.where(F.col("population") >= F.lit(mean))
 
 
-def with_curve_phase(rows: DataFrame, weekly: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
+def order_curves(spark: SparkSession, sf_dir: str, params: DataFrame) -> DataFrame:
+    """Daily orders of the countries in ``params`` as their curves."""
+    return observed_curve(order_daily(spark, sf_dir), params, ORDERS.keys, "date", "cases")
+
+
+def event_params(weekly: DataFrame) -> DataFrame:
+    """Curve parameters of the detailed series: fifty people per case, a curve that ends three days early."""
+    return weekly.groupBy("country").agg(
+        F.min("week").alias("t0"), F.date_sub(F.max("week"), 3).alias("t_end"), (F.max("cum_cases") * 50).cast("double").alias("population")
+    )
+
+
+def event_curves(weekly: DataFrame, params: DataFrame) -> DataFrame:
+    return observed_curve(weekly, params, EVENTS.keys, "week", "new_cases")
+
+
+def with_curve_phase(spark: SparkSession, sf_dir: str, rows: DataFrame, weekly: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with ``curve_phase``, and the parameters of the countries that have a curve."""
-    params = cut_lineage(known_fits(curve_params(weekly, people)))
-    curves = curve_table(params, ORDERS.keys)
-    return phase_from_curve(rows, curves, params, ORDERS.keys, "week"), params
+    params = cut_lineage(known_fits(curve_params(weekly, populations(spark, sf_dir))))
+    return phase_from_curve(rows, order_curves(spark, sf_dir, params), params, ORDERS.keys, "week"), params
+
+
+def with_event_curve_phase(rows: DataFrame, weekly: DataFrame) -> DataFrame:
+    params = event_params(weekly)
+    return phase_from_curve(rows, event_curves(weekly, params), params, EVENTS.keys, "week")
 
 
 def majority_phase(rows: DataFrame, matrix: DataFrame) -> DataFrame:
@@ -202,8 +228,10 @@ def naive_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long test predictions of rule-based models on both data sets."""
     weekly = cut_lineage(order_weekly(spark, sf_dir))
     matrix = feature_matrix(weekly, ORDERS, MULTI_COUNTRY_FEATURES).withColumn("split", split_flag("week", CUT))
-    coded, params = with_curve_phase(matrix, weekly, populations(spark, sf_dir))
-    detailed = cut_lineage(event_matrix(spark, sf_dir))
+    coded, params = with_curve_phase(spark, sf_dir, matrix, weekly)
+    days = cut_lineage(event_weekly(spark, sf_dir))
+    full = split_by_fraction(feature_matrix(days, EVENTS, EVENT_FEATURES), ["week"], EVENTS.keys)
+    detailed = cut_lineage(with_event_curve_phase(full, days))
     keep = ["country", "week"]
     rows_a = majority_phase(persistence_phase(coded), matrix).where(F.col("split") == "test")
     rows_b = majority_phase(persistence_phase(detailed), detailed).where(F.col("split") == "test")
@@ -211,4 +239,21 @@ def naive_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = melt_predictions(rows_a, "A", {"SEIR": "curve_phase", **naive}, keep)
     known = params.select("country", F.lit(True).alias("_known"))
     a = with_subset(a.join(known, "country", "left"), F.coalesce("_known", F.lit(False)), "SEIR", "TOP-3").drop("_known")
-    return union_metrics([a, melt_predictions(rows_b, "B", naive, keep)])
+    return union_metrics([a, melt_predictions(rows_b, "B", {"SEIR": "curve_phase", **naive}, keep)])
+
+
+TRAINED: dict[tuple, PhaseModel] = {}
+
+
+def trained(spark: SparkSession, sf_dir: str, dataset: str, matrix: DataFrame, cols: Sequence[str], labels: Sequence[str], names: Sequence[str]) -> dict[str, PhaseModel]:
+    """The named models at full settings; each is trained once per session, data directory and data set."""
+    train, out = None, {}
+    for name in names:
+        key = (spark.sparkContext.applicationId, sf_dir, dataset, name)
+        if key not in TRAINED:
+            train = train if train is not None else cut_lineage(matrix.where(F.col("split") == "train"))
+            more = {"order": ["country", "week"]} if name == "MLP" else {}
+            with persisted(train) as kept:
+                TRAINED[key] = TRAINERS[name](kept, cols, labels, ModelSettings(), **more)
+        out[name] = TRAINED[key]
+    return out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -11,18 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, else one in the warehouse, which is shared as well.
 
-    Only a local session may fall back to a folder of this machine.
+    The rule is the same for every master.
     """
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if path is None:
-        path = sc.getCheckpointDir()
-    if path is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="epiwave-")
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path
@@ -45,6 +40,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_removed(spark: SparkSession):
+    """Remove on leaving what was written to the shared folder meanwhile; results must be stored elsewhere by then."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    before = {str(x.getPath()) for x in fs.listStatus(fs_path)} if fs.exists(fs_path) else set()
+    try:
+        yield
+    finally:
+        for x in fs.listStatus(fs_path) if fs.exists(fs_path) else ():
+            if str(x.getPath()) not in before:
+                fs.delete(x.getPath(), True)
+
+
 @contextmanager
 def persisted(df: DataFrame):
     """Keep ``df`` in memory and on disk while models iterate over it."""

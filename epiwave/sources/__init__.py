@@ -5,6 +5,7 @@ from .reports import (
     read_detailed_reports,
     read_multi_country_reports,
     read_reports,
+    rejected_records,
     rename_map,
     rename_positional,
     trim_headers,
@@ -13,6 +14,6 @@ from .reports import (
 
 __all__ = [
     "coerce_numeric", "dimension_table", "fill_zero_int", "read_detailed_reports",
-    "read_multi_country_reports", "read_reports", "rename_map", "rename_positional",
+    "read_multi_country_reports", "read_reports", "rejected_records", "rename_map", "rename_positional",
     "trim_headers", "write_result",
 ]

@@ -16,25 +16,45 @@ def read_reports(
     spark: SparkSession,
     path: str,
     columns: Sequence[str],
-    date_column: str = "Date",
+    date_column: str | None = "Date",
     date_formats: Sequence[str] = ("M/d/yyyy", "yyyy-MM-dd"),
+    multi_line: bool = False,
+    by_name: bool = False,
+    rejects: bool = False,
 ) -> DataFrame:
     """Scan a headed CSV with every column as text, then parse the date column.
 
-    The schema is stated, so no pass over the data is spent on inference, and
-    quoted fields may hold commas and line breaks.
+    The schema is stated, so no pass over the data is spent on inference. Quoted
+    fields may hold commas; a record is one line, so that files can be split,
+    unless ``multi_line`` lets quoted fields hold line breaks. ``by_name`` makes a
+    file whose header has other names or another order an error. A record that
+    does not fit the columns has NULLs; ``rejects`` keeps its text in ``_corrupt_record``.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    names = [*columns, *["_corrupt_record"] * rejects]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
     raw = (
         spark.read.schema(schema)
         .option("header", True)
-        .option("enforceSchema", True)
+        .option("enforceSchema", not by_name)
+        .option("multiLine", multi_line)
+        .option("columnNameOfCorruptRecord", "_corrupt_record")
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .csv(path)
     )
-    return raw.withColumns(fn.columns({date_column: fn.parse_date(f"`{date_column}`", date_formats)}))
+    return raw.withColumns(fn.columns({date_column: fn.parse_date(f"`{date_column}`", date_formats)})) if date_column else raw
+
+
+def rejected_records(spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = False) -> DataFrame:
+    """path, n_records, n_rejected, n_chars (of all fields) of every file; a rejected record does not fit the columns."""
+    raw = read_reports(spark, path, columns, multi_line=multi_line, rejects=True, date_column=None)
+    # The fields are read as well, as a misfit only shows when they are parsed.
+    return raw.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.count("*").alias("n_records"),
+        F.count_if(F.col("_corrupt_record").isNotNull()).alias("n_rejected"),
+        F.sum(F.length(F.concat_ws("", *[F.col(f"`{c}`") for c in columns]))).alias("n_chars"),
+    )
 
 
 def rename_positional(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -85,7 +105,7 @@ def read_multi_country_reports(spark: SparkSession, path: str) -> DataFrame:
 def read_detailed_reports(spark: SparkSession, path: str, country: str) -> DataFrame:
     """Detailed daily reports of one country; the country becomes the series key."""
     header = spark.read.option("header", True).csv(path).columns
-    raw = trim_headers(read_reports(spark, path, header, date_column=_named(header, "Date")))
+    raw = trim_headers(read_reports(spark, path, header, date_column=_named(header, "Date"), by_name=True))
     named = rename_map(raw, DETAILED_REPORT_COLUMNS | {"Date": "date"})
     numbers = list(DETAILED_REPORT_COLUMNS.values())
     return coerce_numeric(named, numbers).select(F.lit(country).alias("country"), "date", *numbers)

@@ -1,4 +1,4 @@
-"""Declarative descriptions of series, phase rules and curve sweeps."""
+"""Declarative descriptions of series, phase rules, features and training."""
 
 from __future__ import annotations
 
@@ -9,9 +9,8 @@ GROWING, STABLE, DECLINING, CONTAINED = "Growing", "Stable/Peak", "Declining", "
 PHASE_ORDER = (GROWING, STABLE, DECLINING, CONTAINED)
 PHASES = tuple(sorted(PHASE_ORDER))
 
-# Populations of the three fitted countries and the incubation rate.
+# Populations of the three countries with a curve.
 POPULATIONS = {"Guinea": 12_000_000, "Liberia": 4_500_000, "Sierra Leone": 7_000_000}
-DEFAULT_RATE = 1 / 11.5
 
 # Model names, their kinds and the display order of the metric table.
 MODEL_KINDS = {
@@ -54,6 +53,8 @@ class SeriesSpec:
     fill           'zero' treats a missing counter as 0 before differencing,
                    'carry' repeats the last known value
     gaps           'skip' keeps observed buckets only, 'fill' inserts the missing ones
+    grain          what report times are cut to first: 'hour', 'day' or another calendar unit;
+                   None takes them as they are
     """
 
     keys: tuple[str, ...] = ("country",)
@@ -64,6 +65,7 @@ class SeriesSpec:
     clip_negative: tuple[str, ...] = ("cum_cases",)
     fill: str = "zero"
     gaps: str = "skip"
+    grain: str | None = None
 
     def __post_init__(self):
         if not self.keys:
@@ -96,7 +98,7 @@ SINGLE_COUNTRY = SeriesSpec(
 
 @dataclass(frozen=True)
 class PhaseRule:
-    """Thresholds of the past-against-future moving-average rule."""
+    """Thresholds of the past-against-future moving-average rule."""
 
     floor: float = 2.0
     up: float = 1.25
@@ -105,6 +107,27 @@ class PhaseRule:
     future_rows: int = 3
 
 
+# Display labels of the features.
+LABELS = {
+    "country_enc": "Country (encoded)",
+    "days_into_epidemic": "Days since outbreak start",
+    "new_cases_lag1": "New cases (lag 1 {unit})",
+    "new_cases_lag2": "New cases (lag 2 {unit})",
+    "new_cases_lag3": "New cases (lag 3 {unit})",
+    "new_deaths_lag1": "New deaths (lag 1 {unit})",
+    "new_deaths_lag2": "New deaths (lag 2 {unit})",
+    "new_deaths_lag3": "New deaths (lag 3 {unit})",
+    "cases_3w_avg": "{n}-week avg cases",
+    "deaths_3w_avg": "{n}-week avg deaths",
+    "case_growth_rate": "Case growth rate",
+    "death_growth_rate": "Death growth rate",
+    "cum_cases_lag1": "Cumulative cases (lag 1 {unit})",
+    "cum_deaths_lag1": "Cumulative deaths (lag 1 {unit})",
+    "survivors_lag1": "Survivors (lag 1 {unit})",
+    "in_treatment_lag1": "In treatment (lag 1 {unit})",
+}
+
+
 @dataclass(frozen=True)
 class FeatureSpec:
     """Lag and average features built from past buckets only."""
@@ -125,21 +148,9 @@ class FeatureSpec:
         cols += [f"{c}_lag1" for c in self.level_lags]
         return cols
 
-    def labels(self) -> dict[str, str]:
-        """Feature column -> display label."""
-        out = {"country_enc": "Country (encoded)", "days_into_epidemic": "Days since outbreak start"}
-        for k in self.lags:
-            out[f"new_cases_lag{k}"] = f"New cases (lag {k} wk)"
-            out[f"new_deaths_lag{k}"] = f"New deaths (lag {k} wk)"
-        out[f"cases_{self.mean_rows}w_avg"] = f"{self.mean_rows}-week avg cases"
-        out[f"deaths_{self.mean_rows}w_avg"] = f"{self.mean_rows}-week avg deaths"
-        out["case_growth_rate"] = "Case growth rate"
-        out["death_growth_rate"] = "Death growth rate"
-        for c in self.level_lags:
-            kind = c.removeprefix("cum_").replace("_", " ")
-            head = f"Cumulative {kind}" if c.startswith("cum_") else kind.capitalize()
-            out[f"{c}_lag1"] = f"{head} (lag 1 wk)"
-        return {c: out[c] for c in self.columns()}
+    def labels(self, unit: str = "wk") -> dict[str, str]:
+        """Feature column -> display label; ``unit`` names the bucket of a lag."""
+        return {c: LABELS.get(c, c).format(n=self.mean_rows, unit=unit) for c in self.columns()}
 
 
 MULTI_COUNTRY_FEATURES = FeatureSpec()
@@ -148,32 +159,9 @@ SINGLE_COUNTRY_FEATURES = FeatureSpec(
 )
 
 
-@dataclass(frozen=True)
-class CurveSpec:
-    """Parameter sweep of the compartment curve.
-
-    ``fixed_rate`` is one of the two transition rates, the sweep finds the other
-    (called ``rate``) together with ``beta``. With ``compat_swap`` (the parity
-    default) the fixed rate is the recovery rate and the swept one drives
-    incubation; without it the fixed rate is the incubation rate and the swept
-    one is the recovery rate.
-    """
-
-    fixed_rate: float = DEFAULT_RATE
-    compat_swap: bool = True
-    beta_range: tuple[float, float] = (0.01, 2.0)
-    rate_range: tuple[float, float] = (0.005, 2.0)
-    grid: tuple[int, int] = (40, 40)
-    stripes: int = 4
-    start: tuple[float, float] = (0.27, 0.10)
-    refine_rounds: int = 30
-    tolerance: float = 1e-10
-    horizon_pad: int = 7
-
-
 @dataclass(frozen=True)
 class ModelSettings:
-    """Training settings of the four classifiers."""
+    """Training settings of the four classifiers."""
 
     rf_trees: int = 300
     rf_depth: int = 8
@@ -186,4 +174,4 @@ class ModelSettings:
     mlp_iterations: int = 200
     validation: float = 0.15
     seed: int = 42
-    loss_steps: tuple[int, ...] = field(default=(1, 2, 5, 10, 20, 50, 100))
+    loss_steps: tuple[int, ...] = field(default=(1, 2, 5, 10, 20, 50, 100, 200))

@@ -1,97 +1,41 @@
-import numpy as np
-import pytest
 from helpers import weeks
 
 from epiwave.operators import curves
 from epiwave.operators.phases import phase_from_curve
-from epiwave.spec import CurveSpec, SeriesSpec
-
-SPEC = SeriesSpec()
-PARAMS = "country string, population double, e0 double, i0 double, beta double, sigma double, gamma double, horizon int"
-
-
-def fine_curve(n, e0, i0, beta, sigma, gamma, days, parts=200):
-    """Susceptible per day by many small explicit midpoint steps."""
-    y = np.array([n - e0 - i0, e0, i0])
-    out = [y[0]]
-
-    def slope(y):
-        inf = beta * y[0] * y[2] / n
-        return np.array([-inf, inf - sigma * y[1], sigma * y[1] - gamma * y[2]])
-
-    h = 1 / parts
-    for _ in range(days):
-        for _ in range(parts):
-            y = y + h * slope(y + 0.5 * h * slope(y))
-        out.append(y[0])
-    return np.array(out)
-
-
-def observed(spark, series):
-    rows = [
-        (k, w, float(n - s[7 * i]))
-        for k, (n, s) in series.items() for i, w in enumerate(weeks(len(s) // 7))
-    ]
-    return spark.createDataFrame(rows, "country string, week date, cum_cases double")
-
-
-def test_daily_curve_agrees_with_small_steps_and_keeps_everyone(spark):
-    rows = [("a", 5000.0, 4.0, 2.0, 0.4, 0.1, 0.12, 150), ("b", 900.0, 2.0, 1.0, 0.9, 0.4, 0.2, 60)]
-    out = curves.curve_table(spark.createDataFrame(rows, PARAMS), ["country"]).toPandas()
-    for k, n, e0, i0, beta, sigma, gamma, horizon in rows:
-        mine = out[out.country == k].sort_values("day")
-        assert len(mine) == horizon + 1
-        total = mine[["susceptible", "exposed", "infectious", "removed"]].sum(axis=1)
-        assert np.abs(total - n).max() < 1e-6 and mine.removed.min() >= 0
-        # A tenth of the relative tolerance (1e-3) that is customary for adaptive solvers of this curve.
-        assert np.abs(mine.susceptible.to_numpy() - fine_curve(n, e0, i0, beta, sigma, gamma, horizon)).max() < n * 1e-4
-
-
-@pytest.mark.parametrize("swap", [True, False])
-def test_sweep_recovers_the_parameters_of_generated_curves(spark, swap):
-    curve = CurveSpec(grid=(16, 16), compat_swap=swap, refine_rounds=40)
-    truth = {"a": (20_000.0, 0.31, 0.09), "b": (80_000.0, 0.22, 0.17)}
-    series = {}
-    for k, (n, beta, rate) in truth.items():
-        sigma, gamma = (rate, curve.fixed_rate) if swap else (curve.fixed_rate, rate)
-        series[k] = (n, fine_curve(n, 6.0, 3.0, beta, sigma, gamma, 140, 50))
-    # The first observation is the seed: 9 people have left the susceptible, 3 of them count as seen.
-    frame = observed(spark, series).selectExpr("country", "week", "IF(cum_cases = 9D, 3D, cum_cases) AS cum_cases")
-    people = spark.createDataFrame([(k, v[0]) for k, v in truth.items()] + [("unseen", 5.0)], "country string, population double")
-    fits = {r["country"]: r for r in curves.sweep_fit(frame, people, SPEC, curve).collect()}
-    assert set(fits) == set(truth)
-    for k, (n, beta, rate) in truth.items():
-        f = fits[k]
-        assert f["beta"] == pytest.approx(beta, rel=5e-3) and f["rate"] == pytest.approx(rate, rel=2e-2)
-        assert (f["sigma"], f["gamma"]) == ((f["rate"], curve.fixed_rate) if swap else (curve.fixed_rate, f["rate"]))
-    r0 = {r["country"]: r["r0"] for r in curves.reproduction_number(curves.sweep_fit(frame, people, SPEC, curve), ["country"]).collect()}
-    assert r0["a"] == pytest.approx(fits["a"]["beta"] / fits["a"]["rate"])
-
-
-def test_refined_error_is_not_above_any_grid_point(spark):
-    n = 30_000.0
-    frame = observed(spark, {"a": (n, fine_curve(n, 2.0, 1.0, 0.25, 0.1, 0.09, 100, 20))})
-    people = spark.createDataFrame([("a", n)], "country string, population double")
-    curve = CurveSpec(grid=(6, 6), stripes=3, refine_rounds=5)
-    best = curves.sweep_fit(frame, people, SPEC, curve).first()["sse"]
-    levels = np.array([r["cum_cases"] for r in frame.orderBy("week").collect()])
-    dense = np.full((1, 7 * len(levels) - 6), np.nan)
-    dense[0, ::7] = levels
-    y0 = levels[0]
-    betas, rates = curves.grid_axes(curve)
-    points = [(b, r) for b in betas for r in rates] + [curve.start]
-    for b, r in points:
-        one = curves.squared_error(
-            dense, np.array([n]), np.array([2 * y0]), np.array([y0]), np.array([[b]]), r, curve.fixed_rate
-        )[0, 0]
-        assert best <= one * (1 + 1e-12)
-
-
-def test_a_curve_that_leaves_the_numbers_never_wins():
-    seen = np.array([[1.0, np.nan, 1e3]])
-    one = np.array([100.0]), np.array([50.0]), np.array([500.0])
-    errors = curves.squared_error(seen, *one, np.array([[1e200, 0.2]]), 0.1, 0.1)
-    assert np.isinf(errors[0, 0]) and np.isfinite(errors[0, 1])
+from epiwave.spec import SeriesSpec
+
+
+def test_observed_curve_fills_silent_days_and_keeps_its_span(spark):
+    start = weeks(1)[0]
+    counts = spark.createDataFrame([("a", start, 3), ("a", weeks(2)[1], 5), ("b", start, 9)], "country string, date date, cases int")
+    spans = spark.createDataFrame([("a", start, weeks(2)[1]), ("c", start, start), ("d", weeks(2)[1], start)], "country string, t0 date, t_end date")
+    out = curves.observed_curve(counts, spans, ["country"], "date", "cases")
+    got = {(r.country, r.day): r.infectious for r in out.collect()}
+    assert got == {("a", k): {0: 3.0, 7: 5.0}.get(k, 0.0) for k in range(8)} | {("c", 0): 0.0}
+    total = {(r.country, r.day): r.modelled for r in curves.cumulative_curve(out, ["country"]).collect()}
+    assert total["a", 6] == 3.0 and total["a", 7] == 8.0
+
+
+def test_fit_against_reports(spark):
+    days = weeks(3)
+    weekly = spark.createDataFrame([("a", w, c) for w, c in zip(days, (4, 6, 9))], "country string, week date, cum_cases long")
+    starts = spark.createDataFrame([("a", days[0])], "country string, t0 date")
+    curve = spark.createDataFrame([("a", 0, 5.0), ("a", 7, 6.0), ("a", 21, 1.0)], "country string, day int, modelled double")
+    pairs = curves.fit_vs_observed(weekly, starts, curve, SeriesSpec())
+    assert sorted((r.day, r.observed, r.modelled) for r in pairs.collect()) == [(0, 4.0, 5.0), (7, 6.0, 6.0)]
+    assert curves.sum_squared_error(pairs, ["country"]).first()["sse"] == 1.0
+
+
+def test_a_curve_keeps_its_last_value_and_gaps_give_no_phase(spark):
+    days = weeks(8)
+    rows = spark.createDataFrame([("a", d) for d in days], "country string, week date")
+    levels = {0: 50.0, 7: 50.0, 14: 80.0, 16: 20.0}
+    curve = spark.createDataFrame([("a", k, v) for k, v in levels.items()], "country string, day int, infectious double")
+    params = spark.createDataFrame([("a", days[0], 1_000_000.0)], "country string, t0 date, population double")
+    out = [r["curve_phase"] for r in phase_from_curve(rows, curve, params, ["country"], "week").orderBy("week").collect()]
+    assert out == ["Stable/Peak", "Growing", "Declining"] + ["Stable/Peak"] * 5
+    gap = curve.where("day <> 7")
+    assert phase_from_curve(rows, gap, params, ["country"], "week").orderBy("week").first()["curve_phase"] is None
 
 
 def test_curve_phases_and_guards(spark):

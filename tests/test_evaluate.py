@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from epiwave.operators import evaluate, report
 
 QUIET = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-PAIRS = st.lists(st.tuples(st.sampled_from("abcd"), st.sampled_from("abcd")), min_size=1, max_size=40)
+PAIRS = st.lists(st.tuples(st.sampled_from("abcd"), st.sampled_from([*"abcd", None])), min_size=1, max_size=40)
 
 
 def long(spark, truth, pred, model="m"):

@@ -11,12 +11,22 @@ def test_interpolation_matches_numpy_and_clamps(spark):
     points = {k: [-1, 0, 0.25, 1, 1.5, 2, 3.999, 4, 5, 9, 9.25, 40.5] for k in samples}
     s = spark.createDataFrame([(k, float(t), float(y)) for k, (ts, ys) in samples.items() for t, y in zip(ts, ys)], "k string, t double, y double")
     q = spark.createDataFrame([(k, float(t)) for k, ts in points.items() for t in ts] + [("none", 1.0)], "k string, t double")
-    for cell in (1.0, 3.0):
-        rows = joins.interp_join(q, s, ["k"], "t", "y", "v", cell=cell).collect()
-        assert len(rows) == q.count()
-        for r in rows:
-            expected = None if r["k"] == "none" else float(np.interp(r["t"], *samples[r["k"]]))
-            assert r["v"] == expected or abs(r["v"] - expected) < 1e-12
+    rows = joins.interp_join(q, s, ["k"], "t", "y", "v").collect()
+    assert len(rows) == q.count()
+    for r in rows:
+        expected = None if r["k"] == "none" else float(np.interp(r["t"], *samples[r["k"]]))
+        assert r["v"] == expected or abs(r["v"] - expected) < 1e-12
+
+
+def test_interpolation_over_long_gaps_makes_few_rows(spark):
+    """Seconds with a gap of years: the segments touch at most two cells per sample."""
+    ts = [0.0, 60.0, 120.0, 9e7, 9e7 + 60]
+    samples = spark.createDataFrame([("a", t, t / 60) for t in ts], "k string, t double, y double")
+    queries = spark.range(2000).selectExpr("'a' AS k", "id * 45000D AS t")
+    out = joins.interp_join(queries, samples, ["k"], "t", "y", "v")
+    assert all(abs(r["v"] - r["t"] / 60) < 1e-6 for r in out.collect())
+    made = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in made
 
 
 def test_value_at_offset_needs_the_exact_day(spark):
@@ -26,13 +36,13 @@ def test_value_at_offset_needs_the_exact_day(spark):
     assert out == {("a", 0): (0.0, 7.0), ("a", 1): (1.0, None), ("a", 2): (None, None), ("b", 0): (None, None)}
 
 
-def test_lookup_defaults_and_size_check(spark):
+def test_lookup_defaults_and_row_bound(spark):
     facts = spark.createDataFrame([("x",), ("y",)], "k string")
     dim = spark.createDataFrame([("x", 3)], "k string, n int")
     out = joins.join_dimension(facts, dim, "k", {"n": 0}, rows=1).orderBy("k").collect()
     assert [r["n"] for r in out] == [3, 0]
-    hinted = [joins.size_checked(f, 1)._jdf.queryExecution().logical().toString() for f in (dim, facts)]
-    assert ["Hint broadcast" in text for text in hinted] == [True, False]
+    hinted = [joins.join_dimension(facts, dim, "k", rows=n)._jdf.queryExecution().logical().toString() for n in (1, 10**9, None)]
+    assert ["strategy=broadcast" in text or "Hint broadcast" in text for text in hinted] == [True, False, False]
 
 
 def test_row_numbers_are_global_for_any_partitioning(spark):
@@ -51,6 +61,16 @@ def test_fraction_and_tail_splits(spark):
     tail = splits.tail_holdout(frame, ["k", "week"])
     assert tail.where("part = 'fit'").count() == int(14 * 0.85)
     assert {r["k"] for r in tail.where("part = 'validation'").collect()} == {"b", "c"}
+    assert "Window" not in tail._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_large_table_of_leading_values_is_split_alike(spark, monkeypatch):
+    frame = spark.range(60).selectExpr("CAST(id % 13 AS INT) AS k", "id AS week").repartition(5)
+    few = sorted(map(tuple, splits.split_by_fraction(frame, ["k", "week"]).collect()))
+    monkeypatch.setattr(splits, "COUNTED_VALUES", 3)
+    assert sorted(map(tuple, splits.split_by_fraction(frame, ["k", "week"]).collect())) == few
+    assert sum(r[2] == "train" for r in few) == 42
+    assert splits.split_by_fraction(frame.where("k < 0"), ["k", "week"]).count() == 0
 
 
 def test_date_split_with_embargo(spark):
@@ -67,6 +87,13 @@ def test_key_codes_are_lexicographic(spark):
     assert out == [("a", 0), ("a", 0), ("b", 1), ("c", 2)]
 
 
+def test_many_keys_get_the_same_codes(spark, monkeypatch):
+    frame = spark.range(40).selectExpr("concat('k', id % 9) AS k")
+    few = sorted(map(tuple, features.encode_key(frame, "k").collect()))
+    monkeypatch.setattr(features, "BROADCAST_ROWS", 3)
+    assert sorted(map(tuple, features.encode_key(frame, "k").collect())) == few
+
+
 def test_standardizer_uses_population_spread_and_keeps_constants(spark):
     frame = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0), (5.0, 5.0)], "x double, y double")
     scaler = features.fit_standardizer(frame, ["x", "y"])
@@ -96,6 +123,7 @@ def test_top_k_and_labels(spark):
     labels = MULTI_COUNTRY_FEATURES.labels()
     assert labels["cum_deaths_lag1"] == "Cumulative deaths (lag 1 wk)" and labels["cases_3w_avg"] == "3-week avg cases"
     assert len(labels) == 14
+    assert MULTI_COUNTRY_FEATURES.labels("d")["new_cases_lag2"] == "New cases (lag 2 d)"
 
 
 def test_interpolation_with_one_hot_key(spark):

@@ -1,4 +1,4 @@
-"""Physical plans: shuffle counts, pruned scans, no Python outside the curve operators."""
+"""Physical plans: shuffle counts, pruned scans, no Python."""
 
 import re
 
@@ -78,14 +78,14 @@ def test_entry_and_registry(spark):
     frame = entry.entry(spark)
     assert frame.columns == ["phase", "n_weeks"] and frame.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert not [n for n in entry.queries() if n.startswith("op")]
 
 
 CHECKED = (
     "ingest_reports read_reports fill_zero_int case_fatality select_features scaled_code join_at_offset interp_join "
     "weekly_rollup weekly_rollup_gauges weekly_rollup_carry weekly_rollup_filled last_in_bucket increments_single growth_rate "
     "tail_holdout split_by_fraction label_phases phase_curve_full standardize balanced_weights class_report "
-    "class_report_partial compare_models timeline curve_table sweep_grid"
+    "class_report_partial compare_models timeline timeline_gauges select_features_gauges standardize_gauges clip_lower phase_from_curve phase_guard "
+    "observed_curve sum_squared_error best_vs_baseline encode_labels predict train_lr coefficients"
 ).split()
 
 
@@ -101,12 +101,3 @@ def test_query_equals_its_statement(spark, duck, name):
     from oracle_check import compare
 
     assert compare(spark, duck, name, catalog.QUERIES[name], catalog.ORACLES[name], SMALL).startswith("ok")
-
-
-def test_end_to_end_comparison(spark):
-    table = catalog.QUERIES["model_comparison"](spark, SMALL).collect()
-    assert {(r["dataset"], r["model"]) for r in table} == {
-        ("A", "SEIR"), ("A", "SEIR (TOP-3)"), ("A", "Random Forest"), ("A", "Logistic Regression"),
-        ("B", "SEIR"), ("B", "Random Forest"), ("B", "Logistic Regression"),
-    }
-    assert all(0 <= r[c] <= 1 for r in table for c in ("accuracy", "weighted_f1", "macro_f1"))

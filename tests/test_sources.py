@@ -59,3 +59,12 @@ def test_written_results_round_trip(spark, tmp_path):
         src.write_result(frame, path, fmt=fmt, by=["dataset"])
         back = spark.read.format(fmt).option("header", True).load(path)
         assert sorted((r["dataset"], r["model"], float(r["score"])) for r in back.collect()) == [("A", "m", 0.5), ("B", "m", 0.25)]
+
+
+def test_rejected_records_are_counted(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('Date,n\n2020-01-01,1\n2020-01-02,2,3\n2020-01-03,"a\nb"\n')
+    one = src.rejected_records(spark, str(tmp_path / "r.csv"), ["Date", "n"]).first()
+    assert one["n_records"] == 4 and one["n_rejected"] >= 2
+    whole = src.rejected_records(spark, str(tmp_path / "r.csv"), ["Date", "n"], multi_line=True).first()
+    assert (whole["n_records"], whole["n_rejected"]) == (3, 1)
+    assert src.read_reports(spark, str(tmp_path / "r.csv"), ["Date", "n"], multi_line=True).where("n LIKE '%b'").count() == 1
