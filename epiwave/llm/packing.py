@@ -23,7 +23,7 @@ from tokenizers import Tokenizer
 from epiwave.llm.common import stored
 
 #: Words whose ids a worker keeps; beyond it the store starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 
 
 @dataclass(frozen=True)
