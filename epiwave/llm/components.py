@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epiwave import session
+from epiwave.llm.common import stored
 
 
 def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,11 +53,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Nodes are whole numbers. Links with a null end and of a node to itself say nothing; repeated links count once.
     """
     pairs = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    now = session.cut_lineage(pairs.mapInArrow(local_forest, "u long, v long").distinct())
+    now = stored(pairs.mapInArrow(local_forest, "u long, v long").distinct())
     said = None
     while True:
         n, mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not n or (n, mark) == said:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
         said = n, mark
-        now = session.cut_lineage(star(now))
+        now = stored(star(now))

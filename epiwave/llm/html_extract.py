@@ -24,9 +24,13 @@ from pyspark.sql import functions as F
 from epiwave import session
 from epiwave.llm.url_filter import host_of
 
+INSIDE = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+#: Comments; elements whose content is no text, up to their end or that of the page; elements that are left out where
+#: they are closed; declarations; other tags.
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea)\b{INSIDE}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(svg|select|object|audio|video|canvas|button)\b{INSIDE}(?<!/)>.*?</\2\s*>"
+    rf"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({INSIDE})>|</?[a-zA-Z][^>]*>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -89,14 +93,14 @@ def blocks(page: str | None) -> Iterator[tuple[str, str]]:
     for m in TAG.finditer(page):
         held.append(page[at : m.start()])
         at = m.end()
-        tag = m[3] and m[3].lower()
+        tag = m[4] and m[4].lower()
         if tag is None or tag not in BLOCK:
-            if tag == "br" or tag is None and m[1]:
+            if tag == "br" or m[1] or m[2]:
                 held.append(" ")
             continue
         if text := flush():
             yield path, text
-        if m[2]:
+        if m[3]:
             if any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
@@ -105,9 +109,9 @@ def blocks(page: str | None) -> Iterator[tuple[str, str]]:
             while stack and stack[-1][0] in closes:
                 stack.pop()
             if tag not in VOID:
-                stack.append((tag, step_of(tag, m[4])))
+                stack.append((tag, step_of(tag, m[5])))
         path = "/".join(s for _, s in stack)
-        if not m[2] and tag not in VOID:
+        if not m[3] and tag not in VOID:
             yield path, ""
     held.append(page[at:])
     if text := flush():

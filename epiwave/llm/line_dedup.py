@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiwave import session
+from epiwave.llm.common import stored
 
 #: The characters stripped from both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -41,7 +42,7 @@ class LineRuns:
     def write(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(session.cut_lineage(run.repartition(*HASH).sortWithinPartitions(*HASH)))
+        self.levels[level].append(stored(run.repartition(*HASH).sortWithinPartitions(*HASH)))
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
             self.write(self.merged(full), level + 1)
@@ -56,7 +57,7 @@ class LineRuns:
         if not self.levels:
             self.write(own, 0)
             return
-        own = session.cut_lineage(own)
+        own = stored(own)
         held = self.merged(self.runs()).select(*HASH)
         new = own.join(held, HASH, "left_anti")
         more = own.join(held, HASH, "left_semi").withColumn("max_doc", F.lit(None).cast("long"))
@@ -95,7 +96,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     runs = LineRuns(spark)
     for b in range(batches):
         runs.add(lines.filter(F.col("batch") == b).select("doc", *HASH))
-    common = session.cut_lineage(runs.totals().filter(F.col("n_docs") >= min_docs).select(*HASH, "max_doc"))
+    common = stored(runs.totals().filter(F.col("n_docs") >= min_docs).select(*HASH, "max_doc"))
     dropped = lines.join(common, HASH).filter("doc < max_doc").groupBy("doc", "copy").agg(F.collect_set("pos").alias("__gone"))
     dropped = dropped.select(F.col("doc").alias("__doc"), F.col("copy").alias("__copy"), "__gone")
     text = F.col(text_col)

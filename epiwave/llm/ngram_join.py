@@ -4,7 +4,7 @@ All n-grams have one global order: rare words first, then by hash. The order is
 segment in each. Pairs of documents get partial overlaps, counted for each fragment on its own and summed per pair.
 
 Which pairs are counted: two sets of the wanted similarity share an n-gram among the first of each (prefix filter), are
-of similar size, and differ in few n-grams, so in few parities of n-grams per slot of a 512-slot table. First every
+of similar size, and differ in few n-grams, so in few parities of n-grams per slot of a hashed table. First every
 document meets one leader for each n-gram; pairs that then are in one component already need no count of their own.
 """
 
@@ -21,8 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epiwave import session
-from epiwave.llm.common import arrow_rows
+from epiwave.llm.common import arrow_rows, dropped, stored
 from epiwave.llm.components import components
 
 SLOTS = 512
@@ -30,6 +29,8 @@ SLOTS = 512
 GROUP_WORDS = 1_000_000
 #: Words whose hashes a worker keeps; beyond it the store starts anew.
 KEPT_WORDS = 1_000_000
+#: Of the table that tells which documents' sets are wanted.
+FILTER_BITS = 1 << 23
 SKETCH = [f"s{k}" for k in range(SLOTS // 64)]
 
 
@@ -68,7 +69,7 @@ def frequent_words(docs: DataFrame, share: float) -> dict[bytes, int]:
             [pa.array([b"", *(w for w, _ in words)], pa.binary()), pa.array([n, *(c for _, c in words)], pa.int64())], names=["word", "n"]
         )
 
-    counts = session.cut_lineage(docs.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    counts = stored(docs.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.filter(F.length("word") == 0).first()
     least = max(2.0, share * (total["n"] if total else 0))
     found = counts.filter((F.length("word") > 0) & (F.col("n") >= least)).collect()
@@ -138,50 +139,78 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def described(docs: DataFrame, how: JaccardJoin, frequent: dict[bytes, int]) -> DataFrame:
-    """doc, n (set size), digest of the set, prefix (keys), cuts (keys at the set's own quantiles), parities s0, s1, ..."""
+    """doc, n (set size), digest of the set, prefix (keys), cuts (keys at the set's own quantiles), parities.
+
+    ``wide`` has the parities of n-grams per slot for at least two slots per n-gram, s0, s1, ... the same folded to
+    ``SLOTS`` slots.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes(frequent)
         for batch in batches:
-            n, digest, prefix, cuts, parity = [], [], [], [], []
+            n, digest, prefix, cuts, parity, wide = [], [], [], [], [], []
             for keys in gram_sets(batch.column(1).to_pylist(), how.words, known):
                 n.append(len(keys))
                 digest.append(xxhash.xxh3_128_digest(keys.tobytes()))
                 prefix.append(keys[: prefix_size(len(keys), how.percent)].view(np.int64) if len(keys) else np.zeros(0, np.int64))
                 cuts.append(keys[[k * len(keys) // how.fragments for k in range(1, how.fragments)]].view(np.int64) if len(keys) else np.zeros(0, np.int64))
-                odd = np.bincount((keys & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS) & 1
-                parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            slots = np.array(parity, np.int64).reshape(-1, len(SKETCH))
+                slots = max(SLOTS, 1 << (2 * len(keys)).bit_length())
+                odd = np.bincount((keys & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+                bits = np.packbits(odd.astype(np.uint8))
+                wide.append(bits.tobytes())
+                parity.append(np.bitwise_xor.reduce(bits.reshape(-1, SLOTS // 8), axis=0).view(np.int64))
+            narrow = np.array(parity, np.int64).reshape(-1, len(SKETCH))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(cuts, pa.list_(pa.int64())), *(pa.array(slots[:, k]) for k in range(len(SKETCH)))],
-                names=["doc", "n", "digest", "prefix", "cuts", *SKETCH],
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(cuts, pa.list_(pa.int64())), pa.array(wide, pa.binary()), *(pa.array(narrow[:, k]) for k in range(len(SKETCH)))],
+                names=["doc", "n", "digest", "prefix", "cuts", "wide", *SKETCH],
             )
 
-    schema = "doc long, n int, digest binary, prefix array<long>, cuts array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
+    schema = "doc long, n int, digest binary, prefix array<long>, cuts array<long>, wide binary, " + ", ".join(f"{s} long" for s in SKETCH)
     return docs.select("doc", "text").mapInArrow(run, schema)
 
 
-def segments(docs: DataFrame, wanted: DataFrame, how: JaccardJoin, frequent: dict[bytes, int], cuts: list[int]) -> DataFrame:
-    """set, frag, grams (sorted keys as bytes) of the wanted sets (set, doc, digest)."""
+def bit_table(docs: DataFrame) -> bytes:
+    """A table of ``FILTER_BITS`` bits with one set for each doc (column doc), made on the executors; of fixed size.
+
+    A doc whose bit isn't set isn't there. The more docs, the fewer it tells apart, and the fuller the table.
+    """
+    place = docs.select(F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS)).alias("place"))
+    words = place.selectExpr("CAST(place DIV 8 AS INT) AS k", "shiftleft(1, CAST(place % 8 AS INT)) AS bit")
+    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in words.groupBy("k").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        table[r["k"]] = r["bits"]
+    return table.tobytes()
+
+
+def segments(docs: DataFrame, leads: DataFrame, others: DataFrame, how: JaccardJoin, frequent: dict[bytes, int], cuts: list[int]) -> DataFrame:
+    """set, frag, grams (sorted keys as bytes), lead, other: the sets of the documents in ``leads`` and ``others`` (doc).
+
+    The texts of all other documents are passed over where they are read, but for the few that share a bit.
+    """
     bounds = np.sort(np.array(cuts, np.int64).view(np.uint64))
+    tables = bit_table(leads), bit_table(others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes(frequent)
+        lead_bits, other_bits = (np.frombuffer(t, np.uint8) for t in tables)
         for batch in batches:
-            ids, frag, grams = [], [], []
-            own = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), gram_sets(batch.column(1).to_pylist(), how.words, known), strict=True)
-            for set_id, digest, keys in own:
-                if xxhash.xxh3_128_digest(keys.tobytes()) != digest:
-                    continue  # another text under the same id
+            at = batch.column(1).to_numpy()
+            lead, other = (t[at // 8] >> (at % 8) & 1 == 1 for t in (lead_bits, other_bits))
+            hit = np.flatnonzero(lead | other)
+            rows = []
+            texts = batch.column(0).take(pa.array(hit)).to_pylist()
+            for k, keys in zip(hit, gram_sets(texts, how.words, known), strict=True):
+                digest = xxhash.xxh3_128_digest(keys.tobytes())
                 for f, part in enumerate(np.split(keys, np.searchsorted(keys, bounds))):
                     if len(part):
-                        ids.append(set_id)
-                        frag.append(f)
-                        grams.append(part.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(frag, pa.int32()), pa.array(grams, pa.binary())], names=["set", "frag", "grams"])
+                        rows.append((digest, f, part.tobytes(), bool(lead[k]), bool(other[k])))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            types = [pa.binary(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["digest", "frag", "grams", "lead", "other"])
 
-    held = docs.select("doc", "text").join(wanted, "doc").select("set", "text", "digest")
-    return held.mapInArrow(run, "set long, frag int, grams binary").dropDuplicates(["set", "frag"])
+    place = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS)).alias("place")
+    found = docs.filter("doc IS NOT NULL").select("text", place).mapInArrow(run, "digest binary, frag int, grams binary, lead boolean, other boolean")
+    return found.select(F.xxhash64("digest").alias("set"), "frag", "grams", "lead", "other")
 
 
 def common(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -204,32 +233,57 @@ def few_parities(x: str, y: str, percent: int) -> Column:
     return differ.cast("long") * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")).cast("long") * (100 - percent)
 
 
+def room_left(percent: int):
+    """Whether the wide parities of two sets leave room for a link; the wider table is folded to the other's slots."""
+
+    def run(wa: pa.Array, wb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+        out = []
+        for x, y, n in zip(wa, wb, (na.to_numpy().astype(np.int64) + nb.to_numpy()).tolist(), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+            size = min(len(x), len(y))
+            x, y = (np.bitwise_xor.reduce(t.reshape(-1, size), axis=0) for t in (x, y))
+            out.append(int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= n * (100 - percent))
+        return pa.array(out, pa.bool_())
+
+    return F.arrow_udf(run, "boolean")
+
+
+def promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) whose wide parities leave room for a link."""
+    x, y = (reps.select(F.col("set").alias(k), F.col("wide").alias(f"w{k}")) for k in ("a", "b"))
+    close = pairs.join(x, "a").join(y, "b").filter(room_left(percent)("wa", "wb", "na", "nb"))
+    with arrow_rows(pairs.sparkSession, 2000):
+        return stored(close.select("a", "b", "na", "nb"))
+
+
 def links_of(pairs: DataFrame, docs: DataFrame, reps: DataFrame, how: JaccardJoin, frequent, cuts) -> DataFrame:
-    """The pairs (a, b, na, nb) that are similar enough: partial overlaps of the fragments, summed per pair."""
-    ids = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-    wanted = reps.select("set", "doc", "digest").join(ids, "set", "left_semi")
-    parts = session.cut_lineage(segments(docs, wanted, how, frequent, cuts))
-    left = parts.select(F.col("set").alias("a"), "frag", F.col("grams").alias("ga"))
-    right = parts.select(F.col("set").alias("b"), "frag", F.col("grams").alias("gb"))
-    partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", F.arrow_udf(common, "long")("ga", "gb").alias("shared"))
-    overlap = partial.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    """The pairs (a, b, na, nb) that are similar enough: partial overlaps of the fragments, summed per pair.
+
+    Rows of ``docs`` with the same id and text give the same segments twice, hence the largest of equal counts.
+    """
+    leads, others = (pairs.select(F.col(c).alias("set")).distinct().join(reps.select("set", "doc"), "set").select("doc") for c in ("a", "b"))
+    parts = stored(segments(docs, leads, others, how, frequent, cuts))
+    left = parts.filter("lead").select(F.col("set").alias("a"), "frag", F.col("grams").alias("ga"))
+    right = parts.filter("other").select(F.col("set").alias("b"), "frag", F.col("grams").alias("gb"))
+    partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", "frag", F.arrow_udf(common, "long")("ga", "gb").alias("shared"))
+    overlap = partial.groupBy("a", "b", "na", "nb", "frag").agg(F.max("shared").alias("shared")).groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
     enough = F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * how.percent
     with arrow_rows(docs.sparkSession, 500):
-        return session.cut_lineage(overlap.filter(enough).select("a", "b"))
+        links = stored(overlap.filter(enough).select("a", "b"))
+    dropped(parts)
+    return links
 
 
 def leader_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """Each set with the leader of its n-gram and size band, and the leaders of neighbouring bands."""
-    to_lead = shared.select(F.col("lead").alias("a"), F.col("set").alias("b"), F.col("lead_n").alias("na"), F.col("n").alias("nb"))
+    """Each set with the leader it shares most n-grams with, and the leaders of neighbouring size bands."""
+    met = shared.filter("set <> lead").groupBy("lead", "set", "lead_n", "n").agg(F.count("*").alias("k"))
+    best = met.groupBy("set").agg(F.max(F.struct("k", "lead", "lead_n", "n")).alias("m"))
+    to_lead = best.select(F.col("m.lead").alias("a"), F.col("set").alias("b"), F.col("m.lead_n").alias("na"), F.col("m.n").alias("nb"))
     leads = shared.select("gram", "band", "lead", "lead_n").distinct()
     both = leads.alias("p").join(leads.alias("q"), (F.col("p.gram") == F.col("q.gram")) & (F.col("p.band") + 1 == F.col("q.band")))
     beside = both.select(F.col("p.lead").alias("a"), F.col("q.lead").alias("b"), F.col("p.lead_n").alias("na"), F.col("q.lead_n").alias("nb"))
     pairs = to_lead.union(beside).filter(F.col("a") != F.col("b")).filter(similar_size(F.col("na"), F.col("nb"), percent))
-    swap = F.col("a") > F.col("b")
-    return pairs.select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-        F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"),
-    ).distinct()
+    return pairs.distinct()
 
 
 def jaccard_components(docs: DataFrame, how: JaccardJoin = JaccardJoin(), id_col="doc_id", text_col="text") -> DataFrame:
@@ -242,49 +296,48 @@ def jaccard_components(docs: DataFrame, how: JaccardJoin = JaccardJoin(), id_col
     """
     mine = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     frequent = frequent_words(mine.select("text"), how.frequent_share)
-    sets = session.cut_lineage(described(mine, how, frequent).withColumn("set", F.xxhash64("digest")))
+    sets = stored(described(mine, how, frequent).withColumn("set", F.xxhash64("digest")))
     named = sets.filter("n > 0 AND doc IS NOT NULL")
-    fields = ["doc", "digest", "n", "prefix", *SKETCH]
-    reps = named.groupBy("set").agg(F.min_by(F.struct(*fields), "doc").alias("r")).select("set", "r.*")
-    reps = session.cut_lineage(reps)
+    fields = ["doc", "n", *SKETCH, "wide"]
+    reps = stored(named.groupBy("set").agg(F.min(F.struct(*fields)).alias("r")).select("set", "r.*"))
     quantiles = named.select(*(F.percentile_approx(F.get("cuts", F.lit(k)), 0.5, 1000) for k in range(how.fragments - 1))).first()
     cuts = [q for q in quantiles if q is not None]
 
     band = F.floor(F.log("n") / math.log(100 / how.percent))
-    grams = reps.select("set", "n", band.alias("band"), F.explode("prefix").alias("gram"))
-    counted = grams.withColumn("m", F.count("*").over(Window.partitionBy("gram"))).filter("m > 1")
+    stands = named.select("set", "doc", "n", "prefix").join(reps.select("set", "doc"), ["set", "doc"])
+    grams = stands.select("set", "n", F.explode("prefix").alias("gram"))
+    counted = grams.withColumn("m", F.count("*").over(Window.partitionBy("gram"))).filter("m > 1").withColumn("band", band)
     first = F.min(F.struct("set", "n")).over(Window.partitionBy("gram", "band"))
     shared = counted.withColumn("first", first).select("gram", "set", "n", "band", F.col("first.set").alias("lead"), F.col("first.n").alias("lead_n"))
-    shared = session.cut_lineage(shared)
-    x, y = (reps.select(F.col("set").alias(k), *SKETCH, "n").alias(t) for k, t in (("a", "x"), ("b", "y")))
-    tested = leader_pairs(shared, how.percent).join(x, "a").join(y, "b").filter(few_parities("x", "y", how.percent)).select("a", "b", "na", "nb")
-    tested = session.cut_lineage(tested)
+    shared = stored(shared)
+    tested = promising(leader_pairs(shared, how.percent), reps, how.percent)
     links = links_of(tested, mine, reps, how, frequent, cuts)
 
     # All other pairs that share an n-gram, but for those that a component holds already.
     joined = components(links).select(F.col("node").alias("set"), "component")
     member = shared.select("gram", "set").join(joined, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    member = session.cut_lineage(member)
+    member = stored(member)
     several = member.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("gram")
     several = member.join(several, "gram", "left_semi").join(reps.select("set", "n", *SKETCH), "set")
-    several = session.cut_lineage(several)
+    several = stored(several)
     near = (
         (F.col("x.gram") == F.col("y.gram")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.component") != F.col("y.component"))
         & similar_size(F.col("x.n"), F.col("y.n"), how.percent) & few_parities("x", "y", how.percent)
     )
     rest = several.alias("x").join(several.alias("y"), near)
     rest = rest.select(F.col("x.set").alias("a"), F.col("y.set").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
-    rest = session.cut_lineage(rest.join(tested, ["a", "b"], "left_anti"))
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = promising(rest.join(done, ["a", "b"], "left_anti"), reps, how.percent)
     more = links_of(rest, mine, reps, how, frequent, cuts)
 
     # Sets of one id belong together, as do linked sets; the smallest id of a component is its name.
     own = named.groupBy("doc").agg(F.min("set").alias("a"), F.max("set").alias("z")).filter("a < z").select("doc", "a")
     own = named.select("doc", F.col("set").alias("b")).join(own, "doc").select("a", "b")
     found = components(links.union(more).union(own)).select(F.col("node").alias("set"), "component")
-    of_set = session.cut_lineage(named.select("doc", "set").join(found, "set", "left").select("doc", "set", F.coalesce("component", "set").alias("component")))
-    least = session.cut_lineage(of_set.groupBy("component").agg(F.min("doc").alias("component_id")))
+    of_set = stored(named.select("doc", "set").join(found, "set", "left").select("doc", "set", F.coalesce("component", "set").alias("component")))
+    least = stored(of_set.groupBy("component").agg(F.min("doc").alias("component_id")))
     by_set = of_set.select("set", "component").distinct().join(least, "component").select("set", F.col("component_id").alias("least"))
-    by_set = session.cut_lineage(by_set)
+    by_set = stored(by_set)
     none = F.col("n") == 0
     return sets.join(by_set, "set", "left").select(
         F.col("doc").alias(id_col), F.col("n").cast("long").alias("n_shingles"),

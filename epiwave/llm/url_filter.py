@@ -100,16 +100,20 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def behind_scheme(url: Column) -> Column:
+    """What stands behind the first ://; null without one."""
+    at = F.instr(url, "://")
+    return F.when(at > 0, F.substr(url, at + 3))
+
+
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty without ://."""
-    rest = F.expr("substring({0}, instr({0}, '://') + 3)".format("__url"))
-    return F.when(F.instr(url, "://") > 0, ascii_lower(F.regexp_extract(rest, "^[^/?#]*", 0))).otherwise("")
+    return F.coalesce(ascii_lower(F.regexp_extract(behind_scheme(url), "^[^/?#]*", 0)), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
     """After the host up to ?, # or the end; empty without ://."""
-    rest = F.expr("substring({0}, instr({0}, '://') + 3)".format("__url"))
-    return F.when(F.instr(url, "://") > 0, F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)).otherwise("")
+    return F.coalesce(F.regexp_extract(behind_scheme(url), "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
 def parsed(urls: DataFrame, id_col: str, url_col: str) -> DataFrame:
