@@ -26,9 +26,11 @@ from epiwave.llm.components import components
 
 SLOTS = 512
 #: Words of texts that are handled at once.
-GROUP_WORDS = 1_000_000
+GROUP_WORDS = 250_000
 #: Words whose hashes a worker keeps; beyond it the store starts anew.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 250_000
+#: How often the remaining pairs are thinned by one partner of each set before all that are left are counted.
+ROUNDS = 4
 #: Of the table that tells which documents' sets are wanted.
 FILTER_BITS = 1 << 23
 SKETCH = [f"s{k}" for k in range(SLOTS // 64)]
@@ -62,8 +64,8 @@ def frequent_words(docs: DataFrame, share: float) -> dict[bytes, int]:
             for t in batch.column(0):
                 n += 1
                 seen.update(set(words_of(t.as_py())))
-            if len(seen) > 2_000_000:  # a word of the wanted share stays above a quarter of it in some partition
-                seen = Counter({w: c for w, c in seen.items() if c > share * n / 4})
+            if len(seen) > 500_000:  # a word of the wanted share stays above a quarter of it in some partition
+                seen = Counter({w: c for w, c in seen.items() if c > max(1, share * n / 4)})
         words = [(w, c) for w, c in seen.items() if c > 1 and c >= share * n / 4]
         yield pa.RecordBatch.from_arrays(
             [pa.array([b"", *(w for w, _ in words)], pa.binary()), pa.array([n, *(c for _, c in words)], pa.int64())], names=["word", "n"]
@@ -327,8 +329,23 @@ def jaccard_components(docs: DataFrame, how: JaccardJoin = JaccardJoin(), id_col
     rest = several.alias("x").join(several.alias("y"), near)
     rest = rest.select(F.col("x.set").alias("a"), F.col("y.set").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = promising(rest.join(done, ["a", "b"], "left_anti"), reps, how.percent)
-    more = links_of(rest, mine, reps, how, frequent, cuts)
+    rest = stored(rest.join(done, ["a", "b"], "left_anti"))
+    for _ in range(ROUNDS):
+        # One partner of each set; what its links put into one component needs no count of its own.
+        first = rest.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("p")).select("p.a", "b", "p.na", "p.nb")
+        picked = promising(first, reps, how.percent)
+        new = links_of(picked, mine, reps, how, frequent, cuts)
+        links = links.union(new)
+        if new.isEmpty():
+            break
+        joined = stored(components(links).select("node", "component"))
+        x, y = (joined.select(F.col("node").alias(f"node_{k}"), F.col("component").alias(f"c{k}")) for k in ("a", "b"))
+        placed = rest.join(x, F.col("a") == F.col("node_a"), "left").join(y, F.col("b") == F.col("node_b"), "left")
+        apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+        rest = stored(placed.filter(apart).select("a", "b", "na", "nb").join(picked.select("a", "b"), ["a", "b"], "left_anti"))
+        if rest.isEmpty():
+            break
+    more = links_of(promising(rest, reps, how.percent), mine, reps, how, frequent, cuts)
 
     # Sets of one id belong together, as do linked sets; the smallest id of a component is its name.
     own = named.groupBy("doc").agg(F.min("set").alias("a"), F.max("set").alias("z")).filter("a < z").select("doc", "a")
