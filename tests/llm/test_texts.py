@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+from pathlib import Path
 
 import public_tokenizers
 import zstandard
@@ -12,6 +13,7 @@ from tokenizers import Tokenizer
 
 from epiwave.llm import bpe, license_scan, quality
 
+TEXTS = Path(__file__).parent / "real_texts"
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -57,6 +59,23 @@ def test_bands_reject_repetition_and_noise():
     assert check(helpers.prose(rng, 400))[-1] is True
 
 
+def test_real_prose_of_all_lengths_is_kept():
+    """Formal prose is kept whole, cut short, unindented and many texts long; copies of a passage are not."""
+    texts = [(TEXTS / name).read_text() for name in ("apache-2.0.txt", "mpl-2.0.txt")]
+    check = lambda t: quality.assess(t, quality.CompressionBands(), zstandard.ZstdCompressor(level=3).compress)
+    for text in (*texts, *("\n".join(x.strip() for x in t.split("\n")) for t in texts), "\n".join(texts)):
+        for size in (400, 900, 1800, 3600, 7200, 12_000, 1 << 20):
+            got = check(text[:size])
+            assert got[-1] is True, (text[:40], size, got)
+    highs = [hi for _, _, hi in quality.CompressionBands().bands]
+    assert highs == sorted(set(highs))
+    # Words change, so the base rule passes, but most of the text is one passage again and again.
+    for n in (30, 300, 3000):
+        varied = "".join(f"part {k} of the list says {k} no more than part {k + 1} and stops. " for k in range(n))
+        got = check(varied)
+        assert not got[5] and got[-2] in ("repetitive", "chunks"), got
+
+
 def test_empty_table(spark):
     none = helpers.table(spark, []).limit(0)
     assert quality.quality_table(none).count() == 0
