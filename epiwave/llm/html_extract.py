@@ -5,7 +5,7 @@ Over the pages of a host each token has an occurrence vector: how often it stand
 vector form an equivalence class; classes of tokens that most pages of the host have are the host's template, nested by
 their paths. What is no template is a slot. The main text is what stands in the slots of the main container: article or
 main where the page has one, else the deepest nested container that holds most of the host's slot text; slots below
-menus, notices, forms and the like, which paths tell, are left out.
+menus, notices, forms and the like, which tags and whole class names tell, are left out.
 """
 
 from __future__ import annotations
@@ -44,14 +44,19 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 #: A new tag of a block ends an open paragraph.
 ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "option", "body", "html", "head", "title", "caption"}
-#: Where text is never main text: by tag, and by words of class, id and role.
+#: Where text is no main text: by tag, and by whole names of class, id and role. A name of several words, all of them
+#: here, counts as well.
 ASIDE_TAGS = frozenset("head title nav header footer aside form menu button dialog select option label".split())
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comentarios cookie cookies consent disqus footer header "
     "login menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promotion recommended related replies reply respond search share sharing "
-    "sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget".split()
+    "sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget "
+    "ad-slot ad-container back-to-top comment-list comments-area comments-section cookie-bar left-sidebar right-sidebar main-nav nav-bar nav-links nav-menu page-footer "
+    "post-tags related-articles related-posts share-bar share-buttons share-links site-footer site-header site-nav skip-link social-links social-media top-bar "
+    "top-nav widget-area".split()
 )
-MAIN_TAGS = ("article", "main")
+#: Elements that the names above say nothing about.
+NAMED_FREELY = frozenset(["html", "body", "article", "main"])
 
 
 @dataclass(frozen=True)
@@ -65,14 +70,34 @@ class Deduction:
 
 
 def step_of(tag: str, attributes: str) -> str:
-    """A step of a path: the tag with the words of its class, id and role, without digits."""
-    words = sorted({w for m in ATTRIBUTE.finditer(attributes) for w in re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower()) if w}) if attributes else []
-    return ".".join([tag, *words])
+    """A step of a path: the tag with the names of its class, id and role, without digits."""
+    names = (n for m in ATTRIBUTE.finditer(attributes) for n in (m[2] or m[3] or m[4] or "").lower().split()) if attributes else ()
+    return ".".join([tag, *sorted({w for n in names if (w := re.sub(r"[^a-z]+", "-", n).strip("-"))})])
 
 
-def aside(step: str) -> bool:
-    tag, *words = step.split(".")
-    return tag in ASIDE_TAGS or any(w in ASIDE_WORDS for w in words)
+def aside_name(name: str) -> bool:
+    return name in ASIDE_WORDS or "-" in name and all(w in ASIDE_WORDS for w in name.split("-"))
+
+
+def asides(path: str, known: dict) -> tuple[bool, tuple[str, ...]]:
+    """Whether a path leads through a tag that never holds main text; the containers on it that their names put aside."""
+    found = known.get(path)
+    if found is None:
+        if len(known) > 100_000:
+            known.clear()
+        steps = [s.split(".") for s in path.split("/")]
+        named = [k for k, (tag, *names) in enumerate(steps, 1) if tag not in NAMED_FREELY and any(map(aside_name, names))]
+        found = known[path] = any(s[0] in ASIDE_TAGS for s in steps), tuple("/".join(path.split("/")[:k]) for k in named)
+    return found
+
+
+def below(path: str, container: str) -> bool:
+    return path == container or path.startswith(container + "/")
+
+
+def within(path: str, tag: str) -> bool:
+    """Whether an element of the tag is on the path."""
+    return any(s.split(".")[0] == tag for s in path.split("/"))
 
 
 def blocks(page: str | None) -> Iterator[tuple[str, str]]:
@@ -118,29 +143,40 @@ def blocks(page: str | None) -> Iterator[tuple[str, str]]:
         yield path, text
 
 
-def outside(path: str, known: dict[str, bool]) -> bool:
-    """Whether a path leads through something that is never main text."""
-    found = known.get(path)
-    if found is None:
-        if len(known) > 100_000:
-            known.clear()
-        found = known[path] = any(aside(s) for s in path.split("/"))
-    return found
+def outside(found: list[tuple[str, str]], known: dict) -> set[str]:
+    """The paths of a page's blocks whose text is no main text.
+
+    A container that its name puts aside is left out, unless it holds the main part of the page's text: more than half
+    of it, with less than a tenth in an article or main elsewhere.
+    """
+    chars = Counter()
+    for p, t in found:
+        if t:
+            chars[p] += len(t)
+    chars = Counter({p: n for p, n in chars.items() if not asides(p, known)[0]})
+    total = sum(chars.values())
+    aside = {}
+    for c in {c for p in chars for c in asides(p, known)[1]}:
+        held = sum(n for p, n in chars.items() if below(p, c))
+        aside[c] = 2 * held <= total or 10 * sum(n for p, n in chars.items() if not below(p, c) and (within(p, "article") or within(p, "main"))) >= total
+    return {p for p, _ in found if asides(p, known)[0] or any(aside.get(c, True) for c in asides(p, known)[1])}
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
     """host, path, wording (hash; 0: the tag itself), n (in the page), chars (of slot text), page: tokens of each page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bool] = {}
+        known: dict = {}
         for batch in batches:
             rows = []
             for host, page_key, page in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 count, chars = Counter(), Counter()
-                for path, text in blocks(page):
+                found = list(blocks(page))
+                out = outside(found, known)
+                for path, text in found:
                     token = (path, xxhash.xxh3_64_intdigest(text.encode()) >> 1 if text else 0)
                     count[token] += 1
-                    if text and not outside(path, known):
+                    if text and path not in out:
                         chars[token] += len(text)
                 rows += [(host, p, w, n, chars[p, w], page_key) for (p, w), n in count.items()]
             cols = list(zip(*rows, strict=True)) or [()] * 6
@@ -182,12 +218,14 @@ def deduce(pages: DataFrame, how: Deduction = Deduction()) -> DataFrame:
     return hosts.join(template, "host", "left").join(main, "host", "left").select("host", "template", "main")
 
 
-def main_blocks(page: str | None, template: frozenset, main: str | None, known: dict[str, bool]) -> list[str]:
+def main_blocks(page: str | None, template: frozenset, main: str | None, known: dict) -> list[str]:
     """Texts of the slots of a page's main container, in page order."""
-    found = [(p, t) for p, t in blocks(page) if t and not outside(p, known)]
+    found = [(p, t) for p, t in blocks(page) if t]
+    out = outside(found, known)
+    found = [(p, t) for p, t in found if p not in out]
     found = [(p, t) for p, t in found if (p, xxhash.xxh3_64_intdigest(t.encode()) >> 1) not in template]
-    for tag in MAIN_TAGS:
-        inner = [t for p, t in found if any(s.split(".")[0] == tag for s in p.split("/"))]
+    for tag in ("article", "main"):
+        inner = [t for p, t in found if within(p, tag)]
         if inner:
             return inner
     if main:
@@ -211,7 +249,7 @@ def extract(pages: DataFrame, how: Deduction = Deduction(), id_col="page_id", ur
     id_type, url_type = pages.schema[id_col].dataType.simpleString(), pages.schema[url_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, bool] = {}
+        known: dict = {}
         last, template = None, frozenset()
         for batch in batches:
             texts = []

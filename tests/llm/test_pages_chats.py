@@ -47,6 +47,26 @@ def test_pages_of_small_hosts_and_odd_input(spark):
     assert html_extract.extract(table.limit(0)).count() == 0
 
 
+def texts_of(spark, pages: list[str]) -> list[str]:
+    rows = [(k, f"http://d.example.net/{k}", p) for k, p in enumerate(pages)]
+    return [r.text for r in sorted(html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r.page_id)]
+
+
+def test_names_of_containers_that_hold_the_text(spark):
+    body = "<p>A long first paragraph of the page's own text.</p><p>And a second one, as long as that.</p>"
+    want = "A long first paragraph of the page's own text.\n\nAnd a second one, as long as that."
+    whole = [
+        f'<body class="no-sidebar"><div>{body}</div></body>', f'<article class="post has-comments">{body}</article>', f'<div class="content tags-python">{body}</div>',
+        f'<div id="main-search-results">{body}</div>', f'<html class="widget"><body id="top" class="search"><main role="search">{body}</main></body></html>',
+        f'<div class="widget">{body}</div><p class="ad">Buy</p>', f'<div class="w-1/2 share">{body}</div>',
+    ]
+    aside = [
+        f'<article>{body}</article><div class="comments">{"<p>A long comment on it.</p>" * 20}</div>', f'{body}<div class="cookie-notice">We bake</div><div class="box share-buttons">Share</div>',
+        f'<div class="story">{body}</div><div id="comment-12"><p>First!</p></div><nav>{"Menu " * 90}</nav>',
+    ]
+    assert texts_of(spark, whole + aside) == [want] * 10
+
+
 # ---- URLs ----
 
 
