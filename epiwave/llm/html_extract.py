@@ -163,42 +163,53 @@ def outside(found: list[tuple[str, str]], known: dict) -> set[str]:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """host, path, wording (hash; 0: the tag itself), n (in the page), chars (of slot text), page: tokens of each page."""
+    """host, path, wording (hash; 0: the tag itself), n (in the page), chars (of slot text), page (hash of its blocks):
+    tokens of each page, and a row of the empty path with wording -1 for the page itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
+        seen: set[tuple[str, int]] = set()
         for batch in batches:
             rows = []
-            for host, page_key, page in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for host, page in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
                 count, chars = Counter(), Counter()
                 found = list(blocks(page))
                 out = outside(found, known)
+                key = xxhash.xxh3_64_intdigest("\0".join(x for b in found for x in b).encode()) >> 1
+                if (host, key) in seen:
+                    continue
+                if len(seen) > 100_000:
+                    seen.clear()
+                seen.add((host, key))
                 for path, text in found:
                     token = (path, xxhash.xxh3_64_intdigest(text.encode()) >> 1 if text else 0)
                     count[token] += 1
                     if text and path not in out:
                         chars[token] += len(text)
-                rows += [(host, p, w, n, chars[p, w], page_key) for (p, w), n in count.items()]
+                rows += [(host, p, w, n, chars[p, w], key) for (p, w), n in count.items()]
+                rows.append((host, "", -1, 1, 0, key))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "path", "wording", "n", "chars", "page"])
 
-    return pages.select("host", "page", "html").mapInArrow(run, "host string, path string, wording long, n long, chars long, page long")
+    return pages.select("host", "html").mapInArrow(run, "host string, path string, wording long, n long, chars long, page long")
 
 
 def deduce(pages: DataFrame, how: Deduction = Deduction()) -> DataFrame:
-    """host, template (array of path, wording, class), main (path or null) from (host, page, html).
+    """host, template (array of path, wording, class), main (path or null) from (host, html).
 
-    A class is named by its occurrence vector's fingerprint; a class of one token is valid only for wording. Only hosts
-    with ``min_pages`` pages have a template. Its tokens stand in ``share`` of the pages, so a host has at most (tokens
+    Pages of a host with the same blocks count once. A class is named by its occurrence vector's fingerprint; a class of
+    one token is valid only for wording. Only hosts with ``min_pages`` distinct pages have a template. Its tokens stand in ``share`` of the pages, so a host has at most (tokens
     of a mean page) / share of them.
     """
-    tokens = session.cut_lineage(
-        occurrences(pages).groupBy("host", "path", "wording").agg(
+    once = occurrences(pages).groupBy("host", "path", "wording", "page").agg(F.first("n").alias("n"), F.first("chars").alias("chars"))
+    counted = session.cut_lineage(
+        once.groupBy("host", "path", "wording").agg(
             F.count("*").alias("pages"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.bit_xor(F.xxhash64("page", "n")).alias("vector")
         )
     )
-    hosts = pages.groupBy("host").agg(F.count("*").alias("of"))
+    hosts = counted.filter("wording = -1").select("host", F.col("pages").alias("of"))
+    tokens = counted.filter("wording <> -1")
     often = tokens.filter(F.col("pages") >= how.min_pages).join(hosts, "host").filter(F.col("pages") >= F.col("of") * how.share)
     often = session.cut_lineage(often.select("host", "path", "wording", "pages", "vector"))
     classes = often.groupBy("host", "pages", "vector").agg(F.count("*").alias("size"))
@@ -223,7 +234,8 @@ def main_blocks(page: str | None, template: frozenset, main: str | None, known:
     found = [(p, t) for p, t in blocks(page) if t]
     out = outside(found, known)
     found = [(p, t) for p, t in found if p not in out]
-    found = [(p, t) for p, t in found if (p, xxhash.xxh3_64_intdigest(t.encode()) >> 1) not in template]
+    # What stands in an article or main is the page's own text, even where other pages of the host say the same.
+    found = [(p, t) for p, t in found if within(p, "article") or within(p, "main") or (p, xxhash.xxh3_64_intdigest(t.encode()) >> 1) not in template]
     for tag in ("article", "main"):
         inner = [t for p, t in found if within(p, tag)]
         if inner:
@@ -239,11 +251,12 @@ def extract(pages: DataFrame, how: Deduction = Deduction(), id_col="page_id", ur
     """id, url, text, blocks (array of the texts that ``text`` joins), n_chars for each page.
 
     A null page is empty and has the text "". Pages without a host (null or no ://) share the host "". Pages of hosts with
-    few pages are read without wording templates. Repeated rows are pages of their own; other columns aren't read.
+    few distinct pages are read without wording templates, and no wording is taken out of an article or main. Repeated rows
+    give a row each, but count once for the template; other columns aren't read.
     """
     mine = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), F.col(html_col).alias("html"))
     mine = mine.withColumn("__raw", F.col("__url")).withColumn("__url", F.coalesce("__url", F.lit("")))
-    mine = mine.withColumn("host", host_of(F.col("__url"))).withColumn("page", F.xxhash64("__id", "html"))
+    mine = mine.withColumn("host", host_of(F.col("__url")))
     found = deduce(mine, how)
     found = session.cut_lineage(found)
     id_type, url_type = pages.schema[id_col].dataType.simpleString(), pages.schema[url_col].dataType.simpleString()
