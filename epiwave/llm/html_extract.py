@@ -3,8 +3,8 @@
 Tokens of a page are its tags by their path (tag names with class and id) and its blocks of text by path and wording.
 Over the pages of a host each token has an occurrence vector: how often it stands in each page. Tokens with the same
 vector form an equivalence class; classes of tokens that most pages of the host have are the host's template, nested by
-their paths. What is no template is a slot. The main text is what stands in the slots of the main container: article or
-main where the page has one, else the deepest nested container that holds most of the host's slot text; slots below
+their paths. What is no template is a slot. The main text is what stands in the slots of the main container: the articles
+where they hold most of the slot text of the page or its main, else main where the page has one, else the deepest nested container that holds most of the host's slot text; slots below
 menus, notices, forms and the like, which tags and whole class names tell, are left out.
 """
 
@@ -236,10 +236,13 @@ def main_blocks(page: str | None, template: frozenset, main: str | None, known:
     found = [(p, t) for p, t in found if p not in out]
     # What stands in an article or main is the page's own text, even where other pages of the host say the same.
     found = [(p, t) for p, t in found if within(p, "article") or within(p, "main") or (p, xxhash.xxh3_64_intdigest(t.encode()) >> 1) not in template]
-    for tag in ("article", "main"):
-        inner = [t for p, t in found if within(p, tag)]
-        if inner:
-            return inner
+    places = [(within(p, "article"), within(p, "main"), len(t)) for p, t in found]
+    articles, mains = (sum(n for *at, n in places if at[k]) for k in range(2))
+    both = sum(n for a, m, n in places if a and m)
+    if 2 * articles > sum(n for *_, n in places) or 2 * both > mains:
+        return [t for (_, t), (a, _, _) in zip(found, places, strict=True) if a]
+    if mains:
+        return [t for (_, t), (_, m, _) in zip(found, places, strict=True) if m]
     if main:
         inner = [t for p, t in found if p == main or p.startswith(main + "/")]
         if inner:

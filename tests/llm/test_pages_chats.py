@@ -69,16 +69,28 @@ def test_names_of_containers_that_hold_the_text(spark):
 
 def test_copies_and_common_wording_stay_in_articles(spark):
     frame = lambda k, inner: f"<body><div class='top'><p>All our news</p></div>{inner}<div class='foot'><p>Call us at once, {k}</p></div></body>"
-    copies = [frame(0, "<article><h1>Rain</h1><p>It rained all day.</p></article>")] * 12 + [frame(k, f"<article><h1>Sun {k}</h1><p>Dry {k}</p></article>") for k in (1, 2)]
-    assert texts_of(spark, copies) == ["Rain\n\nIt rained all day."] * 12 + [f"Sun {k}\n\nDry {k}" for k in (1, 2)]
+    copies = [frame(0, "<article><h1>Rain</h1><p>It rained all day, and then it rained all night.</p></article>")] * 12 + [frame(k, f"<article><h1>Sun {k}</h1><p>Dry and warm in all of the country, {k}</p></article>") for k in (1, 2)]
+    assert texts_of(spark, copies) == ["Rain\n\nIt rained all day, and then it rained all night."] * 12 + [f"Sun {k}\n\nDry and warm in all of the country, {k}" for k in (1, 2)]
     headed = [frame(k, f"<article><p>Text {k} of ours</p><h2>References</h2><p>Book {k}</p></article>") for k in range(10)]
     assert texts_of(spark, headed) == [f"Text {k} of ours\n\nReferences\n\nBook {k}" for k in range(10)]
     # Without an article, the wording of many copies of one page is no template either.
-    plain = [frame(0, "<div class='story'><p>It rained all day.</p></div>")] * 12 + [frame(1, "<div class='story'><p>It was dry all day.</p></div>")]
+    plain = [frame(0, "<div class='story'><p>It rained all day, and then it rained all night.</p></div>")] * 12 + [frame(1, "<div class='story'><p>It was dry all day.</p></div>")]
     assert all("rained all day" in t for t in texts_of(spark, plain)[:12])
     assert all("All our news" not in t for t in texts_of(spark, [frame(k, f"<div class='story'><p>Story {k} of the day</p></div>") for k in range(9)]))
 
 
+def test_articles_are_taken_where_they_hold_the_text(spark):
+    body = "<h1>Rivers</h1>" + "<p>Rivers rise in hills and end in seas.</p>" * 4
+    want = "\n\n".join(["Rivers", *["Rivers rise in hills and end in seas."] * 4])
+    teasers = "<div class='cards'>" + "".join(f"<article><h2>Card {k}</h2></article>" for k in range(3)) + "</div>"
+    pages = [
+        f"<body><main>{body}{teasers}</main></body>", f"<body>{teasers}<main>{body}</main></body>", f"<main><article>{body}</article><p>More</p></main>", f"<p>Hello</p><article>{body}</article>",
+        f"<div class='story'>{body}</div>{teasers}", f"<article><main>{body}</main></article>", f"<main>{teasers}</main>",
+    ]
+    cards = "Card 0\n\nCard 1\n\nCard 2"
+    assert texts_of(spark, pages) == [f"{want}\n\n{cards}", want, want, want, f"{want}\n\n{cards}", want, cards]
+
+
 # ---- URLs ----
 
 
