@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiwave import session
+from epiwave.operators.splits import number_rows
 
 ROLES = ("system", "user", "assistant", "tool")
 
@@ -240,23 +241,26 @@ def format_chats(turns: DataFrame, model: RoleModel | None = None, chunk: int =
     A row whose lines have several speakers becomes several parts; rows never merge. Rows of a conversation go by turn,
     null turns first, then by role and text; repeated rows stay rows of their own. Unknown or null roles are no markers;
     null and empty texts are one empty line. A row without a conversation is one of its own, with a null conv_id. Other
-    columns aren't read. Rows that share one turn by the thousands share one chunk; turns should tell rows apart.
+    columns aren't read. Chunks are cut by the rank of rows in this order, so they hold at most ``chunk`` rows whatever the
+    turns are.
     """
     s = Scores(model or RoleModel())
     conv, turn, role, text = F.col(conv_col).cast("long"), F.col(turn_col).cast("long"), F.col(role_col), F.col(text_col)
     mine = turns.select(
         F.coalesce(conv, F.lit(0)).alias("conv"), F.when(conv.isNull(), F.coalesce(F.nullif(F.xxhash64(turn, role, text), F.lit(0)), F.lit(1))).otherwise(0).cast("long").alias("alone"),
-        F.coalesce(F.floor(turn / chunk), F.lit(-(1 << 62))).cast("long").alias("c0"), turn.alias("turn"), role.alias("role"), text.alias("text"),
+        turn.alias("turn"), role.alias("role"), text.alias("text"),
     )
+    # Equal rows may stand in any order; the salt spreads them over tasks.
+    numbered, _ = number_rows(mine.withColumn("salt", F.rand()), [*GROUP, "turn", "role", "text", "salt"])
+    mine = numbered.select(*GROUP, F.floor(F.col("position") / chunk).cast("long").alias("c0"), "position", "turn", "role", "text")
 
     def measured(batches):
         for batch in batches:
-            rows = [row_matrix(r, t, s).ravel().tolist() for r, t in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float64()))], names=["conv", "alone", "c0", "turn", "role", "text", "m"])
+            rows = [row_matrix(r, t, s).ravel().tolist() for r, t in zip(batch.column(5).to_pylist(), batch.column(6).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.float64()))], names=["conv", "alone", "c0", "position", "turn", "role", "text", "m"])
 
-    order = ["turn", "role", "text"]
-    rows = session.cut_lineage(mine.mapInArrow(measured, "conv long, alone long, c0 long, turn long, role string, text string, m array<double>"))
-    levels = [combined(rows, "c0", order)]
+    rows = mine.mapInArrow(measured, "conv long, alone long, c0 long, position long, turn long, role string, text string, m array<double>")
+    levels = [combined(rows, "c0", ["position"])]
     while not levels[-1].groupBy(*GROUP).count().filter("count > 1").isEmpty():
         least = levels[-1].groupBy(*GROUP).agg(F.min("c").alias("least"))
         levels[-1] = levels[-1].join(least, GROUP).withColumn("p", F.floor((F.col("c") - F.col("least")) / chunk).cast("long")).drop("least")
@@ -270,11 +274,11 @@ def format_chats(turns: DataFrame, model: RoleModel | None = None, chunk: int =
     def read(batches):
         def parts():
             for held in runs(batches, 3):
-                for r, (before, after) in zip(held, borders([r[6] for r in held], held[0][7], held[0][8]), strict=True):
+                for r, (before, after) in zip(held, borders([r[7] for r in held], held[0][8], held[0][9]), strict=True):
                     part, speaker, lines = 0, None, []
-                    for who, line in [*read_row(r[4], r[5], before, after, s), (None, "")]:
+                    for who, line in [*read_row(r[5], r[6], before, after, s), (None, "")]:
                         if speaker is not None and who != speaker:
-                            yield (None if r[1] else r[0], r[3], part, speaker, len(lines), render(speaker, "\n".join(lines)))
+                            yield (None if r[1] else r[0], r[4], part, speaker, len(lines), render(speaker, "\n".join(lines)))
                             part, lines = part + 1, []
                         speaker = who
                         lines.append(line)
@@ -282,6 +286,6 @@ def format_chats(turns: DataFrame, model: RoleModel | None = None, chunk: int =
         return in_batches(parts(), PART_ARROW, 500)
 
     keys = [*GROUP, "c0"]
-    near = rows.join(known.withColumnRenamed("c", "c0"), keys).select(*keys, *order, "m", "before", "after")
-    out = near.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(read, PART)
+    near = rows.join(known.withColumnRenamed("c", "c0"), keys).select(*keys, "position", "turn", "role", "text", "m", "before", "after")
+    out = near.repartition(*keys).sortWithinPartitions(*keys, "position").mapInArrow(read, PART)
     return out.withColumnRenamed("conv_id", conv_col).withColumnRenamed("turn", turn_col) if (conv_col, turn_col) != ("conv_id", "turn") else out

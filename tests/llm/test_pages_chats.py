@@ -203,3 +203,18 @@ def test_markers_speakers_and_odd_rows(spark):
     assert len(by(3)) == 2 and by(3)[1][2] == "user"
     assert len(by(None)) == 2 and len(by(4)) == 2
     assert chat_format.format_chats(table.limit(0)).count() == 0
+
+
+def test_chunks_are_small_whatever_the_turns(spark, monkeypatch):
+    rows = [(1, None, "user", f"null {k}") for k in range(300)] + [(2, 7, "user", f"same {k}") for k in range(300)] + [(3, 5, "user", "equal")] * 300
+    sizes = []
+    combined = chat_format.combined
+
+    def counted(df, chunk, order):
+        sizes.append(df.groupBy(*chat_format.GROUP, chunk).count().agg({"count": "max"}).first()[0])
+        return combined(df, chunk, order)
+
+    monkeypatch.setattr(chat_format, "combined", counted)
+    got = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), chunk=64).collect()
+    assert sizes[0] == 64 and max(sizes) <= 64
+    assert sorted((r.conv_id, r.rendered) for r in got) == sorted((c, f"<|user|>\n{x}\n<|end|>") for c, _, _, x in rows)
