@@ -7,7 +7,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epiwave.llm import bpe, chat_format, embedding_dedup, html_extract, license_scan, line_dedup, ngram_join, packing, quality, url_filter
+from epiwave.llm import (
+    bpe, chat_format, conversation_repair, embedding_dedup, html_extract, license_scan, line_dedup, ngram_join, packing, quality, quality_qda,
+    url_filter, whitening,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +59,24 @@ def op8_levelled_line_runs(spark, sf_dir):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_viterbi_roles, op2_vector_packing, op3_compression_bands, op4_trie_bpe, op5_epsilon_grid_join, op6_template_automata, op7_vertical_jaccard, op8_levelled_line_runs, op9_template_slots, op10_url_regression)}
+def op11_target_alignment(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_digest(conversation_repair.damaged(turns), turns)
+
+
+def op12_quadratic_discriminant(spark, sf_dir):
+    return quality_qda.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_incremental_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_viterbi_roles, op2_vector_packing, op3_compression_bands, op4_trie_bpe, op5_epsilon_grid_join, op6_template_automata,
+    op7_vertical_jaccard, op8_levelled_line_runs, op9_template_slots, op10_url_regression, op11_target_alignment,
+    op12_quadratic_discriminant, op13_incremental_whitening,
+)}
 
 
 ORACLES: dict[str, str] = {
@@ -107,6 +127,73 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FRO
 """,
 }
 
+ORACLES["op11_target_alignment"] = r"""
+WITH RECURSIVE bits AS (
+  SELECT list(c ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) AS c
+    FROM range(256) r(b))
+), marked AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+           lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1]), 4294967295), 4294967295) % 20 AS k
+  FROM conversations, bits
+), dam AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM marked WHERE k <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+  FROM dam
+), faulty AS (
+  SELECT conv_id, turn, role, text, p, left(role, 1) AS i, CASE WHEN body = '' THEN 'blank'
+           WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'duplicate'
+           WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS f,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY p) AS before
+  FROM placed
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'blank') AS blank,
+         count(*) FILTER (f = 'duplicate') AS duplicate, count(*) FILTER (f = 'truncated') AS truncated,
+         count(*) FILTER (before || i NOT IN ('su', 'ua', 'au')) AS illegal, max(p) AS n
+  FROM faulty GROUP BY conv_id
+), steps AS (
+  -- The best (cost, audit) of each state of the grammar after p turns: n nothing, s system, u user, a assistant.
+  SELECT conv_id, 0::BIGINT AS p, {'c': 0::BIGINT, 'a': ''} AS n, {'c': 1000000::BIGINT, 'a': ''} AS s,
+         {'c': 3::BIGINT, 'a': 'I'} AS u, {'c': 6::BIGINT, 'a': 'II'} AS a FROM counts
+  UNION ALL
+  SELECT conv_id, p, n, s, list_min([u, {'c': n.c + 3, 'a': n.a || 'I'}, {'c': s.c + 3, 'a': s.a || 'I'}, {'c': a.c + 3, 'a': a.a || 'I'}]),
+         list_min([a, {'c': u.c + 3, 'a': u.a || 'I'}, {'c': n.c + 6, 'a': n.a || 'II'}, {'c': s.c + 6, 'a': s.a || 'II'}])
+  FROM (
+    SELECT t.conv_id, t.p + 1 AS p, {'c': t.n.c + 4, 'a': t.n.a || 'D'} AS n,
+           list_min([{'c': t.s.c + 4, 'a': t.s.a || 'D'}, {'c': CASE WHEN gone OR i <> 's' THEN 1000000 ELSE t.n.c + x END, 'a': t.n.a || 'K'}]) AS s,
+           list_min([{'c': t.u.c + 4, 'a': t.u.a || 'D'}, {'c': t.n.c + tou, 'a': t.n.a || eu}, {'c': t.s.c + tou, 'a': t.s.a || eu}, {'c': t.a.c + tou, 'a': t.a.a || eu}]) AS u,
+           list_min([{'c': t.a.c + 4, 'a': t.a.a || 'D'}, {'c': t.u.c + toa, 'a': t.u.a || ea}]) AS a
+    FROM steps t JOIN (
+      SELECT conv_id, p, i, f IN ('blank', 'duplicate') AS gone, CASE WHEN f = 'truncated' THEN 3 ELSE 0 END AS x,
+             CASE WHEN f IN ('blank', 'duplicate') THEN 1000000 WHEN i = 'u' THEN x ELSE 3 + x END AS tou, CASE WHEN i = 'u' THEN 'K' ELSE 'R' END AS eu,
+             CASE WHEN f IN ('blank', 'duplicate') THEN 1000000 WHEN i = 'a' THEN x ELSE 3 + x END AS toa, CASE WHEN i = 'a' THEN 'K' ELSE 'R' END AS ea
+      FROM faulty) r ON r.conv_id IS NOT DISTINCT FROM t.conv_id AND r.p = t.p + 1)
+), best AS (
+  SELECT t.conv_id, list_min([t.n, t.a]) AS b FROM steps t JOIN counts c ON c.conv_id IS NOT DISTINCT FROM t.conv_id AND c.n = t.p
+), edits AS (
+  SELECT conv_id, b.c AS cost, b.a AS audit, unnest(string_split(b.a, '')) AS e, generate_subscripts(string_split(b.a, ''), 1) AS q FROM best
+), walked AS (
+  -- The k-th edit that is no insertion meets the k-th turn; the made turns alternate after a kept system turn.
+  SELECT e.*, count(*) FILTER (e <> 'I') OVER w AS p, count(*) FILTER (e <> 'D') OVER w AS m FROM edits e WINDOW w AS (PARTITION BY conv_id ORDER BY q)
+), said AS (
+  SELECT w.conv_id, w.q, w.m, w.e, f.role, f.text, max(CASE WHEN w.m = 1 AND w.e = 'K' AND f.i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY w.conv_id) AS lead
+  FROM walked w LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.p = w.p AND w.e <> 'I' WHERE w.e <> 'D'
+), repaired AS (
+  SELECT conv_id, sha256(string_agg((CASE WHEN e = 'K' THEN role WHEN (m - lead) % 2 = 1 THEN 'user' ELSE 'assistant' END) || ':' || coalesce(text, ''), chr(10) ORDER BY q)) AS h
+  FROM said GROUP BY conv_id
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(b.b.c, 0) AS cost, coalesce(b.b.a, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
