@@ -206,7 +206,7 @@ def read_moments(r) -> Moments:
 def combined(partial: DataFrame, schema: str, read: Callable, row: Callable):
     """One result of all rows of ``partial`` (None if there are none), combined ``FAN_IN`` at a time by a tree of tasks."""
 
-    def merged(key, table: pa.Table) -> pa.Table:
+    def merged(key, table):
         total = None
         for r in sorted(table.to_pylist(), key=lambda r: r["part"]):
             if total is None:

@@ -276,8 +276,8 @@ def test_whitening_without_variance_or_rows(spark):
 
 def test_whitening_combines_many_partitions(spark):
     rng = np.random.default_rng(6)
-    rows = [(k, rng.normal(size=4).tolist()) for k in range(400)]
+    rows = [(k, rng.normal(size=4).tolist()) for k in range(200)]
     one = whitening.whiten(vector_table(spark, rows).coalesce(1))
-    many = whitening.whiten(vector_table(spark, rows).repartition(70, F.col("vec_id")))
+    many = whitening.whiten(vector_table(spark, rows).repartition(20, F.col("vec_id")))
     a, b = ({(r.vec_id, r.component): abs(r.whitened) for r in f.collect()} for f in (one, many))
     assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-9
