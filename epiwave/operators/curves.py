@@ -48,6 +48,33 @@ def sum_squared_error(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.sum(gap * gap).alias("sse"))
 
 
+def candidate_errors(
+    observed: DataFrame, candidates: DataFrame, keys: Sequence[str], candidate: str = "candidate", day: str = "day", level: str = "observed", value: str = "modelled"
+) -> DataFrame:
+    """(key, candidate, n_days, sse): each candidate curve of a series against its observations.
+
+    ``observed`` has (key, day, level), ``candidates`` (key, candidate, day, value), each row once. They meet on (key, day), so
+    a series with many observations or candidates is spread by its days, and errors are summed before they are
+    shuffled by candidate. Days that one side lacks, or on which a value is missing, say nothing.
+    """
+    lines = candidates.select(*keys, F.col(candidate).alias("candidate"), F.col(day).alias("_day"), F.col(value).cast("double").alias("modelled"))
+    seen = observed.select(*keys, F.col(day).alias("_day"), F.col(level).cast("double").alias("observed"))
+    pairs = lines.join(seen, [*keys, "_day"]).where("modelled IS NOT NULL AND observed IS NOT NULL")
+    gap = F.col("modelled") - F.col("observed")
+    return pairs.groupBy(*keys, "candidate").agg(F.count(F.lit(1)).alias("n_days"), F.sum(gap * gap).alias("sse"))
+
+
+def best_candidate(errors: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(key, candidate, n_days, sse, n_candidates): the curve with the least error of each series.
+
+    Candidates that met fewer observations than another one of their series are not comparable and lose. Equal errors
+    go to the first name.
+    """
+    rank = F.struct((-F.col("n_days")).alias("missed"), F.col("sse").alias("error"), F.col("candidate").alias("name"))
+    best = errors.groupBy(*keys).agg(F.min_by(F.struct("candidate", "n_days", "sse"), rank).alias("_b"), F.count(F.lit(1)).alias("n_candidates"))
+    return best.select(*keys, "_b.*", "n_candidates")
+
+
 def reproduction_number(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """R0 as beta over the other rate of a fit."""
     return fits.selectExpr(*keys, "beta", "rate AS gamma", f"{ratio('beta', 'rate')} AS r0")

@@ -17,22 +17,22 @@ from .series import BUCKET, window_features
 from .splits import number_rows
 
 
-def encode_key(df: DataFrame, key: str, out: str = "country_enc") -> DataFrame:
-    """Codes 0..k-1 of a column's distinct values in lexicographic order.
+def encode_key(df: DataFrame, key: str | Sequence[str], out: str = "country_enc") -> DataFrame:
+    """Codes 0..k-1 of the distinct values of a key, in the order of its columns; rows without a key have none.
 
-    Up to ``BROADCAST_ROWS`` values are numbered from one short list and broadcast;
-    more by a range-partitioned sort and a shuffled join, with the same codes. ``df``
-    is read twice, so cut its lineage first when it is costly to compute.
+    A key of several columns gets one code per tuple that occurs. Up to ``BROADCAST_ROWS`` of them are numbered from one
+    short list and broadcast; more by a range-partitioned sort and a shuffled join, with the same codes. ``df`` is read
+    twice, so cut its lineage first when it is costly to compute.
     """
-    values = df.select(key).distinct()
-    found = [r[0] for r in values.limit(BROADCAST_ROWS + 1).collect()]
+    keys = [key] if isinstance(key, str) else list(key)
+    values = df.select(*keys).na.drop(subset=keys).distinct()
+    found = [tuple(r) for r in values.limit(BROADCAST_ROWS + 1).collect()]
     if len(found) <= BROADCAST_ROWS:
-        known = sorted(v for v in found if v is not None)
-        rows = [(v, k) for k, v in enumerate(known, start=len(found) - len(known))]
-        codes = df.sparkSession.createDataFrame(rows, T.StructType([df.schema[key], T.StructField(out, T.IntegerType())]))
-        return join_dimension(df, codes, key, rows=len(rows))
-    codes, total = number_rows(values, [key], "_code")
-    return join_dimension(df, codes.select(key, (F.col("_code") - 1).cast("int").alias(out)), key, rows=total)
+        rows = [(*v, k) for k, v in enumerate(sorted(found))]
+        codes = df.sparkSession.createDataFrame(rows, T.StructType([*(df.schema[k] for k in keys), T.StructField(out, T.IntegerType())]))
+        return join_dimension(df, codes, keys, rows=len(rows))
+    codes, total = number_rows(values, keys, "_code")
+    return join_dimension(df, codes.select(*keys, (F.col("_code") - 1).cast("int").alias(out)), keys, rows=total)
 
 
 def drop_incomplete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -51,7 +51,7 @@ def select_features(df: DataFrame, features: FeatureSpec, keep: Sequence[str]) -
 def feature_table(weekly: DataFrame, spec: SeriesSpec, features: FeatureSpec, rule: PhaseRule = PhaseRule()) -> DataFrame:
     """Weekly rows -> phase and past-only features, before incomplete rows are dropped."""
     out = window_features(label_phases(weekly, spec, rule), spec, features)
-    return encode_key(out, spec.keys[0]) if features.encode_key else out
+    return encode_key(out, spec.keys) if features.encode_key else out
 
 
 def feature_matrix(weekly: DataFrame, spec: SeriesSpec, features: FeatureSpec, rule: PhaseRule = PhaseRule()) -> DataFrame:

@@ -64,8 +64,8 @@ def interp_join(queries: DataFrame, samples: DataFrame, keys: Sequence[str], t:
     all segments together touch at most two cells per sample, whatever the unit of
     time and however long a gap. The join is an equi-join on (key, cell), which the
     adaptive planner can split when one key receives most queries, and no window
-    runs over the queries. Queries beyond either end, or of a key without samples,
-    go round the join.
+    runs over the queries, which are read once. For a key with more samples than a
+    task holds there is ``blocked.interp_long``.
     """
     w = Window.partitionBy(*keys).orderBy(t)
     whole = Window.partitionBy(*keys).orderBy(t).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -93,16 +93,18 @@ def interp_join(queries: DataFrame, samples: DataFrame, keys: Sequence[str], t:
     q = queries.join(ends, list(keys), "left").withColumn("_q", F.col(t).cast("double"))
     between = F.coalesce((F.col("_q") > F.col("_ta")) & (F.col("_q") < F.col("_tb")), F.lit(False))
     beyond = F.when(F.col("_q") <= F.col("_ta"), F.col("_ya")).when(F.col("_q") >= F.col("_tb"), F.col("_yb"))
-    clamped = q.where(~between).select(*queries.columns, beyond.alias(out))
-    left, right = q.where(between).withColumn("_cell", cell_of(F.col("_q"))).alias("l"), inner.alias("r")
+    # Points beyond an end have cells of their own below 0, many of them, so that they meet no segment and spread.
+    aside = -1 - F.pmod(F.xxhash64("_q"), F.lit(4096))
+    left = q.withColumns({"_cell": F.when(between, cell_of(F.col("_q"))).otherwise(aside), "_beyond": F.when(~between, beyond)})
+    left, right = left.alias("l"), inner.alias("r")
     match = F.col("l._cell") == F.col("r._cell")
     for k in keys:
         match = match & (F.col(f"l.{k}") == F.col(f"r.{k}"))
     match = match & (F.col("l._q") >= F.col("r._t0")) & (F.col("l._q") < F.col("r._t1"))
     slope = (F.col("r._y1") - F.col("r._y0")) / (F.col("r._t1") - F.col("r._t0"))
     value = slope * (F.col("l._q") - F.col("r._t0")) + F.col("r._y0")
-    met = left.join(right, match, "left").select(*[F.col(f"l.{c}") for c in queries.columns], value.alias(out))
-    return met.unionByName(clamped)
+    met = left.join(right, match, "left")
+    return met.select(*[F.col(f"l.{c}") for c in queries.columns], F.coalesce(F.col("l._beyond"), value).alias(out))
 
 
 def attach_predictions(rows: DataFrame, predictions: DataFrame, on: Sequence[str]) -> DataFrame:

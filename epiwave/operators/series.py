@@ -179,17 +179,17 @@ def elapsed_days(spec: SeriesSpec, time: str = BUCKET) -> str:
     return days_between(time, first)
 
 
-def window_features(df: DataFrame, spec: SeriesSpec, features: FeatureSpec) -> DataFrame:
+def window_features(df: DataFrame, spec: SeriesSpec, features: FeatureSpec, time: str = BUCKET) -> DataFrame:
     """All past-only features in one projection, hence one sort and one window operator."""
     cases, deaths = spec.increments[:2]
     cum_cases, cum_deaths = spec.cumulative[:2]
     rows, limit = features.mean_rows, features.growth_limit
     return df.withColumns(columns({
-        "days_into_epidemic": elapsed_days(spec),
-        **lags((cases, deaths), features.lags, spec),
-        f"cases_{rows}w_avg": trailing_mean(cases, rows, spec),
-        f"deaths_{rows}w_avg": trailing_mean(deaths, rows, spec),
-        "case_growth_rate": growth_rate(cases, cum_cases, limit, spec),
-        "death_growth_rate": growth_rate(deaths, cum_deaths, limit, spec),
-        **level_lags(features.level_lags, spec),
+        "days_into_epidemic": elapsed_days(spec, time),
+        **lags((cases, deaths), features.lags, spec, time),
+        f"cases_{rows}w_avg": trailing_mean(cases, rows, spec, time),
+        f"deaths_{rows}w_avg": trailing_mean(deaths, rows, spec, time),
+        "case_growth_rate": growth_rate(cases, cum_cases, limit, spec, time),
+        "death_growth_rate": growth_rate(deaths, cum_deaths, limit, spec, time),
+        **level_lags(features.level_lags, spec, time),
     }))

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-# Up to so many values of the leading order column are counted on the driver to find a split's boundary row.
+# Up to so many values of an order column are counted on the driver to find a split's boundary row.
 COUNTED_VALUES = 100_000
+# Ranges that more values are first cut into.
+RANGES = 200
 
 
 def split_flag(time: str, cut) -> Column:
@@ -46,29 +48,60 @@ def number_rows(df: DataFrame, order: Sequence[str], position: str = "position")
     return numbered.drop("_id"), before[-1]
 
 
+def value_at_rank(df: DataFrame, col: str, rank: int) -> tuple[object, int]:
+    """The value of ``col`` on the row of this rank (from 1, nulls first), and the rank among the rows with that value.
+
+    The rows are counted per value, with partial counts before the shuffle, so a value with all rows is one count. While
+    there are too many values for the driver, Spark's range partitioning cuts them into ranges, whose exact counts tell
+    the one that holds the rank; only its values go on.
+    """
+    counts = cut_lineage(df.groupBy(F.col(col).alias("_value")).agg(F.count(F.lit(1)).alias("_rows")))
+    missing = counts.where(F.col("_value").isNull()).first()
+    if missing is not None:
+        if rank <= missing["_rows"]:
+            return None, rank
+        rank -= missing["_rows"]
+    counts = counts.where(F.col("_value").isNotNull())
+    while True:
+        if counts.limit(COUNTED_VALUES + 1).count() <= COUNTED_VALUES:
+            found = [(r["_value"], r["_rows"]) for r in counts.collect()]
+            for value, n in sorted(found, key=lambda r: (r[0] != r[0], r[0])):  # not-a-number comes last, as in Spark
+                if rank <= n:
+                    return value, rank
+                rank -= n
+            raise ValueError(f"there is no row of this rank by {col!r}")
+        ranges = counts.repartitionByRange(RANGES, "_value").groupBy(F.spark_partition_id().alias("_part")).agg(
+            F.min("_value").alias("_low"), F.max("_value").alias("_high"), F.sum("_rows").alias("_rows")
+        )
+        for r in sorted(ranges.collect(), key=lambda r: r["_part"]):
+            if rank <= r["_rows"]:
+                counts = counts.where(F.col("_value").between(F.lit(r["_low"]), F.lit(r["_high"])))
+                break
+            rank -= r["_rows"]
+
+
+def row_at_rank(df: DataFrame, order: Sequence[str], rank: int) -> dict[str, object] | None:
+    """The order columns of the row of this rank (from 1), found column by column; None for rank 0.
+
+    Each column is counted among the rows that agree with the boundary row in the columns before it. Nothing is sorted,
+    and no task holds more than the counts of its share of the values.
+    """
+    if rank < 1:
+        return None
+    found: dict[str, object] = {}
+    inside = df.select(*order)
+    for c in order:
+        found[c], rank = value_at_rank(inside, c, rank)
+        inside = inside.where(F.col(c).eqNullSafe(F.lit(found[c])))
+    return found
+
+
 def _cut_in_order(df: DataFrame, order: Sequence[str], share: float) -> Column:
     """Whether a row is among the first int(share * n) of the table in the given order, as a comparison with one row.
 
-    The rows are counted per value of the first order column; the boundary row is
-    then searched among the rows of one such value only. Nothing is sorted or
-    stored. Rows that tie in all order columns fall on one side together.
+    Rows that tie in all order columns fall on one side together.
     """
-    lead, rest = order[0], list(order[1:])
-    counts = df.groupBy(F.col(lead).alias("_lead")).agg(F.count("*").alias("_rows"))
-    numbered, total = number_rows(counts, ["_lead"], "_p") if counts.limit(COUNTED_VALUES + 1).count() > COUNTED_VALUES else (None, 0)
-    if numbered is not None:
-        # Too many values to look through: number the rows themselves.
-        ranked, total = number_rows(df.select(*order), order, "_pos")
-        edge = ranked.where(F.col("_pos") == int(total * share)).drop("_pos").first()
-    else:
-        by_value = sorted(((r["_lead"], r["_rows"]) for r in counts.collect()), key=lambda r: (r[0] is not None, r[0]))
-        left, edge = int(sum(n for _, n in by_value) * share), None
-        for value, n in by_value:
-            if 0 < left <= n:
-                inside = df.where(F.col(lead).eqNullSafe(F.lit(value)))
-                edge = inside.select(*order).orderBy(*order).limit(left).orderBy(*[F.desc(c) for c in order]).first()
-                break
-            left -= n
+    edge = row_at_rank(df, order, int(df.count() * share))
     if edge is None:
         return F.lit(False)
     before, same = F.lit(False), F.lit(True)

@@ -38,10 +38,11 @@ CUT = "1999-01-01"
 
 # The columns in use; a stated schema spares a pass over the file footers.
 SCHEMAS = {
-    "nation": "n_nationkey int, n_name string",
-    "customer": "c_custkey bigint, c_nationkey int",
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp_ntz",
-    "lineitem": "l_orderkey bigint, l_suppkey bigint, l_returnflag string, l_shipdate timestamp_ntz",
+    "lineitem": "l_orderkey bigint, l_suppkey bigint, l_linenumber int, l_returnflag string, l_shipdate timestamp_ntz",
     "events": "event_id bigint, ts timestamp_ntz, event_type string, value double",
 }
 
@@ -94,6 +95,23 @@ def supplier_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accumulate(daily, {"cases": "cum_cases", "deaths": "cum_deaths"})
 
 
+def line_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """country, minute, new_cases, new_deaths: all shipped lines as one series, at the minute its numbers give a line."""
+    minute = F.expr("timestampadd(MINUTE, CAST((l_orderkey * 7 + l_linenumber * 131) % 1440 AS INT), l_shipdate)")
+    return table(spark, sf_dir, "lineitem").groupBy(F.lit("ALL").alias("country"), minute.alias("minute")).agg(
+        F.count(F.lit(1)).alias("new_cases"), F.count_if(F.col("l_returnflag") == "R").alias("new_deaths")
+    )
+
+
+def segment_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """country, candidate, date, cases: orders per day of each market segment of a country."""
+    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey)
+    return joined.groupBy(
+        F.col("n_name").alias("country"), F.col("c_mktsegment").alias("candidate"), F.col("o_orderdate").cast("date").alias("date")
+    ).agg(F.count(F.lit(1)).alias("cases"))
+
+
 def event_text_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly detailed reports as text; an hour whose first value is small files 'No report'."""
     hourly = table(spark, sf_dir, "events").groupBy(

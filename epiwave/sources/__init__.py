@@ -2,9 +2,11 @@ from .reports import (
     coerce_numeric,
     dimension_table,
     fill_zero_int,
+    overwrite_parts,
     read_detailed_reports,
     read_multi_country_reports,
     read_reports,
+    read_with_rejects,
     rejected_records,
     rename_map,
     rename_positional,
@@ -13,7 +15,7 @@ from .reports import (
 )
 
 __all__ = [
-    "coerce_numeric", "dimension_table", "fill_zero_int", "read_detailed_reports",
-    "read_multi_country_reports", "read_reports", "rejected_records", "rename_map", "rename_positional",
+    "coerce_numeric", "dimension_table", "fill_zero_int", "overwrite_parts", "read_detailed_reports",
+    "read_multi_country_reports", "read_reports", "read_with_rejects", "rejected_records", "rename_map", "rename_positional",
     "trim_headers", "write_result",
 ]

@@ -21,6 +21,7 @@ def read_reports(
     multi_line: bool = False,
     by_name: bool = False,
     rejects: bool = False,
+    header: bool = True,
 ) -> DataFrame:
     """Scan a headed CSV with every column as text, then parse the date column.
 
@@ -34,7 +35,8 @@ def read_reports(
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
     raw = (
         spark.read.schema(schema)
-        .option("header", True)
+        .option("header", header)
+        .option("columnPruning", not rejects)
         .option("enforceSchema", not by_name)
         .option("multiLine", multi_line)
         .option("columnNameOfCorruptRecord", "_corrupt_record")
@@ -46,6 +48,28 @@ def read_reports(
     return raw.withColumns(fn.columns({date_column: fn.parse_date(f"`{date_column}`", date_formats)})) if date_column else raw
 
 
+def read_with_rejects(
+    spark: SparkSession, path: str, columns: Sequence[str], date_column: str | None = "Date", multi_line: bool = False, header: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects): the records that fit the columns, and a side table of those that don't.
+
+    A reject has file, record (its text), reason and n_read (fields with a value that could be read). The reason is ``quotes``
+    where a quoted field is left open or goes on after its end, else ``short`` or ``long`` for another number of fields. A
+    bad date is no reject: the record stays, with a missing date.
+    """
+    raw = read_reports(spark, path, columns, date_column=None, multi_line=multi_line, rejects=True, header=header)
+    text = F.col("_corrupt_record")
+    bare = F.regexp_replace(text, '"(?:[^"]|"")*"', "")
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(","))) + 1
+    reason = F.when(F.contains(bare, F.lit('"')), "quotes").when(fields < len(columns), "short").otherwise("long")
+    read = sum((F.col(f"`{c}`").isNotNull().cast("int") for c in columns), F.lit(0))
+    file = F.regexp_extract("_metadata.file_path", "[^/]*$", 0)
+    records = raw.where(text.isNull()).drop("_corrupt_record")
+    if date_column:
+        records = records.withColumns(fn.columns({date_column: fn.parse_date(f"`{date_column}`")}))
+    return records, raw.where(text.isNotNull()).select(file.alias("file"), text.alias("record"), reason.alias("reason"), read.alias("n_read"))
+
+
 def rejected_records(spark: SparkSession, path: str, columns: Sequence[str], multi_line: bool = False) -> DataFrame:
     """path, n_records, n_rejected, n_chars (of all fields) of every file; a rejected record does not fit the columns."""
     raw = read_reports(spark, path, columns, multi_line=multi_line, rejects=True, date_column=None)
@@ -95,6 +119,15 @@ def write_result(df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[st
     writer.format(fmt).save(path)
 
 
+def overwrite_parts(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Replaces the parts (values of ``by``) that ``df`` has rows of, and leaves the others as they are.
+
+    Each part is replaced at the commit of the job, so a run that is repeated after a failure gives the same table. A part
+    is written by the tasks that hold its rows.
+    """
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def read_multi_country_reports(spark: SparkSession, path: str) -> DataFrame:
     """Four-column reports (country, date, cumulative cases, cumulative deaths), renamed by position."""
     raw = read_reports(spark, path, ["c0", "Date", "c2", "c3"])
