@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from epiwave import session
@@ -23,6 +26,16 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(BATCH_ROWS, before)
 
 
+def memory_returned() -> None:
+    """Gives the memory that a Python worker no longer uses back to the system; workers outlive the stages they serve."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, without this call
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a table of the shared folder; the shuffle files of its job go at once.
 

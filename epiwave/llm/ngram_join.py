@@ -1,27 +1,29 @@
 """Exact Jaccard join of documents on word n-grams, by vertical partitioning.
 
-All n-grams have one global order: rare words first, then by hash. The order is cut into fragments; a document is one
-segment in each. Pairs of documents get partial overlaps, counted for each fragment on its own and summed per pair.
+All n-grams have one global order, that of their hashes, and it is cut into fragments. A document is one segment in each.
+Pairs of documents get partial overlaps, counted for each fragment on its own and summed per pair.
 
-Which pairs are counted: two sets of the wanted similarity share an n-gram among the first of each (prefix filter), are
-of similar size, and differ in few n-grams, so in few parities of n-grams per slot of a hashed table. First every
-document meets one leader for each n-gram; pairs that then are in one component already need no count of their own.
+Which pairs are counted: sets of the wanted similarity differ in few n-grams, so when the order is cut into more fragments
+than that, some of their segments are equal. Sets that merely share a passage hardly ever have an equal segment, however
+many there are. First every set meets one leader it shares most segments with; pairs that then are in one component need
+no count of their own.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epiwave.llm.common import arrow_rows, dropped, stored
+from epiwave.llm.common import arrow_rows, dropped, memory_returned, stored
 from epiwave.llm.components import components
 
 SLOTS = 512
@@ -29,25 +31,18 @@ SLOTS = 512
 GROUP_WORDS = 250_000
 #: Words whose hashes a worker keeps; beyond it the store starts anew.
 KEPT_WORDS = 250_000
-#: How often the remaining pairs are thinned by one partner of each set before all that are left are counted.
-ROUNDS = 4
-#: Of the table that tells which documents' sets are wanted.
-FILTER_BITS = 1 << 23
+#: Remaining pairs of a set, on average, beyond which one partner of each set is counted first, to thin the others.
+DENSE = 64
 SKETCH = [f"s{k}" for k in range(SLOTS // 64)]
 
 
 @dataclass(frozen=True)
 class JaccardJoin:
-    """words: of an n-gram. percent: least 100 * intersection / union of a link. fragments: of the global order.
-
-    frequent_share: words in at least this share of the documents count as frequent in the order; there are at most
-    (mean distinct words of a document) / frequent_share of them. The order only decides what the work costs.
-    """
+    """words: of an n-gram. percent: least 100 * intersection / union of a link. fragments: that overlaps are counted in."""
 
     words: int = 5
     percent: int = 80
     fragments: int = 4
-    frequent_share: float = 0.001
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -55,41 +50,16 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def frequent_words(docs: DataFrame, share: float) -> dict[bytes, int]:
-    """Frequent words with a step of their document frequency (1 and up); bounded by the share."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, seen = 0, Counter()
-        for batch in batches:
-            for t in batch.column(0):
-                n += 1
-                seen.update(set(words_of(t.as_py())))
-            if len(seen) > 500_000:  # a word of the wanted share stays above a quarter of it in some partition
-                seen = Counter({w: c for w, c in seen.items() if c > max(1, share * n / 4)})
-        words = [(w, c) for w, c in seen.items() if c > 1 and c >= share * n / 4]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([b"", *(w for w, _ in words)], pa.binary()), pa.array([n, *(c for _, c in words)], pa.int64())], names=["word", "n"]
-        )
-
-    counts = stored(docs.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counts.filter(F.length("word") == 0).first()
-    least = max(2.0, share * (total["n"] if total else 0))
-    found = counts.filter((F.length("word") > 0) & (F.col("n") >= least)).collect()
-    return {bytes(r["word"]): 1 + min(9, int(math.log2(r["n"] / least))) for r in found}
-
-
 class WordHashes(dict):
-    """word -> place of its hash and frequency step, filled as words come."""
+    """word -> place of its hash, filled as words come."""
 
-    def __init__(self, frequent: dict[bytes, int]):
+    def __init__(self):
         super().__init__()
-        self.frequent = frequent
-        self.hashes, self.steps = [], []
+        self.hashes: list[int] = []
 
     def __missing__(self, word: bytes) -> int:
         k = self[word] = len(self.hashes)
         self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        self.steps.append(self.frequent.get(word, 0))
         return k
 
 
@@ -100,7 +70,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def gram_sets(texts: list[str | None], n: int, known: WordHashes) -> Iterator[np.ndarray]:
-    """The distinct n-grams of each text as sorted 64-bit keys: six bits of frequency, then a hash.
+    """The distinct n-grams of each text as sorted 64-bit hashes.
 
     A text with fewer words is one n-gram, one without words has none.
     """
@@ -114,16 +84,13 @@ def gram_sets(texts: list[str | None], n: int, known: WordHashes) -> Iterator[np
             at += 1
         if len(known) > KEPT_WORDS:
             known.clear()
-            known.hashes, known.steps = [], []
+            known.hashes = []
         place = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
-        hashes, steps = np.array(known.hashes, np.uint64), np.array(known.steps, np.int64)
-        h, s = hashes[place] if len(flat) else np.zeros(0, np.uint64), steps[place] if len(flat) else np.zeros(0, np.int64)
+        h = np.array(known.hashes, np.uint64)[place] if len(flat) else np.zeros(0, np.uint64)
         size = max(0, len(flat) - n + 1)
-        keys, step = np.zeros(size, np.uint64), np.zeros(size, np.int64)
+        keys = np.zeros(size, np.uint64)
         for k in range(n):
             keys = mixed(keys + h[k : k + size])
-            step += s[k : k + size]
-        keys = keys >> np.uint64(6) | np.minimum(step, 63).astype(np.uint64) << np.uint64(58)
         for a, b in zip(ends, ends[1:], strict=False):
             if b - a >= n:
                 yield np.unique(keys[a : b - n + 1])
@@ -131,31 +98,79 @@ def gram_sets(texts: list[str | None], n: int, known: WordHashes) -> Iterator[np
                 whole = np.array([b - a], np.uint64)
                 for x in h[a:b]:
                     whole = mixed(whole + x)
-                yield whole >> np.uint64(6)
+                yield whole
             else:
                 yield np.zeros(0, np.uint64)
 
 
-def prefix_size(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+@lru_cache(maxsize=256)
+def band_ends(percent: int, size: int) -> list[int]:
+    """The largest size of each band, up to the band of ``size``.
+
+    What is as large as the largest of a band times 100 / percent ends the next one, so sets that link lie in one band or in
+    neighbouring ones.
+    """
+    ends = [1]
+    while ends[-1] < size:
+        ends.append(max(ends[-1] + 1, ends[-1] * 100 // percent))
+    return ends
+
+
+@lru_cache(maxsize=4096)
+def fragments_of(band: int, percent: int, size: int) -> tuple[int, int]:
+    """How many fragments a band's sets are compared in, and how many of a set's may be empty.
+
+    Of two linked sets the smaller has at most ``end`` n-grams, so at most end * (100 - percent) / percent lie in one of
+    them alone. With more fragments than that by 1 + spare, at least 1 + spare are equal, so one that isn't empty is,
+    unless both sets have more than ``spare`` empty ones.
+    """
+    ends = band_ends(percent, size)
+    apart, least = ends[band] * (100 - percent) // percent, ends[band - 1] + 1 if band else 1
+    spare = 0
+    for _ in range(3):
+        count = apart + 1 + spare
+        empty = count * math.exp(-least / count) if count > 1 else 0.0
+        spare = math.ceil(empty + 3 * math.sqrt(empty)) if empty > 0.01 else 0
+    return apart + 1 + spare, spare
 
 
-def described(docs: DataFrame, how: JaccardJoin, frequent: dict[bytes, int]) -> DataFrame:
-    """doc, n (set size), digest of the set, prefix (keys), cuts (keys at the set's own quantiles), parities.
+def signatures(keys: np.ndarray, percent: int) -> np.ndarray:
+    """One hash for each fragment of a set, in the fragments of its band and of the band of smaller sets.
+
+    Empty fragments are named only where a set has more of them than its band spares.
+    """
+    top = 1 << len(keys).bit_length()
+    own = bisect_left(band_ends(percent, top), len(keys))
+    out = []
+    values = mixed(keys ^ np.uint64(0x9E3779B97F4A7C15))
+    for band in (own, own - 1) if own else (own,):
+        count, spare = fragments_of(band, percent, top)
+        place = (keys >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
+        starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        sums = np.add.reduceat(values, starts)
+        at = place[starts]
+        if count - len(starts) > spare:
+            none = np.setdiff1d(np.arange(count, dtype=np.uint64), at)
+            at, sums = np.append(at, none), np.append(sums, np.zeros(len(none), np.uint64))
+        out.append(mixed(sums + mixed(at + (np.uint64(band) << np.uint64(40)))))
+    return np.concatenate(out)
+
+
+def described(docs: DataFrame, how: JaccardJoin) -> DataFrame:
+    """doc, n (set size), digest of the set, signatures of its fragments, parities.
 
     ``wide`` has the parities of n-grams per slot for at least two slots per n-gram, s0, s1, ... the same folded to
     ``SLOTS`` slots.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes(frequent)
+        known = WordHashes()
         for batch in batches:
-            n, digest, prefix, cuts, parity, wide = [], [], [], [], [], []
+            n, digest, signed, parity, wide = [], [], [], [], []
             for keys in gram_sets(batch.column(1).to_pylist(), how.words, known):
                 n.append(len(keys))
                 digest.append(xxhash.xxh3_128_digest(keys.tobytes()))
-                prefix.append(keys[: prefix_size(len(keys), how.percent)].view(np.int64) if len(keys) else np.zeros(0, np.int64))
-                cuts.append(keys[[k * len(keys) // how.fragments for k in range(1, how.fragments)]].view(np.int64) if len(keys) else np.zeros(0, np.int64))
+                signed.append(signatures(keys, how.percent).view(np.int64) if len(keys) else np.zeros(0, np.int64))
                 slots = max(SLOTS, 1 << (2 * len(keys)).bit_length())
                 odd = np.bincount((keys & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
                 bits = np.packbits(odd.astype(np.uint8))
@@ -163,56 +178,42 @@ def described(docs: DataFrame, how: JaccardJoin, frequent: dict[bytes, int]) ->
                 parity.append(np.bitwise_xor.reduce(bits.reshape(-1, SLOTS // 8), axis=0).view(np.int64))
             narrow = np.array(parity, np.int64).reshape(-1, len(SKETCH))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(prefix, pa.list_(pa.int64())), pa.array(cuts, pa.list_(pa.int64())), pa.array(wide, pa.binary()), *(pa.array(narrow[:, k]) for k in range(len(SKETCH)))],
-                names=["doc", "n", "digest", "prefix", "cuts", "wide", *SKETCH],
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(signed, pa.list_(pa.int64())),
+                 pa.array(wide, pa.binary()), *(pa.array(narrow[:, k]) for k in range(len(SKETCH)))],
+                names=["doc", "n", "digest", "signatures", "wide", *SKETCH],
             )
+        del known
+        memory_returned()
 
-    schema = "doc long, n int, digest binary, prefix array<long>, cuts array<long>, wide binary, " + ", ".join(f"{s} long" for s in SKETCH)
+    schema = "doc long, n int, digest binary, signatures array<long>, wide binary, " + ", ".join(f"{s} long" for s in SKETCH)
     return docs.select("doc", "text").mapInArrow(run, schema)
 
 
-def bit_table(docs: DataFrame) -> bytes:
-    """A table of ``FILTER_BITS`` bits with one set for each doc (column doc), made on the executors; of fixed size.
+def segments(docs: DataFrame, pairs: DataFrame, reps: DataFrame, how: JaccardJoin) -> DataFrame:
+    """set, frag, grams (sorted hashes as bytes) of the sets in ``pairs`` (a, b), each read from one of its documents.
 
-    A doc whose bit isn't set isn't there. The more docs, the fewer it tells apart, and the fuller the table.
+    Spark sends the wanted ids to the texts while they are few, and else joins both by id.
     """
-    place = docs.select(F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS)).alias("place"))
-    words = place.selectExpr("CAST(place DIV 8 AS INT) AS k", "shiftleft(1, CAST(place % 8 AS INT)) AS bit")
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in words.groupBy("k").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        table[r["k"]] = r["bits"]
-    return table.tobytes()
-
-
-def segments(docs: DataFrame, leads: DataFrame, others: DataFrame, how: JaccardJoin, frequent: dict[bytes, int], cuts: list[int]) -> DataFrame:
-    """set, frag, grams (sorted keys as bytes), lead, other: the sets of the documents in ``leads`` and ``others`` (doc).
-
-    The texts of all other documents are passed over where they are read, but for the few that share a bit.
-    """
-    bounds = np.sort(np.array(cuts, np.int64).view(np.uint64))
-    tables = bit_table(leads), bit_table(others)
+    bounds = np.array([(k << 64) // how.fragments for k in range(1, how.fragments)], np.uint64)
+    sets = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    wanted = stored(sets.join(reps.select("set", "doc"), "set").groupBy("doc").agg(F.collect_set("set").alias("sets")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes(frequent)
-        lead_bits, other_bits = (np.frombuffer(t, np.uint8) for t in tables)
+        known = WordHashes()
         for batch in batches:
-            at = batch.column(1).to_numpy()
-            lead, other = (t[at // 8] >> (at % 8) & 1 == 1 for t in (lead_bits, other_bits))
-            hit = np.flatnonzero(lead | other)
             rows = []
-            texts = batch.column(0).take(pa.array(hit)).to_pylist()
-            for k, keys in zip(hit, gram_sets(texts, how.words, known), strict=True):
+            for keys in gram_sets(batch.column(0).to_pylist(), how.words, known):
                 digest = xxhash.xxh3_128_digest(keys.tobytes())
-                for f, part in enumerate(np.split(keys, np.searchsorted(keys, bounds))):
-                    if len(part):
-                        rows.append((digest, f, part.tobytes(), bool(lead[k]), bool(other[k])))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            types = [pa.binary(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["digest", "frag", "grams", "lead", "other"])
+                rows += [(digest, f, part.tobytes()) for f, part in enumerate(np.split(keys, np.searchsorted(keys, bounds))) if len(part)]
+            cols = list(zip(*rows, strict=True)) or [()] * 3
+            types = [pa.binary(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["digest", "frag", "grams"])
+        del known
+        memory_returned()
 
-    place = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS)).alias("place")
-    found = docs.filter("doc IS NOT NULL").select("text", place).mapInArrow(run, "digest binary, frag int, grams binary, lead boolean, other boolean")
-    return found.select(F.xxhash64("digest").alias("set"), "frag", "grams", "lead", "other")
+    found = docs.join(wanted, "doc").select("text").mapInArrow(run, "digest binary, frag int, grams binary")
+    with arrow_rows(docs.sparkSession, 2000):
+        return stored(found.select(F.xxhash64("digest").alias("set"), "frag", "grams"))
 
 
 def common(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -258,34 +259,34 @@ def promising(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
         return stored(close.select("a", "b", "na", "nb"))
 
 
-def links_of(pairs: DataFrame, docs: DataFrame, reps: DataFrame, how: JaccardJoin, frequent, cuts) -> DataFrame:
+def links_of(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) that are similar enough: partial overlaps of the fragments, summed per pair.
 
-    Rows of ``docs`` with the same id and text give the same segments twice, hence the largest of equal counts.
+    ``parts`` has the segments of their sets. Rows of documents with the same id and text give the same segments twice,
+    hence the largest of equal counts.
     """
-    leads, others = (pairs.select(F.col(c).alias("set")).distinct().join(reps.select("set", "doc"), "set").select("doc") for c in ("a", "b"))
-    parts = stored(segments(docs, leads, others, how, frequent, cuts))
-    left = parts.filter("lead").select(F.col("set").alias("a"), "frag", F.col("grams").alias("ga"))
-    right = parts.filter("other").select(F.col("set").alias("b"), "frag", F.col("grams").alias("gb"))
+    left, right = (parts.select(F.col("set").alias(k), "frag", F.col("grams").alias(f"g{k}")) for k in ("a", "b"))
     partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", "frag", F.arrow_udf(common, "long")("ga", "gb").alias("shared"))
     overlap = partial.groupBy("a", "b", "na", "nb", "frag").agg(F.max("shared").alias("shared")).groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-    enough = F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * how.percent
-    with arrow_rows(docs.sparkSession, 500):
-        links = stored(overlap.filter(enough).select("a", "b"))
-    dropped(parts)
-    return links
+    enough = F.col("shared") * 100 >= (F.col("na") + F.col("nb") - F.col("shared")) * percent
+    with arrow_rows(pairs.sparkSession, 500):
+        return stored(overlap.filter(enough).select("a", "b"))
+
+
+def shared_signatures(named: DataFrame, reps: DataFrame) -> DataFrame:
+    """sig, set, n, lead, lead_n: signatures that several sets have, with the first of these. Counts come before the join."""
+    stands = stored(named.select("set", "doc", "n", "signatures").join(reps.select("set", "doc"), ["set", "doc"]).select("set", "n", "signatures"))
+    signed = stands.select("set", "n", F.explode("signatures").alias("sig"))
+    several = signed.groupBy("sig").agg(F.min(F.struct("set", "n")).alias("lead"), F.max("set").alias("z")).filter("lead.set < z")
+    return stored(signed.join(several, "sig").select("sig", "set", "n", F.col("lead.set").alias("lead"), F.col("lead.n").alias("lead_n")))
 
 
 def leader_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """Each set with the leader it shares most n-grams with, and the leaders of neighbouring size bands."""
-    met = shared.filter("set <> lead").groupBy("lead", "set", "lead_n", "n").agg(F.count("*").alias("k"))
+    """Each set with the leader it shares most signatures with."""
+    met = shared.filter("set <> lead").filter(similar_size(F.col("lead_n"), F.col("n"), percent))
+    met = met.groupBy("lead", "set", "lead_n", "n").agg(F.count("*").alias("k"))
     best = met.groupBy("set").agg(F.max(F.struct("k", "lead", "lead_n", "n")).alias("m"))
-    to_lead = best.select(F.col("m.lead").alias("a"), F.col("set").alias("b"), F.col("m.lead_n").alias("na"), F.col("m.n").alias("nb"))
-    leads = shared.select("gram", "band", "lead", "lead_n").distinct()
-    both = leads.alias("p").join(leads.alias("q"), (F.col("p.gram") == F.col("q.gram")) & (F.col("p.band") + 1 == F.col("q.band")))
-    beside = both.select(F.col("p.lead").alias("a"), F.col("q.lead").alias("b"), F.col("p.lead_n").alias("na"), F.col("q.lead_n").alias("nb"))
-    pairs = to_lead.union(beside).filter(F.col("a") != F.col("b")).filter(similar_size(F.col("na"), F.col("nb"), percent))
-    return pairs.distinct()
+    return best.select(F.col("m.lead").alias("a"), F.col("set").alias("b"), F.col("m.lead_n").alias("na"), F.col("m.n").alias("nb"))
 
 
 def jaccard_components(docs: DataFrame, how: JaccardJoin = JaccardJoin(), id_col="doc_id", text_col="text") -> DataFrame:
@@ -297,60 +298,50 @@ def jaccard_components(docs: DataFrame, how: JaccardJoin = JaccardJoin(), id_col
     Columns other than id and text aren't read.
     """
     mine = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    frequent = frequent_words(mine.select("text"), how.frequent_share)
-    sets = stored(described(mine, how, frequent).withColumn("set", F.xxhash64("digest")))
+    with arrow_rows(docs.sparkSession, 2000):
+        sets = stored(described(mine, how).withColumn("set", F.xxhash64("digest")))
     named = sets.filter("n > 0 AND doc IS NOT NULL")
-    fields = ["doc", "n", *SKETCH, "wide"]
-    reps = stored(named.groupBy("set").agg(F.min(F.struct(*fields)).alias("r")).select("set", "r.*"))
-    quantiles = named.select(*(F.percentile_approx(F.get("cuts", F.lit(k)), 0.5, 1000) for k in range(how.fragments - 1))).first()
-    cuts = [q for q in quantiles if q is not None]
-
-    band = F.floor(F.log("n") / math.log(100 / how.percent))
-    stands = named.select("set", "doc", "n", "prefix").join(reps.select("set", "doc"), ["set", "doc"])
-    grams = stands.select("set", "n", F.explode("prefix").alias("gram"))
-    counted = grams.withColumn("m", F.count("*").over(Window.partitionBy("gram"))).filter("m > 1").withColumn("band", band)
-    first = F.min(F.struct("set", "n")).over(Window.partitionBy("gram", "band"))
-    shared = counted.withColumn("first", first).select("gram", "set", "n", "band", F.col("first.set").alias("lead"), F.col("first.n").alias("lead_n"))
-    shared = stored(shared)
+    reps = stored(named.groupBy("set").agg(F.min(F.struct("doc", "n", *SKETCH, "wide")).alias("r")).select("set", "r.*"))
+    shared = shared_signatures(named, reps)
     tested = promising(leader_pairs(shared, how.percent), reps, how.percent)
-    links = links_of(tested, mine, reps, how, frequent, cuts)
+    parts = segments(mine, tested, reps, how)
+    links = links_of(tested, parts, how.percent)
+    dropped(parts)
 
-    # All other pairs that share an n-gram, but for those that a component holds already.
+    # All other pairs that share a segment, but for those that a component holds already.
     joined = components(links).select(F.col("node").alias("set"), "component")
-    member = shared.select("gram", "set").join(joined, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    member = stored(member)
-    several = member.groupBy("gram").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("gram")
-    several = member.join(several, "gram", "left_semi").join(reps.select("set", "n", *SKETCH), "set")
-    several = stored(several)
+    member = stored(shared.select("sig", "set").join(joined, "set", "left").withColumn("component", F.coalesce("component", "set")))
+    several = member.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("sig")
+    several = stored(member.join(several, "sig", "left_semi").join(reps.select("set", "n", *SKETCH), "set"))
     near = (
-        (F.col("x.gram") == F.col("y.gram")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.component") != F.col("y.component"))
+        (F.col("x.sig") == F.col("y.sig")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.component") != F.col("y.component"))
         & similar_size(F.col("x.n"), F.col("y.n"), how.percent) & few_parities("x", "y", how.percent)
     )
     rest = several.alias("x").join(several.alias("y"), near)
     rest = rest.select(F.col("x.set").alias("a"), F.col("y.set").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
     done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(rest.join(done, ["a", "b"], "left_anti"))
-    for _ in range(ROUNDS):
-        # One partner of each set; what its links put into one component needs no count of its own.
-        first = rest.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("p")).select("p.a", "b", "p.na", "p.nb")
-        picked = promising(first, reps, how.percent)
-        new = links_of(picked, mine, reps, how, frequent, cuts)
-        links = links.union(new)
-        if new.isEmpty():
-            break
-        joined = stored(components(links).select("node", "component"))
-        x, y = (joined.select(F.col("node").alias(f"node_{k}"), F.col("component").alias(f"c{k}")) for k in ("a", "b"))
-        placed = rest.join(x, F.col("a") == F.col("node_a"), "left").join(y, F.col("b") == F.col("node_b"), "left")
-        apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
-        rest = stored(placed.filter(apart).select("a", "b", "na", "nb").join(picked.select("a", "b"), ["a", "b"], "left_anti"))
-        if rest.isEmpty():
-            break
-    more = links_of(promising(rest, reps, how.percent), mine, reps, how, frequent, cuts)
+    rest = promising(rest.join(done, ["a", "b"], "left_anti"), reps, how.percent)
+    if not rest.isEmpty():
+        parts = segments(mine, rest, reps, how)
+        while True:
+            pairs, ends = rest.agg(F.count("*"), F.count_distinct("b")).first()
+            if pairs <= DENSE * ends:
+                break
+            # One partner of each set; what its links put into one component needs no count of its own.
+            first = rest.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("p"))
+            picked = stored(first.select(F.col("p.a").alias("a"), "b", F.col("p.na").alias("na"), F.col("p.nb").alias("nb")))
+            links = links.union(links_of(picked, parts, how.percent))
+            joined = stored(components(links).select("node", "component"))
+            x, y = (joined.select(F.col("node").alias(f"node_{k}"), F.col("component").alias(f"c{k}")) for k in ("a", "b"))
+            placed = rest.join(x, F.col("a") == F.col("node_a"), "left").join(y, F.col("b") == F.col("node_b"), "left")
+            apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+            rest = stored(placed.filter(apart).select("a", "b", "na", "nb").join(picked.select("a", "b"), ["a", "b"], "left_anti"))
+        links = links.union(links_of(rest, parts, how.percent))
 
     # Sets of one id belong together, as do linked sets; the smallest id of a component is its name.
     own = named.groupBy("doc").agg(F.min("set").alias("a"), F.max("set").alias("z")).filter("a < z").select("doc", "a")
     own = named.select("doc", F.col("set").alias("b")).join(own, "doc").select("a", "b")
-    found = components(links.union(more).union(own)).select(F.col("node").alias("set"), "component")
+    found = components(links.union(own)).select(F.col("node").alias("set"), "component")
     of_set = stored(named.select("doc", "set").join(found, "set", "left").select("doc", "set", F.coalesce("component", "set").alias("component")))
     least = stored(of_set.groupBy("component").agg(F.min("doc").alias("component_id")))
     by_set = of_set.select("set", "component").distinct().join(least, "component").select("set", F.col("component_id").alias("least"))

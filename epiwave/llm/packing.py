@@ -7,8 +7,10 @@ there are. Pieces then find their places by their number among the pieces of the
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -18,12 +20,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from epiwave.llm.common import stored
+from epiwave.llm.common import arrow_rows, memory_returned, stored
 
-#: Words whose ids a worker keeps; beyond it the store starts anew.
+#: Words whose ids a worker keeps, in two generations; the older one goes when the younger is full.
 KEPT_WORDS = 300_000
+#: Texts that are handed to a worker at once.
+BATCH_ROWS = 1000
+#: Letters of no more than one case that no combining mark is needed for, and marks that may follow them.
+LETTERS = "a-zß-öø-ÿ"
+WORD = re.compile(f"([{LETTERS}]+)([!-&*-/:;?#|]*)")
 
 
 @dataclass(frozen=True)
@@ -41,54 +48,85 @@ class Capacities:
     rule: str = "residual_norm"
 
 
+def folded(text: str) -> str:
+    """``text`` with A-Z lower-cased where that changes no token: where neither form has anything to compose."""
+    low = text.encode().lower().decode()
+    if text.isascii() or (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
+        return low
+    return text
+
+
 class WordEncoder:
-    """Ids of texts whose tokens never cross a space or line end; keeps the ids of the words it has seen.
+    """Ids of texts whose tokens never cross a space or line end; keeps the ids of the words it has met lately.
 
-    New words go to the tokenizer many at once, as one text with a private-use character as a word between them; its
-    bytes end no other word, so its ids part the result.
+    The vocabulary lower-cases, and cuts letters from the marks that follow them. So an unknown word of plain letters and
+    marks is put together of the two. Letters alone need no normalisation and no cutting: many of them go to the tokenizer's
+    model as one text, whose tokens with the end-of-word suffix part the result. All other words go through the
+    whole tokenizer, one by one.
     """
 
-    MARK = "\ue000"
-
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {"": b""}
-        self.mark = np.array(self.ids(self.MARK), np.uint32)
-
-    def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def learn(self, words: list[str]) -> None:
-        plain = [w for w in words if self.MARK not in w]
-        texts = [plain[k : k + 500] for k in range(0, len(plain), 500)]
-        encoded = self.tokenizer.encode_batch_fast([f" {self.MARK} ".join(t) + f" {self.MARK}" for t in texts], add_special_tokens=False)
+        self.whole, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.whole, self.letters):
+            t.no_truncation()
+            t.no_padding()
+        suffix = self.letters.model.end_of_word_suffix
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.letters.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.plain = bool(suffix)
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def learn_letters(self, words: list[str]) -> None:
+        """Words of ``LETTERS`` only."""
+        texts = [words[k : k + 500] for k in range(0, len(words), 500)]
+        encoded = self.letters.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False)
         for part, e in zip(texts, encoded, strict=True):
-            ids, n = np.array(e.ids, "<u4"), len(self.mark)
-            ends = np.flatnonzero(np.logical_and.reduce([ids[k : len(ids) - n + 1 + k] == m for k, m in enumerate(self.mark)]))
+            ids = np.array(e.ids, "<u4")
             raw, start = ids.tobytes(), 0
-            for w, end in zip(part, ends.tolist(), strict=True):
-                self.known[w] = raw[4 * start : 4 * end]
-                start = end + n
+            for w, end in zip(part, (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
+                self.young[w] = raw[start:end]
+                start = end
+
+    def learn(self, words: Iterable[str]) -> None:
+        """The ids of ``words`` that the younger generation lacks."""
+        young, old = self.young, self.old
+        heads, marks, joined, odd = set(), set(), [], []
         for w in words:
-            if self.MARK in w:
-                self.known[w] = np.array(self.ids(w), "<u4").tobytes()
+            if w in young:
+                continue
+            if w in old:
+                young[w] = old[w]
+            elif self.plain and (m := WORD.fullmatch(w)):
+                head, tail = m.groups()
+                heads.add(head)
+                if tail:
+                    marks.add(tail)
+                    joined.append((w, head, tail))
+            else:
+                odd.append(w)
+        self.learn_letters([w for w in heads if w not in young and (w not in old or young.setdefault(w, old[w]) is None)])
+        odd += [w for w in marks if w not in young]
+        for w, e in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            young[w] = np.array(e.ids, "<u4").tobytes()
+        for w, head, tail in joined:
+            young[w] = young[head] + young[tail]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; new words are learnt for many texts at once."""
         group, size = [], 0
         for k, text in enumerate(texts):
-            group.append(text.replace("\n", " ").split(" "))
+            group.append(folded(text).replace("\n", " ").split(" "))
             size += len(text)
             if size < 1_000_000 and k + 1 < len(texts):
                 continue
-            words = set().union(*group)
-            new = [w for w in words if w not in self.known]
-            if len(self.known) + len(new) > KEPT_WORDS:
-                self.known, new = {"": b""}, [w for w in words if w]
-            self.learn(new)
-            known = self.known
+            if len(self.young) > KEPT_WORDS // 2:
+                self.young, self.old = {"": b""}, self.young
+            self.learn(set().union(*group))
+            known = self.young
             for parts in group:
                 yield b"".join(map(known.__getitem__, parts))
             group, size = [], 0
@@ -125,6 +163,7 @@ def token_pieces(docs: DataFrame, path: str, tokens: int = 2048, end_id: int = 0
                 [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=[id_col, "piece", "start", "length", "ids_crc32"],
             )
+        memory_returned()
 
     schema = f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long"
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
@@ -202,7 +241,8 @@ def pack(pieces: DataFrame, caps: Capacities = Capacities(), length_col="length"
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(nth), pa.int32()), pa.array(nth, pa.int64())], names=[*others, "__part", "__nth"])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__nth", T.LongType())])
-    numbered = stored(kept.mapInArrow(number, schema))
+    with arrow_rows(pieces.sparkSession, BATCH_ROWS):
+        numbered = stored(kept.mapInArrow(number, schema))
     by_part = numbered.groupBy("__part", length_col).agg(F.count("*").alias("__n"))
     before = Window.partitionBy(length_col).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_part.select("__part", length_col, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
