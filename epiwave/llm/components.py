@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from epiwave.llm.common import stored
 
 
+#: Links that a task joins on its own at first.
+TASK_LINKS = 250_000
+
+
 def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The links of one partition as stars around the smallest node of each local component."""
     top: dict[int, int] = {}
@@ -53,8 +57,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Nodes are whole numbers. Links with a null end and of a node to itself say nothing; repeated links count once.
     """
     pairs = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
-    now = stored(pairs.mapInArrow(local_forest, "u long, v long").distinct())
-    said = None
+    # Each task joins what it holds on its own; links that fit into one task need no more than that.
+    kept = stored(pairs)
+    tasks = -(-kept.count() // TASK_LINKS)
+    forest = (kept.coalesce(1) if tasks <= 1 else kept.repartition(tasks)).mapInArrow(local_forest, "u long, v long")
+    now, said = stored(forest if tasks <= 1 else forest.distinct()), None
+    if tasks <= 1:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
     while True:
         n, mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if not n or (n, mark) == said:

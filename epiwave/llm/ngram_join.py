@@ -15,7 +15,7 @@ import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,8 @@ GROUP_WORDS = 250_000
 KEPT_WORDS = 250_000
 #: Remaining pairs of a set, on average, beyond which one partner of each set is counted first, to thin the others.
 DENSE = 64
+#: Parts that the signatures are met in, one after the other, so that the disk holds the shuffle of one at a time.
+ROUNDS = 4
 SKETCH = [f"s{k}" for k in range(SLOTS // 64)]
 
 
@@ -273,19 +275,28 @@ def links_of(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
         return stored(overlap.filter(enough).select("a", "b"))
 
 
-def shared_signatures(named: DataFrame, reps: DataFrame) -> DataFrame:
-    """sig, set, n, lead, lead_n: signatures that several sets have, with the first of these. Counts come before the join."""
-    stands = stored(named.select("set", "doc", "n", "signatures").join(reps.select("set", "doc"), ["set", "doc"]).select("set", "n", "signatures"))
-    signed = stands.select("set", "n", F.explode("signatures").alias("sig"))
-    several = signed.groupBy("sig").agg(F.min(F.struct("set", "n")).alias("lead"), F.max("set").alias("z")).filter("lead.set < z")
-    return stored(signed.join(several, "sig").select("sig", "set", "n", F.col("lead.set").alias("lead"), F.col("lead.n").alias("lead_n")))
+def shared_signatures(named: DataFrame) -> DataFrame:
+    """sig, set, lead: the signatures that several sets have, with the first of these sets. Of equal sets one row speaks.
 
-
-def leader_pairs(shared: DataFrame, percent: int) -> DataFrame:
-    """Each set with the leader it shares most signatures with."""
-    met = shared.filter("set <> lead").filter(similar_size(F.col("lead_n"), F.col("n"), percent))
-    met = met.groupBy("lead", "set", "lead_n", "n").agg(F.count("*").alias("k"))
-    best = met.groupBy("set").agg(F.max(F.struct("k", "lead", "lead_n", "n")).alias("m"))
+    Smallest and largest set of a signature are found with partial aggregation, so a signature of very many sets is no
+    large group anywhere; the join with them is one that Spark splits where it is skewed.
+    """
+    copies = named.groupBy("set").agg(F.count("*").alias("m"), F.min("doc").alias("first")).filter("m > 1").select("set", "first")
+    lone = named.select("set", "doc", "signatures").join(stored(copies), "set", "left").filter(F.col("doc") == F.coalesce("first", "doc"))
+    found = []
+    for part in range(ROUNDS):
+        signed = lone.select("set", F.explode("signatures").alias("sig")).filter(F.pmod("sig", F.lit(ROUNDS)) == part)
+        several = signed.groupBy("sig").agg(F.min("set").alias("lead"), F.max("set").alias("z")).filter("lead < z").select("sig", "lead")
+        found.append(stored(signed.join(several, "sig")))
+    return reduce(DataFrame.union, found)
+
+
+def leader_pairs(shared: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """a, b, na, nb: each set with the leader of similar size it shares most signatures with."""
+    met = shared.filter("set <> lead").groupBy("lead", "set").agg(F.count("*").alias("k"))
+    sizes = reps.select("set", "n")
+    sized = met.join(sizes, "set").join(sizes.select(F.col("set").alias("lead"), F.col("n").alias("lead_n")), "lead")
+    best = sized.filter(similar_size(F.col("lead_n"), F.col("n"), percent)).groupBy("set").agg(F.max(F.struct("k", "lead", "lead_n", "n")).alias("m"))
     return best.select(F.col("m.lead").alias("a"), F.col("set").alias("b"), F.col("m.lead_n").alias("na"), F.col("m.n").alias("nb"))
 
 
@@ -302,8 +313,8 @@ def jaccard_components(docs: DataFrame, how: JaccardJoin = JaccardJoin(), id_col
         sets = stored(described(mine, how).withColumn("set", F.xxhash64("digest")))
     named = sets.filter("n > 0 AND doc IS NOT NULL")
     reps = stored(named.groupBy("set").agg(F.min(F.struct("doc", "n", *SKETCH, "wide")).alias("r")).select("set", "r.*"))
-    shared = shared_signatures(named, reps)
-    tested = promising(leader_pairs(shared, how.percent), reps, how.percent)
+    shared = shared_signatures(named)
+    tested = promising(leader_pairs(shared, reps, how.percent), reps, how.percent)
     parts = segments(mine, tested, reps, how)
     links = links_of(tested, parts, how.percent)
     dropped(parts)
