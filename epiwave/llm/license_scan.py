@@ -18,25 +18,57 @@ from pyspark.sql import functions as F
 #: Base phrases and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Templates as (label, wording), a label may have several.
+#: Parts that several templates share.
+GRANT = "{released|licensed|distributed|available|provided|published} under the [terms [and conditions] of the]"
+GNU_NOTICE = (
+    "redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation [either] version {} "
+    "[of the license] [or at your option any later version]"
+)
+CC_GRANT = "{licensed|released|available|distributed|published|provided} under {a|the|} [terms of the]"
+CC_END = "[{1|2|3|4} {0|5}] [international|unported|generic] {license|licence}"
+CC_SHORT = "{1|2|3|4} {0|5} [international|unported|generic] [license|licence]"
+
+#: Templates as (label, wording), a label may have several: short grants, notices of source files and whole licences.
 TEMPLATES = (
-    ("mit", "{released|licensed|distributed|available|provided|published} under the [terms of the] mit license"),
+    ("mit", f"{GRANT} mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
             "documentation files {the software|the {0,2}} to deal in the software without restriction"),
-    ("apache-2.0", "{released|licensed|distributed|available|provided|published} under the [terms of the] apache license version 2 0"),
-    ("gpl-3.0", "{released|licensed|distributed|available|provided|published} under the [terms of the] gnu general public license [as published by the free software foundation] [either] version 3"),
-    ("gpl-2.0", "{released|licensed|distributed|available|provided|published} under the [terms of the] gnu general public license [as published by the free software foundation] [either] version 2"),
-    ("lgpl", "under the [terms of the] gnu lesser general public license"),
+    ("mit-full", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the "
+            "software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute "
+            "sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following "
+            "conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial "
+            "portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the "
+            "warranties of merchantability fitness for a particular purpose and {noninfringement|non infringement} in no event shall {the {0,3} authors or "
+            "copyright holders|{1,6}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in "
+            "connection with the software or the use or other dealings in the software"),
+    ("apache-2.0", f"{GRANT} apache license [version] 2 0"),
+    ("apache-2.0", "apache license version 2 0 january 2004"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use {this file|these files|this {1,3}} except in compliance with the license"),
+    ("gpl-3.0", f"{GRANT} gnu general public license [as published by the free software foundation] [either] {{version|v}} 3"),
+    ("gpl-3.0", GNU_NOTICE.format("general public license", 3)),
+    ("gpl-3.0", "gnu general public license version 3 29 june 2007"),
+    ("gpl-2.0", f"{GRANT} gnu general public license [as published by the free software foundation] [either] {{version|v}} 2"),
+    ("gpl-2.0", GNU_NOTICE.format("general public license", 2)),
+    ("gpl-2.0", "gnu general public license version 2 june 1991"),
+    ("lgpl", "under the [terms of the] gnu {lesser|library} general public license"),
     ("agpl", "under the [terms of the] gnu affero general public license"),
-    ("mpl-2.0", "under the [terms of the] mozilla public license [v|version] [2 0]"),
-    ("bsd", "{released|licensed|distributed|available|provided|published} under {a|the} [{2|3|two|three} clause] bsd [style] license"),
+    ("mpl-2.0", "{under the|subject to the terms of the} [terms of the] mozilla public license {v|version|} 2 0"),
+    ("mpl-2.0", "mozilla public license version 2 0"),
+    ("bsd", f"{GRANT.replace('the [terms', '[the] [terms')} {{a|the|}} [{{2|3|two|three}} clause] bsd [style] license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-full", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+            "[1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [2] redistributions "
+            "in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other "
+            "materials provided with the distribution [[3] neither the name of {1,8} nor the names of its contributors may be used to endorse or promote products "
+            "derived from this software without specific prior written permission] this software is provided by {the copyright holders and contributors|{1,6}} as is "
+            "and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("cc-by-nc-nd", "licensed under [a|the] cc by nc nd [{0,3}]"),
-    ("cc-by-nc-sa", "licensed under [a|the] cc by nc sa [{0,3}]"),
-    ("cc-by-nc", "licensed under [a|the] cc by nc {1|2|3|4} 0"),
-    ("cc-by-sa", "licensed under [a|the] cc by sa {1|2|3|4} 0"),
-    ("cc-by", "licensed under {a|the|} creative commons attribution {1,3} {license|licence}"),
+    ("cc-by-nc-nd", f"{CC_GRANT} {{cc by nc nd {CC_SHORT}|creative commons attribution noncommercial {{noderivs|noderivatives}} {CC_END}}}"),
+    ("cc-by-nc-sa", f"{CC_GRANT} {{cc by nc sa {CC_SHORT}|creative commons attribution noncommercial sharealike {CC_END}}}"),
+    ("cc-by-nc", f"{CC_GRANT} {{cc by nc {CC_SHORT}|creative commons attribution noncommercial {CC_END}}}"),
+    ("cc-by-nd", f"{CC_GRANT} {{cc by nd {CC_SHORT}|creative commons attribution {{noderivs|noderivatives}} {CC_END}}}"),
+    ("cc-by-sa", f"{CC_GRANT} {{cc by sa {CC_SHORT}|creative commons attribution sharealike {CC_END}}}"),
+    ("cc-by", f"{CC_GRANT} creative commons attribution {CC_END}"),
     ("cc0", "{cc0 1 0|creative commons zero|public domain dedication}"),
     ("copyright", "copyright {0,8} all rights reserved"),
 )
@@ -71,29 +103,36 @@ class Automaton:
                     todo.append(t)
         return states
 
-    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], float]:
-        """(first, last) of accepted runs, the shortest from each start and none inside another; the furthest share of
-        mandatory words reached."""
-        spans, furthest, begun = [], 0, {}
-        start = self.reach({0})
-        first = {w for s in start for w, _ in self.steps[s]}
-        for k, word in enumerate(words):
-            if ANY in first or word in first:
-                begun[k] = start
-            if not begun:
-                continue
-            alive = {}
-            for at, states in begun.items():
-                after = self.reach({t for s in states for w, t in self.steps[s] if w is ANY or w == word})
-                if not after:
-                    continue
-                furthest = max(furthest, max(self.depth[s] for s in after))
-                if self.end in after:
-                    if not spans or at > spans[-1][1]:
-                        spans.append((at, k))
-                else:
-                    alive[at] = after
-            begun = alive
+    def first_words(self) -> set:
+        return {w for s in self.reach({0}) for w, _ in self.steps[s]}
+
+    def run(self, words: list[bytes], at: int) -> tuple[int | None, int]:
+        """The last word of the shortest accepted run that begins at a word (None without one), and the most mandatory
+        words that runs from there meet. No run is longer than the automaton, so this is short."""
+        states, furthest = self.reach({0}), 0
+        for k in range(at, len(words)):
+            word = words[k]
+            states = self.reach({t for s in states for w, t in self.steps[s] if w is ANY or w == word})
+            if not states:
+                break
+            furthest = max(furthest, max(self.depth[s] for s in states))
+            if self.end in states:
+                return k, furthest
+        return None, furthest
+
+    def scan(self, words: list[bytes], starts: list[int]) -> tuple[list[tuple[int, int]], float]:
+        """(first, last) of accepted runs, the shortest from each of ``starts`` and none inside another; the furthest share
+        of mandatory words reached."""
+        ends, furthest = [], 0
+        for at in starts:
+            end, far = self.run(words, at)
+            furthest = max(furthest, far)
+            if end is not None:
+                ends.append((end, at))
+        spans: list[tuple[int, int]] = []
+        for end, at in sorted(ends):
+            if not spans or at > spans[-1][1]:
+                spans.append((at, end))
         return spans, furthest / max(1, len(self.needed))
 
 
@@ -161,11 +200,17 @@ def compiled(label: str, wording: str) -> Automaton:
 
 
 @lru_cache(maxsize=8)
-def automata(templates: tuple) -> tuple[Automaton, ...]:
-    return tuple(compiled(*t) for t in templates)
+def automata(templates: tuple) -> tuple[tuple[Automaton, ...], dict]:
+    """The automata, and which of them may begin with a word (with any, under ``ANY``)."""
+    machines = tuple(compiled(*t) for t in templates)
+    beginning: dict = {}
+    for m in machines:
+        for w in m.first_words():
+            beginning.setdefault(w, []).append(m)
+    return machines, beginning
 
 
-def scan_text(text: str | None, machines: tuple[Automaton, ...], phrases) -> tuple:
+def scan_text(text: str | None, beginning: dict, phrases) -> tuple:
     """One row of ``RESULT``."""
     words = (text or "").encode().lower().translate(PARTS).split()
     joined = b" " + b" ".join(words) + b" "
@@ -179,16 +224,17 @@ def scan_text(text: str | None, machines: tuple[Automaton, ...], phrases) -> tup
             places += found
             base.add(label)
     labels, spans, score = set(base), [], 0.5 if base else 0.0
-    if words:
-        for m in machines:
-            rare = max(m.needed, key=len, default=b"")
-            if rare and b" " + rare + b" " not in joined:
-                continue
-            found, share = m.scan(words)
-            score = max(score, 1.0 if found else min(share, 0.99))
-            if found:
-                labels.add(m.label)
-                spans += [(m.label, a, b) for a, b in found]
+    starts: dict[int, tuple[Automaton, list[int]]] = {}
+    for k, w in enumerate(words):
+        if w in beginning or ANY in beginning:
+            for m in {id(m): m for key in (w, ANY) for m in beginning.get(key, ())}.values():
+                starts.setdefault(id(m), (m, []))[1].append(k)
+    for m, at in starts.values():
+        found, share = m.scan(words, at)
+        score = max(score, 1.0 if found else min(share, 0.99))
+        if found:
+            labels.add(m.label)
+            spans += [(m.label, a, b) for a, b in found]
     return (
         len(words), len(places), min(places, default=None), max(places, default=None),
         ",".join(sorted(base)), ",".join(sorted(labels)), score, [dict(zip(("label", "first", "last"), s, strict=True)) for s in sorted(spans, key=lambda s: s[1:])],
@@ -207,8 +253,8 @@ def licences(text: Column, templates=TEMPLATES, phrases=PHRASES) -> Column:
 
     @F.arrow_udf(RESULT)
     def scan(texts: pa.Array) -> pa.Array:
-        machines = automata(templates)
-        rows = [scan_text(t.as_py(), machines, phrases) for t in texts]
+        _, beginning = automata(templates)
+        rows = [scan_text(t.as_py(), beginning, phrases) for t in texts]
         cols = list(zip(*rows, strict=True)) or [()] * 8
         span = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
         types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), span]

@@ -7,6 +7,7 @@ import struct
 from pathlib import Path
 
 import public_tokenizers
+import pytest
 import zstandard
 from tests.llm import helpers
 from tokenizers import Tokenizer
@@ -132,8 +133,93 @@ def test_licences_base_places_and_templates(spark):
 
 def test_markup_regions():
     m = license_scan.compiled("t", "start [one [two]] {x|y z} {1,2} end")
-    accepted = lambda s: bool(m.scan(s.encode().split())[0])
+    accepted = lambda s: bool(m.scan(w := s.encode().split(), range(len(w)))[0])
     for good in ("start x any end", "start one y z any any end", "start one two x q end", "noise start x a b end more"):
         assert accepted(good), good
     for bad in ("start two x a end", "start x end", "start x a b c end", "start y a end", "start x a"):
         assert not accepted(bad), bad
+
+
+def plain_pattern(wording: str) -> str:
+    """The markup as a regular expression over words that each end with a space."""
+    out = []
+    for token in re.findall(r"\{\d+,\d+\}|[\[\]{}|]|[^\s\[\]{}|]+", wording):
+        if re.fullmatch(r"\{\d+,\d+\}", token):
+            out.append(rf"(?:\S+ ){token}")
+        else:
+            out.append({"[": "(?:", "]": ")?", "{": "(?:", "}": ")", "|": "|"}.get(token, re.escape(token) + " "))
+    return "".join(out)
+
+
+def plain_labels(text: str | None) -> set[str]:
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    joined = " " + "".join(w + " " for w in words)
+    found = {label for label, wording in license_scan.TEMPLATES if re.search("(?<= )" + plain_pattern(wording), joined)}
+    return found | {label for phrase, label in license_scan.PHRASES if f" {phrase} " in joined}
+
+
+def licence_texts() -> list[str]:
+    """Wordings that templates take, damaged in places, inside prose."""
+    rng = random.Random(9)
+
+    def filled(wording: str) -> str:
+        while m := re.search(r"\{(\d+),(\d+)\}|\[([^\[\]{}]*)\]|\{([^\[\]{}]*)\}", wording):
+            if m[1]:
+                part = " ".join(rng.choices(["alpha", "beta", "the"], k=rng.randint(int(m[1]), int(m[2]))))
+            else:
+                part = rng.choice([m[3], ""]) if m[3] is not None else rng.choice(m[4].split("|"))
+            wording = wording[: m.start()] + part + wording[m.end() :]
+        return " ".join(wording.split())
+
+    out = []
+    for _, wording in license_scan.TEMPLATES:
+        for damage in range(6):
+            words = filled(wording).split()
+            if damage % 2:
+                k = rng.randrange(len(words))
+                words[k : k + 1] = rng.choice([[], ["other"], [words[k], words[k]], [words[k].upper() + ","]])
+            out.append(f"{helpers.prose(rng, 5)} {' '.join(words)}. {helpers.prose(rng, 5)}")
+    return out
+
+
+def test_licences_equal_a_plain_matcher(spark):
+    real = [p.read_text() for p in sorted(TEXTS.glob("*.txt"))]
+    texts = [t for _, t in helpers.documents()] + licence_texts() + real + ["permission " * 20_000 + real[0], "licensed under the " * 5000]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(0, texts[0]), (None, texts[-4])]
+    got = license_scan.scan_table(helpers.table(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by_id = {r.doc_id: r for r in got}
+    for k, text in rows:
+        assert set(filter(None, by_id[k].labels.split(","))) == plain_labels(text), (k, (text or "")[:300])
+        assert by_id[k].labels == ",".join(sorted(plain_labels(text)))
+    assert license_scan.scan_table(helpers.table(spark, rows).limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("licensed under a Creative Commons Attribution-ShareAlike 4.0 License", "cc-by-sa"),
+    ("licensed under a Creative Commons Attribution-NonCommercial License", "cc-by-nc"),
+    ("licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+    ("Mozilla Public License, v. 1.1", ""),
+    ("under the terms of the Mozilla Public License, v. 2.0", "mpl-2.0"),
+    ("redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", "gpl,gpl-2.0"),
+    ("Apache License Version 2.0, January 2004", "apache-2.0"),
+    ("Apache License Version 1.1", ""),
+    ("under the terms of the GNU Lesser General Public License", "gpl,lgpl"),
+    ("the MIT license is short", ""),
+    ("BSD tools are licensed differently", ""),
+    ("copyright law knows all rights", ""),
+])
+def test_labels_of_wordings_and_near_misses(text, labels):
+    _, beginning = license_scan.automata(license_scan.TEMPLATES)
+    assert license_scan.scan_text(text, beginning, license_scan.PHRASES)[5] == labels
+    assert ",".join(sorted(plain_labels(text))) == labels
+
+
+def test_score_is_the_share_of_mandatory_words():
+    _, beginning = license_scan.automata(license_scan.TEMPLATES)
+    notice = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
+    machine = next(m for m in license_scan.automata(license_scan.TEMPLATES)[0] if m.label == "mit")
+    assert machine.label == "mit"
+    short = license_scan.compiled(*license_scan.TEMPLATES[1])
+    assert license_scan.scan_text(notice, beginning, license_scan.PHRASES)[6] == pytest.approx(len(notice.split()) / len(short.needed))
+    assert license_scan.scan_text("nothing of it", beginning, license_scan.PHRASES)[6] == 0.0
