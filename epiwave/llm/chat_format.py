@@ -240,19 +240,17 @@ def format_chats(turns: DataFrame, model: RoleModel | None = None, chunk: int =
 
     A row whose lines have several speakers becomes several parts; rows never merge. Rows of a conversation go by turn,
     null turns first, then by role and text; repeated rows stay rows of their own. Unknown or null roles are no markers;
-    null and empty texts are one empty line. A row without a conversation is one of its own, with a null conv_id. Other
-    columns aren't read. Chunks are cut by the rank of rows in this order, so they hold at most ``chunk`` rows whatever the
+    null and empty texts are one empty line. A row without a conversation is one of its own, with a null conv_id, by its
+    number, so repeated ones are told apart. Other columns aren't read. Chunks are cut by the rank of rows in this order, so they hold at most ``chunk`` rows whatever the
     turns are.
     """
     s = Scores(model or RoleModel())
     conv, turn, role, text = F.col(conv_col).cast("long"), F.col(turn_col).cast("long"), F.col(role_col), F.col(text_col)
-    mine = turns.select(
-        F.coalesce(conv, F.lit(0)).alias("conv"), F.when(conv.isNull(), F.coalesce(F.nullif(F.xxhash64(turn, role, text), F.lit(0)), F.lit(1))).otherwise(0).cast("long").alias("alone"),
-        turn.alias("turn"), role.alias("role"), text.alias("text"),
-    )
+    mine = turns.select(conv.isNull().alias("lone"), F.coalesce(conv, F.lit(0)).alias("conv"), turn.alias("turn"), role.alias("role"), text.alias("text"))
     # Equal rows may stand in any order; the salt spreads them over tasks.
-    numbered, _ = number_rows(mine.withColumn("salt", F.rand()), [*GROUP, "turn", "role", "text", "salt"])
-    mine = numbered.select(*GROUP, F.floor(F.col("position") / chunk).cast("long").alias("c0"), "position", "turn", "role", "text")
+    numbered, _ = number_rows(mine.withColumn("salt", F.rand(7)), ["lone", "conv", "turn", "role", "text", "salt"])
+    alone = F.when(F.col("lone"), F.col("position")).otherwise(0).alias("alone")
+    mine = numbered.select("conv", alone, F.floor(F.col("position") / chunk).cast("long").alias("c0"), "position", "turn", "role", "text")
 
     def measured(batches):
         for batch in batches:

@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -24,15 +25,16 @@ from pyspark.sql import functions as F
 from epiwave import session
 from epiwave.llm.url_filter import host_of
 
-INSIDE = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
-#: Comments; elements whose content is no text, up to their end or that of the page; elements that are left out where
-#: they are closed; declarations; other tags.
-TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea)\b{INSIDE}>.*?(?:</\1\s*>|\Z)"
-    rf"|<(svg|select|object|audio|video|canvas|button)\b{INSIDE}(?<!/)>.*?</\2\s*>"
-    rf"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({INSIDE})>|</?[a-zA-Z][^>]*>",
-    re.S | re.I,
-)
+#: Elements whose content is no text, up to their end or that of the page; elements that are left out where
+#: they are closed.
+RAW = frozenset("script style noscript template iframe textarea".split())
+LEFT_OUT = frozenset("svg select object audio video canvas button".split())
+NAME = re.compile("[a-zA-Z][a-zA-Z0-9:-]*")
+#: The rest of an ordinary tag, and what may matter in any: its end or a quote.
+REST = re.compile(r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>")
+MATTERS = re.compile("[>\"']")
+#: Steps of a path; block tags that are open beyond them add none.
+DEEPEST = 256
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Tags that part blocks of text.
 BLOCK = frozenset(
@@ -61,11 +63,10 @@ NAMED_FREELY = frozenset(["html", "body", "article", "main"])
 
 @dataclass(frozen=True)
 class Deduction:
-    """share: of a host's pages that have a template token. min_pages: pages a wording must stand in to be a template.
-    mass: share of the host's slot text that the main container holds."""
+    """share: of a host's pages that have a template token, two pages at least. mass: share of the host's slot text that the
+    main container holds."""
 
     share: float = 0.8
-    min_pages: int = 8
     mass: float = 0.6
 
 
@@ -91,23 +92,103 @@ def asides(path: str, known: dict) -> tuple[bool, tuple[str, ...]]:
     return found
 
 
-def below(path: str, container: str) -> bool:
-    return path == container or path.startswith(container + "/")
-
-
 def within(path: str, tag: str) -> bool:
     """Whether an element of the tag is on the path."""
     return any(s.split(".")[0] == tag for s in path.split("/"))
 
 
+@lru_cache(maxsize=None)
+def end_of(name: str) -> re.Pattern:
+    """The end tag of a raw or left-out element."""
+    return re.compile(rf"</{name}\s*>", re.I)
+
+
+class Tags:
+    """The tags of a page, read forward once: (start, end, kind, name, attributes).
+
+    kind: "open", "close", "gap" for an element that is left out with its content, "other" for comments, declarations and
+    tags with a quote that is left open, which end at the next >. A < that no > follows is text. Whatever was looked for in
+    vain isn't looked for again, so the time grows with the page's length, whatever is broken in it.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.dead: set[int] = set()
+        self.endless: set[str] = set()
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag whose attributes begin here ends, -1 if a quote or the page's end is met first."""
+        near = REST.match(self.page, at, at + 2000)
+        if near:
+            return near.end()
+        met = []
+        while (m := MATTERS.search(self.page, at)) and m.start() not in self.dead:
+            if m[0] == ">":
+                return m.end()
+            met.append(m.start())
+            at = self.page.find(m[0], m.end()) + 1
+            if not at:
+                break
+        self.dead.update(met)  # a quote that leads nowhere leads nowhere from any tag that gets to it
+        return -1
+
+    def content_end(self, name: str, at: int) -> int:
+        """Where the element's end tag ends, -1 without one."""
+        if name in self.endless:
+            return -1
+        m = end_of(name).search(self.page, at)
+        if m is None:
+            self.endless.add(name)
+            return -1
+        return m.end()
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, str, str]]:
+        page, at = self.page, 0
+        while 0 <= (i := page.find("<", at)):
+            at = i + 1
+            if page.startswith("<!--", i):
+                end = page.find("-->", i + 4)
+                at = len(page) if end < 0 else end + 3
+                yield i, at, "other", "", ""
+                continue
+            if i > self.last:  # nothing ends any more, but a comment may begin
+                if (i := page.find("<!--", i)) >= 0:
+                    yield i, len(page), "other", "", ""
+                return
+            if page[at : at + 1] in ("!", "?"):
+                at = page.find(">", i) + 1
+                yield i, at, "other", "", ""
+                continue
+            close = page.startswith("/", at)
+            m = NAME.match(page, at + close)
+            if m is None:
+                continue
+            name, end = m[0].lower(), self.tag_end(m.end())
+            if end < 0:
+                at = page.find(">", i) + 1
+                yield i, at, "other", "", ""
+                continue
+            at, attributes = end, page[m.end() : end - 1]
+            if not close and (name in RAW or name in LEFT_OUT and not attributes.endswith("/")):
+                inner = self.content_end(name, end)
+                if inner >= 0 or name in RAW:
+                    at = inner if inner >= 0 else len(page)
+                    yield i, at, "gap", name, ""
+                    continue
+            yield i, at, "close" if close else "open", name, attributes
+
+
 def blocks(page: str | None) -> Iterator[tuple[str, str]]:
     """(path, text) of each block in page order, and (path, "") where a block tag opens.
 
     White space inside a block is one space, character references are decoded. Broken markup is read as far as it goes:
-    unknown ends are skipped, open tags end with what holds them.
+    unknown ends are skipped, open tags end with what holds them. Paths have at most ``DEEPEST`` steps.
     """
     page = page or ""
-    stack: list[tuple[str, str]] = []
+    stack: list[str] = []
+    steps: list[str] = []
+    standing: Counter = Counter()
     path, held, at = "", [], 0
 
     def flush():
@@ -115,28 +196,38 @@ def blocks(page: str | None) -> Iterator[tuple[str, str]]:
         held.clear()
         return text
 
-    for m in TAG.finditer(page):
-        held.append(page[at : m.start()])
-        at = m.end()
-        tag = m[4] and m[4].lower()
-        if tag is None or tag not in BLOCK:
-            if tag == "br" or m[1] or m[2]:
+    def pop() -> str:
+        nonlocal path
+        tag = stack.pop()
+        standing[tag] -= 1
+        if len(stack) < len(steps):
+            steps.pop()
+            path = path.rpartition("/")[0]
+        return tag
+
+    for start, end, kind, tag, attributes in Tags(page):
+        held.append(page[at:start])
+        at = end
+        if kind not in ("open", "close") or tag not in BLOCK:
+            if kind == "gap" or tag == "br":
                 held.append(" ")
             continue
         if text := flush():
             yield path, text
-        if m[3]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+        if kind == "close":
+            if standing[tag]:
+                while pop() != tag:
                     pass
-        else:
-            closes = CLOSES.get(tag, ("p",) if tag in ENDS_P else ())
-            while stack and stack[-1][0] in closes:
-                stack.pop()
-            if tag not in VOID:
-                stack.append((tag, step_of(tag, m[5])))
-        path = "/".join(s for _, s in stack)
-        if not m[3] and tag not in VOID:
+            continue
+        closes = CLOSES.get(tag, ("p",) if tag in ENDS_P else ())
+        while stack and stack[-1] in closes:
+            pop()
+        if tag not in VOID:
+            if len(stack) < DEEPEST:
+                steps.append(step_of(tag, attributes))
+                path = f"{path}/{steps[-1]}" if stack else steps[-1]
+            stack.append(tag)
+            standing[tag] += 1
             yield path, ""
     held.append(page[at:])
     if text := flush():
@@ -153,12 +244,17 @@ def outside(found: list[tuple[str, str]], known: dict) -> set[str]:
     for p, t in found:
         if t:
             chars[p] += len(t)
-    chars = Counter({p: n for p, n in chars.items() if not asides(p, known)[0]})
-    total = sum(chars.values())
-    aside = {}
-    for c in {c for p in chars for c in asides(p, known)[1]}:
-        held = sum(n for p, n in chars.items() if below(p, c))
-        aside[c] = 2 * held <= total or 10 * sum(n for p, n in chars.items() if not below(p, c) and (within(p, "article") or within(p, "main"))) >= total
+    total, own, held, inner = 0, 0, Counter(), Counter()
+    for p, n in chars.items():
+        never, named = asides(p, known)
+        if never:
+            continue
+        main = n if within(p, "article") or within(p, "main") else 0
+        total, own = total + n, own + main
+        for c in named:
+            held[c] += n
+            inner[c] += main
+    aside = {c: 2 * n <= total or 10 * (own - inner[c]) >= total for c, n in held.items()}
     return {p for p, _ in found if asides(p, known)[0] or any(aside.get(c, True) for c in asides(p, known)[1])}
 
 
@@ -199,8 +295,8 @@ def deduce(pages: DataFrame, how: Deduction = Deduction()) -> DataFrame:
     """host, template (array of path, wording, class), main (path or null) from (host, html).
 
     Pages of a host with the same blocks count once. A class is named by its occurrence vector's fingerprint; a class of
-    one token is valid only for wording. Only hosts with ``min_pages`` distinct pages have a template. Its tokens stand in ``share`` of the pages, so a host has at most (tokens
-    of a mean page) / share of them.
+    one token is valid only for wording. Hosts with two distinct pages or more have a template. Its tokens stand in ``share``
+    of the pages, so a host has at most (tokens of a mean page) / share of them.
     """
     once = occurrences(pages).groupBy("host", "path", "wording", "page").agg(F.first("n").alias("n"), F.first("chars").alias("chars"))
     counted = session.cut_lineage(
@@ -210,7 +306,7 @@ def deduce(pages: DataFrame, how: Deduction = Deduction()) -> DataFrame:
     )
     hosts = counted.filter("wording = -1").select("host", F.col("pages").alias("of"))
     tokens = counted.filter("wording <> -1")
-    often = tokens.filter(F.col("pages") >= how.min_pages).join(hosts, "host").filter(F.col("pages") >= F.col("of") * how.share)
+    often = tokens.filter(F.col("pages") >= 2).join(hosts, "host").filter(F.col("pages") >= F.col("of") * how.share)
     often = session.cut_lineage(often.select("host", "path", "wording", "pages", "vector"))
     classes = often.groupBy("host", "pages", "vector").agg(F.count("*").alias("size"))
     valid = often.join(classes, ["host", "pages", "vector"]).filter("size > 1 OR wording <> 0")
@@ -235,7 +331,10 @@ def main_blocks(page: str | None, template: frozenset, main: str | None, known:
     out = outside(found, known)
     found = [(p, t) for p, t in found if p not in out]
     # What stands in an article or main is the page's own text, even where other pages of the host say the same.
-    found = [(p, t) for p, t in found if within(p, "article") or within(p, "main") or (p, xxhash.xxh3_64_intdigest(t.encode()) >> 1) not in template]
+    slots = [(p, t) for p, t in found if within(p, "article") or within(p, "main") or (p, xxhash.xxh3_64_intdigest(t.encode()) >> 1) not in template]
+    # Pages that are near copies of each other share their text: what would take most of a page is no template of it.
+    if 2 * sum(len(t) for _, t in slots) >= sum(len(t) for _, t in found):
+        found = slots
     places = [(within(p, "article"), within(p, "main"), len(t)) for p, t in found]
     articles, mains = (sum(n for *at, n in places if at[k]) for k in range(2))
     both = sum(n for a, m, n in places if a and m)
@@ -253,9 +352,9 @@ def main_blocks(page: str | None, template: frozenset, main: str | None, known:
 def extract(pages: DataFrame, how: Deduction = Deduction(), id_col="page_id", url_col="url", html_col="html") -> DataFrame:
     """id, url, text, blocks (array of the texts that ``text`` joins), n_chars for each page.
 
-    A null page is empty and has the text "". Pages without a host (null or no ://) share the host "". Pages of hosts with
-    few distinct pages are read without wording templates, and no wording is taken out of an article or main. Repeated rows
-    give a row each, but count once for the template; other columns aren't read.
+    A null page is empty and has the text "". Pages without a host (null or no ://) share the host "". The pages of a
+    host with one distinct page have no template, and no wording is taken out of an article or main, nor most of the text
+    of a page. A page is read in time that grows with its length, however broken its markup is. Repeated rows give a row each, but count once for the template; other columns aren't read.
     """
     mine = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("__url"), F.col(html_col).alias("html"))
     mine = mine.withColumn("__raw", F.col("__url")).withColumn("__url", F.coalesce("__url", F.lit("")))

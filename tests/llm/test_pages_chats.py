@@ -1,6 +1,7 @@
 """Web pages, URLs and transcripts."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -205,6 +206,42 @@ def test_markers_speakers_and_odd_rows(spark):
     assert chat_format.format_chats(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("form", ["<div ", '<a href="', "<button>", "<svg>", "<div>", "</p>", "<!--", "<script>", '<b ">" ', "<p '", "<li><p>", "<", "<br"])
+def test_a_long_broken_page_is_read_in_time(form):
+    page = form * (1_000_000 // len(form))
+    for tail in ("", ">", "'>"):
+        begun = time.process_time()
+        found = list(html_extract.blocks(f"before {page}{tail}"))
+        assert time.process_time() - begun < 20
+        assert found[0] == ("", "before") or found[0][1].startswith("before")
+        assert all(p.count("/") < html_extract.DEEPEST for p, _ in found)
+
+
+def test_tags_of_broken_pages():
+    kinds = lambda page: [(k, n) for _, _, k, n, _ in html_extract.Tags(page)]
+    assert kinds("<p class='a>b'>x</P ><svg/><svg>in</svg><script>if (a<b)") == [("open", "p"), ("close", "p"), ("open", "svg"), ("gap", "svg"), ("gap", "script")]
+    assert kinds("a < b <- c <p 'open>x<!-- never") == [("other", ""), ("other", "")]
+    assert [t for _, t in html_extract.blocks("1 < 2<p>x<p/>&amp;</q><button>ok<h1>y") if t] == ["1 < 2", "x", "&ok", "y"]
+
+
+def test_hosts_of_two_pages_have_a_template(spark):
+    page = "<html><body><div><p>Menu of all pages here</p></div><div><p>{}</p></div></body></html>"
+    bodies = ["First text that stands on one page of the host alone.", "Second text that stands on another page of the same host."]
+    rows = [(k, f"http://a.example/{k}", page.format(b)) for k, b in enumerate(bodies)] + [(9, "http://b.example/", page.format(bodies[0]))]
+    near = "<html><body><p>The same long text on both pages of this host.</p><p>{}</p></body></html>"
+    rows += [(20 + k, f"http://c.example/{k}", near.format(k)) for k in range(2)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == bodies[0] and got[1] == bodies[1] and got[9].startswith("Menu of all pages here")
+    assert got[20].startswith("The same long text")
+
+
+def test_repeated_rows_without_a_conversation_stand_alone(spark):
+    rows = [(None, 1, None, "plain words")] * 40 + [(None, None, None, None)] * 3 + [(0, 1, None, "plain words")]
+    got = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows)
+    assert {r.role for r in got if r.turn == 1} == {"user"} and len({r.role for r in got if r.turn is None}) == 1
+
+
 def test_chunks_are_small_whatever_the_turns(spark, monkeypatch):
     rows = [(1, None, "user", f"null {k}") for k in range(300)] + [(2, 7, "user", f"same {k}") for k in range(300)] + [(3, 5, "user", "equal")] * 300
     sizes = []
