@@ -72,10 +72,28 @@ def op13_incremental_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def base_quality_counts(spark, sf_dir):
+    """What SQL can say of op3: the base counts."""
+    return op3_compression_bands(spark, sf_dir).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"
+    )
+
+
+def base_licence_places(spark, sf_dir):
+    """What SQL can say of op6: the places of the base phrases."""
+    return op6_template_automata(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def ruled_urls(spark, sf_dir):
+    """What SQL can say of op10: parts of URLs, their rules, and the verdicts of these."""
+    judged = op10_url_regression(spark, sf_dir)
+    return judged.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_viterbi_roles, op2_vector_packing, op3_compression_bands, op4_trie_bpe, op5_epsilon_grid_join, op6_template_automata,
     op7_vertical_jaccard, op8_levelled_line_runs, op9_template_slots, op10_url_regression, op11_target_alignment,
-    op12_quadratic_discriminant, op13_incremental_whitening,
+    op12_quadratic_discriminant, op13_incremental_whitening, base_quality_counts, base_licence_places, ruled_urls,
 )}
 
 
@@ -194,6 +212,48 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv
 LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
+ORACLES["base_quality_counts"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
+), g AS (
+  SELECT doc_id, i, hash(w[i:i + 7]) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)
+), again AS (
+  SELECT doc_id, h FROM g GROUP BY doc_id, h HAVING count(*) > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT g.doc_id, unnest(range(g.i, g.i + 8)) AS p FROM g JOIN again USING (doc_id, h)) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+       length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+       coalesce(n, 0) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(n, 0) > 30 * len(w) AS base_failed
+FROM d LEFT JOIN covered USING (doc_id)
+"""
+
+ORACLES["base_licence_places"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), found AS (
+  SELECT doc_id, p[1] AS label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + len(p) - 2] = p[2:])) AS i
+  FROM d, (VALUES (['cc-by', 'cc', 'by']), (['gpl', 'general', 'public', 'license']), (['reserved', 'all', 'rights', 'reserved'])) AS v(p)
+), places AS (
+  SELECT doc_id, count(*) AS n, min(i) - 1 AS a, max(i) - 1 AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM found GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word, coalesce(labels, '') AS base_labels
+FROM d LEFT JOIN places USING (doc_id)
+"""
+
+ORACLES["ruled_urls"] = r"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), r(h, p, verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+)
+SELECT page_id, host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+FROM u LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id, host, path
+"""
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
