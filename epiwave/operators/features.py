@@ -17,7 +17,7 @@ from .series import BUCKET, window_features
 from .splits import number_rows
 
 
-def encode_key(df: DataFrame, key: str | Sequence[str], out: str = "country_enc") -> DataFrame:
+def encode_key(df: DataFrame, key: str | Sequence[str], out: str = "country_enc", values: DataFrame | None = None) -> DataFrame:
     """Codes 0..k-1 of the distinct values of a key, in the order of its columns; rows without a key have none.
 
     A key of several columns gets one code per tuple that occurs. Up to ``BROADCAST_ROWS`` of them are numbered from one
@@ -48,16 +48,20 @@ def select_features(df: DataFrame, features: FeatureSpec, keep: Sequence[str]) -
     return df.select(*features.columns(), *keep)
 
 
-def feature_table(weekly: DataFrame, spec: SeriesSpec, features: FeatureSpec, rule: PhaseRule = PhaseRule()) -> DataFrame:
-    """Weekly rows -> phase and past-only features, before incomplete rows are dropped."""
+def feature_table(
+    weekly: DataFrame, spec: SeriesSpec, features: FeatureSpec, rule: PhaseRule = PhaseRule(), values: DataFrame | None = None
+) -> DataFrame:
+    """Weekly rows -> phase and past-only features, before incomplete rows are dropped; ``values`` as in ``encode_key``."""
     out = window_features(label_phases(weekly, spec, rule), spec, features)
-    return encode_key(out, spec.keys) if features.encode_key else out
+    return encode_key(out, spec.keys, values=values) if features.encode_key else out
 
 
-def feature_matrix(weekly: DataFrame, spec: SeriesSpec, features: FeatureSpec, rule: PhaseRule = PhaseRule()) -> DataFrame:
+def feature_matrix(
+    weekly: DataFrame, spec: SeriesSpec, features: FeatureSpec, rule: PhaseRule = PhaseRule(), values: DataFrame | None = None
+) -> DataFrame:
     """Complete, finite feature rows with phase, bucket and key."""
     cols = features.columns()
-    table = select_features(feature_table(weekly, spec, features, rule), features, ["phase", BUCKET, *spec.keys])
+    table = select_features(feature_table(weekly, spec, features, rule, values), features, ["phase", BUCKET, *spec.keys])
     return scrub(drop_incomplete(table, [*cols, "phase"]), cols)
 
 

@@ -59,8 +59,10 @@ def phase_from_curve(
     value: str = "infectious",
     out: str = "curve_phase",
     rule: PhaseRule = PhaseRule(),
+    member: str | None = None,
 ) -> DataFrame:
-    """Add the curve-derived phase to every row, for train and test rows alike.
+    """Add the curve-derived phase to every row, for train and test rows alike, and under ``member`` whether its series is in
+    ``params``.
 
     ``params`` holds (key, t0, population) of the series with a curve; ``curve`` holds
     (key, day, value). Both have at most one row per key, or per key and day. Past
@@ -76,4 +78,5 @@ def phase_from_curve(
     both = join_at_offset(dated, lines, keys, "_day", "_i", LOOK_AHEAD_DAYS)
     both = both.withColumn("_i_soon", F.when(F.col("_seen") + LOOK_AHEAD_DAYS > F.col("_end"), F.col("_last")).otherwise(F.col("_i_soon")))
     phase = phase_guard("_pop IS NOT NULL AND _end IS NOT NULL", "_seen", curve_phase_expression("_i_now", "_i_soon", "_pop", rule))
-    return both.select(*rows.columns, F.expr(phase).alias(out))
+    flag = [F.col("_t0").isNotNull().alias(member)] if member else []
+    return both.select(*rows.columns, F.expr(phase).alias(out), *flag)

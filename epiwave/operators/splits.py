@@ -101,7 +101,9 @@ def _cut_in_order(df: DataFrame, order: Sequence[str], share: float) -> Column:
 
     Rows that tie in all order columns fall on one side together.
     """
-    edge = row_at_rank(df, order, int(df.count() * share))
+    # The order columns are stored, as they are counted once for each of them.
+    rows = cut_lineage(df.select(*order))
+    edge = row_at_rank(rows, order, int(rows.count() * share))
     if edge is None:
         return F.lit(False)
     before, same = F.lit(False), F.lit(True)

@@ -169,8 +169,9 @@ def event_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature rows with the date split; the raw rows are read once for keys and features."""
-    matrix = feature_matrix(cut_lineage(order_weekly(spark, sf_dir)), ORDERS, MULTI_COUNTRY_FEATURES)
+    """Feature rows with the date split; the keys are looked up in the raw rows, so nothing is stored."""
+    keys = order_rows(spark, sf_dir).where(F.col("date").isNotNull())
+    matrix = feature_matrix(order_weekly(spark, sf_dir), ORDERS, MULTI_COUNTRY_FEATURES, values=keys)
     return matrix.withColumn("split", split_flag("week", CUT))
 
 
@@ -220,10 +221,12 @@ def event_curves(weekly: DataFrame, params: DataFrame) -> DataFrame:
     return observed_curve(weekly, params, EVENTS.keys, "week", "new_cases")
 
 
-def with_curve_phase(spark: SparkSession, sf_dir: str, rows: DataFrame, weekly: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with ``curve_phase``, and the parameters of the countries that have a curve."""
+def with_curve_phase(
+    spark: SparkSession, sf_dir: str, rows: DataFrame, weekly: DataFrame, member: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``curve_phase`` (and ``member``), and the parameters of the countries that have a curve."""
     params = cut_lineage(known_fits(curve_params(weekly, populations(spark, sf_dir))))
-    return phase_from_curve(rows, order_curves(spark, sf_dir, params), params, ORDERS.keys, "week"), params
+    return phase_from_curve(rows, order_curves(spark, sf_dir, params), params, ORDERS.keys, "week", member=member), params
 
 
 def with_event_curve_phase(rows: DataFrame, weekly: DataFrame) -> DataFrame:
@@ -246,7 +249,7 @@ def naive_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long test predictions of rule-based models on both data sets."""
     weekly = cut_lineage(order_weekly(spark, sf_dir))
     matrix = feature_matrix(weekly, ORDERS, MULTI_COUNTRY_FEATURES).withColumn("split", split_flag("week", CUT))
-    coded, params = with_curve_phase(spark, sf_dir, matrix, weekly)
+    coded, _ = with_curve_phase(spark, sf_dir, matrix, weekly, member="known")
     days = cut_lineage(event_weekly(spark, sf_dir))
     full = split_by_fraction(feature_matrix(days, EVENTS, EVENT_FEATURES), ["week"], EVENTS.keys)
     detailed = cut_lineage(with_event_curve_phase(full, days))
@@ -254,9 +257,8 @@ def naive_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows_a = majority_phase(persistence_phase(coded), matrix).where(F.col("split") == "test")
     rows_b = majority_phase(persistence_phase(detailed), detailed).where(F.col("split") == "test")
     naive = {"Persistence": "last_phase", "Majority": "top_phase"}
-    a = melt_predictions(rows_a, "A", {"SEIR": "curve_phase", **naive}, keep)
-    known = params.select("country", F.lit(True).alias("_known"))
-    a = with_subset(a.join(known, "country", "left"), F.coalesce("_known", F.lit(False)), "SEIR", "TOP-3").drop("_known")
+    a = melt_predictions(rows_a, "A", {"SEIR": "curve_phase", **naive}, [*keep, "known"])
+    a = with_subset(a, F.col("known"), "SEIR", "TOP-3").drop("known")
     return union_metrics([a, melt_predictions(rows_b, "B", {"SEIR": "curve_phase", **naive}, keep)])
 
 
@@ -264,12 +266,16 @@ TRAINED: dict[tuple, PhaseModel] = {}
 
 
 def trained(spark: SparkSession, sf_dir: str, dataset: str, matrix: DataFrame, cols: Sequence[str], labels: Sequence[str], names: Sequence[str]) -> dict[str, PhaseModel]:
-    """The named models at full settings; each is trained once per session, data directory and data set."""
-    train, out = None, {}
+    """The named models at full settings.
+
+    A model is trained once for a training table, which its rows tell: their number and the sum of their hashes.
+    """
+    train = cut_lineage(matrix.where(F.col("split") == "train"))
+    rows = train.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*train.columns).cast("decimal(38,0)"))).first()
+    out = {}
     for name in names:
-        key = (spark.sparkContext.applicationId, sf_dir, dataset, name)
+        key = (spark.sparkContext.applicationId, dataset, name, tuple(cols), tuple(labels), *rows)
         if key not in TRAINED:
-            train = train if train is not None else cut_lineage(matrix.where(F.col("split") == "train"))
             more = {"order": ["country", "week"]} if name == "MLP" else {}
             with persisted(train) as kept:
                 TRAINED[key] = TRAINERS[name](kept, cols, labels, ModelSettings(), **more)
