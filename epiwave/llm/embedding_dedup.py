@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,13 @@ from epiwave.llm.components import components
 @dataclass(frozen=True)
 class GridJoin:
     """cosine: least similarity of a link. dims: leading principal dimensions. block: vectors of a block. leaf: of an
-    interval that isn't halved any more."""
+    interval that isn't halved any more. tile: blocks of either side that one group of pairs loads once."""
 
     cosine: float = 0.93
     dims: int = 8
     block: int = 1024
     leaf: int = 256
+    tile: int = 8
 
     @property
     def reach(self) -> float:
@@ -160,34 +162,83 @@ def pairs_within(a: np.ndarray, b: np.ndarray, pa_: np.ndarray, pb: np.ndarray,
     return np.concatenate(out_i), np.concatenate(out_j)
 
 
+def meeting_blocks(cut: DataFrame, how: GridJoin) -> DataFrame:
+    """a, b (a <= b): blocks of one label whose boxes are near.
+
+    They meet by grid cells of the two leading dimensions: one block with the cells its box lies in, the other with those
+    and their neighbours. So a label with most blocks is spread over its cells, and only boxes near by are compared.
+    """
+
+    def cells(k: int, more: int) -> Column:
+        low, high = (F.floor(F.coalesce(F.get(c, F.lit(k)), F.lit(0.0)) / how.reach) for c in ("lo", "hi"))
+        return F.sequence(low - more, high + more)
+
+    box = cut.select("block", "label", "d", "lo", "hi")
+    x, y = (
+        box.withColumn("c0", F.explode(cells(0, more))).withColumn("c1", F.explode(cells(1, more))).alias(name) for name, more in (("x", 0), ("y", 1))
+    )
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("label", "d", "c0", "c1")]
+    near = reduce(lambda p, q: p & q, same) & (F.col("x.block") <= F.col("y.block")) & near_boxes(how.reach)
+    return x.join(y, near).select(F.col("x.block").alias("a"), F.col("y.block").alias("b")).distinct()
+
+
+def tiled(pairs: DataFrame, cut: DataFrame, how: GridJoin) -> DataFrame:
+    """ta, tb, block, d, todo, ids, copies, vectors: pairs of neighbouring blocks in tiles, each with its blocks once.
+
+    A tile's first row (block -1) has its pairs, at most tile * tile, the others its blocks, at most twice ``tile``.
+    """
+    placed = pairs.selectExpr("*", f"a DIV {how.tile} AS ta", f"b DIV {how.tile} AS tb")
+    need = placed.select("ta", "tb", F.col("a").alias("block")).union(placed.select("ta", "tb", "b")).distinct()
+    heads = placed.groupBy("ta", "tb").agg(F.collect_list(F.struct("a", "b")).alias("todo")).withColumn("block", F.lit(-1).cast("long"))
+    rows = need.join(cut.select("block", "d", "ids", "copies", "vectors"), "block").unionByName(heads, allowMissingColumns=True)
+    rows = rows.select("ta", "tb", "block", "d", "todo", "ids", "copies", "vectors")
+    return rows.repartition("ta", "tb").sortWithinPartitions("ta", "tb", "block")
+
+
+def links_between(x: tuple, y: tuple, axes: np.ndarray, how: GridJoin, same: bool) -> pa.RecordBatch | None:
+    """id, links (to copies in the other block), root (smallest id of its local component) of blocks (ids, copies, vectors)."""
+    (ids_a, n_a, v_a), (ids_b, n_b, v_b) = x, y
+    i, j = pairs_within(v_a, v_b, v_a @ axes, v_b @ axes, how, same)
+    if not len(i):
+        return None
+    ids = ids_a if same else np.concatenate([ids_a, ids_b])
+    if not same:
+        j = j + len(ids_a)
+    copies = n_a if same else np.concatenate([n_a, n_b])
+    links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+    root = ids.copy()
+    while True:
+        before = root.copy()
+        least = np.minimum(root[i], root[j])
+        np.minimum.at(root, i, least)
+        np.minimum.at(root, j, least)
+        if (root == before).all():
+            break
+    at = np.flatnonzero(links)
+    return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at].astype(np.int64)), pa.array(root[at])], names=["id", "links", "root"])
+
+
 def local_links(how: GridJoin, axes: dict[int, np.ndarray]):
-    """For pairs of blocks: id, links (to copies in the other block), root (smallest id of its local component)."""
+    """The links of each tile's pairs; blocks come in rising order, so a pair is joined when its later block is there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        todo: dict[int, list[int]] = {}
+        held: dict[int, tuple] = {}
         for batch in batches:
             for row in range(batch.num_rows):
-                d, x, y, *raw = (batch.column(k)[row] for k in range(9))
-                d, same = d.as_py(), x.as_py() == y.as_py()
-                ids_a, n_a, v_a, ids_b, n_b, v_b = (np.frombuffer(r.as_buffer(), t) for r, t in zip(raw, [np.int64, np.int64, float] * 2, strict=True))
-                v_a, v_b = v_a.reshape(-1, d), v_b.reshape(-1, d)
-                i, j = pairs_within(v_a, v_b, v_a @ axes[d], v_b @ axes[d], how, same)
-                if not len(i):
+                block, d, pairs, *raw = (batch.column(k)[row] for k in range(2, 8))
+                number = block.as_py()
+                if number < 0:
+                    todo, held = {}, {}
+                    for p in pairs.as_py():
+                        todo.setdefault(p["b"], []).append(p["a"])
                     continue
-                ids = ids_a if same else np.concatenate([ids_a, ids_b])
-                if not same:
-                    j = j + len(ids_a)
-                copies = n_a if same else np.concatenate([n_a, n_b])
-                links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
-                root = ids.copy()
-                while True:
-                    before = root.copy()
-                    least = np.minimum(root[i], root[j])
-                    np.minimum.at(root, i, least)
-                    np.minimum.at(root, j, least)
-                    if (root == before).all():
-                        break
-                at = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(links[at].astype(np.int64)), pa.array(root[at])], names=["id", "links", "root"])
+                ids, copies, vectors = (np.frombuffer(r.as_buffer(), t) for r, t in zip(raw, [np.int64, np.int64, float], strict=True))
+                held[number] = ids, copies, vectors.reshape(-1, d.as_py())
+                for a in todo.get(number, ()):
+                    found = links_between(held[a], held[number], axes[d.as_py()], how, a == number)
+                    if found is not None:
+                        yield found
 
     return run
 
@@ -208,16 +259,9 @@ def embedding_links(vectors: DataFrame, how: GridJoin = GridJoin(), id_col="vec_
     classes = session.cut_lineage(mine.filter("fit").groupBy(*key).agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vector").alias("vector")))
     axes = principal_axes(classes, how.dims)
     cut = session.cut_lineage(blocks(classes, how, axes))
-    box = cut.select("block", "label", "d", "lo", "hi")
-    x, y = box.alias("x"), box.alias("y")
-    meet = (F.col("x.label") == F.col("y.label")) & (F.col("x.d") == F.col("y.d")) & (F.col("x.block") <= F.col("y.block")) & near_boxes(how.reach)
-    pairs = session.cut_lineage(x.join(y, meet).select(F.col("x.block").alias("a"), F.col("y.block").alias("b")))
-    load = cut.select("block", "d", "ids", "copies", "vectors")
-    one = load.select(F.col("block").alias("a"), "d", *(F.col(c).alias(f"{c}_a") for c in ("ids", "copies", "vectors")))
-    two = load.select(F.col("block").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("ids", "copies", "vectors")))
-    loaded = pairs.join(one, "a").join(two, "b").select("d", "a", "b", "ids_a", "copies_a", "vectors_a", "ids_b", "copies_b", "vectors_b")
+    pairs = session.cut_lineage(meeting_blocks(cut, how))
     with arrow_rows(vectors.sparkSession, 8):
-        found = session.cut_lineage(loaded.mapInArrow(local_links(how, axes), "id long, links long, root long"))
+        found = session.cut_lineage(tiled(pairs, cut, how).mapInArrow(local_links(how, axes), "id long, links long, root long"))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found, "id", "root").withColumnRenamed("node", "id")
     named = classes.select(*key, "id", "copies").join(counts, "id", "left").join(groups, "id", "left")

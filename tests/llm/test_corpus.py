@@ -87,7 +87,9 @@ def test_packing_empty_table(spark):
 # ---- components ----
 
 
-def test_components_of_chains_stars_and_repeats(spark):
+@pytest.mark.parametrize("links_of_a_task", [250_000, 60])
+def test_components_of_chains_stars_and_repeats(spark, monkeypatch, links_of_a_task):
+    monkeypatch.setattr(components, "TASK_LINKS", links_of_a_task)
     links = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(1, 200)] + [(5, 5), (7, 6), (6, 7), (2000, 1999)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame([*links, (None, 3)], "a long, b long").repartition(7)).collect()}
     nodes = {x for p in links for x in p}
