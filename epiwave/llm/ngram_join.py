@@ -276,19 +276,23 @@ def links_of(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 
 
 def shared_signatures(named: DataFrame) -> DataFrame:
-    """sig, set, lead: the signatures that several sets have, with the first of these sets. Of equal sets one row speaks.
+    """sig, set, lead: the signatures that several sets have, with the leader of these sets. Of equal sets one row speaks.
 
-    Smallest and largest set of a signature are found with partial aggregation, so a signature of very many sets is no
-    large group anywhere; the join with them is one that Spark splits where it is skewed.
+    A signature's leader is the set that shares its signatures with most others: the one in the middle of a group of near
+    copies, which links to more of them than any other. Counts come with partial aggregation, so a signature of very
+    many sets is no large group anywhere; the joins with them are ones that Spark splits where they are skewed.
     """
     copies = named.groupBy("set").agg(F.count("*").alias("m"), F.min("doc").alias("first")).filter("m > 1").select("set", "first")
     lone = named.select("set", "doc", "signatures").join(stored(copies), "set", "left").filter(F.col("doc") == F.coalesce("first", "doc"))
     found = []
     for part in range(ROUNDS):
         signed = lone.select("set", F.explode("signatures").alias("sig")).filter(F.pmod("sig", F.lit(ROUNDS)) == part)
-        several = signed.groupBy("sig").agg(F.min("set").alias("lead"), F.max("set").alias("z")).filter("lead < z").select("sig", "lead")
+        several = signed.groupBy("sig").agg(F.min("set").alias("a"), F.max("set").alias("z"), F.count("*").alias("m")).filter("a < z").select("sig", "m")
         found.append(stored(signed.join(several, "sig")))
-    return reduce(DataFrame.union, found)
+    several = reduce(DataFrame.union, found)
+    known = stored(several.groupBy("set").agg(F.sum("m").alias("known")))
+    lead = several.join(known, "set").groupBy("sig").agg(F.max(F.struct("known", "set")).alias("l")).select("sig", F.col("l.set").alias("lead"))
+    return stored(several.select("sig", "set").join(lead, "sig"))
 
 
 def leader_pairs(shared: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
