@@ -946,6 +946,41 @@ def model_comparison(spark, d):
     return scores.join(support, ["dataset", "model"]).select("dataset", "model", "type", "support", F.coalesce(fine, F.lit(False)).alias("scores_in_range"))
 
 
+@query("trained_reports", """
+    WITH n AS (SELECT phase AS label, count(*) AS support FROM mat_a WHERE split = 'test' GROUP BY phase), t AS (SELECT count(*) AS support FROM mat_a WHERE split = 'test'),
+    lines AS (SELECT p.label, coalesce(n.support, 0) AS support FROM (VALUES ('Contained'), ('Declining'), ('Growing'), ('Stable/Peak')) AS p(label) LEFT JOIN n USING (label)
+      UNION ALL SELECT a.label, t.support FROM (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) AS a(label), t)
+    SELECT model, label, support, true AS report_agrees
+    FROM (VALUES ('Random Forest'), ('Gradient Boosting'), ('Logistic Regression'), ('MLP')) AS m(model), lines""")
+def trained_reports(spark, d):
+    """The class reports of the four trained models on the test rows, each line held against its plain definition.
+
+    The stored predictions are counted once more in SQL text: precision, recall and F1 must agree with the report.
+    """
+    matrix = cut_lineage(tb.order_matrix(spark, d))
+    fitted = tb.trained(spark, d, "A", matrix, FEATURES, PHASES, list(models.TRAINERS))
+    test = matrix.where(F.col("split") == "test")
+    keep = ["country", "week"]
+    preds = cut_lineage(evaluate.union_metrics([
+        evaluate.melt_predictions(model.predict(test), "A", {name: "pred"}, keep) for name, model in fitted.items()
+    ]))
+    report = evaluate.class_report(preds, PHASES, ["model"])
+    plain = spark.sql("""
+        WITH c AS (SELECT model, label, count_if(truth = label) AS support, count_if(pred = label) AS predicted, count_if(pred = label AND truth = label) AS tp
+                   FROM {preds} LATERAL VIEW explode(array('Contained', 'Declining', 'Growing', 'Stable/Peak')) AS label GROUP BY model, label),
+        s AS (SELECT *, coalesce(tp / nullif(predicted, 0), 0D) AS precision, coalesce(tp / nullif(support, 0), 0D) AS recall,
+                     coalesce(2D * tp / nullif(predicted + support, 0), 0D) AS f1 FROM c)
+        SELECT model, label, precision, recall, f1 FROM s
+        UNION ALL SELECT model, 'macro avg', avg(precision), avg(recall), avg(f1) FROM s GROUP BY model
+        UNION ALL SELECT model, 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support) FROM s GROUP BY model
+        UNION ALL SELECT model, 'accuracy', sum(tp) / sum(support), sum(tp) / sum(support), sum(tp) / sum(support) FROM s GROUP BY model""", preds=preds)
+    same = F.lit(True)
+    for c in ("precision", "recall", "f1"):
+        same = same & (F.abs(F.col(f"r.{c}") - F.col(f"q.{c}")) < 1e-9)
+    met = report.alias("r").join(plain.alias("q"), (F.col("r.model") == F.col("q.model")) & (F.col("r.label") == F.col("q.label")), "left")
+    return met.select("r.model", "r.label", "r.support", F.coalesce(same, F.lit(False)).alias("report_agrees"))
+
+
 @query("phase_distribution", "SELECT phase, count(*) AS n_weeks FROM ph_a GROUP BY phase")
 def phase_distribution(spark, d):
     return pipelines.phase_distribution(tb.order_weekly(spark, d), tb.ORDERS)
