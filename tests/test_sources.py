@@ -5,6 +5,7 @@ from epiwave.functions import columns, parse_date, parse_number
 from epiwave.operators import series
 from epiwave.spec import MULTI_COUNTRY, SINGLE_COUNTRY
 
+# The header names of the single-country report.
 DETAILED = "\n".join([
     "Date, Survivors ,Cumulative_Confirmed_Cases,Cumulative_Confirmed_Deaths,Probable_Cases,Suspected_cases,In_Treatment_Centers,Qualitative notes",
     '9/8/2014,10,30,5,2,No report,,"Beds added, staff trained; ""urgent"""',
