@@ -6,21 +6,26 @@ large share of all rows is spread over many tasks. What is left is at most one
 row per key and calendar step, and only that is ever ordered inside a key. After
 the first window the frame is hash-partitioned by key; the rollup by
 (key, bucket) and all later windows reuse this partitioning without a shuffle.
+``dealt`` bounds the rows of a task where the series are many.
 
 Window expressions are SQL text; ``over`` states the order inside a key.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bucket_start, case_fatality, clip_lower, clip_range, columns, days_between, fill_zero, ratio
+from ..session import cut_lineage
 from ..spec import FeatureSpec, SeriesSpec, new_name
 
 BUCKET = "week"
+#: Rows that a task gets of a table of many series: what it sorts and groups then takes some 100 MB, however long the table is.
+TASK_ROWS = 100_000
 
 
 def over(spec: SeriesSpec, time: str | None = None, rows: tuple[str, str] | None = None) -> str:
@@ -39,6 +44,16 @@ def dedupe_sum(df: DataFrame, spec: SeriesSpec, cols: Iterable[str] | None = Non
     return df.groupBy(*spec.keys, spec.time).agg(*[F.sum(c).alias(c) for c in cols])
 
 
+def dealt(df: DataFrame, keys: Sequence[str], rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` stored and dealt out by series: no series is split, and a task gets about ``rows`` rows, or one longer series.
+
+    For tables of many series. Otherwise adaptive execution packs series into a task up to its advisory size, and each of the
+    sorts and groups that follow holds all of them. Windows and groups by the keys keep this dealing, without a shuffle.
+    """
+    table = cut_lineage(df)
+    return table.repartition(max(1, math.ceil(table.count() / rows)), *keys)
+
+
 def sort_series(df: DataFrame, spec: SeriesSpec, time: str | None = None) -> DataFrame:
     """Total order by key and time, for final output only."""
     return df.orderBy(*spec.keys, time or spec.time)

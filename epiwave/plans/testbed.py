@@ -17,7 +17,7 @@ from ..operators.evaluate import melt_predictions, union_metrics, with_subset
 from ..operators.features import feature_matrix, value_counts
 from ..operators.models import TRAINERS, PhaseModel
 from ..operators.phases import phase_from_curve
-from ..operators.series import initial_value, over, weekly_table
+from ..operators.series import TASK_ROWS, dealt, initial_value, over, weekly_table
 from ..operators.splits import split_by_fraction, split_flag
 from ..session import cut_lineage, persisted
 from ..sources import coerce_numeric
@@ -83,8 +83,8 @@ def order_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accumulate(order_daily(spark, sf_dir), {"cases": "cum_cases", "deaths": "cum_deaths"})
 
 
-def supplier_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The many-series variant: one series per supplier over shipped lines."""
+def supplier_reports(spark: SparkSession, sf_dir: str, rows: int = TASK_ROWS) -> DataFrame:
+    """The many-series variant: one series per supplier over shipped lines, dealt out at about ``rows`` days to a task."""
     lines = table(spark, sf_dir, "lineitem")
     daily = lines.groupBy(
         F.col("l_suppkey").cast("string").alias("country"), F.col("l_shipdate").cast("date").alias("date")
@@ -92,7 +92,7 @@ def supplier_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("cases"),
         F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("deaths"),
     )
-    return accumulate(daily, {"cases": "cum_cases", "deaths": "cum_deaths"})
+    return accumulate(dealt(daily, ["country"], rows), {"cases": "cum_cases", "deaths": "cum_deaths"})
 
 
 def line_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,11 +3,12 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from epiwave.operators.features import feature_table
 from epiwave.operators.phases import label_phases
-from epiwave.operators.series import weekly_table, window_features
+from epiwave.operators.series import daily_table, weekly_table, window_features
 from epiwave.plans import catalog
 from epiwave.plans import testbed as tb
 from epiwave.spec import MULTI_COUNTRY_FEATURES, SeriesSpec
@@ -74,6 +75,21 @@ def test_one_hot_key_gives_the_same_result(spark):
     assert [(str(r["week"]), r["cum_cases"]) for r in out] == [("2020-01-06", 10_000)]
 
 
+def test_tasks_of_many_series_hold_few_rows_and_whole_series(spark, tmp_path):
+    spark.range(4000).selectExpr(
+        "IF(id % 201 = 200, NULL, id % 201) AS l_suppkey", "CAST(date_add(DATE '2020-01-01', CAST(id / 201 AS INT)) AS TIMESTAMP_NTZ) AS l_shipdate",
+        "IF(id % 3 = 0, 'R', 'N') AS l_returnflag",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    dealt, whole = (tb.supplier_reports(spark, str(tmp_path), rows=n) for n in (400, 10**9))
+    tasks = daily_table(dealt, tb.SUPPLIERS).groupBy(F.spark_partition_id()).agg(F.count("*"), F.collect_set("country")).collect()
+    assert max(n for _, n, _ in tasks) <= 1000 and sum(n for _, n, _ in tasks) > 3900
+    assert sum(len(keys) for _, _, keys in tasks) == 200
+    text = plan(label_phases(weekly_table(dealt, tb.SUPPLIERS), tb.SUPPLIERS))
+    assert text.count("Exchange hashpartitioning") == 1
+    rows = [sorted(map(tuple, label_phases(weekly_table(x, tb.SUPPLIERS), tb.SUPPLIERS).collect()), key=str) for x in (dealt, whole)]
+    assert rows[0] == rows[1] and len(rows[0]) > 200
+
+
 def test_entry_and_registry(spark):
     frame = entry.entry(spark)
     assert frame.columns == ["phase", "n_weeks"] and frame.count() > 0
