@@ -10,17 +10,18 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from tokenizers import Tokenizer, normalizers, pre_tokenizers
+from tokenizers import Tokenizer, pre_tokenizers
 
 from epiwave.llm.common import arrow_rows, memory_returned, stored
 
@@ -30,7 +31,16 @@ KEPT_WORDS = 300_000
 BATCH_ROWS = 1000
 #: Letters of no more than one case that no combining mark is needed for, and marks that may follow them.
 LETTERS = "a-zß-öø-ÿ"
-WORD = re.compile(f"([{LETTERS}]+)([!-&*-/:;?#|]*)")
+#: For a word on each line: its letters, or nothing where it has others.
+PLAIN_LINES = re.compile(f"^ ([{LETTERS}]+)$|^.+$", re.MULTILINE)
+#: Kinds of bytes: of ``LETTERS`` in UTF-8 (bytes of other letters come with one that is OTHER), marks, the space.
+OTHER, LETTER, MARK, SPACE = range(4)
+KINDS = np.zeros(256, np.uint8)
+KINDS[[*b"abcdefghijklmnopqrstuvwxyz", 0xC3, *range(0x9F, 0xB7), *range(0xB8, 0xC0)]] = LETTER
+KINDS[[*range(0x21, 0x27), *range(0x2A, 0x30), *b":;?|"]] = MARK
+KINDS[ord(" ")] = SPACE
+#: Characters of texts whose distinct words are looked up together.
+GROUP_CHARS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -59,31 +69,33 @@ def folded(text: str) -> str:
 class WordEncoder:
     """Ids of texts whose tokens never cross a space or line end; keeps the ids of the words it has met lately.
 
-    The vocabulary lower-cases, and cuts letters from the marks that follow them. So an unknown word of plain letters and
-    marks is put together of the two. Letters alone need no normalisation and no cutting: many of them go to the tokenizer's
+    The vocabulary lower-cases, and cuts letters from the marks that follow them. So a word of plain letters and marks is
+    looked up in two parts. Letters alone need no normalisation and no cutting: many of them go to the tokenizer's
     model as one text, whose tokens with the end-of-word suffix part the result. All other words go through the
-    whole tokenizer, one by one.
+    whole tokenizer, one by one. Both tokenizers share one model.
     """
 
     def __init__(self, path: str):
-        self.whole, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.whole.model)
+        for token in self.whole.get_added_tokens_decoder().values():
+            (self.letters.add_special_tokens if token.special else self.letters.add_tokens)([token])
         for t in (self.whole, self.letters):
             t.no_truncation()
             t.no_padding()
         suffix = self.letters.model.end_of_word_suffix
-        self.letters.normalizer = normalizers.Sequence([])
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.letters.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.plain = bool(suffix)
-        self.young: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {" ": b""}
         self.old: dict[str, bytes] = {}
 
     def learn_letters(self, words: list[str]) -> None:
-        """Words of ``LETTERS`` only."""
+        """Words of ``LETTERS`` only, with the space before them."""
         texts = [words[k : k + 500] for k in range(0, len(words), 500)]
-        encoded = self.letters.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False)
+        encoded = self.letters.encode_batch_fast(["".join(t) for t in texts], add_special_tokens=False)
         for part, e in zip(texts, encoded, strict=True):
             ids = np.array(e.ids, "<u4")
             raw, start = ids.tobytes(), 0
@@ -91,45 +103,79 @@ class WordEncoder:
                 self.young[w] = raw[start:end]
                 start = end
 
-    def learn(self, words: Iterable[str]) -> None:
-        """The ids of ``words`` that the younger generation lacks."""
+    def learn(self, words: list[str]) -> None:
+        """The ids of distinct ``words`` of ``parted`` texts that the younger generation lacks."""
         young, old = self.young, self.old
-        heads, marks, joined, odd = set(), set(), [], []
+        new = []
         for w in words:
-            if w in young:
-                continue
-            if w in old:
-                young[w] = old[w]
-            elif self.plain and (m := WORD.fullmatch(w)):
-                head, tail = m.groups()
-                heads.add(head)
-                if tail:
-                    marks.add(tail)
-                    joined.append((w, head, tail))
+            if (ids := old.get(w)) is None:
+                new.append(w)
             else:
-                odd.append(w)
-        self.learn_letters([w for w in heads if w not in young and (w not in old or young.setdefault(w, old[w]) is None)])
-        odd += [w for w in marks if w not in young]
-        for w, e in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+                young[w] = ids
+        letters, odd = [], []
+        for w, plain in zip(new, PLAIN_LINES.findall("\n".join(new)), strict=True):
+            (letters if plain and self.plain else odd).append(w)
+        self.learn_letters(letters)
+        for w, e in zip(odd, self.whole.encode_batch_fast([w.removeprefix(" ") for w in odd], add_special_tokens=False), strict=True):
             young[w] = np.array(e.ids, "<u4").tobytes()
-        for w, head, tail in joined:
-            young[w] = young[head] + young[tail]
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of each of the distinct ``words``."""
+        if len(self.young) > KEPT_WORDS // 2:
+            self.young, self.old = {" ": b""}, self.young
+        found = list(map(self.young.get, words))
+        new = [w for w, ids in zip(words, found, strict=True) if ids is None]
+        if new:
+            self.learn(new)
+            learnt = map(self.young.__getitem__, new)
+            found = [next(learnt) if ids is None else ids for ids in found]
+        return found
+
+    def parted(self, raw: bytes) -> np.ndarray:
+        """Where the words of ``raw`` begin, each with the space before it, and the marks after a word of letters."""
+        kind = KINDS[np.frombuffer(raw, np.uint8)]
+        begins = kind == SPACE
+        if self.plain:
+            spaces = np.flatnonzero(begins)
+            after = kind[1:]
+            mixed = np.zeros(len(spaces) + 1, bool)
+            odd = np.flatnonzero(kind == OTHER)
+            back = np.flatnonzero((kind[:-1] == MARK) & (after == LETTER))
+            for places in (odd, back):
+                mixed[np.searchsorted(spaces, places)] = True
+            marks = np.flatnonzero((kind[:-1] == LETTER) & (after == MARK)) + 1
+            begins[marks[~mixed[np.searchsorted(spaces, marks)]]] = True
+        return np.flatnonzero(begins).astype(np.int32)
+
+    def encode_group(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of texts that are folded and have no line ends: those of their distinct words, put in the words' places."""
+        coded = [b" " + t.encode() for t in texts]
+        raw = b"".join(coded)
+        begins = self.parted(raw)
+        offsets = np.append(begins, np.int32(len(raw)))
+        words = pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
+        distinct = pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary)
+        ids = self.ids_of(pc.binary_join(distinct, "\n")[0].as_py().split("\n"))
+        which, size = words.indices.to_numpy(), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        many = size[which]
+        end = np.cumsum(many)
+        out = flat[np.arange(end[-1]) + np.repeat(start[which] - end + many, many)].tobytes()
+        last = np.searchsorted(begins, np.cumsum([len(t) for t in coded])) - 1
+        begin = 0
+        for stop in (4 * end[last]).tolist():
+            yield out[begin:stop]
+            begin = stop
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; new words are learnt for many texts at once."""
         group, size = [], 0
         for k, text in enumerate(texts):
-            group.append(folded(text).replace("\n", " ").split(" "))
+            group.append(folded(text).replace("\n", " "))
             size += len(text)
-            if size < 1_000_000 and k + 1 < len(texts):
-                continue
-            if len(self.young) > KEPT_WORDS // 2:
-                self.young, self.old = {"": b""}, self.young
-            self.learn(set().union(*group))
-            known = self.young
-            for parts in group:
-                yield b"".join(map(known.__getitem__, parts))
-            group, size = [], 0
+            if size >= GROUP_CHARS or k + 1 == len(texts):
+                yield from self.encode_group(group)
+                group, size = [], 0
 
 
 @lru_cache(maxsize=2)

@@ -1,5 +1,6 @@
 """Operators over whole tables, against plain versions."""
 
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -80,6 +81,24 @@ def test_best_fit_covers_all_numbers():
     assert all(min(b) >= 0 for b in left.values())
 
 
+def test_encoder_looks_letters_and_marks_up_apart():
+    enc = packing.WordEncoder(WORD_BPE)
+    list(enc.encode(["Word word, word. word; WORD!\nword,", "", "other other."]))
+    assert len(enc.young) == 1 + 2 + 4
+
+
+def test_encoder_equals_the_whole_tokenizer(monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_CHARS", 300)
+    monkeypatch.setattr(packing, "KEPT_WORDS", 40)
+    rng = random.Random(3)
+    bits = ["a", "It", "don't", "!", ",", ".,", "&&&", "#x", "x#", "a,b", "a,b,", "é", "É", "ßö", "÷", "a÷", "ÿ.", "e\u0301", "\u00a0", "\t", "\r", "\x00", "日本",
+            "12", "3.5", "%", "(x)", "<|endoftext|>", "ﬁ", "\u2028", "😀", "word", "words", " ", "  ", "\n", "\n\n", "A\u030a", "Ωmega;", "naïve?", "'", "it's,"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", " ", "\n"]) for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["", " ", "\n"] * 2
+    whole = Tokenizer.from_file(WORD_BPE)
+    got = list(packing.WordEncoder(WORD_BPE).encode(texts))
+    assert got == [b"".join(i.to_bytes(4, "little") for i in whole.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_packing_empty_table(spark):
     assert packing.pack_documents(helpers.table(spark, []).limit(0), WORD_BPE).count() == 0
 
