@@ -12,7 +12,6 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -178,22 +177,17 @@ class WordEncoder:
                 group, size = [], 0
 
 
-@lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
 def token_pieces(docs: DataFrame, path: str, tokens: int = 2048, end_id: int = 0, id_col="doc_id", text_col="text") -> DataFrame:
     """Pieces of at most ``tokens`` ids: id, piece, start, length, ids_crc32.
 
     A document is its text's ids, then ``end_id``; a null text is empty, so each row has at least one piece. Only longer
-    documents are cut. The tokenizer must drop white space, as word vocabularies do.
+    documents are cut. The tokenizer must drop white space, as word vocabularies do. Its words are kept for a task, not longer.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = word_encoder(path)
+        enc = WordEncoder(path)
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []
             for row, raw in enumerate(enc.encode([t or "" for t in batch.column(1).to_pylist()])):
@@ -209,6 +203,7 @@ def token_pieces(docs: DataFrame, path: str, tokens: int = 2048, end_id: int = 0
                 [batch.column(0).take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 names=[id_col, "piece", "start", "length", "ids_crc32"],
             )
+        del enc
         memory_returned()
 
     schema = f"`{id_col}` {id_type}, piece int, start long, length long, ids_crc32 long"
@@ -287,8 +282,9 @@ def pack(pieces: DataFrame, caps: Capacities = Capacities(), length_col="length"
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(nth), pa.int32()), pa.array(nth, pa.int64())], names=[*others, "__part", "__nth"])
 
     schema = T.StructType([*kept.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__nth", T.LongType())])
+    # Pieces are stored before they are numbered: chained Python steps would keep two workers for each core at once.
     with arrow_rows(pieces.sparkSession, BATCH_ROWS):
-        numbered = stored(kept.mapInArrow(number, schema))
+        numbered = stored(stored(kept).mapInArrow(number, schema))
     by_part = numbered.groupBy("__part", length_col).agg(F.count("*").alias("__n"))
     before = Window.partitionBy(length_col).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_part.select("__part", length_col, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))

@@ -12,7 +12,7 @@ from tests.llm import helpers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from epiwave.llm import components, embedding_dedup, line_dedup, ngram_join, packing, quality
+from epiwave.llm import common, components, embedding_dedup, line_dedup, ngram_join, packing, quality
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
@@ -99,6 +99,18 @@ def test_encoder_equals_the_whole_tokenizer(monkeypatch):
     assert got == [b"".join(i.to_bytes(4, "little") for i in whole.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_packing_chains_no_python_steps(spark, monkeypatch):
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.stored(df)
+
+    monkeypatch.setattr(packing, "stored", seen)
+    packing.pack_documents(helpers.table(spark, helpers.documents()), WORD_BPE).collect()
+    assert plans and max(p.count("MapInArrow") for p in plans) == 1
+
+
 def test_packing_empty_table(spark):
     assert packing.pack_documents(helpers.table(spark, []).limit(0), WORD_BPE).count() == 0
 
