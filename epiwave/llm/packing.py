@@ -7,11 +7,13 @@ there are. Pieces then find their places by their number among the pieces of the
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -65,14 +67,8 @@ def folded(text: str) -> str:
     return text
 
 
-class WordEncoder:
-    """Ids of texts whose tokens never cross a space or line end; keeps the ids of the words it has met lately.
-
-    The vocabulary lower-cases, and cuts letters from the marks that follow them. So a word of plain letters and marks is
-    looked up in two parts. Letters alone need no normalisation and no cutting: many of them go to the tokenizer's
-    model as one text, whose tokens with the end-of-word suffix part the result. All other words go through the
-    whole tokenizer, one by one. Both tokenizers share one model.
-    """
+class WordTokenizers:
+    """A vocabulary's whole tokenizer, and one for letters alone; both share one model."""
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
@@ -88,6 +84,31 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if suffix and token.endswith(suffix)]] = True
         self.plain = bool(suffix)
+
+
+@lru_cache(maxsize=2)
+def tokenizers_as_of(path: str, changed: int, size: int) -> WordTokenizers:
+    return WordTokenizers(path)
+
+
+def word_tokenizers(path: str) -> WordTokenizers:
+    """One for each state of a file and worker: the library's threads keep what they cached for a model when it has gone."""
+    now = os.stat(path)
+    return tokenizers_as_of(path, now.st_mtime_ns, now.st_size)
+
+
+class WordEncoder:
+    """Ids of texts whose tokens never cross a space or line end; keeps the ids of the words it has met lately.
+
+    The vocabulary lower-cases, and cuts letters from the marks that follow them. So a word of plain letters and marks is
+    looked up in two parts. Letters alone need no normalisation and no cutting: many of them go to the tokenizer's
+    model as one text, whose tokens with the end-of-word suffix part the result. All other words go through the
+    whole tokenizer, one by one.
+    """
+
+    def __init__(self, path: str):
+        both = word_tokenizers(path)
+        self.whole, self.letters, self.ends, self.plain = both.whole, both.letters, both.ends, both.plain
         self.young: dict[str, bytes] = {" ": b""}
         self.old: dict[str, bytes] = {}
 
@@ -181,12 +202,14 @@ def token_pieces(docs: DataFrame, path: str, tokens: int = 2048, end_id: int = 0
     """Pieces of at most ``tokens`` ids: id, piece, start, length, ids_crc32.
 
     A document is its text's ids, then ``end_id``; a null text is empty, so each row has at least one piece. Only longer
-    documents are cut. The tokenizer must drop white space, as word vocabularies do. Its words are kept for a task, not longer.
+    documents are cut. The tokenizer must drop white space, as word vocabularies do. Its words are kept for a task, not longer,
+    its tokenizers as long as the worker.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread has caches of its own
         enc = WordEncoder(path)
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []

@@ -1,7 +1,10 @@
 """Operators over whole tables, against plain versions."""
 
+import json
+import os
 import random
 import re
+import shutil
 import zlib
 from collections import Counter, defaultdict
 
@@ -99,6 +102,39 @@ def test_encoder_equals_the_whole_tokenizer(monkeypatch):
     assert got == [b"".join(i.to_bytes(4, "little") for i in whole.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def resident_mb():
+    with open("/proc/self/statm", encoding="ascii") as f:
+        return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+
+def test_many_tasks_of_a_worker_leave_no_memory(monkeypatch):
+    """A worker has an encoder for each task; what one leaves behind would grow with the number of tasks."""
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "false")
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=8)) for _ in range(20_000)) for _ in range(3)]
+    after = []
+    for _ in range(12):
+        enc = packing.WordEncoder(WORD_BPE)
+        assert enc.young == {" ": b""} and not enc.old
+        assert len(list(enc.encode(texts))) == 3
+        del enc
+        common.memory_returned()
+        after.append(resident_mb())
+    assert after[-1] - after[3] < 12, after
+
+
+def test_encoder_follows_a_changed_vocabulary(tmp_path):
+    path = tmp_path / "words.json"
+    shutil.copy(WORD_BPE, path)
+    before = list(packing.WordEncoder(str(path)).encode(["some words"]))
+    spec = json.loads(path.read_text(encoding="utf-8"))
+    spec["normalizer"], spec["pre_tokenizer"] = None, {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    whole = Tokenizer.from_file(str(path))
+    assert packing.WordEncoder(str(path)).whole.encode("Some Words").ids == whole.encode("Some Words").ids
+    assert before == list(packing.WordEncoder(WORD_BPE).encode(["some words"]))
+
+
 def test_packing_chains_no_python_steps(spark, monkeypatch):
     plans = []
 
